@@ -121,19 +121,51 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_lectern_cache", type(sys)("_lectern_cache")).__dict__
 
 
-def pack(arrays: list) -> bytes:
-    """Byte strings and numpy arrays as one zstd-compressed blob."""
-    import pickle
+def pack(arrays: list, level: int = 1) -> bytes:
+    """Byte strings and flat numpy arrays as one zstd-compressed blob."""
+    import struct
 
     import pyarrow as pa
 
-    raw = pickle.dumps(arrays, protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    parts = [(b"-", a) if isinstance(a, bytes) else (a.dtype.str[1:].encode(), a.tobytes()) for a in arrays]
+    raw = struct.pack("<B", len(parts)) + b"".join(struct.pack("<2sI", k, len(x)) for k, x in parts) + b"".join(x for _, x in parts)
+    return struct.pack("<I", len(raw)) + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> list:
-    import pickle
+    import struct
 
+    import numpy as np
     import pyarrow as pa
 
-    return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    raw = pa.decompress(memoryview(blob)[4:], decompressed_size=struct.unpack_from("<I", blob)[0], codec="zstd", asbytes=True)
+    at, out = 1 + 6 * raw[0], []
+    for k in range(raw[0]):
+        kind, size = struct.unpack_from("<2sI", raw, 1 + 6 * k)
+        out.append(raw[at : at + size] if kind == b"-\0" else np.frombuffer(raw, "<" + kind.decode(), size // int(kind[1:2]), at))
+        at += size
+    return out
+
+
+def planes(a):
+    """An integer array as its bytes, the first of all numbers, then the second, and so on, which compresses well."""
+    import numpy as np
+
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, dtype):
+    import numpy as np
+
+    kind = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def place(value: Column, bounds: Column, n: int) -> Column:
+    """Number of the n sorted bounds at or below value, by halving; null is below all."""
+    low = F.lit(0)
+    step = 1 << (n.bit_length() - 1) if n else 0
+    while step:
+        low = bind(low, lambda at, step=step: F.when(F.get(bounds, at + F.lit(step - 1)) <= value, at + F.lit(step)).otherwise(at))
+        step >>= 1
+    return low.cast("long")

@@ -125,7 +125,8 @@ def fit(labelled: DataFrame) -> Model:
         import pyarrow as pa
 
         for b in batches:
-            at = [np.nonzero(f)[0] for f in (full := [counts(t) for t in b.column(1).to_pylist()])]
+            full = [counts(t) for t in b.column(1).to_pylist()]
+            at = [np.nonzero(f)[0] for f in full]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([f[a].tobytes() for f, a in zip(full, at)], pa.binary())], ["lang", "at", "n"])
 
     rows = sorted(chosen.mapInArrow(run, "lang string, at binary, n binary").collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, mixing, quality, simhash, substrings
+from lectern.llm import bpe, language, lm, merkle, mixing, quality, sharding, simhash, substrings, warc
 from lectern.llm.common import read
 
 
@@ -17,6 +17,15 @@ def byte_bpe() -> bytes:
         return f.read()
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang_pred is the nearest learned language even where the distance rejects it; rejected says so."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = language.fit(docs.filter(~held_out).select("text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("nearest").alias("lang_pred"), "score", "rejected")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe()).drop("text")
 
@@ -26,21 +35,39 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(read(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compared(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", *quality.METRICS, "base_failed", "kept", "host_docs", "host_rejected"]
     return quality.scores(read(spark, sf_dir, "documents")).select(*columns)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write(read(spark, sf_dir, "pages"))
+    return warc.read(manifest, folder).drop("payload", "url")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe, op3_substrings, op6_mixing, op8_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bind, row_hash, shared_dir, skew_join, small_batches, stored
+from lectern.llm.common import place, row_hash, shared_dir, skew_join, small_batches, stored
 
 #: Payload bytes of a shard, about; and a bound on the number of shards.
 SHARD_BYTES = 8 << 20
@@ -115,7 +115,7 @@ class _Rolled:
         if self.out is None:
             self.name = f"part-{self.shard:05d}-{len(self.done):05d}.warc.gz"
             self.temporary = f"{self.name}.{uuid.uuid4().hex}.tmp"
-            self.out, self.n, self.bytes, self.sha = self.files.open_output_stream(f"{self.folder}/{self.temporary}"), 0, 0, hashlib.sha256()
+            self.out, self.n, self.bytes, self.sha = self.files.open_output_stream(f"{self.folder}/{self.temporary}", compression=None), 0, 0, hashlib.sha256()
         member = gzip.compress(raw, 6, mtime=0)
         self.out.write(member)
         self.sha.update(member)
@@ -199,7 +199,7 @@ def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_
     bounds = sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
     page = F.col("page_id")
     bound = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<long>")
-    shard = F.coalesce(_place(page, bound, len(bounds)), F.lit(0).cast("long"))
+    shard = F.coalesce(place(page, bound, len(bounds)), F.lit(0).cast("long"))
     whole = pages.select(page.cast("long").alias("page_id"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     marks = revisits(pages, least).select("page_id", F.lit(0).alias("kind"), "url", F.lit(None).cast("string").alias("html"), "refers_to")
     dealt = whole.unionByName(marks).withColumn("shard", shard).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("html", "url"))
@@ -211,16 +211,6 @@ def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_
     return folder, spark.read.parquet(f"{folder}/_manifest")
 
 
-def _place(value, bounds, n: int):
-    """Number of sorted bounds at or below value, by halving; null is below all."""
-    low = F.lit(0)
-    step = 1 << (n.bit_length() - 1) if n else 0
-    while step:
-        low = bind(low, lambda at, step=step: F.when(F.get(bounds, at + F.lit(step - 1)) <= value, at + F.lit(step)).otherwise(at))
-        step >>= 1
-    return low.cast("long")
-
-
 def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of the files that the manifest names; page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null unless asked for)."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -232,7 +222,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows = []
-                with files.open_input_stream(f"{at}/{name}") as raw, gzip.open(raw) as stream:
+                with files.open_input_stream(f"{at}/{name}", compression=None) as raw, gzip.open(raw) as stream:
                     for r in parse(stream):
                         rows.append((*list(r.values())[:6], r["payload"] if payloads else None))
                         if len(rows) == 500:
