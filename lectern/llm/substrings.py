@@ -1,6 +1,6 @@
 """Substring dedup by super-k-mer partitioning.
 
-Windows of 20 words are routed by their minimiser, the least hash of 4 words in
+Windows of 20 words are routed by their minimiser, the least hash of 3 words in
 a row. Consecutive windows that share one travel as one packed string to its
 bucket; there strings with one minimiser are sorted together and their windows
 counted exactly, by their words. Equal strings of one map task are combined
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from lectern.llm.common import NULL_ID, pack, partitions, row_hash, small_batches, unpack, with_fields
 
 WINDOW = 20
-GRAM = 4
+GRAM = 3
 #: Bytes of text that a bucket stands for.
 BUCKET_BYTES = 4 << 20
 #: Bytes of text that are combined before the shuffle.
-CELL_BYTES = 8 << 20
+CELL_BYTES = 4 << 20
+#: zstd level of what travels: higher ones save a few hundredths of the shuffle for several times the time.
+LEVEL = 6
 #: Documents looked at, at least, to find minimisers that are too common; more where there are many buckets.
 PLAN_DOCS = 8000
 
@@ -63,6 +65,8 @@ def super_kmers(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM)
     import numpy as np
     from xxhash import xxh64_intdigest
 
+    if window - gram >= 255:
+        raise ValueError("runs of windows are counted in a byte")
     flat = [w for d in docs for w in d]
     none = np.zeros(0, np.int64)
     if len(flat) < window:
@@ -155,7 +159,7 @@ def _sent(batches, hot, buckets, window, gram):
             mine = order[edges[k] : edges[k + 1]]
             go, gone = mine[own[mine]], mine[~own[mine]]
             table, at = np.unique(doc[np.concatenate([go, gone])], return_inverse=True)
-            blob = pack([ids[table], salt[table], at[: len(go)].astype(np.uint32), start[go].astype(np.int64), count[go].astype(np.uint32), (key[go] >> np.uint64(32)).astype(np.uint32), b"\n".join([packed[i] for i in go.tolist()]), at[len(go) :].astype(np.uint32), start[gone].astype(np.int64), count[gone].astype(np.uint32)])
+            blob = pack([ids[table], salt[table], at[: len(go)].astype(np.uint32), start[go].astype(np.uint32), count[go].astype(np.uint8), np.diff(key[go] >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32), b"\n".join([packed[i] for i in go.tolist()]), at[len(go) :].astype(np.uint32), start[gone].astype(np.uint32), count[gone].astype(np.uint8)], LEVEL)
             out.append((k, blob))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["_lt_bucket", "_lt_blob"])
 
@@ -165,8 +169,8 @@ def _repeats(blobs: list[bytes], window: int):
     import numpy as np
 
     parts = [unpack(b) for b in blobs]
-    gone = [(p[0][p[7]], p[1][p[7]], p[8], p[9].astype(np.int64)) for p in parts]
-    ids, salt, start, count, key = (np.concatenate(x) for x in zip(*((p[0][p[2]], p[1][p[2]], p[3], p[4].astype(np.int64), p[5]) for p in parts)))
+    gone = [(p[0][p[7]], p[1][p[7]], p[8].astype(np.int64), p[9].astype(np.int64)) for p in parts]
+    ids, salt, start, count, key = (np.concatenate(x) for x in zip(*((p[0][p[2]], p[1][p[2]], p[3].astype(np.int64), p[4].astype(np.int64), np.cumsum(p[5].astype(np.uint64))) for p in parts)))
     strings = [s for p in parts if len(p[2]) for s in p[6].split(b"\n")]
     order = np.lexsort((start, salt, ids, key))
     edges = np.nonzero(np.concatenate([[True], np.diff(key[order]) != 0, [True]]))[0] if len(order) else np.zeros(1, np.int64)
