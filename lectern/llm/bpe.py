@@ -14,6 +14,7 @@ the columns added here replace any of the same name; repeated rows each count.
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ from lectern.llm.common import process_cache, small_batches, with_fields
 #: Splits a text before merges; fixed by the vocabulary file's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids each worker keeps, at most; beyond that it starts anew.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 400_000
 KEPT_BYTES = 64
+#: Pairs of tokens whose compatibility each worker keeps, at most.
+KEPT_PAIRS = 500_000
 
 
 def byte_names() -> dict[str, int]:
@@ -34,6 +37,22 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Kept(dict):
+    """Ids of pieces that were met before; others are encoded, and short ones kept."""
+
+    def __init__(self, bpe):
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> list[int]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = self.bpe.piece(raw)
+        if len(raw) <= KEPT_BYTES:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder of a byte-level vocabulary given as the bytes of a tokenizers file."""
 
@@ -61,20 +80,22 @@ class Bpe:
             by_bytes[raw(s)] = t
         self.backward = self._backward(by_bytes)
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
-        self.bytes = {i: raw(s) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
+        named = {i: raw(s) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
+        self.bytes = [named.get(i, b"") for i in range(max(named) + 1)]
         self.pieces = regex.compile(PATTERN).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.kept: dict[str, list[int]] = {}
+        self.kept = _Kept(self)
+        self.pairs: dict[int, bool] = {}
 
     @staticmethod
-    def _backward(by_bytes: dict[bytes, int]) -> list:
-        """A trie over reversed tokens, the minimal way to all tokens that end at a place: {byte: node}, -1 for the token."""
-        root: dict = {}
-        for s, t in by_bytes.items():
-            node = root
+    def _backward(by_bytes: dict[bytes, int]) -> dict:
+        """An automaton of reversed tokens, {byte: state}: read backwards from a place, it ends in the state whose -1 has all tokens (and lengths) that end there, the longest first."""
+        root: dict = {-1: ()}
+        for s, t in sorted(by_bytes.items(), key=lambda x: len(x[0])):
+            state = root
             for b in reversed(s):
-                node = node.setdefault(b, {})
-            node[-1] = t
+                state = state.setdefault(b, {-1: state[-1]})
+            state[-1] = ((t, len(s)), *state[-1])
         return root
 
     def compatible(self, a: int, b: int) -> bool:
@@ -104,21 +125,27 @@ class Bpe:
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece, by dynamic programming over its prefixes."""
         last, start = [-1], [0]
-        root, compatible = self.backward, self.compatible
+        root, pairs = self.backward, self.pairs
         for end in range(1, len(text) + 1):
-            found, node, at = [], root, end
+            state, at = root, end
             while at:
                 at -= 1
-                node = node.get(text[at])
-                if node is None:
-                    break
-                if (t := node.get(-1)) is not None:
-                    found.append((t, at))
-            for t, at in reversed(found):  # the longest first
-                if not at or compatible(last[at], t):
-                    last.append(t)
-                    start.append(at)
+                if (far := state.get(text[at])) is None:
                     break
+                state = far
+            for t, size in state[-1]:
+                at = end - size
+                if at:
+                    key = last[at] << 32 | t
+                    if (fits := pairs.get(key)) is None:
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self.compatible(last[at], t)
+                    if not fits:
+                        continue
+                last.append(t)
+                start.append(at)
+                break
             else:
                 raise ValueError("no token fits a prefix: the vocabulary lacks a byte")
         ids, at = [], len(text)
@@ -127,26 +154,17 @@ class Bpe:
             at = start[at]
         return ids[::-1]
 
-    def _known(self, piece: str) -> list[int]:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = self.piece(raw)
-        if len(raw) <= KEPT_BYTES:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[piece] = ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
         if not text:
-            return out
-        kept, known, more = self.kept.get, self._known, out.extend
-        for part in self.around.split(text) if self.around and any(s in text for s in self.special) else (text,):
+            return []
+        if not any(s in text for s in self.special):
+            return list(chain.from_iterable(map(self.kept.__getitem__, self.pieces(text))))
+        out: list[int] = []
+        for part in self.around.split(text):
             if part in self.special:
                 out.append(self.special[part])
-                continue
-            for p in self.pieces(part):
-                more(kept(p) or known(p))
+            else:
+                out.extend(chain.from_iterable(map(self.kept.__getitem__, self.pieces(part))))
         return out
 
     def decode(self, ids: list[int]) -> str:
