@@ -163,9 +163,11 @@ def from_planes(raw: bytes, dtype):
 
 def place(value: Column, bounds: Column, n: int) -> Column:
     """Number of the n sorted bounds at or below value, by halving; null is below all."""
+
+    def halved(step):  # a lambda's second parameter would be an index
+        return lambda at: F.when(F.get(bounds, at + F.lit(step - 1)) <= value, at + F.lit(step)).otherwise(at)
+
     low = F.lit(0)
-    step = 1 << (n.bit_length() - 1) if n else 0
-    while step:
-        low = bind(low, lambda at, step=step: F.when(F.get(bounds, at + F.lit(step - 1)) <= value, at + F.lit(step)).otherwise(at))
-        step >>= 1
+    for k in reversed(range(n.bit_length())):
+        low = bind(low, halved(1 << k))
     return low.cast("long")
