@@ -12,7 +12,7 @@ hash; a bucket adds up and answers in the same order, with a few bits for each
 number; the cell's own packed record of word numbers, sent along, takes the
 answers. No text moves, and equal words of a cell move once.
 
-Words are told apart by XXH64.
+Words are told apart by XXH64, pairs of words by 56 bits of a mix of two of these.
 
 Edge cases: a null text is an empty one and has one token, the end; a null
 doc_id belongs to training; repeated rows each count and each get a score; with
@@ -30,7 +30,7 @@ from lectern.llm.common import from_planes, pack, partitions, planes, small_batc
 FOLDS = 7
 HELD_OUT, TUNING = 2, 5
 #: Bytes of text in a cell, and that a bucket stands for.
-CELL_BYTES = 4 << 20
+CELL_BYTES = 10 << 20
 BUCKET_BYTES = 16 << 20
 #: Held-out estimates are gathered in steps of 2^(1/4); rarer than 2^-60 counts as that.
 STEPS, DEEPEST = 4, 240
@@ -56,7 +56,7 @@ def _pairs(of_word, number, lengths):
     before[np.cumsum(lengths) - lengths] = len(of_word) - 1
     h = (of_word[before] * np.uint64(0x9E3779B97F4A7C15)) ^ (of_word[before] >> np.uint64(29))
     h = (h + of_word[number]) * np.uint64(0xD6E8FEB86659FD93)
-    return before, h ^ (h >> np.uint64(32))
+    return before, (h ^ (h >> np.uint64(32))) >> np.uint64(8)
 
 
 def _cells(batches):
@@ -112,7 +112,7 @@ def _asked(batches, buckets: int):
             own = (h % np.uint64(buckets)).astype(np.int64)
             go = np.argsort(own, kind="stable")
             edges = np.searchsorted(own[go], np.arange(buckets + 1))
-            asked.append([[planes(np.diff(h[m], prepend=np.uint64(0))), *(planes(c[m]) for c in counts)] for a, b in zip(edges, edges[1:]) for m in [go[a:b]]])
+            asked.append([[planes(np.diff(h[m] // np.uint64(buckets), prepend=np.uint64(0))), *(planes(c[m]) for c in counts)] for a, b in zip(edges, edges[1:]) for m in [go[a:b]]])
         some = [j for j in range(buckets) if asked[0][j][0] or asked[1][j][0]]
         yield _rows(some, [cell] * len(some), some, [pack(asked[0][j] + asked[1][j]) for j in some])
         ids = np.array([r[0] or 0 for r in rows], np.int64)
@@ -125,12 +125,13 @@ def _asked(batches, buckets: int):
 ADDED = "cell long, bucket int, blob binary, n_all long, v_all long, n_main long, v_main long"
 
 
-def _answered(batches):
+def _answered(batches, buckets: int):
     """Sums of each bucket, given back to every cell in the order it asked; cells' own records pass through."""
     import numpy as np
     import pyarrow as pa
 
-    start = _hashes([START])[0]
+    start = _hashes([START])[0] // np.uint64(buckets)
+    starts = int(_hashes([START])[0] % np.uint64(buckets))
 
     def out(cells, buckets, blobs, sums=(None,) * 4):
         n = len(cells)
@@ -146,14 +147,14 @@ def _answered(batches):
             h, at = np.unique(np.concatenate(hs), return_inverse=True)
             main, tune = (np.bincount(at, np.concatenate([from_planes(p[k + j], np.uint32) for p in parts]), len(h)).astype(np.uint64) for j in (1, 2))
             if not k:
-                real = h != start
+                real = (h != start) | (bucket != starts)
                 every = main + tune
                 sums = [int(every[real].sum()), int(np.count_nonzero(every[real])), int(main[real].sum()), int(np.count_nonzero(main[real]))]
             ends = np.cumsum([len(x) for x in hs])
             for r, b, n in zip(replies, ends, map(len, hs)):
                 own = at[b - n : b]
                 r += [planes(main[own]), planes(tune[own])]
-        return out(cells, [bucket] * len(cells), [pack(r) for r in replies]), out([-1], [-2], [None], sums)
+        return out(cells, [bucket] * len(cells), [pack(r) for r in replies]), out([bucket], [-2], [None], sums)
 
     now, asked = None, []
     for b in batches:
@@ -170,40 +171,49 @@ def _answered(batches):
         yield from answer(now, asked)
 
 
-def _known(record: bytes, replies: list[tuple[int, bytes]], buckets: int) -> bytes:
-    """A cell's record with the counts of its words, START last, and of each token's pair."""
+def _known(record: bytes, replies: list[tuple[int, bytes]], buckets: int) -> tuple:
+    """A cell's record with the counts of its words, START last, and of each token's pair; and the held-out counts of its tuning documents."""
     import numpy as np
 
     ids, none, fold, lengths, raw, kind, words = unpack(record)
+    lengths = lengths.astype(np.int64)
     number = from_planes(raw, f"u{kind[0]}").astype(np.int64)
     of_word = _hashes([END, *(words.split(b"\n") if words else []), START])
-    order = np.argsort(of_word)
-    pair, at = np.unique(_pairs(of_word, number, lengths.astype(np.int64))[1], return_inverse=True)
+    before, h = _pairs(of_word, number, lengths)
+    pair, at = np.unique(h, return_inverse=True)
     parts = [unpack(blob) for _, blob in sorted(replies)]
-    got = [np.concatenate([from_planes(p[k], np.uint64) for p in parts]) for k in range(4)]
-    counts = []
-    for h, values in ((of_word[order], got[:2]), (pair, got[2:])):
-        go = np.argsort((h % np.uint64(buckets)).astype(np.int64), kind="stable")
-        for v in values:
-            back = np.empty(len(h), np.uint64)
-            back[go] = v
-            counts.append(back)
-    one = []
-    for c in counts[:2]:
-        back = np.empty(len(of_word), np.uint64)
-        back[order] = c
-        one.append(planes(back))
-    return pack([ids, none, fold, lengths, raw, kind, *one, *(planes(c[at]) for c in counts[2:])], 3)
+
+    def restored(k, h, order):
+        got = np.concatenate([from_planes(p[k], np.uint64) for p in parts]).astype(np.int64)
+        out = np.empty(len(h), np.int64)
+        out[order[np.argsort((h[order] % np.uint64(buckets)).astype(np.int64), kind="stable")]] = got
+        return out
+
+    main, tune = (restored(k, of_word, np.argsort(of_word)) for k in (0, 1))
+    pair_main, pair_tune = (restored(k, pair, np.arange(len(pair))) for k in (2, 3))
+    every, pairs = main + tune, (pair_main + pair_tune)[at]
+    mine = np.repeat(fold == TUNING, lengths)
+    context = main[before[mine]]
+    p2 = np.where(context > 0, pair_main[at[mine]] / np.maximum(context, 1), 0.0)
+    code, n = np.unique((_context(context) * 1024 + _step(p2)) * 1024 + _step(main[number[mine]] * 2.0**-50), return_counts=True)
+    return pack([ids, none, fold, lengths.astype(np.uint32), raw, kind, planes(every), planes(pairs)], 3), code, n
 
 
 def _met(batches, buckets: int):
-    """Records of cells that have all answers, and the rows of sums."""
+    """Records of cells that have all answers (bucket 0), rows of sums (-2), and held-out counts (-3)."""
+    import numpy as np
     import pyarrow as pa
 
     names = [f.split(" ")[0] for f in ADDED.split(", ")]
 
-    def out(blob, sums):
-        return pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([s], pa.int64()) for s in sums)], names)
+    def out(bucket, blobs, sums):
+        n = len(blobs)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array(blobs, pa.binary()), *(pa.array(s, pa.int64()) for s in sums)], names)
+
+    def whole():
+        blob, code, n = _known(record, replies, buckets)
+        yield out(0, [blob], [[None]] * 4)
+        yield out(-3, [None] * len(code), [code >> 20, code >> 10 & 1023, code & 1023, n])
 
     now, record, replies = None, None, []
     for b in batches:
@@ -211,34 +221,16 @@ def _met(batches, buckets: int):
             cell, bucket, blob, *sums = row
             if cell != now:
                 if record:
-                    yield out(_known(record, replies, buckets), [None] * 4)
+                    yield from whole()
                 now, record, replies = cell, None, []
             if bucket == -2:
-                yield out(None, sums)
+                yield out(-2, [None], [[x] for x in sums])
             elif bucket == -1:
                 record = blob
             else:
                 replies.append((bucket, blob))
     if record:
-        yield out(_known(record, replies, buckets), [None] * 4)
-
-
-class _Cell:
-    """A record with counts, as arrays over tokens."""
-
-    def __init__(self, blob: bytes):
-        import numpy as np
-
-        self.ids, self.none, self.fold, lengths, raw, kind, m1, t1, m2, t2 = unpack(blob)
-        self.lengths = lengths.astype(np.int64)
-        self.number = from_planes(raw, f"u{kind[0]}").astype(np.int64)
-        self.main = from_planes(m1, np.uint64).astype(np.int64)
-        self.every = self.main + from_planes(t1, np.uint64).astype(np.int64)
-        self.pair_main = from_planes(m2, np.uint64).astype(np.int64)
-        self.pair_every = self.pair_main + from_planes(t2, np.uint64).astype(np.int64)
-        self.before = np.empty_like(self.number)
-        self.before[1:] = self.number[:-1]
-        self.before[np.cumsum(self.lengths) - self.lengths] = len(self.main) - 1
+        yield from whole()
 
 
 def _context(c):
@@ -248,12 +240,6 @@ def _context(c):
     return np.where(c > 0, np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) + 1, 0)
 
 
-def _estimates(pair, context, word, total: int):
-    import numpy as np
-
-    return np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(1, total)
-
-
 def _step(p):
     """Minus log2 of an estimate in steps; DEEPEST for none."""
     import numpy as np
@@ -261,8 +247,8 @@ def _step(p):
     return np.where(p > 0, np.minimum(DEEPEST - 1, np.rint(-np.log2(np.maximum(p, 1e-300)) * STEPS)), DEEPEST).astype(np.int64)
 
 
-def learned(held, distinct: int):
-    """Weights (pair, word, uniform) of each context bucket from rows (bucket, step of pair, step of word, tokens), by EM."""
+def learned(held, total: int, distinct: int):
+    """Weights (pair, word, uniform) of each context bucket from rows (bucket, step of the pair's estimate, step of the word's count x 2^-50, tokens), by EM."""
     import numpy as np
 
     weights = np.tile([1 / 3, 1 / 3, 1 / 3], (CONTEXTS, 1))
@@ -270,7 +256,7 @@ def learned(held, distinct: int):
     value = lambda s: np.where(s == DEEPEST, 0.0, 2.0 ** (-s / STEPS))
     for b in sorted({h[0] for h in held}):
         rows = np.array([h[1:] for h in held if h[0] == b], np.float64)
-        p = np.stack([value(rows[:, 0]), value(rows[:, 1]), np.full(len(rows), 1 / (distinct + 1))], axis=1)
+        p = np.stack([value(rows[:, 0]), value(rows[:, 1]) * 2.0**50 / max(1, total), np.full(len(rows), 1 / (distinct + 1))], axis=1)
         w = weights[b]
         for _ in range(ROUNDS):
             share = p * w
@@ -292,30 +278,15 @@ def scored(docs: DataFrame) -> tuple[DataFrame, object]:
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), fold, "text")
     asked = rows.mapInArrow(lambda it: _asked(it, buckets), "to long, cell long, bucket int, blob binary")
-    answered = asked.repartition(n, "to").sortWithinPartitions("to", "bucket").mapInArrow(_answered, ADDED)
-    met = answered.repartition(n, F.when(F.col("bucket") == -2, F.xxhash64("n_all")).otherwise(F.col("cell"))).sortWithinPartitions("cell")
+    answered = asked.repartition(n, "to").sortWithinPartitions("to", "bucket").mapInArrow(lambda it: _answered(it, buckets), ADDED)
+    met = answered.repartition(n, "cell").sortWithinPartitions("cell")
     cells = stored(met.mapInArrow(lambda it: _met(it, buckets), ADDED), "lm-cells")
 
-    sums = cells.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "v_all", "n_main", "v_main"))).first()
+    sums = cells.where("bucket = -2").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "v_all", "n_main", "v_main"))).first()
     n_all, v_all, n_main, v_main = sums
-    records = cells.filter("blob is not null").select("blob")
-
-    def gather(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                c = _Cell(blob)
-                mine = np.repeat(c.fold == TUNING, c.lengths)
-                context = c.main[c.before[mine]]
-                p2, p1 = _estimates(c.pair_main[mine], context, c.main[c.number[mine]], n_main)
-                code, n = np.unique((_context(context) * 1024 + _step(p2)) * 1024 + _step(p1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (code >> 20, code >> 10 & 1023, code & 1023, n)], ["b", "p2", "p1", "n"])
-
     # At most CONTEXTS x (DEEPEST + 1)^2 rows, whatever the data.
-    held = records.mapInArrow(gather, "b long, p2 long, p1 long, n long").groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()
-    weights = learned(sorted((r.b, r.p2, r.p1, r.n) for r in held), v_main)
+    held = cells.where("bucket = -3").groupBy("n_all", "v_all", "n_main").agg(F.sum("v_main")).collect()
+    weights = learned(sorted(map(tuple, held)), n_main, v_main)
 
     def score(batches):
         import numpy as np
@@ -323,15 +294,20 @@ def scored(docs: DataFrame) -> tuple[DataFrame, object]:
 
         for b in batches:
             for blob in b.column(0).to_pylist():
-                c = _Cell(blob)
-                doc = np.repeat(np.arange(len(c.ids)), c.lengths)
-                add = lambda x: np.bincount(doc, x, len(c.ids))  # noqa: E731, B023
-                word, context = c.every[c.number], c.every[c.before]
-                p2, p1 = _estimates(c.pair_every, context, word, n_all)
+                ids, none, fold, lengths, raw, kind, every, pairs = unpack(blob)
+                lengths, n = lengths.astype(np.int64), len(ids)
+                number, every, pairs = from_planes(raw, f"u{kind[0]}").astype(np.int64), from_planes(every, np.int64), from_planes(pairs, np.int64)
+                before = np.empty_like(number)
+                before[1:] = number[:-1]
+                before[np.cumsum(lengths) - lengths] = len(every) - 1
+                doc = np.repeat(np.arange(n), lengths)
+                word, context = every[number], every[before]
                 w = weights[_context(context)]
-                p = w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v_all + 1)
+                p = w[:, 0] * np.where(context > 0, pairs / np.maximum(context, 1), 0.0) + w[:, 1] * (word / max(1, n_all)) + w[:, 2] / (v_all + 1)
                 base = np.log10((word + 1) / (n_all + v_all + 1))
-                columns = [pa.array(c.ids, pa.int64(), mask=c.none.astype(bool)), pa.array(c.fold == HELD_OUT), pa.array(c.lengths, pa.int64()), pa.array(add(word > 0).astype(np.int64)), pa.array([n_all] * len(c.ids), pa.int64()), pa.array(add(base)), pa.array(add(np.log10(p)))]
+                add = [np.bincount(doc, x, n) for x in (word > 0, base, np.log10(p))]
+                columns = [pa.array(ids, pa.int64(), mask=none.astype(bool)), pa.array(fold == HELD_OUT), pa.array(lengths, pa.int64()), pa.array(add[0].astype(np.int64)), pa.array([n_all] * n, pa.int64()), pa.array(add[1]), pa.array(add[2])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return records.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), weights
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return cells.where("bucket = 0").select("blob").mapInArrow(score, schema), weights
