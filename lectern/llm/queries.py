@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import bpe, language, lm, merkle, mixing, quality, sharding, simhash, substrings, warc
 from lectern.llm.common import read
+from lectern.llm.sql import oracle_sql  # noqa: F401  part of this module's interface
 
 
 def byte_bpe() -> bytes:
@@ -68,7 +69,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
