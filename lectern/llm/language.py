@@ -5,8 +5,8 @@ k-means gives each language several centroids; a text gets the language of the
 centroid with the greatest cosine. Texts that lie farther from every centroid
 than nearly all training texts do are rejected.
 
-The model is fitted on a bounded sample: of each language the FIT_DOCS labelled
-texts with the smallest hashes, which come to the driver as sparse vectors.
+The model is fitted on a bounded sample: of each language the FIT_DOCS different
+labelled texts with the smallest hashes, which come to the driver as sparse vectors.
 Predictions cover every whole text.
 
 Edge cases: a null text or one without a letter is `und` with score 0; where no
@@ -116,10 +116,10 @@ def fit(labelled: DataFrame) -> Model:
     known = labelled.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     largest = W.orderBy(F.desc("n"), "lang")
     langs = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(largest)).filter(F.col("r") <= MOST_LANGUAGES)
-    # Of each language about three times the wanted number by hash, then the smallest hashes, so that no language meets in one task.
+    # Of each language about three times the wanted number by hash, each text once, then the smallest hashes: no language meets whole in one task.
     held = known.join(F.broadcast(langs.select("lang", "n")), "lang").withColumn("h", row_hash(F.col("text")))
-    near = held.filter(F.pmod("h", F.lit(1 << 40)) < F.greatest(F.lit(1.0), 3 * FIT_DOCS / F.col("n")) * (1 << 40) * F.when(F.col("n") <= 3 * FIT_DOCS, 1).otherwise(F.least(F.lit(1.0), 3 * FIT_DOCS / F.col("n"))))
-    chosen = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= FIT_DOCS).select("lang", "text")
+    near = held.filter(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), 3 * FIT_DOCS / F.col("n")) * (1 << 40)).dropDuplicates(["lang", "h"])
+    chosen = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= FIT_DOCS).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
