@@ -19,14 +19,14 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import process_cache, small_batches, with_fields
+from lectern.llm.common import small_batches, tidy, with_fields
 
 #: Splits a text before merges; fixed by the vocabulary file's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids each worker keeps, at most; beyond that it starts anew.
-KEPT_PIECES = 400_000
+#: Pieces whose ids each task keeps, at most; beyond that it starts anew.
+KEPT_PIECES = 300_000
 KEPT_BYTES = 64
-#: Pairs of tokens whose compatibility each worker keeps, at most.
+#: Pairs of tokens whose compatibility each task keeps, at most.
 KEPT_PAIRS = 500_000
 
 
@@ -171,17 +171,6 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def loaded(spec: bytes) -> Bpe:
-    """The encoder of a vocabulary, built once in each worker."""
-    import hashlib
-
-    kept = process_cache().setdefault("bpe", {})
-    key = hashlib.sha256(spec).digest()
-    if key not in kept:
-        kept[key] = Bpe(spec)
-    return kept[key]
-
-
 def _over(df: DataFrame, spec: bytes, drop: list[str], of: str, fields: str, make) -> DataFrame:
     """df without drop, with the columns that make(encoder, values of column of) gives."""
     small_batches(df.sparkSession)
@@ -192,11 +181,11 @@ def _over(df: DataFrame, spec: bytes, drop: list[str], of: str, fields: str, mak
     def run(batches):
         import pyarrow as pa
 
-        bpe = loaded(shared.value)
+        bpe = Bpe(shared.value)  # for each task, so that no worker keeps what it has met
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *make(bpe, b.column(width).to_pylist())], schema=_names(b, width, fields))
 
-    return df.select(*left, F.col(of).alias("_lt_of")).mapInArrow(run, with_fields(df.select(*left), fields))
+    return df.select(*left, F.col(of).alias("_lt_of")).mapInArrow(tidy(run), with_fields(df.select(*left), fields))
 
 
 def _names(batch, width: int, fields: str):

@@ -114,11 +114,22 @@ def with_fields(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(fields).fields])
 
 
-def process_cache() -> dict:
-    """A dictionary that lives as long as the Python worker, for tables that are costly to build."""
-    import sys
+def tidy(run):
+    """run, a function of Arrow batches, that gives its memory back when a task ends: workers are used again by other stages."""
 
-    return sys.modules.setdefault("_lectern_cache", type(sys)("_lectern_cache")).__dict__
+    def tidied(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return tidied
 
 
 def pack(arrays: list, level: int = 1) -> bytes:

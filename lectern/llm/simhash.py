@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NULL_ID, row_hash, skew_join, small_batches, stored
+from lectern.llm.common import NULL_ID, row_hash, skew_join, small_batches, stored, tidy
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["_lt_doc", "_lt_text", "_lt_fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_lt_doc"), row_hash(F.col("text")).alias("_lt_text"), F.col("text").alias("_lt_t"))
-    return rows.mapInArrow(run, "_lt_doc long, _lt_text long, _lt_fp long")
+    return rows.mapInArrow(tidy(run), "_lt_doc long, _lt_text long, _lt_fp long")
 
 
 def variants(radius: int) -> list[int]:

@@ -24,7 +24,7 @@ from itertools import pairwise
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NULL_ID, pack, partitions, row_hash, small_batches, unpack, with_fields
+from lectern.llm.common import NULL_ID, pack, partitions, row_hash, small_batches, tidy, unpack, with_fields
 
 WINDOW = 20
 GRAM = 3
@@ -255,7 +255,7 @@ def _common(rows: DataFrame, docs: int, buckets: int, window: int, gram: int):
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64), pa.int64()), pa.array(n, pa.int64())], ["k", "n"])
 
     sample = rows.filter(F.pmod(row_hash(F.col("_lt_id"), F.lit("plan")), F.lit(every)) == 0)
-    counts = sample.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
     hot = counts.crossJoin(F.broadcast(total)).filter(F.col("n") >= F.greatest(F.lit(16.0), F.col("t") / (2 * buckets)))
     return np.array([r.k for r in hot.select("k").collect()], np.int64).view(np.uint64)
@@ -269,9 +269,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     seen = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     buckets = max(partitions(spark), (seen.b or 0) // BUCKET_BYTES)
     hot = _common(rows, seen.n, buckets, window, gram)
-    sent = rows.mapInArrow(lambda it: _sent(it, hot, buckets, window, gram), "_lt_bucket long, _lt_blob binary")
+    sent = rows.mapInArrow(tidy(lambda it: _sent(it, hot, buckets, window, gram)), "_lt_bucket long, _lt_blob binary")
     met = sent.repartition(partitions(spark), "_lt_bucket").sortWithinPartitions("_lt_bucket")
-    return met.mapInArrow(lambda it: _counted(it, window), "_lt_id long, _lt_hash int, s long, n long")
+    return met.mapInArrow(tidy(lambda it: _counted(it, window)), "_lt_id long, _lt_hash int, s long, n long")
 
 
 def _identity():
@@ -285,4 +285,4 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     keyed = docs.select(*docs.columns, *_identity())
     joined = keyed.join(ranges, ["_lt_id", "_lt_hash"], "left").select(*docs.columns, F.col("text").alias("_lt_t"), "_lt_ranges")
     width = len(docs.columns)
-    return joined.mapInArrow(lambda it: _kept(it, width, window), with_fields(docs, "n_words long, n_removed long, kept_text string"))
+    return joined.mapInArrow(tidy(lambda it: _kept(it, width, window)), with_fields(docs, "n_words long, n_removed long, kept_text string"))
