@@ -106,7 +106,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], spread: Column,
     before = W.partitionBy(*keys).orderBy("_lt_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.withColumn("_lt_start", F.coalesce(F.sum("_lt_n").over(before), F.lit(0))).drop("_lt_n")
     own = F.row_number().over(W.partitionBy(*keys, "_lt_bucket").orderBy(*order)).cast("long") - 1
-    return df.withColumn("_lt_own", own).join(starts, [*keys, "_lt_bucket"]).withColumn(name, F.col("_lt_own") + F.col("_lt_start")).drop("_lt_own", "_lt_start", "_lt_bucket")
+    return df.withColumn("_lt_own", own).join(starts.hint("merge"), [*keys, "_lt_bucket"]).withColumn(name, F.col("_lt_own") + F.col("_lt_start")).drop("_lt_own", "_lt_start", "_lt_bucket")
 
 
 def with_fields(df: DataFrame, fields: str) -> T.StructType:

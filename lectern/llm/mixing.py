@@ -90,10 +90,10 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_COPIES) ->
     cells = cells.select(*keys, F.expr("_lt_k div _lt_n").alias("_lt_base"), (F.col("_lt_k") % F.col("_lt_n")).alias("_lt_more"))
 
     earlier = W.partitionBy(*keys).orderBy("_lt_bucket").rowsBetween(W.unboundedPreceding, -1)
-    quotas = counts.withColumn("_lt_start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(cells, keys).join(goals, "_lt_source")
+    quotas = counts.withColumn("_lt_start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(cells.hint("merge"), keys).join(goals, "_lt_source")
     quotas = quotas.select(*keys, "_lt_bucket", "source_size", "target", "_lt_base", (F.col("_lt_more") - F.col("_lt_start")).alias("_lt_more"))
     own = F.row_number().over(W.partitionBy(*keys, "_lt_bucket").orderBy("doc_id", row_hash(F.col("text"))))
-    rows = sized.withColumn("_lt_own", own).join(quotas, [*keys, "_lt_bucket"])
+    rows = sized.withColumn("_lt_own", own).join(quotas.hint("merge"), [*keys, "_lt_bucket"])  # about as many quotas as documents: never to be broadcast
     rows = rows.withColumn("copies", F.col("_lt_base") + F.when(F.col("_lt_own") <= F.col("_lt_more"), 1).otherwise(0))
     return rows.select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
