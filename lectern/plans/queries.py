@@ -783,7 +783,7 @@ def label_sequence(spark, sf):
 SELECT reference, nth, observed, chr(CAST(96 + nth AS INT)) AS canonical, observed <> chr(CAST(96 + nth AS INT)) AS changed FROM m""")
 def inline_labels(spark, sf):
     text = F.concat(F.lit("word [[marker:"), F.char(F.lit(97) + F.col("l_suppkey") % 3), F.lit("]] more"))
-    return L.inline_labels(T.lines(spark, sf).select(F.col("l_orderkey").alias("reference"), F.col("l_linenumber").alias("ord"), text.alias("text")))
+    return L.inline_labels(T.lines(spark, sf).select(F.col("l_orderkey").alias("reference"), F.col("l_linenumber").alias("ord"), text.alias("text"))).drop("ord")
 
 
 @query(f"""WITH {LI}, b AS (SELECT l_orderkey % 50 AS doc, l_orderkey AS page, l_linenumber AS seq, CASE WHEN l_suppkey % 10 = 0 THEN 'JACOB' WHEN l_suppkey % 10 = 1 THEN 'ENOS' WHEN l_suppkey % 10 < 4 THEN 'CHAPTER ' || (l_partkey % 20 + 1) END AS head FROM li),

@@ -38,7 +38,7 @@ def fragments(blocks_: DataFrame, titles: DataFrame, shown: DataFrame | None = N
     rows = carry_forward(rows, titles).where("block_type = 'Text' AND chapter IS NOT NULL")
     rows = rows.join(shown, ["doc", "page", "ord"], "left") if shown is not None else rows.withColumn("shown", F.lit(None).cast("array<int>"))
     k = F.row_number().over(W.partitionBy("doc", "book", "chapter").orderBy("page", "seq")).cast("long")
-    return rows.select("doc", "book", "chapter", "page", k.alias("k"), "text", ((F.col("x1") - F.col("x0")) / (F.col("page_x1") - F.col("page_x0"))).alias("width_ratio"), F.contains("html", F.lit("<i>")).alias("italic"), "shown")
+    return rows.select("doc", "book", "chapter", "page", k.alias("k"), "text", ((F.col("x1") - F.col("x0")) / (F.col("page_x1") - F.col("page_x0"))).alias("width_ratio"), F.contains("html", F.lit("<i>")).alias("italic"), "shown", "x0", "top", "x1", "bottom", "page_x0", "page_top", "page_x1", "page_bottom")
 
 
 def export_of(pages: list[list[tuple]], width: float = 100, height: float = 200) -> str:
