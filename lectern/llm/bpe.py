@@ -1,8 +1,8 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece of text there is exactly one last token that BPE
-would leave there. A trie walked from each place over the vocabulary finds the
-tokens that may end at a prefix; the longest one that BPE would not have merged
+would leave there. The vocabulary's suffix automaton, moved on by each byte, gives
+the tokens that may end at a prefix; the longest one that BPE would not have merged
 differently with the last token before it (the pair-compatibility test) is the
 one to store. Following the stored tokens back from the end gives the ids.
 
@@ -24,7 +24,7 @@ from lectern.llm.common import small_batches, tidy, with_fields
 #: Splits a text before merges; fixed by the vocabulary file's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces whose ids each task keeps, at most; beyond that it starts anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
 KEPT_BYTES = 64
 #: Pairs of tokens whose compatibility each task keeps, at most.
 KEPT_PAIRS = 500_000
@@ -37,6 +37,10 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Keys of a state beside bytes.
+TOKENS, LINK = -1, -2
+
+
 class _Kept(dict):
     """Ids of pieces that were met before; others are encoded, and short ones kept."""
 
@@ -78,7 +82,7 @@ class Bpe:
         for s, t in self.inner.items():
             self.outer[t] = vocab[s]
             by_bytes[raw(s)] = t
-        self.backward = self._backward(by_bytes)
+        self.root = self._automaton(by_bytes)
         self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
         named = {i: raw(s) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
         self.bytes = [named.get(i, b"") for i in range(max(named) + 1)]
@@ -88,16 +92,37 @@ class Bpe:
         self.pairs: dict[int, bool] = {}
 
     @staticmethod
-    def _backward(by_bytes: dict[bytes, int]) -> dict:
-        """An automaton of reversed tokens, {byte: state}: read backwards from a place, it ends in the state whose -1 has all tokens (and lengths) that end there, the longest first."""
-        root: dict = {-1: ()}
-        for s, t in sorted(by_bytes.items(), key=lambda x: len(x[0])):
+    def _automaton(by_bytes: dict[bytes, int]) -> dict:
+        """The suffix automaton of the vocabulary, {byte: state}: after a text, its state's TOKENS are all tokens (and lengths) that end there, the longest first; LINK is the state of the next shorter suffix."""
+        root: dict = {TOKENS: (), LINK: None}
+        for s, t in by_bytes.items():
             state = root
-            for b in reversed(s):
-                state = state.setdefault(b, {-1: state[-1]})
-            state[-1] = ((t, len(s)), *state[-1])
+            for b in s:
+                state = state.setdefault(b, {TOKENS: (), LINK: root})
+            state[TOKENS] = ((t, len(s)),)
+        level = [(b, root, child) for b, child in root.items() if b >= 0]
+        while level:
+            deeper = []
+            for b, parent, state in level:
+                if parent is not root:
+                    link = parent[LINK]
+                    while link is not root and b not in link:
+                        link = link[LINK]
+                    state[LINK] = link.get(b, root)
+                state[TOKENS] += state[LINK][TOKENS]
+                deeper += [(c, state, child) for c, child in state.items() if c >= 0]
+            level = deeper
         return root
 
+    @staticmethod
+    def _step(state: dict, byte: int) -> dict:
+        """The state after one more byte, kept in the state it comes from."""
+        link = state
+        while byte not in link and link[LINK] is not None:
+            link = link[LINK]
+        state[byte] = far = link.get(byte, link)
+        return far
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b side by side: no merge across the seam comes before those that built them."""
         joined, halves = self.joined, self.halves
@@ -125,15 +150,10 @@ class Bpe:
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece, by dynamic programming over its prefixes."""
         last, start = [-1], [0]
-        root, pairs = self.backward, self.pairs
-        for end in range(1, len(text) + 1):
-            state, at = root, end
-            while at:
-                at -= 1
-                if (far := state.get(text[at])) is None:
-                    break
-                state = far
-            for t, size in state[-1]:
+        state, pairs = self.root, self.pairs
+        for end, byte in enumerate(text, 1):
+            state = state.get(byte) or self._step(state, byte)
+            for t, size in state[TOKENS]:
                 at = end - size
                 if at:
                     key = last[at] << 32 | t
