@@ -36,7 +36,7 @@ def hashed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as citation edges between nodes of work bofm: origin 1-ne/<order % 40 + 1>/<part % 7 + 1>, a target that is a range for some and external for others."""
-    line = lines(spark, sf_dir).where("l_orderkey <= 4000")
+    line = lines(spark, sf_dir)
     origin = F.concat(F.lit("bofm/1-ne/"), F.col("l_orderkey") % 40 + 1, F.lit("/"), F.col("l_partkey") % 7 + 1)
     external = F.col("l_suppkey") % 11 == 0
     verse, chapter = F.col("l_suppkey") % 7 + 1, F.col("l_partkey") % 40 + 1
@@ -45,7 +45,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         chapter.alias("chapter"), verse.alias("verse"), F.when(F.col("l_linenumber") == 2, verse + 1).alias("end_verse"),
     )
     edge = F.format_string("e%09d-%d", "l_orderkey", "l_linenumber")
-    return line.where("l_orderkey % 5 = 0").select(edge.alias("edge_id"), origin.alias("origin_reference"), target.alias("target"))
+    return line.select(edge.alias("edge_id"), origin.alias("origin_reference"), target.alias("target"))
 
 
 def nodes(spark: SparkSession) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Queries over whole tables: against their SQL without the cuts that it makes, or against plain Python."""
+
+import pytest
+
+from lectern.plans.queries import ORACLES, QUERIES
+from tests.oracle import check, duck
+
+EDGE_CUT = " WHERE l_orderkey <= 4000 AND l_orderkey % 5 = 0"
+OF_EDGES = "all_edges target_key stable_edge_id traverse_outbound traverse_inbound traverse_both traverse_external traverse_edges traverse_frontier traverse_records validate_broken_edges".split()
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    return duck(sf)
+
+
+def whole(sql: str, *cuts: str) -> str:
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    return sql
+
+
+@pytest.mark.parametrize("name", OF_EDGES)
+def test_edges_are_whole(spark, sf, con, name):
+    check(QUERIES[name](spark, sf), whole(ORACLES[name], EDGE_CUT), con)
+
+
+def test_every_order_line_is_an_edge(spark, sf, con):
+    assert QUERIES["target_key"](spark, sf).count() == con.sql("SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem").fetchall()[0][0]
