@@ -66,7 +66,7 @@ def get_context(spark, sf):
 ON b.canonical_order BETWEEN a.canonical_order - 2 AND a.canonical_order + 1 AND b.canonical_order <> a.canonical_order WHERE a.canonical_order % 3 = 0""")
 def get_context_batch(spark, sf):
     units = T.units(spark, sf)
-    return K.get_context_batch(units, units.where("canonical_order % 3 = 0"), 2, 1)
+    return K.get_context_batch(units, units, 2, 1)
 
 
 @query("SELECT count(*) AS n FROM documents")
@@ -407,7 +407,7 @@ def _structure(spark):
 
 
 def _passages(spark, sf):
-    o = T.table(spark, sf, "orders").where("o_orderkey < 60")
+    o = T.table(spark, sf, "orders")
     book = F.when(F.col("o_custkey") % 3 == 0, "1-ne/").when(F.col("o_custkey") % 3 == 1, "2-ne/").otherwise("jacob/")
     hashed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority"))
     spans = F.when(F.col("o_orderkey") % 13 != 0, F.array(F.lit("s"))).otherwise(F.array().cast("array<string>"))
@@ -480,8 +480,8 @@ UNION ALL SELECT code, target FROM (SELECT DISTINCT 'broken_local_edge' AS code,
 
 def _validated(spark, sf):
     spans = lambda ok: F.when(ok, F.array(F.lit("s"))).otherwise(F.array().cast("array<string>"))
-    notes = T.table(spark, sf, "orders").where("o_orderkey < 30").select(F.concat(F.lit("bofm/1-ne/1/"), F.col("o_orderkey") % 9 + 1).alias("origin_reference"), spans(F.col("o_orderkey") % 5 != 0).alias("source_spans"))
-    line = T.table(spark, sf, "lineitem").where("l_orderkey < 40")
+    notes = T.table(spark, sf, "orders").select(F.concat(F.lit("bofm/1-ne/1/"), F.col("o_orderkey") % 9 + 1).alias("origin_reference"), spans(F.col("o_orderkey") % 5 != 0).alias("source_spans"))
+    line = T.table(spark, sf, "lineitem")
     null = F.lit(None).cast("long")
     target = F.struct(F.lit("internal").alias("kind"), F.lit("bofm").alias("work"), F.lit("jacob").alias("book"), F.lit(3).cast("long").alias("chapter"), (F.col("l_suppkey") % 7 + 1).alias("verse"), null.alias("end_verse"))
     edges = line.select(F.concat(F.lit("e"), F.col("l_orderkey") % 20).alias("edge_id"), F.concat(F.lit("bofm/1-ne/1/"), F.col("l_partkey") % 5 + 1).alias("origin_reference"), spans(F.col("l_linenumber") % 3 != 0).alias("source_spans"), F.when(F.col("l_suppkey") % 4 == 0, "v0").otherwise(R.GRAMMAR).alias("grammar_version"), target.alias("target"))
@@ -510,7 +510,7 @@ def reconcile(spark, sf):
 SELECT reference, CASE WHEN kind <> 'epub' THEN 'source_span_kind_mismatch' WHEN s > 24 OR doc_id % 10 = 3 THEN 'source_span_unreadable' ELSE 'source_span_mismatch' END AS code FROM s
 WHERE kind <> 'epub' OR s > 24 OR doc_id % 10 = 3 OR NOT contains(trim(regexp_replace(cited, '\s+', ' ', 'g')), trim(regexp_replace(part, '\s+', ' ', 'g')))""")
 def reconcile_spans(spark, sf):
-    d = T.table(spark, sf, "documents").where("n_chars >= 60")
+    d = T.table(spark, sf, "documents")
     i = F.col("doc_id")
     spans = d.select(
         F.concat(F.lit("r"), i).alias("reference"), F.when(i % 10 == 0, "pdf").otherwise("epub").alias("kind"), F.when(i % 10 == 3, -1).otherwise(i).alias("source_id"),
@@ -559,7 +559,7 @@ def overlays(spark, sf):
 @query(f"""WITH {EXPECTED} SELECT p.reference, p.text, coalesce(e.canonical_order, (SELECT count(*) FROM expected)) AS canonical_order, sha256(p.text) AS content_hash FROM
 (SELECT 'bofm/2-ne/1/' || (o_orderkey % 6 + 1) AS reference, o_orderstatus || ' ' || o_orderpriority AS text FROM orders WHERE o_orderkey < 200) p LEFT JOIN expected e USING (reference)""")
 def normalize(spark, sf):
-    raw = T.table(spark, sf, "orders").where("o_orderkey < 200").select(F.concat(F.lit("bofm/2-ne/1/"), F.col("o_orderkey") % 6 + 1).alias("reference"), F.concat_ws("  ", "o_orderstatus", "o_orderpriority").alias("text"))
+    raw = T.table(spark, sf, "orders").select(F.concat(F.lit("bofm/2-ne/1/"), F.col("o_orderkey") % 6 + 1).alias("reference"), F.concat_ws("  ", "o_orderstatus", "o_orderpriority").alias("text"))
     return I.with_hash(I.canonical_order(raw.withColumn("text", X.collapse(F.col("text"))), _expected(spark))).select("reference", "text", "canonical_order", "content_hash")
 
 
@@ -651,8 +651,8 @@ def load_cases(spark, sf):
 @query("""WITH ret AS (SELECT event_type AS path, event_id AS pos, 'r' || (user_id % 50) AS reference FROM events WHERE event_id < 500), pool AS (SELECT DISTINCT 'r' || (l_partkey % 70) AS reference FROM lineitem WHERE l_orderkey < 20)
 SELECT path, count(DISTINCT reference) AS n_returned, count(DISTINCT reference) FILTER (reference IN (SELECT reference FROM pool)) AS n_covered, round(count(DISTINCT reference) FILTER (reference IN (SELECT reference FROM pool)) / (SELECT count(*) FROM pool), 9) AS coverage FROM ret GROUP BY path""")
 def probe_coverage(spark, sf):
-    returned = T.table(spark, sf, "events").where("event_id < 500").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat(F.lit("r"), F.col("user_id") % 50).alias("reference"))
-    pool = T.table(spark, sf, "lineitem").where("l_orderkey < 20").select(F.concat(F.lit("r"), F.col("l_partkey") % 70).alias("reference"))
+    returned = T.table(spark, sf, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat(F.lit("r"), F.col("user_id") % 50).alias("reference"))
+    pool = T.table(spark, sf, "lineitem").select(F.concat(F.lit("r"), F.col("l_partkey") % 70).alias("reference"))
     return E.pool_coverage(returned, pool).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -699,8 +699,8 @@ def registry_join(spark, sf):
 @query("""SELECT (SELECT count(*) FROM documents) AS n_units, (SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id)) FROM documents WHERE doc_id < 50) AS digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm""")
 def corpus_metadata(spark, sf):
     docs = T.table(spark, sf, "documents")
-    few = docs.where("doc_id < 50").select("doc_id", X.digest(F.col("text")).alias("h")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
-    return docs.agg(F.count("*").alias("n_units")).crossJoin(few).withColumns({"candidate_pool_size": F.lit(100), "algorithm": F.lit("fts5-bm25")})
+    hashed = docs.select("doc_id", F.coalesce(X.digest(F.col("text")), F.lit("")).alias("h"))
+    return docs.agg(F.count("*").alias("n_units")).crossJoin(I.rolled_digest(hashed, "doc_id", "h").withColumnRenamed("normalized_digest", "digest")).withColumns({"candidate_pool_size": F.lit(100), "algorithm": F.lit("fts5-bm25")})
 
 
 # Layout

@@ -1,5 +1,7 @@
 """Queries over whole tables: against their SQL without the cuts that it makes, or against plain Python."""
 
+import hashlib
+
 import pytest
 
 from lectern.plans.queries import ORACLES, QUERIES
@@ -27,3 +29,28 @@ def test_edges_are_whole(spark, sf, con, name):
 
 def test_every_order_line_is_an_edge(spark, sf, con):
     assert QUERIES["target_key"](spark, sf).count() == con.sql("SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem").fetchall()[0][0]
+
+
+#: The condition that each SQL keeps rows by, and the query leaves out.
+ID_CUTS = {n: [" WHERE o_orderkey < 60", " WHERE o_orderkey < 30", " WHERE l_orderkey < 40"] for n in ("canonical_order", "validate_missing", "validate_extra", "validate_duplicates", "validate_corpus", "finding_report")}
+ID_CUTS |= {"normalize": [" WHERE o_orderkey < 200"], "probe_coverage": [" WHERE event_id < 500", " WHERE l_orderkey < 20"], "get_context_batch": [" WHERE a.canonical_order % 3 = 0"]}
+
+
+@pytest.mark.parametrize("name", sorted(ID_CUTS))
+def test_no_ids_are_left_out(spark, sf, con, name):
+    check(QUERIES[name](spark, sf), whole(ORACLES[name], *ID_CUTS[name]), con)
+
+
+def test_spans_of_short_texts_are_unreadable(spark, sf, con):
+    sql = whole(ORACLES["reconcile_spans"], " WHERE n_chars >= 60").replace("doc_id % 10 = 3", "doc_id % 10 = 3 OR coalesce(length(content), 0) < 24")
+    check(QUERIES["reconcile_spans"](spark, sf), sql, con)
+
+
+def test_metadata_digest_covers_all_documents(spark, sf, con):
+    rows = con.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(i // 1000, []).append("" if t is None else sha(t))
+    got = QUERIES["corpus_metadata"](spark, sf).collect()[0]
+    assert (got.n_units, got.digest) == (len(rows), sha("".join(sha("\n".join(g)) for _, g in sorted(groups.items()))))
