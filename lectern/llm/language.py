@@ -115,9 +115,10 @@ def fit(labelled: DataFrame) -> Model:
     small_batches(labelled.sparkSession)
     known = labelled.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
     largest = W.orderBy(F.desc("n"), "lang")
-    langs = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(largest)).filter(F.col("r") <= MOST_LANGUAGES)
-    # Of each language about three times the wanted number by hash, each text once, then the smallest hashes: no language meets whole in one task.
-    held = known.join(F.broadcast(langs.select("lang", "n")), "lang").withColumn("h", row_hash(F.col("text")))
+    hashed = known.withColumn("h", row_hash(F.col("text")))
+    langs = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(largest)).filter(F.col("r") <= MOST_LANGUAGES)
+    # Of each language's different texts (copies don't count) about three times the wanted number by hash, each text once, then the smallest hashes: no language meets whole in one task.
+    held = hashed.join(F.broadcast(langs.select("lang", "n")), "lang")
     near = held.filter(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), 3 * FIT_DOCS / F.col("n")) * (1 << 40)).dropDuplicates(["lang", "h"])
     chosen = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= FIT_DOCS).select("lang", "text")
 

@@ -30,6 +30,13 @@ def test_language_on_held_out_texts(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_with_many_copies(spark):
+    """One text that fills nearly all rows of a language leaves its other texts in the sample."""
+    text = F.when(F.col("id") < 20, F.concat(F.lit("wort nummer "), F.col("id").cast("string"), F.lit(" "), F.substring(F.translate(F.sha2(F.col("id").cast("string"), 256), "0123456789", "ghijklmnop"), 1, 30))).otherwise("immer das gleiche")
+    model = language.fit(spark.range(100_000).select(text.alias("text"), F.lit("de").alias("lang")))
+    assert model.languages.count("de") == language.CENTROIDS
+
+
 def test_language_edges(spark, sf, docs, no_docs, rows):
     model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     out = language.identify(docs.withColumn("score", F.lit("clash")), model).collect()
