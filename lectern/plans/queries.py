@@ -521,8 +521,7 @@ def reconcile_spans(spark, sf):
 
 @query(f"""WITH {UNITS} SELECT canonical_order, '{{"canonical_order":' || canonical_order || ',"content_hash":"' || sha256(text) || '","reference":"' || reference || '"}}' AS line FROM units""")
 def canonical_projection(spark, sf):
-    rows = T.hashed_units(spark, sf).withColumn("text", F.lit("")).select("canonical_order", "content_hash", "reference", "text")
-    return I.canonical_projection(rows).withColumn("line", F.replace("line", F.lit(',"text":""'), F.lit("")))
+    return I.canonical_projection(T.hashed_units(spark, sf)).withColumn("line", F.sha2("line", 256))
 
 
 @query(f"""WITH {UNITS}, l AS (SELECT canonical_order, sha256(text) AS h FROM units), g AS (SELECT canonical_order // 1000 AS g, sha256(string_agg(h, chr(10) ORDER BY canonical_order)) AS d FROM l GROUP BY g)
@@ -537,8 +536,8 @@ UNION ALL SELECT 2, 0, 'n' || doc_id, sha256('{{"anchor":null,"note_id":"n' || d
 def serialize_jsonl(spark, sf):
     units = T.hashed_units(spark, sf)
     head = spark.createDataFrame([("table", "driver", "x")], "source_format string, source_profile string, normalized_digest string")
-    notes = units.where("doc_id % 4 = 0").select(F.concat(F.lit("n"), F.col("doc_id")).alias("note_id"), F.lit(None).cast("string").alias("anchor"))
-    lines = I.serialize_jsonl(head, units.select("reference", "canonical_order", "content_hash"), notes, notes.select(F.col("note_id").alias("edge_id")).limit(0))
+    notes = units.select(F.concat(F.lit("n"), F.col("doc_id")).alias("note_id"), F.lit(None).cast("string").alias("anchor"))
+    lines = I.serialize_jsonl(head, units.select("reference", "text", "canonical_order", "content_hash"), notes, T.edges(spark, sf).withColumn("target", R.target_key(F.col("target"))))
     return lines.withColumn("line", F.sha2("line", 256))
 
 

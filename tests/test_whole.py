@@ -1,9 +1,13 @@
 """Queries over whole tables: against their SQL without the cuts that it makes, or against plain Python."""
 
 import hashlib
+import json
+from collections import Counter
 
 import pytest
 
+from lectern.operators import ingest
+from lectern.plans import tables as T
 from lectern.plans.queries import ORACLES, QUERIES
 from tests.oracle import check, duck
 
@@ -54,3 +58,33 @@ def test_metadata_digest_covers_all_documents(spark, sf, con):
         groups.setdefault(i // 1000, []).append("" if t is None else sha(t))
     got = QUERIES["corpus_metadata"](spark, sf).collect()[0]
     assert (got.n_units, got.digest) == (len(rows), sha("".join(sha("\n".join(g)) for _, g in sorted(groups.items()))))
+
+
+def canonical(row: dict) -> str:
+    return json.dumps(row, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def sha(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_lines_hold_texts_notes_and_edges(spark, sf):
+    units = [r.asDict() for r in T.hashed_units(spark, sf).collect()]
+    passage = lambda u: {k: u[k] for k in ("canonical_order", "content_hash", "reference", "text")}
+    assert Counter(map(tuple, QUERIES["canonical_projection"](spark, sf).collect())) == Counter((u["canonical_order"], sha(canonical(passage(u)))) for u in units)
+    want = Counter([(0, 0, "", sha(canonical({"type": "corpus", "source_format": "table", "source_profile": "driver", "normalized_digest": "x"})))])
+    want += Counter((1, u["canonical_order"], u["reference"], sha(canonical({"type": "passage", **passage(u)}))) for u in units)
+    want += Counter((2, 0, f"n{u['doc_id']}", sha(canonical({"type": "note", "anchor": None, "note_id": f"n{u['doc_id']}"}))) for u in units)
+    for e in T.edges(spark, sf).collect():
+        t = e.target
+        target = f"{t.work}/{t.book}/{t.chapter}/{t.verse}" + ("" if t.end_verse is None else f"-{t.end_verse}")
+        want[3, 0, e.edge_id, sha(canonical({"type": "edge", "edge_id": e.edge_id, "origin_reference": e.origin_reference, "target": target}))] += 1
+    assert Counter(map(tuple, QUERIES["serialize_jsonl"](spark, sf).select("kind_ord", "key_ord", "key", "line").collect())) == want
+
+
+def test_lines_escape_what_json_needs(spark):
+    texts = ['say "hi"', "a\nb\tc\rd", "back\\slash / é 日本 😀", "\x01\x0b\x1f\x7f\u2028", "", None]
+    rows = spark.createDataFrame([(k, "h", "r", t) for k, t in enumerate(texts)], "canonical_order long, content_hash string, reference string, text string")
+    got = {r.canonical_order: r.line for r in ingest.canonical_projection(rows).collect()}
+    assert {k: json.loads(v)["text"] for k, v in got.items()} == dict(enumerate(texts))
+    assert got[0] == canonical({"canonical_order": 0, "content_hash": "h", "reference": "r", "text": texts[0]})
