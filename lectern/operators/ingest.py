@@ -140,11 +140,17 @@ def rolled_digest(lines: DataFrame, order: str, line: str, group: int = 1000) ->
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("normalized_digest"))
 
 
-def review_groups(passages: DataFrame, location: Column) -> DataFrame:
-    """(location, n_passages, body) with locations to be sorted as text, and passages in canonical order."""
+def review_lines(passages: DataFrame, location: Column) -> DataFrame:
+    """(location, canonical_order, line), a row for each passage; a sink sorts by all three, so no location meets whole in one task."""
     line = F.concat(F.lit("- `"), F.col("reference"), F.lit("` — "), F.col("text"), F.lit("\n  - content SHA-256: `"), F.col("content_hash"), F.lit("`"))
-    rows = passages.select(location.alias("location"), F.struct("canonical_order", line.alias("line")).alias("x"))
-    return rows.groupBy("location").agg(F.count("*").alias("n_passages"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("body"))
+    return passages.select(location.alias("location"), "canonical_order", line.alias("line"))
+
+
+def review_groups(passages: DataFrame, location: Column, group: int = 1000) -> DataFrame:
+    """(location, n_passages, body): body is one digest of a location's lines, rolled over digests of blocks of a thousand orders."""
+    rows = review_lines(passages, location).select("location", F.floor(F.col("canonical_order") / group).alias("g"), F.struct("canonical_order", F.sha2("line", 256).alias("h")).alias("x"))
+    blocks = rows.groupBy("location", "g").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "\n"), 256).alias("d"))
+    return blocks.groupBy("location").agg(F.sum("n").alias("n_passages"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("body"))
 
 
 def overlays(passages: DataFrame) -> DataFrame:

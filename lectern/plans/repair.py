@@ -183,10 +183,15 @@ def publish_review(store: Store, passages: DataFrame, notes: DataFrame, edges: D
 
     root = f"{store.root}/reviews/{normalized_digest}"
     spark = passages.sparkSession
-    groups = ingest.review_groups(passages, location).select("location", F.concat(F.lit("## "), F.col("location"), F.lit("\n\n"), F.col("body"), F.lit("\n")).alias("value"))
+    rows = ingest.review_lines(passages, location)
+    places = rows.select("location").distinct()
+    # Of each location a heading, its lines and an empty line, each a row of its own.
+    head_rows = places.select("location", F.lit(0).alias("part"), F.lit(None).cast("long").alias("place"), F.concat(F.lit("## "), F.col("location"), F.lit("\n")).alias("value"))
+    line_rows = rows.where("line is not null").select("location", F.lit(1).alias("part"), F.col("canonical_order").cast("long").alias("place"), F.col("line").alias("value"))
+    groups = head_rows.unionByName(line_rows).unionByName(places.select("location", F.lit(2).alias("part"), F.lit(None).cast("long").alias("place"), F.lit("").alias("value")))
     head = spark.createDataFrame([(source_format, source_profile, normalized_digest)], "source_format string, source_profile string, normalized_digest string")
     lines = ingest.serialize_jsonl(head, passages, notes, edges)
-    out = {"review.md": groups.orderBy("location").select("value"), "normalized.jsonl": lines.orderBy("kind_ord", "key_ord", "key").select(F.col("line").alias("value"))}
+    out = {"review.md": groups.orderBy("location", "part", "place", "value").select("value"), "normalized.jsonl": lines.orderBy("kind_ord", "key_ord", "key").select(F.col("line").alias("value"))}
     if source_format == "pdf":
         out["overlays.json"] = ingest.overlays(passages).orderBy("reference").select(F.to_json(F.struct("reference", F.col("spans").alias("source_spans"))).alias("value"))
     for name, df in out.items():

@@ -88,3 +88,28 @@ def test_lines_escape_what_json_needs(spark):
     got = {r.canonical_order: r.line for r in ingest.canonical_projection(rows).collect()}
     assert {k: json.loads(v)["text"] for k, v in got.items()} == dict(enumerate(texts))
     assert got[0] == canonical({"canonical_order": 0, "content_hash": "h", "reference": "r", "text": texts[0]})
+
+
+def test_review_groups_roll_digests(spark, sf):
+    groups = {}
+    for u in sorted((r.asDict() for r in T.hashed_units(spark, sf).collect()), key=lambda u: u["canonical_order"]):
+        line = f"- `{u['reference']}` — {u['text']}\n  - content SHA-256: `{u['content_hash']}`"
+        groups.setdefault(f"EPUB member `{u['chapter']}.xhtml`", {}).setdefault(u["canonical_order"] // 1000, []).append(sha(line))
+    want = {k: (sum(map(len, g.values())), sha("".join(sha("\n".join(h)) for _, h in sorted(g.items())))) for k, g in groups.items()}
+    assert {r.location: (r.n_passages, r.body) for r in QUERIES["review_groups"](spark, sf).collect()} == want
+
+
+def test_review_holds_no_location_in_one_value(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lectern.plans import repair
+    from lectern.plans.snapshots import Store
+
+    units = spark.createDataFrame([(f"r{k}", f"t{k}", k, f"h{k}", ["s"]) for k in range(2500)], "reference string, text string, canonical_order long, content_hash string, source_spans array<string>")
+    notes = spark.createDataFrame([], "note_id string")
+    at = F.when(F.col("canonical_order") < 2400, "a").otherwise("b")
+    path = repair.publish_review(Store(spark, f"file://{tmp_path}"), units, notes, notes.select(F.col("note_id").alias("edge_id")), "x", at)[0]
+    got = "".join(f.read_text() for f in sorted((tmp_path / "reviews/x/review.md").glob("part-*")))
+    body = lambda r: "\n".join(f"- `r{k}` — t{k}\n  - content SHA-256: `h{k}`" for k in r)
+    assert got == f"## a\n\n{body(range(2400))}\n\n## b\n\n{body(range(2400, 2500))}\n\n"
+    assert ingest.review_lines(units, at).count() == 2500
