@@ -1,8 +1,9 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece of text there is exactly one last token that BPE
-would leave there. The vocabulary's suffix automaton, moved on by each byte, gives
-the tokens that may end at a prefix; the longest one that BPE would not have merged
+would leave there. An Aho-Corasick automaton of the vocabulary (a trie of
+tokens with failure links and the outputs of suffixes), moved on by each byte, takes
+the place of suffix automaton matches and gives the tokens that may end at a prefix; the longest one that BPE would not have merged
 differently with the last token before it (the pair-compatibility test) is the
 one to store. Following the stored tokens back from the end gives the ids.
 
@@ -93,7 +94,7 @@ class Bpe:
 
     @staticmethod
     def _automaton(by_bytes: dict[bytes, int]) -> dict:
-        """The suffix automaton of the vocabulary, {byte: state}: after a text, its state's TOKENS are all tokens (and lengths) that end there, the longest first; LINK is the state of the next shorter suffix."""
+        """The Aho-Corasick automaton of the vocabulary, {byte: state}: after a text, its state's TOKENS are all tokens (and lengths) that end there, the longest first; LINK is the state of the next shorter suffix."""
         root: dict = {TOKENS: (), LINK: None}
         for s, t in by_bytes.items():
             state = root
