@@ -150,7 +150,7 @@ def _sent(batches, hot, buckets, window, gram):
         seen: dict[bytes, int] = {}
         own = np.fromiter((seen.setdefault(p, i) == i for i, p in enumerate(packed)), bool, len(packed))
         ids = np.array([r[0] for r in cell], np.int64)
-        salt = np.array([r[1] for r in cell], np.int32)
+        salt = np.array([r[1] for r in cell], np.int64)
         start = first - begins[doc]
         order = np.lexsort((key, bucket))
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -205,7 +205,7 @@ def _counted(batches, window):
 
     def out(blobs):
         ids, salt, start, count = _repeats(blobs, window)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(salt.astype("int32"), pa.int32()), pa.array(start, pa.int64()), pa.array(count, pa.int64())], ["_lt_id", "_lt_hash", "s", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(salt, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64())], ["_lt_id", "_lt_hash", "s", "n"])
 
     now, blobs = None, []
     for b in batches:
@@ -271,11 +271,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     hot = _common(rows, seen.n, buckets, window, gram)
     sent = rows.mapInArrow(tidy(lambda it: _sent(it, hot, buckets, window, gram)), "_lt_bucket long, _lt_blob binary")
     met = sent.repartition(partitions(spark), "_lt_bucket").sortWithinPartitions("_lt_bucket")
-    return met.mapInArrow(tidy(lambda it: _counted(it, window)), "_lt_id long, _lt_hash int, s long, n long")
+    return met.mapInArrow(tidy(lambda it: _counted(it, window)), "_lt_id long, _lt_hash long, s long, n long")
 
 
 def _identity():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_lt_id"), F.hash(F.col("text")).alias("_lt_hash")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_lt_id"), row_hash(F.col("text")).alias("_lt_hash")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

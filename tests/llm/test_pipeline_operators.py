@@ -91,6 +91,16 @@ def substring_results(df):
     return Counter((r.doc_id, r.text, r.n_words, r.n_removed, r.kept_text) for r in df.collect())
 
 
+def test_texts_without_id_that_share_a_short_hash(spark):
+    """Two texts without an id whose 32-bit hashes are equal are two documents."""
+    made = spark.range(400_000).select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("".join(f" y{k}" for k in range(30)))).alias("text"))
+    same = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").orderBy("h").first().t[:2]
+    texts = [same[0], same[1]]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").coalesce(1)
+    got = {r.text: r.n_removed for r in substrings.dedup_substrings(docs).collect()}
+    assert len(set(texts)) == 2 and sorted(v > 0 for v in got.values()) == [False, True]
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_substrings_match_brute_force(spark, rows, monkeypatch, hot):
     rows = unambiguous(rows)
