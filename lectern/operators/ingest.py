@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.references import AMBIGUOUS, BOOKS, EXTERNAL_WORKS, GRAMMAR, TARGET, parsed, rendered, target_key, verses
@@ -35,55 +34,80 @@ def edge_expand(raw: DataFrame) -> DataFrame:
     return raw.select("*", F.posexplode(F.split("target", ";")).alias("member_ord", "member")).withColumn("member", F.trim("member"))
 
 
+#: States of a list of references by code; any other code is an invalid list.
+STATES = {
+    "official_reference_parsed": "parsed",
+    "official_reference_unresolved_external_target": "unresolved_external",
+    "official_reference_unsupported_syntax": "unsupported",
+    "official_reference_ambiguous_syntax": "ambiguous",
+}
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def _members(text: Column) -> Column:
+    """The list without the full stop at its end, and its members; each step is a transform, so that nothing is parsed twice."""
+    whole = F.regexp_replace(F.regexp_replace(_stripped(text), r"\.\z", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
+
+    def split(w: Column) -> Column:
+        named = F.transform(F.transform(F.split(w, ";"), _stripped), lambda m: F.struct(m.alias("member"), parsed(m).alias("t")))
+        return F.struct(w.alias("whole"), F.transform(named, lambda m: F.struct(m["member"].alias("member"), m["t"].alias("t"), target_key(m["t"]).alias("key"))).alias("members"))
+
+    return F.transform(F.array(whole), split)[0]
+
+
+def _inside(t: Column) -> Column:
+    return F.coalesce((t["work"] == "bofm") & t["book"].isin(*BOOKS["bofm"]) & (F.coalesce(t["end_verse"], t["verse"]) >= t["verse"]), F.lit(False))
+
+
 def grammar_parse(lists: DataFrame, text: str, valid: DataFrame) -> DataFrame:
     """Adds normalized_text, state, code and n_targets to rows with lists of references; all or nothing.
 
     The checks go in the grammar's order: emptiness, ambiguity, empty members,
     then member by member syntax, work, range, membership and repetition; the
-    first member that fails decides. ``valid`` has the references that exist; a
-    list's verses are looked up by a join, so it may be as large as the corpus.
+    first member that fails decides. ``valid`` has the references that exist,
+    and may be as large as the corpus: the verses that different lists name are
+    joined with it, and those that it lacks go back to the lists by their text.
+    All else is decided within the row. A null list is an empty one.
     """
-    trimmed = F.regexp_replace(F.col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    candidate = F.regexp_replace(F.regexp_replace(trimmed, r"\.\z", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
-    rows = lists.withColumn("_row", F.monotonically_increasing_id()).withColumn("_c", candidate)
-    rows = rows.withColumn("_m", F.transform(F.split("_c", ";"), lambda m: F.regexp_replace(m, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")))
-
-    members = rows.select("_row", F.posexplode("_m").alias("k", "member")).withColumn("t", parsed(F.col("member")))
-    end = F.coalesce(F.col("t.end_verse"), F.col("t.verse"))
-    inside = (F.col("t.work") == "bofm") & F.col("t.book").isin(*BOOKS["bofm"]) & (end >= F.col("t.verse"))
-    asked = members.where(inside).select("_row", "k", F.explode(verses(F.col("t"))).alias("reference"))
-    known = valid.select("reference").distinct().withColumn("_there", F.lit(1))
-    absent = asked.join(known, "reference", "left").groupBy("_row", "k").agg(F.count_if(F.col("_there").isNull()).alias("absent"))
-    members = members.join(absent, ["_row", "k"], "left").withColumn("key", target_key(F.col("t")))
-    repeated = F.row_number().over(W.partitionBy("_row", "key").orderBy("k")) > 1
+    named = lists.select(F.col(text).alias("_list")).where("_list is not null").distinct()
+    named = named.select("_list", F.explode(F.array_distinct(F.flatten(F.transform(F.filter(_members(F.col("_list"))["members"], lambda m: _inside(m["t"])), lambda m: verses(m["t"]))))).alias("reference"))
+    absent = named.join(valid.select("reference").distinct(), "reference", "left_anti").groupBy("_list").agg(F.collect_set("reference").alias("_absent"))
+    rows = lists.drop("normalized_text", "state", "code", "n_targets")
+    kept = rows.columns
+    rows = rows.join(absent, F.col(text) == F.col("_list"), "left").withColumn("_list", _members(F.coalesce(F.col(text), F.lit("")))).withColumns({"_m": F.col("_list")["members"], "_keys": F.transform(F.col("_list")["members"], lambda m: m["key"])})
+
     invalid, unsupported = F.lit("official_reference_invalid_canonical_target"), F.lit("official_reference_unsupported_syntax")
-    work = F.col("t.work")
-    problem = (
-        F.when(F.col("t").isNull() | ~(work.isin("bofm", *EXTERNAL_WORKS)), unsupported)
-        .when((work == "bofm") & ~(inside & (F.col("absent") == 0)), invalid)
-        .when(end < F.col("t.verse"), invalid)
-        .when(repeated, F.lit("official_reference_duplicate_target"))
-    )
-    members = members.withColumn("problem", problem)
-    verdict = members.groupBy("_row").agg(
-        F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("k"))).alias("problem"),
-        F.bool_or(work.isin(*EXTERNAL_WORKS)).alias("external"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "key"))), lambda x: x["key"]), "; ").alias("text"),
-        F.count("*").cast("long").alias("n"),
-    )
-    out = rows.join(verdict, "_row", "left")
+    keys = F.col("_keys")
+    none = F.array().cast("array<string>")
+
+    def problem(m: Column, k: Column) -> Column:
+        t = m["t"]
+        known = _inside(t) & ~F.arrays_overlap(verses(t), F.coalesce("_absent", none))
+        return (
+            F.when(t.isNull() | ~t["work"].isin("bofm", *EXTERNAL_WORKS), unsupported)
+            .when((t["work"] == "bofm") & ~known, invalid)
+            .when(F.coalesce(t["end_verse"], t["verse"]) < t["verse"], invalid)
+            .when(F.array_position(keys, m["key"]) <= k, F.lit("official_reference_duplicate_target"))
+        )
+
+    rows = rows.withColumn("_first", F.get(F.filter(F.transform("_m", problem), lambda p: p.isNotNull()), F.lit(0)))
+    first = F.col("_first")
+    whole = F.col("_list")["whole"]
     code = (
-        F.when((F.col("_c") == "") | F.col("_c").isNull(), unsupported)
-        .when(F.col("_c").rlike(AMBIGUOUS), F.lit("official_reference_ambiguous_syntax"))
-        .when(F.exists("_m", lambda m: m == ""), unsupported)
-        .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.col("external"), F.lit("official_reference_unresolved_external_target"))
+        F.when(whole == "", unsupported)
+        .when(whole.rlike(AMBIGUOUS), F.lit("official_reference_ambiguous_syntax"))
+        .when(F.exists("_m", lambda m: m["member"] == ""), unsupported)
+        .when(first.isNotNull(), first)
+        .when(F.exists("_m", lambda m: m["t"]["work"].isin(*EXTERNAL_WORKS)), F.lit("official_reference_unresolved_external_target"))
         .otherwise(F.lit("official_reference_parsed"))
     )
-    state = F.when(F.col("code") == "official_reference_parsed", "parsed").when(F.col("code") == "official_reference_unresolved_external_target", "unresolved_external").when(F.col("code") == unsupported, "unsupported").when(F.col("code") == "official_reference_ambiguous_syntax", "ambiguous").otherwise("invalid")
+    state = F.coalesce(*(F.when(F.col("_code") == k, F.lit(v)) for k, v in STATES.items()), F.lit("invalid"))
     good = F.col("state").isin("parsed", "unresolved_external")
-    out = out.withColumn("code", code).withColumn("state", state).withColumn("normalized_text", F.when(good, F.col("text"))).withColumn("n_targets", F.when(good, F.col("n")).otherwise(F.lit(0).cast("long")))
-    return out.select(*lists.columns, "normalized_text", "state", "code", "n_targets") if "text" not in lists.columns else out.drop("_row", "_c", "_m", "problem", "external", "n")
+    rows = rows.withColumn("_code", code).withColumn("state", state)
+    return rows.select(*kept, F.when(good, F.array_join(keys, "; ")).alias("normalized_text"), "state", F.col("_code").alias("code"), F.when(good, F.size("_m")).otherwise(0).cast("long").alias("n_targets"))
 
 
 def grammar_strict(lists: DataFrame, text: str, valid: DataFrame) -> DataFrame:

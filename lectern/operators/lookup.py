@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,9 +35,15 @@ def get_context_batch(units: DataFrame, wanted: DataFrame, before: int, after: i
     return asked.join(units.select(F.col("canonical_order").alias("context_order"), "reference"), "context_order").select("canonical_order", "context_order", "reference")
 
 
-def numbered(units: DataFrame, groups: list[str], order: list[str], name: str = "canonical_order") -> DataFrame:
-    """Adds a dense order from 0 over (groups, order): offsets of groups come from their counts, ranks from within."""
-    sizes = units.groupBy(*groups).agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(*groups).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+def numbered(units: DataFrame, groups: list[str], order: list[str], name: str = "canonical_order", within: str | None = None) -> DataFrame:
+    """Adds a dense order from 0 over (groups, order), and the order ``within`` a group: offsets of groups come from their counts.
+
+    A null is a group like any other and comes first.
+    """
+    keys = [f"_g{k}" for k in range(len(groups))]
+    sizes = units.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys))).agg(F.count("*").alias("_n"))
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = units.withColumn("_own", F.row_number().over(W.partitionBy(*groups).orderBy(*order)).cast("long") - 1)
-    return own.join(offsets, groups).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before")
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys)))
+    placed = own.join(offsets, same).withColumn(name, F.col("_own") + F.col("_before"))
+    return (placed.withColumn(within, F.col("_own")) if within else placed).drop("_own", "_before", *keys)

@@ -63,7 +63,7 @@ def get_context(spark, sf):
 
 
 @query(f"""WITH {UNITS} SELECT a.canonical_order, b.canonical_order AS context_order, b.reference FROM units a JOIN units b
-ON b.canonical_order BETWEEN a.canonical_order - 2 AND a.canonical_order + 1 AND b.canonical_order <> a.canonical_order WHERE a.canonical_order % 3 = 0""")
+ON b.canonical_order BETWEEN a.canonical_order - 2 AND a.canonical_order + 1 AND b.canonical_order <> a.canonical_order""")
 def get_context_batch(spark, sf):
     units = T.units(spark, sf)
     return K.get_context_batch(units, units, 2, 1)
@@ -248,9 +248,9 @@ def edge_expand(spark, sf):
     return I.edge_expand(_lists(spark, sf).withColumnRenamed("list", "target")).select("l_orderkey", "l_linenumber", "member_ord", "member")
 
 
-EDGES = LI + """, lines AS (SELECT * FROM li WHERE l_orderkey <= 4000 AND l_orderkey % 5 = 0),
+EDGES = LI + """,
 edges AS (SELECT printf('e%09d-%d', l_orderkey, l_linenumber) AS edge_id, 'bofm/1-ne/' || (l_orderkey % 40 + 1) || '/' || (l_partkey % 7 + 1) AS origin_reference, l_suppkey % 11 = 0 AS ext,
-l_partkey % 40 + 1 AS chapter, l_suppkey % 7 + 1 AS verse, CASE WHEN l_linenumber = 2 THEN l_suppkey % 7 + 2 END AS end_verse FROM lines),
+l_partkey % 40 + 1 AS chapter, l_suppkey % 7 + 1 AS verse, CASE WHEN l_linenumber = 2 THEN l_suppkey % 7 + 2 END AS end_verse FROM li),
 nodes AS (SELECT 'bofm/1-ne/' || (i // 8 + 1) || '/' || (i % 8 + 1) AS reference, i AS canonical_order FROM range(320) r(i)),
 keyed AS (SELECT *, CASE WHEN ext THEN 'bible/john/' ELSE 'bofm/1-ne/' END || chapter || '/' || verse || CASE WHEN end_verse IS NULL THEN '' ELSE '-' || end_verse END AS target_key FROM edges),
 ordered AS (SELECT e.*, n.canonical_order AS origin_order FROM keyed e JOIN nodes n ON n.reference = origin_reference),
@@ -399,7 +399,7 @@ _STRUCTURE = "(VALUES (0, '1-ne', [3, 2]), (1, '2-ne', [4]), (2, 'jacob', [1, 1,
 EXPECTED = f"""ex0 AS (SELECT o, book, unnest(range(len(counts))) + 1 AS chapter, unnest(counts) AS n FROM {_STRUCTURE}),
 expected AS (SELECT 'bofm/' || book || '/' || chapter || '/' || v AS reference, row_number() OVER (ORDER BY o, chapter, v) - 1 AS canonical_order FROM (SELECT *, unnest(range(1, n + 1)) AS v FROM ex0))"""
 PASSAGES = """passages AS (SELECT o_orderkey, 'bofm/' || CASE o_custkey % 3 WHEN 0 THEN '1-ne/' WHEN 1 THEN '2-ne/' ELSE 'jacob/' END || (o_custkey % 4 + 1) || '/' || (o_orderkey % 5 + 1) AS reference, o_orderpriority AS text,
-o_orderkey % 17 AS canonical_order, sha256(CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE o_orderpriority END) AS content_hash, o_orderkey % 13 <> 0 AS spans FROM orders WHERE o_orderkey < 60)"""
+o_orderkey % 17 AS canonical_order, sha256(CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE o_orderpriority END) AS content_hash, o_orderkey % 13 <> 0 AS spans FROM orders)"""
 
 
 def _structure(spark):
@@ -462,8 +462,8 @@ def validate_broken_edges(spark, sf):
     return V.broken_edges(T.edges(spark, sf), T.nodes(spark).where("canonical_order % 8 < 6")).distinct()
 
 
-_ALL = f"""{EXPECTED}, {PASSAGES}, notes AS (SELECT 'bofm/1-ne/1/' || (o_orderkey % 9 + 1) AS origin_reference, o_orderkey % 5 <> 0 AS spans FROM orders WHERE o_orderkey < 30),
-vedges AS (SELECT 'e' || (l_orderkey % 20) AS edge_id, 'bofm/1-ne/1/' || (l_partkey % 5 + 1) AS origin_reference, l_linenumber % 3 <> 0 AS spans, CASE WHEN l_suppkey % 4 = 0 THEN 'v0' ELSE 'official-reference-v1' END AS grammar, 'bofm/jacob/3/' || (l_suppkey % 7 + 1) AS target FROM lineitem WHERE l_orderkey < 40),
+_ALL = f"""{EXPECTED}, {PASSAGES}, notes AS (SELECT 'bofm/1-ne/1/' || (o_orderkey % 9 + 1) AS origin_reference, o_orderkey % 5 <> 0 AS spans FROM orders),
+vedges AS (SELECT 'e' || (l_orderkey % 20) AS edge_id, 'bofm/1-ne/1/' || (l_partkey % 5 + 1) AS origin_reference, l_linenumber % 3 <> 0 AS spans, CASE WHEN l_suppkey % 4 = 0 THEN 'v0' ELSE 'official-reference-v1' END AS grammar, 'bofm/jacob/3/' || (l_suppkey % 7 + 1) AS target FROM lineitem),
 findings AS (SELECT DISTINCT 'missing_passage' AS code, reference FROM expected WHERE reference NOT IN (SELECT reference FROM passages)
 UNION ALL SELECT DISTINCT 'unexpected_passage', reference FROM passages WHERE reference NOT IN (SELECT reference FROM expected)
 UNION ALL SELECT 'duplicate_passage', reference FROM passages GROUP BY reference HAVING count(*) > 1
@@ -506,9 +506,9 @@ def reconcile(spark, sf):
     return V.reconcile(stored, wanted).select("side", "o_orderkey", "o_orderstatus")
 
 
-@query(r"""WITH s AS (SELECT d.doc_id, 'r' || doc_id AS reference, CASE WHEN doc_id % 10 = 0 THEN 'pdf' ELSE 'epub' END AS kind, text AS content, substr(text, 5, 20) AS cited, CASE WHEN doc_id % 10 = 1 THEN 'absent words' ELSE substr(text, 7, 8) END AS part, CASE WHEN doc_id % 10 = 2 THEN 30 ELSE 4 END AS s FROM documents d WHERE n_chars >= 60)
-SELECT reference, CASE WHEN kind <> 'epub' THEN 'source_span_kind_mismatch' WHEN s > 24 OR doc_id % 10 = 3 THEN 'source_span_unreadable' ELSE 'source_span_mismatch' END AS code FROM s
-WHERE kind <> 'epub' OR s > 24 OR doc_id % 10 = 3 OR NOT contains(trim(regexp_replace(cited, '\s+', ' ', 'g')), trim(regexp_replace(part, '\s+', ' ', 'g')))""")
+@query(r"""WITH s AS (SELECT d.doc_id, 'r' || doc_id AS reference, CASE WHEN doc_id % 10 = 0 THEN 'pdf' ELSE 'epub' END AS kind, text AS content, substr(text, 5, 20) AS cited, CASE WHEN doc_id % 10 = 1 THEN 'absent words' ELSE substr(text, 7, 8) END AS part, CASE WHEN doc_id % 10 = 2 THEN 30 ELSE 4 END AS s FROM documents d)
+SELECT reference, CASE WHEN kind <> 'epub' THEN 'source_span_kind_mismatch' WHEN s > 24 OR doc_id % 10 = 3 OR coalesce(length(content), 0) < 24 THEN 'source_span_unreadable' ELSE 'source_span_mismatch' END AS code FROM s
+WHERE kind <> 'epub' OR s > 24 OR doc_id % 10 = 3 OR coalesce(length(content), 0) < 24 OR NOT contains(trim(regexp_replace(cited, '\s+', ' ', 'g')), trim(regexp_replace(part, '\s+', ' ', 'g')))""")
 def reconcile_spans(spark, sf):
     d = T.table(spark, sf, "documents")
     i = F.col("doc_id")
@@ -519,7 +519,11 @@ def reconcile_spans(spark, sf):
     return V.reconcile_spans(spans, d.select(i.alias("source_id"), F.col("text").alias("content"))).select("reference", "code")
 
 
-@query(f"""WITH {UNITS} SELECT canonical_order, '{{"canonical_order":' || canonical_order || ',"content_hash":"' || sha256(text) || '","reference":"' || reference || '"}}' AS line FROM units""")
+#: A unit's fields as JSON text, in SQL.
+_JSON_TEXT = "coalesce(CAST(to_json(text) AS VARCHAR), 'null')"
+
+
+@query(f"""WITH {UNITS} SELECT canonical_order, sha256('{{"canonical_order":' || canonical_order || ',"content_hash":"' || sha256(text) || '","reference":"' || reference || '","text":' || {_JSON_TEXT} || '}}') AS line FROM units""")
 def canonical_projection(spark, sf):
     return I.canonical_projection(T.hashed_units(spark, sf)).withColumn("line", F.sha2("line", 256))
 
@@ -530,9 +534,10 @@ def normalized_digest(spark, sf):
     return I.rolled_digest(T.hashed_units(spark, sf).select("canonical_order", "content_hash"), "canonical_order", "content_hash")
 
 
-@query(f"""WITH {UNITS} SELECT 0 AS kind_ord, CAST(0 AS BIGINT) AS key_ord, '' AS key, sha256('{{"normalized_digest":"x","source_format":"table","source_profile":"driver","type":"corpus"}}') AS line
-UNION ALL SELECT 1, canonical_order, reference, sha256('{{"canonical_order":' || canonical_order || ',"content_hash":"' || sha256(text) || '","reference":"' || reference || '","type":"passage"}}') FROM units
-UNION ALL SELECT 2, 0, 'n' || doc_id, sha256('{{"anchor":null,"note_id":"n' || doc_id || '","type":"note"}}') FROM units WHERE doc_id % 4 = 0""")
+@query(f"""WITH {UNITS}, {EDGES} SELECT 0 AS kind_ord, CAST(0 AS BIGINT) AS key_ord, '' AS key, sha256('{{"normalized_digest":"x","source_format":"table","source_profile":"driver","type":"corpus"}}') AS line
+UNION ALL SELECT 1, canonical_order, reference, sha256('{{"canonical_order":' || canonical_order || ',"content_hash":"' || sha256(text) || '","reference":"' || reference || '","text":' || {_JSON_TEXT} || ',"type":"passage"}}') FROM units
+UNION ALL SELECT 2, 0, 'n' || doc_id, sha256('{{"anchor":null,"note_id":"n' || doc_id || '","type":"note"}}') FROM units
+UNION ALL SELECT 3, 0, edge_id, sha256('{{"edge_id":"' || edge_id || '","origin_reference":"' || origin_reference || '","target":"' || target_key || '","type":"edge"}}') FROM keyed""")
 def serialize_jsonl(spark, sf):
     units = T.hashed_units(spark, sf)
     head = spark.createDataFrame([("table", "driver", "x")], "source_format string, source_profile string, normalized_digest string")
@@ -541,8 +546,9 @@ def serialize_jsonl(spark, sf):
     return lines.withColumn("line", F.sha2("line", 256))
 
 
-@query(f"""WITH {UNITS} SELECT 'EPUB member `' || chapter || '.xhtml`' AS location, count(*) AS n_passages,
-sha256(string_agg('- `' || reference || '` — ' || text || chr(10) || '  - content SHA-256: `' || sha256(text) || '`', chr(10) ORDER BY canonical_order)) AS body FROM units GROUP BY chapter""")
+@query(f"""WITH {UNITS}, l AS (SELECT chapter, canonical_order, sha256('- `' || reference || '` — ' || text || chr(10) || '  - content SHA-256: `' || sha256(text) || '`') AS h FROM units),
+g AS (SELECT chapter, canonical_order // 1000 AS g, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY canonical_order)) AS d FROM l GROUP BY ALL)
+SELECT 'EPUB member `' || chapter || '.xhtml`' AS location, CAST(sum(n) AS BIGINT) AS n_passages, sha256(string_agg(d, '' ORDER BY g)) AS body FROM g GROUP BY chapter""")
 def review_groups(spark, sf):
     return I.review_groups(T.hashed_units(spark, sf), F.concat(F.lit("EPUB member `"), F.col("chapter"), F.lit(".xhtml`")))
 
@@ -555,7 +561,7 @@ def overlays(spark, sf):
 
 
 @query(f"""WITH {EXPECTED} SELECT p.reference, p.text, coalesce(e.canonical_order, (SELECT count(*) FROM expected)) AS canonical_order, sha256(p.text) AS content_hash FROM
-(SELECT 'bofm/2-ne/1/' || (o_orderkey % 6 + 1) AS reference, o_orderstatus || ' ' || o_orderpriority AS text FROM orders WHERE o_orderkey < 200) p LEFT JOIN expected e USING (reference)""")
+(SELECT 'bofm/2-ne/1/' || (o_orderkey % 6 + 1) AS reference, o_orderstatus || ' ' || o_orderpriority AS text FROM orders) p LEFT JOIN expected e USING (reference)""")
 def normalize(spark, sf):
     raw = T.table(spark, sf, "orders").select(F.concat(F.lit("bofm/2-ne/1/"), F.col("o_orderkey") % 6 + 1).alias("reference"), F.concat_ws("  ", "o_orderstatus", "o_orderpriority").alias("text"))
     return I.with_hash(I.canonical_order(raw.withColumn("text", X.collapse(F.col("text"))), _expected(spark))).select("reference", "text", "canonical_order", "content_hash")
@@ -646,7 +652,7 @@ def load_cases(spark, sf):
     return cases_from_lines(lines).select("case_id", "split", "query").crossJoin(T.table(spark, sf, "labels").agg(F.count("*").alias("n_labels")))
 
 
-@query("""WITH ret AS (SELECT event_type AS path, event_id AS pos, 'r' || (user_id % 50) AS reference FROM events WHERE event_id < 500), pool AS (SELECT DISTINCT 'r' || (l_partkey % 70) AS reference FROM lineitem WHERE l_orderkey < 20)
+@query("""WITH ret AS (SELECT event_type AS path, event_id AS pos, 'r' || (user_id % 50) AS reference FROM events), pool AS (SELECT DISTINCT 'r' || (l_partkey % 70) AS reference FROM lineitem)
 SELECT path, count(DISTINCT reference) AS n_returned, count(DISTINCT reference) FILTER (reference IN (SELECT reference FROM pool)) AS n_covered, round(count(DISTINCT reference) FILTER (reference IN (SELECT reference FROM pool)) / (SELECT count(*) FROM pool), 9) AS coverage FROM ret GROUP BY path""")
 def probe_coverage(spark, sf):
     returned = T.table(spark, sf, "events").select(F.col("event_type").alias("path"), F.col("event_id").alias("pos"), F.concat(F.lit("r"), F.col("user_id") % 50).alias("reference"))
@@ -694,7 +700,8 @@ def registry_join(spark, sf):
     return configs.join(_registry(spark, sf).where("state = 'accepted'"), "corpus_version").select("corpus_version", "retrieval_config")
 
 
-@query("""SELECT (SELECT count(*) FROM documents) AS n_units, (SELECT sha256(string_agg(sha256(text), '' ORDER BY doc_id)) FROM documents WHERE doc_id < 50) AS digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm""")
+@query("""WITH g AS (SELECT doc_id // 1000 AS g, sha256(string_agg(coalesce(sha256(text), ''), chr(10) ORDER BY doc_id, coalesce(sha256(text), ''))) AS d FROM documents GROUP BY ALL)
+SELECT (SELECT count(*) FROM documents) AS n_units, (SELECT sha256(string_agg(d, '' ORDER BY g)) FROM g) AS digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm""")
 def corpus_metadata(spark, sf):
     docs = T.table(spark, sf, "documents")
     hashed = docs.select("doc_id", F.coalesce(X.digest(F.col("text")), F.lit("")).alias("h"))

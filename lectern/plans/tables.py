@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import digest
@@ -25,9 +24,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def units(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """Documents as units: book = language, chapter = source, verse = place in it; a dense canonical order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("book"), (F.substring("source", 4, 9).cast("int") + 1).alias("chapter"), *columns)
-    rows = numbered(docs, ["book", "chapter"], ["doc_id"])
-    verse = F.row_number().over(W.partitionBy("book", "chapter").orderBy("doc_id")).cast("long")
-    return rows.withColumn("verse", verse).withColumn("reference", F.concat_ws("/", F.lit("doc"), "book", "chapter", "verse"))
+    rows = numbered(docs, ["book", "chapter"], ["doc_id"], within="verse").withColumn("verse", F.col("verse") + 1)
+    return rows.withColumn("reference", F.concat_ws("/", F.lit("doc"), "book", "chapter", "verse"))
 
 
 def hashed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
