@@ -114,18 +114,55 @@ def lm_tokens(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + [None]
 
 
-def test_language_model(spark, docs, rows, no_docs, monkeypatch):
-    monkeypatch.setattr(lm, "CELL_BYTES", 3000)  # several cells
-    out, weights = lm.scored(docs)
-    out = out.collect()
-    fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 7
+def counted(rows, keep):
+    """Counts of words, pairs and contexts of the documents that keep lets in."""
     c1, c2, ctx = Counter(), Counter(), Counter()
     for i, t, *_ in rows:
-        if fold(i) != 2:
+        if keep(i):
             w = lm_tokens(t)
             c1.update(w)
             c2.update(zip(["<s>", *w[:-1]], w))
             ctx.update(["<s>", *w[:-1]])
+    return c1, c2, ctx
+
+
+def plain_em(rows, fold):
+    """Weights by EM over every single held-out token."""
+    c1, c2, ctx = counted(rows, lambda i: fold(i) not in (2, 5))
+    n, v = sum(c1.values()), len(c1)
+    held = defaultdict(list)
+    for i, t, *_ in rows:
+        if fold(i) == 5:
+            w = lm_tokens(t)
+            for before, x in zip(["<s>", *w[:-1]], w):
+                held[ctx[before].bit_length()].append((c2[before, x] / ctx[before] if ctx[before] else 0.0, c1[x] / n, 1 / (v + 1)))
+    weights = {}
+    for b, ps in held.items():
+        w = [1 / 3] * 3 if b else [0.0, 0.5, 0.5]
+        for _ in range(lm.ROUNDS):
+            sums = [0.0] * 3
+            for p in ps:
+                parts = [x * y for x, y in zip(w, p)]
+                for k in range(3):
+                    sums[k] += parts[k] / sum(parts)
+            w = [max(s / len(ps), 1e-6 * (b > 0 or k > 0)) for k, s in enumerate(sums)]
+            w = [x / sum(w) for x in w]
+        weights[b] = w
+    return weights
+
+
+@pytest.mark.parametrize("bucket_bytes, dense", [(16 << 20, 256), (16 << 20, 1), (50, 256)])
+def test_language_model(spark, docs, rows, no_docs, monkeypatch, bucket_bytes, dense):
+    monkeypatch.setattr(lm, "CELL_BYTES", 3000)  # several cells
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(lm, "DENSE", dense)
+    monkeypatch.setattr(lm, "SETTLED", 0.0)
+    out, weights = lm.scored(docs)
+    out = out.collect()
+    fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 7
+    for b, w in plain_em(rows, fold).items():
+        assert all(math.isclose(x, y, abs_tol=1e-6) for x, y in zip(weights[b], w))
+    c1, c2, ctx = counted(rows, lambda i: fold(i) != 2)
     n, v = sum(c1.values()), len(c1)
     assert all(math.isclose(w.sum(), 1) for w in weights)
 
@@ -147,6 +184,23 @@ def test_language_model(spark, docs, rows, no_docs, monkeypatch):
     assert lm.scored(no_docs)[0].count() == 0
 
 
+def test_cells_ask_no_more_than_they_have(spark, docs, monkeypatch):
+    """A hundred thousand buckets make no more rows, and no more work, than a cell has words and pairs."""
+    import time
+
+    import numpy as np
+
+    h = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64))
+    counts = [np.ones(len(h), np.uint32)] * 2
+    start = time.time()
+    few = lm._sent(1, 0, h, counts, 10)
+    many = lm._sent(1, 0, h, counts, 100_000)
+    none = lm._sent(1, 0, h, counts, 10**12)
+    assert (few.num_rows, none.num_rows) == (10, len(h)) and many.num_rows <= len(h)
+    assert sum(map(len, none.column(4).to_pylist())) == 16 * len(h)
+    assert time.time() - start < 5
+
+
 def test_language_model_beats_the_base_on_held_out_texts(spark, sf):
     rows = [r for r in queries()["op5_lm"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
