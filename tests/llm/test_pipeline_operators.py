@@ -175,6 +175,53 @@ def test_mixing(spark, docs, rows, no_docs):
     assert mixing.mixed(no_docs).count() == 0
 
 
+def brute_copies(sizes, target, most=3):
+    """Copies by size of one source: the root by halving, then running sums along falling sizes rounded."""
+    count = Counter(s for s in sizes if s)
+    total = sum(s * n for s, n in count.items())
+    if not total or not target:
+        return {}
+    rate = lambda m, s: min(float(most), math.exp(min(m * s, 50.0)))
+    low, high = sorted((0.0, math.log(target / total)))
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(n * s * rate(mid, s) for s, n in count.items()) > target else (mid, high)
+    out, e, before = {}, 0.0, 0
+    for s in sorted(count, reverse=True):
+        e += count[s] * rate((low + high) / 2, s)
+        now = math.floor(round(e, 5) + 0.5)
+        out[s], before = now - before, now
+    return out
+
+
+def test_mixing_recomputed(spark, docs, rows):
+    """Copies by source and size as plain Python has them, and the same documents at any partitioning."""
+    size = lambda t: len(WORD.findall(t or ""))
+    sizes = defaultdict(list)
+    for r in rows:
+        sizes[r[3]].append(size(r[1]))
+    target = brute_targets({s: sum(x) for s, x in sizes.items()})
+    want = {(s, k): n for s, x in sizes.items() for k, n in brute_copies(x, target[s]).items()}
+    got, results = Counter(), []
+    for parts in ("4", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(Counter((r.doc_id, r.text, r.copies) for r in mixing.mixed(docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1]
+    for r in mixing.mixed(docs).collect():
+        if r["size"]:
+            got[r.source, r["size"]] += r.copies
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n}
+
+
+def test_mixing_tilts_documents(spark):
+    """A source that shrinks loses long documents first, one that grows repeats them first."""
+    texts = [("a", 10), ("a", 1000)] * 200 + [("b", 10), ("b", 1000)] * 150
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(texts)], "doc_id long, text string, source string")
+    rate = {(r.source, r["size"]): r.c for r in mixing.mixed(docs, weights=(1, 1)).groupBy("source", "size").agg(F.avg("copies").alias("c")).collect()}
+    assert rate["a", 1000] < 1 and rate["a", 10] > 0.9 and 1.1 < rate["b", 1000] < 1.2 and rate["b", 10] < 1.05
+
+
 def test_targets_reshare_the_excess(spark):
     for sizes in ({"a": 1, "b": 10, "c": 1000, None: 5}, {"a": 10}, {"a": 0, "b": 7}, {"a": 5, "b": 1, "c": 1, "d": 1, "e": 900}):
         got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
