@@ -6,14 +6,17 @@ centroid with the greatest cosine. Texts that lie farther from every centroid
 than nearly all training texts do are rejected.
 
 The model is fitted on a bounded sample: of each language the FIT_DOCS different
-labelled texts with the smallest hashes, which come to the driver as sparse vectors.
-Predictions cover every whole text.
+labelled texts with the smallest hashes, which come to the driver as sparse
+vectors. Of many languages each has fewer texts and centroids, so that all have
+FIT_TEXTS texts and MODEL_CENTROIDS centroids; every language keeps one of each
+at least, however many there are. Predictions cover every whole text.
 
 Edge cases: a null text or one without a letter is `und` with score 0; where no
 labelled text is left to learn from, every text is; ties go to the language and
 centroid that come first; repeated rows get equal results; an empty table gives
 an empty result; other columns pass through, and the columns added here replace
-any of the same name.
+any of the same name (names that start with _lt_ are not to be used); a very
+long text is hashed whole, piece by piece, in a fixed number of counters.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import row_hash, small_batches, with_fields
+from lectern.llm.common import row_hash, small_batches, stored, with_fields
 
 UNKNOWN = "und"
-#: Labelled texts of a language that the model is fitted on, at most, and languages, at most.
+#: Labelled texts of a language that the model is fitted on, at most, and of all languages together.
 FIT_DOCS = 300
-MOST_LANGUAGES = 200
+FIT_TEXTS = 60_000
 #: N-gram lengths and the number of hashed features.
 GRAMS = (1, 2, 3)
 FEATURES = 1 << 15
+#: Centroids of a language, at most, and of all together: a centroid takes 4 x FEATURES bytes.
 CENTROIDS = 4
+MODEL_CENTROIDS = 800
 ROUNDS = 12
 #: Share of training texts that may lie beyond the rejection distance.
 REJECTED = 0.005
@@ -46,18 +51,21 @@ def counts(text: str):
     import numpy as np
     import regex
 
-    found = np.zeros(FEATURES, np.float32)
     clean = f" {regex.sub(r'[^\p{L}\p{M}]+', ' ', text.lower()).strip()} "
     code = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    for n in GRAMS:
-        for at in range(0, max(1, len(code) - n + 1), PIECE):
+    found = None
+    for at in range(0, len(code), PIECE):
+        places = []
+        for n in GRAMS:
             part = code[at : at + PIECE + n - 1]
             h = np.full(max(0, len(part) - n + 1), n, np.uint64)
             for k in range(n):
                 h = (h ^ part[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(32)
-            found += np.bincount((h % np.uint64(FEATURES)).astype(np.int64), minlength=FEATURES).astype(np.float32)
-    return found
+            places.append(h % np.uint64(FEATURES))
+        own = np.bincount(np.concatenate(places).astype(np.int64), minlength=FEATURES)
+        found = own if found is None else found + own
+    return found.astype(np.float32)
 
 
 def weighted(found, idf):
@@ -114,13 +122,14 @@ def fit(labelled: DataFrame) -> Model:
 
     small_batches(labelled.sparkSession)
     known = labelled.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    largest = W.orderBy(F.desc("n"), "lang")
     hashed = known.withColumn("h", row_hash(F.col("text")))
-    langs = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(largest)).filter(F.col("r") <= MOST_LANGUAGES)
+    langs = stored(hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    many = max(1, langs.count())
+    most = max(1, min(FIT_DOCS, FIT_TEXTS // many))
     # Of each language's different texts (copies don't count) about three times the wanted number by hash, each text once, then the smallest hashes: no language meets whole in one task.
-    held = hashed.join(F.broadcast(langs.select("lang", "n")), "lang")
+    held = hashed.join(langs, "lang")
     near = held.filter(F.pmod("h", F.lit(1 << 40)) < F.least(F.lit(1.0), 3 * FIT_DOCS / F.col("n")) * (1 << 40)).dropDuplicates(["lang", "h"])
-    chosen = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= FIT_DOCS).select("lang", "text")
+    chosen = near.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= most).select("lang", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -144,7 +153,7 @@ def fit(labelled: DataFrame) -> Model:
         for k, (at, n) in enumerate(texts):
             v = (1 + np.log(n)) * idf[at]
             x[k, at] = v / (np.linalg.norm(v) or 1.0)
-        c = clustered(x, CENTROIDS)
+        c = clustered(x, max(1, min(CENTROIDS, MODEL_CENTROIDS // many)))
         languages += [lang] * len(c)
         centroids.append(c)
         cosines.append((x @ c.T).max(axis=1))
@@ -159,7 +168,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     new = "nearest string, score double, rejected boolean, lang_pred string"
     left = docs.drop("nearest", "score", "rejected", "lang_pred")
     width = len(left.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x CENTROIDS rows of FEATURES numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_CENTROIDS rows of FEATURES numbers, or one a language where there are more of these
 
     def run(batches):
         import pyarrow as pa

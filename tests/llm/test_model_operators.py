@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -37,6 +38,58 @@ def test_language_with_many_copies(spark):
     assert model.languages.count("de") == language.CENTROIDS
 
 
+def plain_vector(text, idf):
+    """Normalised TF-IDF of a text by n-gram, as a dictionary from hashed feature to weight."""
+    mask = 2**64 - 1
+    clean = " " + "".join(c if c.isalpha() or unicodedata.category(c).startswith("M") else " " for c in text.lower()) + " "
+    clean = re.sub(" +", " ", clean)
+    found = Counter()
+    for n in language.GRAMS:
+        for i in range(len(clean) - n + 1):
+            h = n
+            for c in clean[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 & mask
+                h ^= h >> 32
+            found[h % language.FEATURES] += 1
+    v = {k: (1 + math.log(c)) * float(idf[k]) for k, c in found.items()}
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / size for k, x in v.items()}
+
+
+def test_language_matches_plain_nearest_centroids(spark, sf):
+    """The model's own centroids, searched one by one with plain dictionaries, and its centroids from plain k-means steps."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    assert len(model.languages) == len(set(model.languages)) * language.CENTROIDS
+    rows = [r for r in language.identify(docs, model).collect() if language.has_letter(r.text)]
+    mean = defaultdict(lambda: defaultdict(float))
+    of = Counter()
+    for r in rows[:60]:
+        v = plain_vector(r.text, model.idf)
+        likeness = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        best = max(likeness)
+        assert math.isclose(r.score, best, rel_tol=1e-4)
+        assert r.nearest in {x for x, y in zip(model.languages, likeness) if y >= best - 1e-6}
+        assert r.rejected == (r.score < model.least)
+    for r in rows:  # every text lies with the centroid that is the mean of its kind
+        v = plain_vector(r.text, model.idf)
+        k = max(range(len(model.centroids)), key=lambda j: sum(x * float(model.centroids[j][i]) for i, x in v.items()))
+        of[k] += 1
+        for i, x in v.items():
+            mean[k][i] += x
+    for k, total in mean.items():
+        size = math.sqrt(sum(x * x for x in total.values()))
+        assert sum(x / size * float(model.centroids[k][i]) for i, x in total.items()) > 0.97
+
+
+def test_no_language_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_TEXTS", 20)
+    monkeypatch.setattr(language, "MODEL_CENTROIDS", 20)
+    rows = [("".join(chr(97 + (k * 7 + j * j) % 26) for j in range(12)) + f" {'abcdefgh'[i]}", f"l{k:02d}") for k in range(30) for i in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == [f"l{k:02d}" for k in range(30)]
+
+
 def test_language_edges(spark, sf, docs, no_docs, rows):
     model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
     out = language.identify(docs.withColumn("score", F.lit("clash")), model).collect()
