@@ -1,15 +1,22 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece of text there is exactly one last token that BPE
-would leave there. An Aho-Corasick automaton of the vocabulary (a trie of
-tokens with failure links and the outputs of suffixes), moved on by each byte, takes
-the place of suffix automaton matches and gives the tokens that may end at a prefix; the longest one that BPE would not have merged
-differently with the last token before it (the pair-compatibility test) is the
-one to store. Following the stored tokens back from the end gives the ids.
-
-Edge cases: a null text is empty and has no ids; special tokens in a text get
-their own id, as the tokenizers library does; other columns pass through, and
-the columns added here replace any of the same name; repeated rows each count.
+would leave there. The suffix automaton of all tokens, moved on by each byte,
+holds the longest end of the prefix that occurs inside of a token; the tokens
+that end at the prefix are ends of that match, found along suffix links. The
+longest of them that BPE would not have merged differently with the last token
+before it (the pair-compatibility test) is the one to store. Following the
+stored tokens back from the end gives the ids.
+
+The automaton is built once, on the driver, from the vocabulary; its transitions
+never grow. What a task keeps of pieces and pairs is bounded.
+
+Edge cases: a null text is empty and has no ids; a very long text is encoded
+whole, piece by piece; special tokens in a text get their own id, as the
+tokenizers library does; other columns pass through, and the columns added here
+replace any of the same name (names that start with _lt_ are not to be used);
+repeated rows each count and get equal results, so there are no ties; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,8 +45,62 @@ def byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-#: Keys of a state beside bytes.
-TOKENS, LINK = -1, -2
+class Automaton:
+    """The suffix automaton of many strings: each of its states stands for strings that occur inside of them at the same ends.
+
+    A string that is given whole is the longest of its state, as it also occurs
+    with nothing before it.
+    """
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+
+    def _state(self, length: int, transitions: dict[int, int], link: int) -> int:
+        self.next.append(transitions)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.next) - 1
+
+    def _exact(self, at: int, byte: int) -> int:
+        """The state of at's longest string and byte, split from the one that holds longer strings too."""
+        to = self.next[at][byte]
+        if self.length[to] == self.length[at] + 1:
+            return to
+        part = self._state(self.length[at] + 1, dict(self.next[to]), self.link[to])
+        self.link[to] = part
+        while at >= 0 and self.next[at].get(byte) == to:
+            self.next[at][byte] = part
+            at = self.link[at]
+        return part
+
+    def add(self, text: bytes) -> None:
+        last = 0
+        for byte in text:
+            if byte in self.next[last]:
+                last = self._exact(last, byte)
+                continue
+            at, last = last, self._state(self.length[last] + 1, {}, 0)
+            while at >= 0 and byte not in self.next[at]:
+                self.next[at][byte] = last
+                at = self.link[at]
+            if at >= 0:
+                self.link[last] = self._exact(at, byte)
+
+    def state(self, text: bytes) -> int:
+        at = 0
+        for byte in text:
+            at = self.next[at][byte]
+        return at
+
+    def tables(self) -> tuple:
+        """Transitions as arrays of state x 256 + byte and the next state; suffix links; lengths."""
+        import numpy as np
+
+        n = sum(map(len, self.next))
+        keys = np.fromiter((s << 8 | b for s, to in enumerate(self.next) for b in to), np.int64, n)
+        to = np.fromiter((t for to in self.next for t in to.values()), np.int32, n)
+        return keys, to, np.array(self.link, np.int32), np.array(self.length, np.int32)
 
 
 class _Kept(dict):
@@ -58,72 +119,59 @@ class _Kept(dict):
         return ids
 
 
+def tables(spec: bytes) -> dict:
+    """What encoding and decoding need of a byte-level vocabulary, given as the bytes of a tokenizers file: plain values and arrays."""
+    data = json.loads(spec)
+    names, vocab = byte_names(), data["model"]["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
+    raw = lambda s: bytes(names[c] for c in s)
+    # Inside, bytes are numbered by their value and merged tokens after them by rank.
+    inner = {c: b for c, b in names.items()}
+    halves = [(b, b) for b in range(256)]
+    joined: dict[tuple[int, int], int] = {}
+    for a, b in merges:
+        pair = (inner[a], inner[b])
+        joined[pair] = len(halves)
+        inner.setdefault(a + b, len(halves))
+        halves.append(pair)
+    outer = [0] * len(halves)
+    by_bytes: dict[bytes, int] = {}
+    for s, t in inner.items():
+        outer[t] = vocab[s]
+        by_bytes[raw(s)] = t
+    automaton = Automaton()
+    for s in by_bytes:
+        automaton.add(s)
+    ends = {automaton.state(s): t for s, t in by_bytes.items()}
+    special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
+    named = {i: raw(s) for s, i in vocab.items() if s not in special} | {i: s.encode() for s, i in special.items()}
+    return {"halves": halves, "joined": joined, "outer": outer, "automaton": automaton.tables(), "ends": ends, "special": special, "bytes": [named.get(i, b"") for i in range(max(named) + 1)]}
+
+
 class Bpe:
-    """Encoder and decoder of a byte-level vocabulary given as the bytes of a tokenizers file."""
+    """Encoder and decoder of a vocabulary's tables; what it keeps is bounded."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, made: dict):
         import regex
 
-        data = json.loads(spec)
-        names, vocab = byte_names(), data["model"]["vocab"]
-        merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
-        raw = lambda s: bytes(names[c] for c in s)
-        # Inside, bytes are numbered by their value and merged tokens after them by rank.
-        self.inner = {c: b for c, b in names.items()}
-        self.halves = [(b, b) for b in range(256)]
-        self.joined: dict[tuple[int, int], int] = {}
-        for a, b in merges:
-            pair = (self.inner[a], self.inner[b])
-            token = len(self.halves)
-            self.halves.append(pair)
-            self.inner.setdefault(a + b, token)
-            self.joined[pair] = token
-        self.outer = [0] * len(self.halves)
-        by_bytes: dict[bytes, int] = {}
-        for s, t in self.inner.items():
-            self.outer[t] = vocab[s]
-            by_bytes[raw(s)] = t
-        self.root = self._automaton(by_bytes)
-        self.special = {t["content"]: t["id"] for t in data.get("added_tokens") or []}
-        named = {i: raw(s) for s, i in vocab.items() if s not in self.special} | {i: s.encode() for s, i in self.special.items()}
-        self.bytes = [named.get(i, b"") for i in range(max(named) + 1)]
+        self.halves, self.joined, self.outer, self.special, self.bytes = (made[k] for k in ("halves", "joined", "outer", "special", "bytes"))
+        keys, to, link, length = made["automaton"]
+        ends, lengths = made["ends"], length.tolist()
+        # A state: {byte: state}, the tokens (and lengths) that end its longest string, the longest first, those that
+        # end its shorter ones too, its length, and the state of its suffix link.
+        states = [[{}, (), (), n, None] for n in lengths]
+        for k, t in zip(keys.tolist(), to.tolist()):
+            states[k >> 8][0][k & 255] = states[t]
+        for s in length.argsort(kind="stable").tolist()[1:]:
+            shorter = states[link[s]]
+            states[s][1:3] = ((ends[s], lengths[s]), *shorter[1]) if s in ends else shorter[1], shorter[1]
+            states[s][4] = shorter
+        self.root = states[0]
         self.pieces = regex.compile(PATTERN).findall
         self.around = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept = _Kept(self)
         self.pairs: dict[int, bool] = {}
 
-    @staticmethod
-    def _automaton(by_bytes: dict[bytes, int]) -> dict:
-        """The Aho-Corasick automaton of the vocabulary, {byte: state}: after a text, its state's TOKENS are all tokens (and lengths) that end there, the longest first; LINK is the state of the next shorter suffix."""
-        root: dict = {TOKENS: (), LINK: None}
-        for s, t in by_bytes.items():
-            state = root
-            for b in s:
-                state = state.setdefault(b, {TOKENS: (), LINK: root})
-            state[TOKENS] = ((t, len(s)),)
-        level = [(b, root, child) for b, child in root.items() if b >= 0]
-        while level:
-            deeper = []
-            for b, parent, state in level:
-                if parent is not root:
-                    link = parent[LINK]
-                    while link is not root and b not in link:
-                        link = link[LINK]
-                    state[LINK] = link.get(b, root)
-                state[TOKENS] += state[LINK][TOKENS]
-                deeper += [(c, state, child) for c, child in state.items() if c >= 0]
-            level = deeper
-        return root
-
-    @staticmethod
-    def _step(state: dict, byte: int) -> dict:
-        """The state after one more byte, kept in the state it comes from."""
-        link = state
-        while byte not in link and link[LINK] is not None:
-            link = link[LINK]
-        state[byte] = far = link.get(byte, link)
-        return far
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE leaves a and b side by side: no merge across the seam comes before those that built them."""
         joined, halves = self.joined, self.halves
@@ -150,29 +198,35 @@ class Bpe:
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece, by dynamic programming over its prefixes."""
-        last, start = [-1], [0]
-        state, pairs = self.root, self.pairs
-        for end, byte in enumerate(text, 1):
-            state = state.get(byte) or self._step(state, byte)
-            for t, size in state[TOKENS]:
-                at = end - size
+        last = [(-1, 0)]
+        near, whole, part, size, link = self.root
+        long, end, pairs = 0, 0, self.pairs  # long: of the longest end of the prefix that occurs inside of a token
+        for byte in text:
+            while (to := near.get(byte)) is None:
+                near, whole, part, size, link = link
+                long = size
+            near, whole, part, size, link = to
+            long += 1
+            end += 1
+            for token in whole if long == size else part:
+                at = end - token[1]
                 if at:
-                    key = last[at] << 32 | t
+                    key = last[at][0] << 32 | token[0]
                     if (fits := pairs.get(key)) is None:
                         if len(pairs) >= KEPT_PAIRS:
                             pairs.clear()
-                        fits = pairs[key] = self.compatible(last[at], t)
+                        fits = pairs[key] = self.compatible(last[at][0], token[0])
                     if not fits:
                         continue
-                last.append(t)
-                start.append(at)
+                last.append(token)
                 break
             else:
-                raise ValueError("no token fits a prefix: the vocabulary lacks a byte")
-        ids, at = [], len(text)
-        while at:
-            ids.append(self.outer[last[at]])
-            at = start[at]
+                raise ValueError("no token fits a prefix")
+        ids = []
+        while end:
+            token, size = last[end]
+            ids.append(self.outer[token])
+            end -= size
         return ids[::-1]
 
     def encode(self, text: str | None) -> list[int]:
@@ -195,7 +249,7 @@ class Bpe:
 def _over(df: DataFrame, spec: bytes, drop: list[str], of: str, fields: str, make) -> DataFrame:
     """df without drop, with the columns that make(encoder, values of column of) gives."""
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(spec)  # one vocabulary file, a few MB whatever the data
+    shared = df.sparkSession.sparkContext.broadcast(tables(spec))  # of one vocabulary, some ten MB whatever the data
     left = [c for c in df.columns if c not in drop]
     width = len(left)
 

@@ -168,13 +168,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     new = "nearest string, score double, rejected boolean, lang_pred string"
     left = docs.drop("nearest", "score", "rejected", "lang_pred")
     width = len(left.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_CENTROIDS rows of FEATURES numbers, or one a language where there are more of these
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.centroids, model.idf, model.least))  # MODEL_CENTROIDS rows of FEATURES numbers, or one a language where there are more of these
 
     def run(batches):
         import pyarrow as pa
 
+        own = Model(*shared.value)
         for b in batches:
-            found = [shared.value.predict(t) for t in b.column(width).to_pylist()]
+            found = [own.predict(t) for t in b.column(width).to_pylist()]
             lang, score, no = zip(*found) if found else ((), (), ())
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_()), pa.array([UNKNOWN if x else y for x, y in zip(no, lang)], pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *columns], [*b.schema.names[:width], "nearest", "score", "rejected", "lang_pred"])

@@ -45,7 +45,7 @@ def test_bpe_matches_the_library(spark, docs, rows, library):
 
 
 def test_bpe_on_odd_texts(library):
-    own = bpe.Bpe(byte_bpe())
+    own = bpe.Bpe(bpe.tables(byte_bpe()))
     rnd = np.random.default_rng(1)
     texts = ["<|endoftext|>", "a<|endoftext|> b<|endoftext|>", "<|endof", "aaaa" * 3000, "\x00\x01\x1c\x1d\x1e\x1f\x85᠎​  x", "'s'LL 't it's", "  \n\n  a 　 b", "²½Ⅷ٣", "👩‍👩‍👧 ok", "abcdefghij" * 2000]
     texts += ["".join(chr(c) for c in rnd.choice([*range(32, 127), 9, 10, 0xE9, 0xA0, 0x4E00, 0x1F600], 200)) for _ in range(200)]
@@ -56,6 +56,37 @@ def test_bpe_on_odd_texts(library):
         assert own.decode(ids) == t
 
 
+def test_suffix_automaton():
+    """Every text inside of a string is found, nothing else, and a state's string is its longest."""
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(40):
+        strings = list({bytes(rnd.choices(b"abc", k=rnd.randint(1, 9))) for _ in range(rnd.randint(1, 12))})
+        auto = bpe.Automaton()
+        for s in strings:
+            auto.add(s)
+        inside = {s[i:j] for s in strings for i in range(len(s)) for j in range(i, len(s) + 1)}
+        found = {b""}
+        for x in sorted(inside, key=len):
+            found.add(x)
+            for c in b"abc":
+                try:
+                    auto.state(x + bytes([c]))
+                    there = True
+                except KeyError:
+                    there = False
+                assert there == (x + bytes([c]) in inside)
+        assert found == inside
+        for s in strings:
+            assert auto.length[auto.state(s)] == len(s)
+        for x in inside - {b""}:  # the link is the longest end with other ends
+            places = lambda y: {(s, i) for s in strings for i in range(len(s)) if s[: i + 1].endswith(y)}
+            ends = [x[k:] for k in range(1, len(x) + 1) if places(x[k:]) != places(x)] or [b""]
+            assert auto.length[auto.link[auto.state(x)]] == len(ends[0])
+        assert len(auto.next) <= 2 * sum(map(len, strings)) + 1
+
+
 # Substrings
 
 
