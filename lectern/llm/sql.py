@@ -34,8 +34,9 @@ def _fingerprint(tree: str) -> str:
     """From a tree of sections, of paragraphs, of pieces' hashes."""
     paragraph = "sha256(array_to_string(p, ''))"
     section = f"sha256(array_to_string(list_transform(s, lambda p: {paragraph}), ''))"
-    short = "array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda x: left(x, 12)), '')), ',')"
-    return f"left(sha256(array_to_string(list_transform({tree}, lambda s: {section}), '')), 32) || ':' || array_to_string(list_transform({tree}, lambda s: {short}), ';')"
+    pieces = "array_to_string(list_transform(p, lambda x: left(x, 12)), '')"
+    paragraphs = f"array_to_string(list_transform(s, lambda p: left({paragraph}, 12) || '.' || {pieces}), ',')"
+    return f"left(sha256(array_to_string(list_transform({tree}, lambda s: {section}), '')), 32) || ':' || array_to_string(list_transform({tree}, lambda s: left({section}, 12) || '=' || {paragraphs}), ';')"
 
 
 def _tree(text: str) -> str:
@@ -43,17 +44,43 @@ def _tree(text: str) -> str:
     return f"list_transform({_cut(text, merkle.SECTION)}, lambda s: list_transform({_cut('s', merkle.PARAGRAPH)}, lambda p: {pieces}))"
 
 
-def _likeness(a: str, b: str) -> str:
-    x, y = (f"list_distinct(regexp_extract_all(substr({f}, 34), '[0-9a-f]{{12}}'))" for f in (a, b))
-    return f"CASE WHEN left({a}, 32) = left({b}, 32) THEN 1.0 WHEN len({x}) + len({y}) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+def _same(x: str, y: str) -> str:
+    """Number of equal elements at the start of two lists."""
+    unlike = f"list_transform(range(1, greatest(len({x}), len({y})) + 1), lambda i: coalesce(left({x}[i], 12) <> left({y}[i], 12), true))"
+    return f"coalesce(nullif(list_position({unlike}, true), 0) - 1, len({x}))"
 
 
+def _between(out: str, of: str, x: str, y: str, keep: str) -> str:
+    """CTEs that leave, of the lists x and y of each row of a table, what lies between equal ends, as x and y; h: equal ones before."""
+    cut = lambda c: f"CASE WHEN h + t >= len({c}) THEN [] ELSE {c}[h + 1 : len({c}) - t] END"
+    return f"""{out}0 AS (SELECT {keep}, {x} AS x, {y} AS y FROM {of}), {out}1 AS (SELECT *, {_same("x", "y")} AS h FROM {out}0),
+{out}2 AS (SELECT *, {_same("list_reverse(x[h + 1 :])", "list_reverse(y[h + 1 :])")} AS t FROM {out}1),
+{out} AS (SELECT * EXCLUDE (x, y, t), {cut("x")} AS x, {cut("y")} AS y FROM {out}2)"""
+
+
+def _pieces(fp: str) -> str:
+    body = f"substr({fp}, 34)"
+    return f"(length(translate({body}, ';=,.', '')) // 12 - length({body}) + length(translate({body}, '=.', '')))"
+
+
+_SECTIONS = "list_filter(string_split(substr({}, 34), ';'), lambda z: z <> '')"
+_CHILDREN = "flatten(list_transform({}, lambda z: string_split(substr(z, 14), ',')))"
+_LEAVES = "flatten(list_transform({}, lambda z: regexp_extract_all(substr(z, 14), '[0-9a-f]{{12}}')))"
+
 OP7 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt, length(t) AS n_chars FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 e AS (SELECT *, left(t, n_chars - n_chars // 3) || left(nt, n_chars // 3) AS ed FROM n),
 r AS (SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_tree("t")} AS a, {_tree("ed")} AS b, {_tree("nt")} AS c FROM e),
-f AS (SELECT doc_id, n_chars, edited_sha256, {_fingerprint("a")} AS fingerprint, {_fingerprint("b")} AS edited_fingerprint, {_fingerprint("c")} AS nf FROM r)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness("fingerprint", "edited_fingerprint")} AS near_edited, {_likeness("fingerprint", "nf")} AS near_next FROM f"""
+f AS (SELECT doc_id, n_chars, edited_sha256, {_fingerprint("a")} AS fingerprint, {_fingerprint("b")} AS edited_fingerprint, {_fingerprint("c")} AS nf FROM r),
+pairs AS (SELECT doc_id, 'e' AS k, fingerprint AS a, edited_fingerprint AS b FROM f UNION ALL SELECT doc_id, 'n', fingerprint, nf FROM f),
+{_between("s", "pairs", _SECTIONS.format("a"), _SECTIONS.format("b"), "doc_id, k, a, b")},
+{_between("p", "s", _CHILDREN.format("x"), _CHILDREN.format("y"), "doc_id, k, a, b, h AS section")},
+{_between("l", "p", _LEAVES.format("x"), _LEAVES.format("y"), "doc_id, k, a, b, section, h AS paragraph, len(y) AS n")},
+g AS (SELECT doc_id, k, left(a, 32) = left(b, 32) AS same, {_pieces("a")} AS na, {_pieces("b")} AS nb, section, paragraph, n, x, y FROM l),
+o AS (SELECT doc_id, k, CASE WHEN same THEN 1.0 WHEN na + nb = 0 THEN 0.0 ELSE 2.0 * (na - len(x) + len(list_intersect(list_distinct(x), list_distinct(y)))) / (na + nb) END AS near,
+CASE WHEN same THEN 0 ELSE section END AS section, CASE WHEN same THEN 0 ELSE paragraph END AS paragraph, CASE WHEN same THEN 0 ELSE n END AS n FROM g)
+SELECT f.doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, o.near AS near_edited, o2.near AS near_next, o.section AS edited_section, o.paragraph AS edited_paragraph, o.n AS n_edited
+FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = 'e' JOIN o o2 ON o2.doc_id = f.doc_id AND o2.k = 'n'"""
 
 _BASE32 = "array_to_string(list_transform(range(8), lambda k: list_transform(range(4), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS BIGINT) + 1, 1)).array_to_string('')), '')"
 

@@ -271,18 +271,36 @@ def test_language_model_without_training(spark):
 def plain_fingerprint(text):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     cut = lambda s, p: [x for x in re.findall(p.replace(r"\z", r"\Z"), s) if x]
-    sections = []
+    tree, hashes = [], []
     for s in cut(text or "", merkle.SECTION):
         paragraphs = [[sha(x) for x in cut(q, merkle.PIECE)] for q in cut(s, merkle.PARAGRAPH)]
-        sections.append((sha("".join(sha("".join(q)) for q in paragraphs)), ",".join("".join(h[:12] for h in q) for q in paragraphs)))
-    return sha("".join(h for h, _ in sections))[:32] + ":" + ";".join(s for _, s in sections)
+        own = [sha("".join(q)) for q in paragraphs]
+        hashes.append(sha("".join(own)))
+        tree.append(hashes[-1][:12] + "=" + ",".join(h[:12] + "." + "".join(x[:12] for x in q) for h, q in zip(own, paragraphs)))
+    return sha("".join(hashes))[:32] + ":" + ";".join(tree)
 
 
-def plain_likeness(a, b):
+def plain_between(x, y):
+    h = 0
+    while h < min(len(x), len(y)) and x[h][:12] == y[h][:12]:
+        h += 1
+    x, y = x[h:], y[h:]
+    while x and y and x[-1][:12] == y[-1][:12]:
+        x, y = x[:-1], y[:-1]
+    return h, x, y
+
+
+def plain_descent(a, b):
+    """Likeness, first section and paragraphs before the edit, and how many of b's differ."""
     if a[:32] == b[:32]:
-        return 1.0
-    x, y = (set(re.findall("[0-9a-f]{12}", f[33:])) for f in (a, b))
-    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+        return 1.0, 0, 0, 0
+    section, x, y = plain_between(*([s for s in f[33:].split(";") if s] for f in (a, b)))
+    paragraph, x, y = plain_between(*([p for s in z for p in s[13:].split(",")] for z in (x, y)))
+    n = len(y)
+    _, x, y = plain_between(*([q for p in z for q in re.findall("[0-9a-f]{12}", p[13:])] for z in (x, y)))
+    count = lambda f: sum(len(re.findall("[0-9a-f]{12}", p[13:])) for s in f[33:].split(";") if s for p in s[13:].split(","))
+    total = count(a) + count(b)
+    return (2 * (count(a) - len(x) + len(set(x) & set(y))) / total if total else 0.0), section, paragraph, n
 
 
 def test_merkle(spark, docs, rows, no_docs):
@@ -293,8 +311,8 @@ def test_merkle(spark, docs, rows, no_docs):
         n = len(a.t)
         e = a.t[: n - n // 3] + b.t[: n // 3]
         f, g, h = plain_fingerprint(a.t), plain_fingerprint(e), plain_fingerprint(b.t)
-        want[a.i, n, hashlib.sha256(e.encode()).hexdigest(), f, g, round(plain_likeness(f, g), 9), round(plain_likeness(f, h), 9)] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in out) == want
+        want[a.i, n, hashlib.sha256(e.encode()).hexdigest(), f, g, round(plain_descent(f, g)[0], 9), round(plain_descent(f, h)[0], 9), *plain_descent(f, g)[1:]] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9), r.edited_section, r.edited_paragraph, r.n_edited) for r in out) == want
     one = merkle.compared(spark.createDataFrame([(1, "abc def")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert merkle.compared(no_docs).count() == 0
@@ -303,8 +321,22 @@ def test_merkle(spark, docs, rows, no_docs):
 def test_merkle_locates_edits(spark):
     a = "First one. Same.\nSecond line.\n\nNext section here.\nLast."
     b = a.replace("Second", "Other").replace("Last", "Final")
-    r = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.edited(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("x"), merkle.edited(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("a"))).alias("y")).first()
-    assert r.x == [1, 3] and r.y == []
+    fps = lambda x, y: spark.createDataFrame([(x, y)], "x string, y string").select(merkle.fingerprint(F.col("x")).alias("x"), merkle.fingerprint(F.col("y")).alias("y"))
+    of = lambda x, y: tuple(fps(x, y).select(merkle.descended(F.col("x"), F.col("y")).alias("d")).first().d)
+    assert of(a, a) == (1.0, 0, 0, 0, 0)
+    assert of(a, b) == (pytest.approx(5 / 9), 0, 1, 3, 3)  # from the second paragraph to the last; its first one is equal
+    assert of(a, a.replace("Next", "Then"))[1:] == (1, 0, 1, 1)
+    assert of(a, a + "\n\nA new section.")[1:] == (1, 1, 1, 2) and of(a, "")[0] == 0.0
+    assert of("One. Two. Three.", "Two. One. Three.")[0] < 1.0  # order counts
+
+
+def test_merkle_splits_hot_ids(spark, monkeypatch):
+    """A third of all rows without an id, and as many under one id, are neighbours in the order of their hashes."""
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(i, f"own {i}") for i in range(10, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.withColumn("h", F.xxhash64("text")).orderBy(F.desc_nulls_last("doc_id"), F.desc("h")).collect()
+    got = Counter((r.doc_id, r.text, r._lt_next) for r in merkle.with_next(docs).collect())
+    assert got == Counter((a.doc_id, a.text, b.text) for a, b in zip(order, [*order[1:], order[0]]))
 
 
 # WARC
