@@ -5,7 +5,7 @@ a row. Consecutive windows that share one travel as one packed string to its
 bucket; there strings with one minimiser are sorted together and their windows
 counted exactly, by their words. Equal strings of one map task are combined
 before the shuffle, so a passage that very many documents share arrives once
-from each task. Minimisers that would fill a good part of a bucket are found on
+from each task; what is removed there already doesn't go to the bucket. Minimisers that would fill a good part of a bucket are found on
 a sample of the documents, which only plans the routing; their windows travel
 singly, by a hash of the whole window, and so spread over all buckets.
 
@@ -13,7 +13,10 @@ Edge cases: a null text has no words, and its kept text is empty; texts under
 20 words are kept whole; rows with one doc_id and one text are the same document
 and get the same result; rows with one doc_id and other texts are ordered by a
 hash of the text; null ids come first; an empty table gives an empty result;
-other columns pass through, and the columns added here replace any of the same name.
+a very long text is split and hashed whole by one task; windows of one document
+that are equal are tied by their start; other columns pass through, and the
+columns added here replace any of the same name (names that start with _lt_ are
+not to be used).
 """
 
 from __future__ import annotations
@@ -135,9 +138,10 @@ def _cells(batches, most: int) -> Iterator[list]:
 
 
 def _sent(batches, hot, buckets, window, gram):
-    """Packed super-k-mers of each cell by bucket; of equal ones the first travels, the others are removed here."""
+    """Packed super-k-mers of each cell by bucket; of equal ones the first travels, the others are removed here, in a row of a negative bucket."""
     import numpy as np
     import pyarrow as pa
+    from xxhash import xxh64_intdigest
 
     for cell in _cells(batches, CELL_BYTES):
         flat, begins, runs = super_kmers([r[2] for r in cell], window, gram)
@@ -153,14 +157,19 @@ def _sent(batches, hot, buckets, window, gram):
         salt = np.array([r[1] for r in cell], np.int64)
         start = first - begins[doc]
         order = np.lexsort((key, bucket))
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        order = order[own[order]]
+        some, edges = np.unique(bucket[order], return_index=True)
         out = []
-        for k in np.nonzero(np.diff(edges))[0].tolist():
-            mine = order[edges[k] : edges[k + 1]]
-            go, gone = mine[own[mine]], mine[~own[mine]]
-            table, at = np.unique(doc[np.concatenate([go, gone])], return_inverse=True)
-            blob = pack([ids[table], salt[table], at[: len(go)].astype(np.uint32), start[go].astype(np.uint32), count[go].astype(np.uint8), np.diff(key[go] >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32), b"\n".join([packed[i] for i in go.tolist()]), at[len(go) :].astype(np.uint32), start[gone].astype(np.uint32), count[gone].astype(np.uint8)], LEVEL)
+        for k, a, b in zip(some.tolist(), edges.tolist(), [*edges.tolist()[1:], len(order)]):
+            go = order[a:b]
+            table, at = np.unique(doc[go], return_inverse=True)
+            blob = pack([ids[table], salt[table], at.astype(np.uint32), start[go].astype(np.uint32), count[go].astype(np.uint8), np.diff(key[go] >> np.uint64(32), prepend=np.uint64(0)).astype(np.uint32), b"\n".join([packed[i] for i in go.tolist()])], LEVEL)
             out.append((k, blob))
+        gone = np.nonzero(~own)[0]
+        if len(gone):
+            table, at = np.unique(doc[gone], return_inverse=True)
+            spread = xxh64_intdigest(ids.tobytes() + salt.tobytes()) >> 2
+            out.append((-1 - spread, pack([ids[table], salt[table], at.astype(np.uint32), start[gone].astype(np.uint32), count[gone].astype(np.uint8)], LEVEL)))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["_lt_bucket", "_lt_blob"])
 
 
@@ -169,7 +178,6 @@ def _repeats(blobs: list[bytes], window: int):
     import numpy as np
 
     parts = [unpack(b) for b in blobs]
-    gone = [(p[0][p[7]], p[1][p[7]], p[8].astype(np.int64), p[9].astype(np.int64)) for p in parts]
     ids, salt, start, count, key = (np.concatenate(x) for x in zip(*((p[0][p[2]], p[1][p[2]], p[3].astype(np.int64), p[4].astype(np.int64), np.cumsum(p[5].astype(np.uint64))) for p in parts)))
     strings = [s for p in parts if len(p[2]) for s in p[6].split(b"\n")]
     order = np.lexsort((start, salt, ids, key))
@@ -195,28 +203,31 @@ def _repeats(blobs: list[bytes], window: int):
                 if best.setdefault(x, here) > here:
                     best[x] = here
         found += [(*here[:3], 1) for x, here in mine if best[x] < here]
-    own = [np.array([f[k] for f in found], np.int64) for k in range(4)]
-    return [np.concatenate([*(g[k].astype(np.int64) for g in gone), own[k]]) for k in range(4)]
+    return [np.array([f[k] for f in found], np.int64) for k in range(4)]
 
 
 def _counted(batches, window):
-    """Ranges for each bucket's blobs, which come one after another."""
+    """Ranges for each bucket's blobs, which come one after another, and those of runs that their cells removed."""
+    import numpy as np
     import pyarrow as pa
 
-    def out(blobs):
-        ids, salt, start, count = _repeats(blobs, window)
+    def out(ids, salt, start, count):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(salt, pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int64())], ["_lt_id", "_lt_hash", "s", "n"])
 
     now, blobs = None, []
     for b in batches:
         for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if k < 0:
+                ids, salt, at, start, count = unpack(blob)
+                yield out(ids[at], salt[at], start.astype(np.int64), count.astype(np.int64))
+                continue
             if k != now and blobs:
-                yield out(blobs)
+                yield out(*_repeats(blobs, window))
                 blobs = []
             now = k
             blobs.append(blob)
     if blobs:
-        yield out(blobs)
+        yield out(*_repeats(blobs, window))
 
 
 def _kept(batches, width: int, window: int):
