@@ -1,8 +1,16 @@
 """Quality rules on words and lines, and verdicts on hosts. Native expressions only.
 
+A host's failures are shrunk by a beta prior that is fitted to all hosts. Its
+strength, in documents, is kept from 1 to 10,000: a sample of hosts that differ
+less than chance would give an infinite one, and hosts that are all good or all
+bad one of 0, with which a host of one document would be judged by that alone.
+
 Edge cases: a null text has no words and fails; documents with a null source
-share one host; repeated rows each count; an empty table gives an empty result;
-other columns pass through, and the columns added here replace any of the same name.
+share one host; a null doc_id is kept as it is; repeated rows each count and get
+equal verdicts, so there are no ties; a rate equal to the limit passes; a very
+long text is measured whole, in arrays of its words; an empty table gives an
+empty result; other columns pass through, and the columns added here replace any
+of the same name (names that start with _lt_ are not to be used).
 """
 
 from __future__ import annotations
@@ -92,6 +100,7 @@ def scores(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass the rules and come from hosts that do, with their own columns."""
-    flags = stored(measured(docs.select("doc_id", "text", "source")).select("source", "base_failed"), "flags")
-    return _with_verdicts(measured(docs), flags, max_rate).filter("kept").select(*docs.columns)
+    """The documents that pass the rules and come from hosts that do, with their own columns, which are measured once and stored."""
+    own = docs.select("*", F.struct(*docs.columns).alias("_lt_doc")).select("doc_id", "text", "source", "_lt_doc")
+    rows = stored(measured(own).drop("text", *METRICS[2:]), "quality")
+    return _with_verdicts(rows, rows, max_rate).filter("kept").select(*(F.col("_lt_doc")[c].alias(c) for c in docs.columns))
