@@ -6,9 +6,11 @@ together, colliding pairs are deduplicated and verified, and connected
 components follow by label propagation.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
-other; a component without any doc_id has a null component_id; repeated rows
-share a component; an empty table gives an empty result; other columns of the
-input are not read.
+other; a bit that exactly half of the hashes have is 0; a component without any
+doc_id has a null component_id; repeated rows share a component; of documents
+under one id that with the smallest hash of its text comes first; a very long
+text is hashed whole, in blocks; an empty table gives an empty result; other
+columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -84,15 +86,16 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(n, l): each node of the edges (a, b) with the least node that it can reach.
 
-    Least labels of neighbours, then a jump to the label's own label; every
-    round is written to the shared folder.
+    Least labels of neighbours, then a jump to the label's own label, until no
+    label changes; every round is written to the shared folder. Labels only fall,
+    so the rounds end.
     """
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b"), "edges")
     labels = stored(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("l")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("l").alias("m"))
         least = labels.join(near, labels.n == near.a).select("n", "l", F.least("l", "m").alias("k"))
         jump = labels.select(F.col("n").alias("k"), F.col("l").alias("j"))
@@ -101,7 +104,6 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         labels = new.select("n", F.col("k").alias("l"))
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +114,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> tu
     found = components(links(distinct.select("_lt_fp"), radius))
     joined = distinct.join(found, distinct._lt_fp == found.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_fp")).drop("n", "l")
     joined = stored(joined, "classes")
-    heads = joined.groupBy("_lt_class").agg(F.min("_lt_first").alias("_lt_head"))
-    return rows, stored(joined.drop("_lt_first").join(heads, "_lt_class"), "heads")
+    heads = stored(joined.groupBy("_lt_class").agg(F.min("_lt_first").alias("_lt_head"), F.count("*").alias("_lt_n")), "first")
+    return rows, stored(skew_join(joined.drop("_lt_first"), heads, "_lt_class", "_lt_n", F.xxhash64("_lt_fp"), "inner"), "heads")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
