@@ -37,13 +37,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset and all runs in one process, one of our own."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             at = current.get()
+        elif not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             at = "file://" + tempfile.mkdtemp(prefix="lectern-")
             sc.setCheckpointDir(at)
