@@ -1,7 +1,9 @@
 """A deterministic sharded WARC writer, and a reader.
 
 Pages are range-sorted by page_id into shards whose bounds depend on the table
-alone. Each shard is one stream of gzip members, rolled to a new file when its
+alone, and whose number grows with its bytes: first ranges, with bounds in the
+plan, then each range's own bounds. A page_id that fills several shards is cut by
+the hashes of its payloads. Each shard is one stream of gzip members, rolled to a new file when its
 compressed size is reached; headers, record ids and digests are made anew from
 the payload. Tasks write under temporary names and report their files; the
 report of the attempts that succeeded is the manifest, which then renames the
@@ -13,8 +15,9 @@ be one of these.
 Edge cases: a null html is an empty payload; a null url is written as a urn of
 the page; a null page_id is written as empty and sorts first; among equal
 payloads all rows with the smallest page_id are responses, and where no row has
-an id all are; an empty table gives no files and an empty result; other columns
-of the input are not read.
+an id all are; repeated rows are a record each, with an id of their own; a very
+long payload is one record, held whole; an empty table gives no files and an
+empty result; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +27,15 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import place, row_hash, shared_dir, skew_join, small_batches, stored
+from lectern.llm.common import NULL_ID, place, shared_dir, skew_join, small_batches, stored
 
-#: Payload bytes of a shard, about; and a bound on the number of shards.
+#: Payload bytes of a shard, about; and ranges of shards, at most.
 SHARD_BYTES = 8 << 20
-MOST_SHARDS = 4096
+MOST_RANGES = 4096
 #: Compressed size at which a file is closed.
 ROLL_BYTES = 64 << 20
-#: Page ids looked at, about, to place the bounds of shards.
-PLAN_PAGES = 20 * MOST_SHARDS
+#: Pages looked at for each range or shard, about, to place its bounds.
+PLAN_PAGES = 20
 #: Payloads of at least so many bytes are written once.
 REVISIT_BYTES = 0
 #: Written as the date of every record, so that equal inputs give equal files.
@@ -48,21 +51,23 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(page_id) -> str:
-    return uuid.uuid5(uuid.NAMESPACE_URL, f"urn:page:{'' if page_id is None else page_id}").urn
+def _record_id(page_id, payload_key: str, nth: int) -> str:
+    """Of the nth record of a page with that payload."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"urn:page:{'' if page_id is None else page_id}:{payload_key}:{nth}").urn
 
 
-def record(page_id, url, payload: bytes, refers_to=None) -> bytes:
+def record(page_id, url, payload: bytes, refers_to=None, nth: int = 0) -> bytes:
     """One WARC record. A revisit has the payload's headers, not the payload."""
     from urllib.parse import quote
 
     at = f"urn:page:{'' if page_id is None else page_id}" if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_record_id(page_id)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {at}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"X-Page-Id: {'' if page_id is None else page_id}"]
+    digest = base32_sha1(payload)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_record_id(page_id, digest, nth)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {at}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {'' if page_id is None else page_id}"]
     if refers_to is None:
         block += payload
     else:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_record_id(refers_to)}>", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_record_id(refers_to, digest, 0)}>", f"X-Refers-To-Page-Id: {refers_to}"]
     head += [f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -113,7 +118,7 @@ class _Rolled:
         import hashlib
 
         if self.out is None:
-            self.name = f"part-{self.shard:05d}-{len(self.done):05d}.warc.gz"
+            self.name = f"part-{self.shard:09d}-{len(self.done):05d}.warc.gz"
             self.temporary = f"{self.name}.{uuid.uuid4().hex}.tmp"
             self.out, self.n, self.bytes, self.sha = self.files.open_output_stream(f"{self.folder}/{self.temporary}", compression=None), 0, 0, hashlib.sha256()
         member = gzip.compress(raw, 6, mtime=0)
@@ -145,11 +150,11 @@ def _write(batches, folder: str, roll: int):
     import hashlib
 
     files, at = _files(folder)
-    out, done, now, known = None, [], None, {}
+    out, done, now, known, met = None, [], None, {}, {}
     for b in batches:
         for shard, page, kind, url, html, refers in zip(*(c.to_pylist() for c in b.columns)):
             if page != now:
-                now, known = page, {}
+                now, known, met = page, {}, {}
             if kind == 0:
                 known[url] = refers
                 continue
@@ -159,7 +164,9 @@ def _write(batches, folder: str, roll: int):
                     done += out.done
                 out = _Rolled(files, at, shard, roll)
             payload = (html or "").encode("utf-8", "surrogatepass")
-            out.add(record(page, url, payload, known.get(f"{hashlib.sha1(payload).hexdigest()}-{len(payload)}") if known else None))
+            key = f"{hashlib.sha1(payload).hexdigest()}-{len(payload)}"
+            met[key] = nth = met.get(key, -1) + 1
+            out.add(record(page, url, payload, known.get(key), nth))
     if out:
         out.close()
         done += out.done
@@ -177,37 +184,67 @@ def _rename(batches, folder: str):
         yield b
 
 
+def _payload_key(html):
+    html = F.coalesce(html, F.lit(""))
+    return F.concat_ws("-", F.sha1(html), F.octet_length(html))
+
+
 def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """page_id, payload key and refers_to of the pages whose payload another page with a smaller id has."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.filter(F.octet_length(html) >= least).select(F.col("page_id").cast("long").alias("page_id"), F.concat_ws("-", F.sha1(html), F.octet_length(html)).alias("_lt_key"))
+    rows = pages.filter(F.octet_length(F.coalesce(F.col("html"), F.lit(""))) >= least).select(F.col("page_id").cast("long").alias("page_id"), _payload_key(F.col("html")).alias("_lt_key"))
     rows = stored(rows, "payloads")
     shared = rows.groupBy("_lt_key").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_lt_rows")).filter("_lt_rows > 1")
-    found = skew_join(rows, stored(shared, "shared"), "_lt_key", "_lt_rows", row_hash(F.col("page_id")), "inner")
+    found = skew_join(rows, stored(shared, "shared"), "_lt_key", "_lt_rows", F.monotonically_increasing_id(), "inner")
     return found.filter("page_id is not null and page_id <> refers_to").select("page_id", F.col("_lt_key").alias("url"), "refers_to").distinct()
 
 
+def _bounded(rows: DataFrame, points: DataFrame, pages: int, shards: int) -> tuple[DataFrame, int]:
+    """rows with shard, from their point and those of all pages (_lt_point: page_id, hash of payload); and the number of shards.
+
+    The bounds of ranges are quantiles of a sample of points by hash, taken to
+    the driver; those of a range's shards are quantiles of a larger sample, found
+    where the range's sample meets, and broadcast: 16 bytes for each shard.
+    """
+    ranges = min(MOST_RANGES, shards)
+    within = -(-shards // ranges)
+
+    def sample(wanted: int) -> DataFrame:
+        every = max(1, pages // (PLAN_PAGES * wanted))
+        return points.filter(F.pmod(F.xxhash64("_lt_point"), F.lit(every)) == 0).distinct()
+
+    met = [tuple(r[0]) for r in sample(ranges).orderBy("_lt_point").collect()]
+    bounds = sorted({met[len(met) * k // ranges] for k in range(1, ranges)}) if met else []
+    literal = F.array(*[F.struct(F.lit(v).cast("long").alias("v"), F.lit(h).cast("long").alias("h")) for v, h in bounds])
+    place_ = lambda df: df.withColumn("_lt_range", place(F.col("_lt_point"), literal, len(bounds)) if bounds else F.lit(0).cast("long"))
+    rows = place_(rows)
+    if within == 1:
+        return rows.withColumnRenamed("_lt_range", "shard"), len(bounds) + 1
+    own = place_(sample(shards)).groupBy("_lt_range").agg(F.sort_array(F.collect_set("_lt_point")).alias("_lt_all"))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(within - 1)), lambda k: F.get("_lt_all", F.floor(F.size("_lt_all") * k / within).cast("int")))
+    own = own.select("_lt_range", cuts.alias("_lt_cuts"))
+    rows = rows.join(F.broadcast(own), "_lt_range", "left")
+    inside = F.coalesce(place(F.col("_lt_point"), F.col("_lt_cuts"), within - 1), F.lit(0))
+    return rows.withColumn("shard", F.col("_lt_range") * within + inside).drop("_lt_range", "_lt_cuts"), (len(bounds) + 1) * within
+
+
 def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least: int = REVISIT_BYTES) -> tuple[str, DataFrame]:
     """Writes pages (page_id, url, html) as WARC files to a new or empty folder; its name and the manifest."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     seen = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b")).first()
-    shards = max(1, min(MOST_SHARDS, -(-(seen.b or 0) // shard_bytes), seen.n))
-    every = max(1, seen.n // PLAN_PAGES)
-    ids = [r[0] for r in pages.filter(F.pmod(F.xxhash64(F.col("page_id").cast("long")), F.lit(every)) == 0).filter("page_id is not null").select(F.col("page_id").cast("long")).orderBy("page_id").collect()]
-    bounds = sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
-    page = F.col("page_id")
-    bound = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<long>")
-    shard = F.coalesce(place(page, bound, len(bounds)), F.lit(0).cast("long"))
-    whole = pages.select(page.cast("long").alias("page_id"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    marks = revisits(pages, least).select("page_id", F.lit(0).alias("kind"), "url", F.lit(None).cast("string").alias("html"), "refers_to")
-    dealt = whole.unionByName(marks).withColumn("shard", shard).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("html", "url"))
+    shards = max(1, min(-(-(seen.b or 0) // shard_bytes), seen.n))
+    page = F.col("page_id").cast("long")
+    point = lambda key: F.struct(F.coalesce(page, F.lit(NULL_ID)).alias("v"), F.xxhash64(key).alias("h"))
+    whole = pages.select(page.alias("page_id"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"), point(_payload_key(F.col("html"))).alias("_lt_point"))
+    marks = revisits(pages, least).select("page_id", F.lit(0).alias("kind"), "url", F.lit(None).cast("string").alias("html"), "refers_to", point(F.col("url")).alias("_lt_point"))
+    dealt, n = _bounded(whole.unionByName(marks), whole.select("_lt_point"), seen.n, shards)
+    dealt = dealt.repartitionByRange(min(n, 100_000), "shard").sortWithinPartitions("shard", "_lt_point", "kind", F.xxhash64("html", "url"))
     files, at = _files(folder)
     files.create_dir(at, recursive=True)
     written = stored(dealt.select("shard", "page_id", "kind", "url", "html", "refers_to").mapInArrow(lambda it: _write(it, folder, roll_bytes), MANIFEST), "warc-written")
-    manifest = written.mapInArrow(lambda it: _rename(it, folder), MANIFEST)
-    manifest.coalesce(1).orderBy("name").write.parquet(f"{folder}/_manifest")
+    manifest = stored(written.repartition(max(1, min(n, 10_000)), "name").mapInArrow(lambda it: _rename(it, folder), MANIFEST), "warc-named")
+    manifest.orderBy("name").write.parquet(f"{folder}/_manifest")
     return folder, spark.read.parquet(f"{folder}/_manifest")
 
 

@@ -376,6 +376,28 @@ def test_warc_round_trip(spark, pages, tmp_path):
     assert [(f["name"], f["sha256"]) for f in again] == [(f["name"], f["sha256"]) for f in files]
 
 
+def test_warc_shards_within_ranges(spark, pages, tmp_path, monkeypatch):
+    """With few ranges, hot ids and repeated rows: the same records in order, ids of their own, and a place for every revisit."""
+    monkeypatch.setattr(warc, "MOST_RANGES", 3)
+    hot = spark.createDataFrame([(50, f"http://x/{i}", f"<p>hot {i}</p>" * 20) for i in range(150)] + [(None, None, f"none {i}" * 9) for i in range(80)], "page_id long, url string, html string")
+    many = pages.unionByName(hot)
+    folder, manifest = warc.write(many, f"file://{tmp_path}/w", shard_bytes=3000)
+    out = warc.read(manifest, folder).collect()
+    assert Counter(r.page_id for r in out) == Counter(r.page_id for r in many.collect())
+    files = manifest.orderBy("name").collect()
+    assert len(files) > 9 and max(f["records"] for f in files) < 150
+    heads = {}
+    for f in files:
+        raw = gzip.decompress((tmp_path / "w" / f["name"]).read_bytes()).decode(errors="replace")
+        for kind, name in re.findall(r"WARC-Type: (\w+)\r\nWARC-Record-ID: (\S+)", raw):
+            assert name not in heads
+            heads[name] = kind
+        for name in re.findall(r"WARC-Refers-To: (\S+)", raw):
+            heads.setdefault("refers", set()).add(name)
+    refers = heads.pop("refers")
+    assert len(heads) == len(out) and all(heads[name] == "response" for name in refers)
+
+
 def test_warc_edges(spark, pages, tmp_path):
     folder, manifest = warc.write(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read(manifest, folder).count() == 0
