@@ -52,10 +52,20 @@ def repeated_words(w: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0).cast("long")).otherwise(bind(hashes, count))
 
 
+def _counted(text: Column, then) -> Column:
+    """then(struct n, r) of a text's words and its repeated ones, counted once."""
+    return bind(bind(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))), then)
+
+
+def failed(text: Column) -> Column:
+    """Whether a text fails the base rules."""
+    return _counted(text, lambda c: (c["n"] < MIN_WORDS) | (100 * c["r"] > MAX_REPEAT_PERCENT * c["n"]))
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the metrics and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    of_words = bind(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
+    of_words = _counted(F.col("text"), lambda c: c)
     lines = bind(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     return (
         docs.withColumn("_lt_w", of_words)
@@ -100,7 +110,14 @@ def scores(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass the rules and come from hosts that do, with their own columns, which are measured once and stored."""
-    own = docs.select("*", F.struct(*docs.columns).alias("_lt_doc")).select("doc_id", "text", "source", "_lt_doc")
-    rows = stored(measured(own).drop("text", *METRICS[2:]), "quality")
-    return _with_verdicts(rows, rows, max_rate).filter("kept").select(*(F.col("_lt_doc")[c].alias(c) for c in docs.columns))
+    """The documents that pass the rules and come from hosts that do, with their own columns.
+
+    Two passes over the texts, one for the hosts' counts and one to keep
+    documents; storing the texts with their verdicts instead would take as much
+    disk again as the documents.
+    """
+    flags = docs.select("source", failed(F.col("text")).alias("base_failed"))
+    hosts = stored(host_verdicts(flags, max_rate), "hosts").withColumn("_lt_weight", F.col("host_docs"))
+    rows = docs.filter(~failed(F.col("text"))).select(F.struct(*docs.columns).alias("_lt_doc"), null_key(F.col("source")).alias("_lt_host"))
+    joined = skew_join(rows, hosts.select("_lt_host", "host_rejected", "_lt_weight"), "_lt_host", "_lt_weight", F.monotonically_increasing_id())
+    return joined.filter("not host_rejected").select(*(F.col("_lt_doc")[c].alias(c) for c in docs.columns))
