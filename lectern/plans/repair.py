@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,8 +12,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse, stable_id
+from lectern.operators import ingest
 from lectern.operators import layout as L
-from lectern.plans.snapshots import Store, canonical, sha256
+from lectern.plans.snapshots import Store, canonical, rows_digest, sha256
 from lectern.sources.layout_json import fragments
 
 FOOTNOTE, ANCHOR = "official-footnote", "official-footnote-anchor"
@@ -22,7 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder, so that plans built on it stay small."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}")
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='lectern-')}")
     return df.checkpoint()
 
 
@@ -162,25 +167,31 @@ def repair(blocks: DataFrame, titles: DataFrame, expected: DataFrame, sizes: Dat
 
 
 def publish(store: Store, made: Repair, sources: dict[str, str]) -> str:
-    """Writes a repair for review under a digest of its rows and its sources' digests; never a corpus by itself."""
-    passages = [r.asDict(recursive=True) for r in made.passages.orderBy("reference").collect()]
-    notes = [r.asDict(recursive=True) for r in made.notes.orderBy("origin_reference", "anchor").collect()]
-    findings = sorted([r.code, r.reference] for r in made.findings.na.fill("", ["reference"]).collect())
-    lines = [canonical({"type": "passage", **p}) for p in passages] + [canonical({"type": "note", **n}) for n in notes]
-    report = {"status": "review_required", "sources": sources, "passages": len(passages), "notes": len(notes), "findings": findings}
-    digest = sha256("\n".join(lines) + canonical(report))
+    """Writes a repair for review, as folders of text lines in order, under a digest of its rows and its sources' digests; never a corpus by itself.
+
+    The report counts findings by code; the findings themselves are lines of a
+    file, like passages and notes. All is written under a temporary name first.
+    """
+    part = lambda df, kind, *key: df.select(F.lit(kind).alias("part"), F.array(*key).alias("key"), ingest.json_line(kind, {c: F.col(c) for c in df.columns}).alias("line"))
+    rows = cut(part(made.passages, "passage", "reference").unionByName(part(made.notes, "note", "origin_reference", "anchor")).unionByName(part(made.findings, "finding", "code", "reference")))
+    code = F.when(F.col("part") == "finding", F.get_json_object("line", "$.code"))
+    counts = {(r.part, r.code): r["count"] for r in rows.groupBy("part", code.alias("code")).count().collect()}  # a row a code
+    found = {c: n for (kind, c), n in sorted(counts.items(), key=str) if kind == "finding"}
+    report = {"status": "review_required", "sources": sources, "passages": counts.get(("passage", None), 0), "notes": counts.get(("note", None), 0), "findings": found}
+    digest = sha256(rows_digest(rows.select("part", "line"), "line") + canonical(report))
     folder = f"repairs/{digest}"
     if not store.exists(folder):
-        store.make(folder)
-        store.create(f"{folder}/candidate.jsonl", "\n".join(lines) + "\n")
-        store.create(f"{folder}/report.json", canonical(report) + "\n")
+        temporary = f"{folder}.{uuid.uuid4().hex}.tmp"
+        files = {"candidate.jsonl": rows.where("part <> 'finding'").orderBy(F.desc("part"), "key", "line"), "findings.jsonl": rows.where("part = 'finding'").orderBy("key", "line")}
+        for name, df in files.items():
+            df.select("line").write.text(f"{store.root}/{temporary}/{name}")
+        store.create(f"{temporary}/report.json", canonical(report) + "\n")
+        store.rename(temporary, folder)
     return folder
 
 
 def publish_review(store: Store, passages: DataFrame, notes: DataFrame, edges: DataFrame, normalized_digest: str, location: Column, source_format: str = "table", source_profile: str = "table-v1") -> list[str]:
     """Writes review.md, normalized.jsonl and, for pages, overlays.json of a normalized corpus, as folders of text lines in order."""
-    from lectern.operators import ingest
-
     root = f"{store.root}/reviews/{normalized_digest}"
     spark = passages.sparkSession
     rows = ingest.review_lines(passages, location)

@@ -1,5 +1,7 @@
 """Layout repair from an export to passages and notes."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,9 @@ def test_whole(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}")
     folder = R.publish(store, m, {"json": "0"})
     assert R.publish(store, m, {"json": "0"}) == folder and '"review_required"' in store.read(f"{folder}/report.json")
+    lines = [json.loads(r.value) for r in spark.read.text(f"file://{tmp_path}/{folder}/candidate.jsonl").collect()]
+    assert [(x["type"], x.get("reference"), x.get("anchor")) for x in lines] == [("passage", "bofm/1-ne/1/1", None), ("passage", "bofm/1-ne/1/2", None), ("note", None, "a"), ("note", None, "b"), ("note", None, "a")]
+    assert [x["text"] for x in lines] == ["First one here.", "Second two.", "note one.", "note two.", "note three."]
 
 
 def test_relabelled_recovered_and_unlinked(spark):
