@@ -5,6 +5,17 @@ fingerprints within the radius share one. A shuffle on variants brings them
 together, colliding pairs are deduplicated and verified, and connected
 components follow by label propagation.
 
+``near_duplicates`` links by the bits of one fingerprint over shingles.
+``keep_one`` is for texts that share a stated part of their shingles: such texts
+differ in few words but in many shingles, so it hashes the set of words into
+three fingerprints of 42 bits, calls texts that meet in the ball of any of them
+candidates, and verifies these by the exact Jaccard similarity of their
+shingles. A text is compared with the least and the greatest of each of its
+balls, never with all of a ball; links between two others are found only
+through these or not at all. 126 bits suffice for some 10^8 different texts;
+beyond that, chance meetings grow, and ``bits`` should grow by two for each
+doubling (64 at most).
+
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; a bit that exactly half of the hashes have is 0; a component without any
 doc_id has a null component_id; repeated rows share a component; of documents
@@ -15,17 +26,21 @@ columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.llm.common import NULL_ID, row_hash, skew_join, small_batches, stored, tidy
+from lectern.llm.common import NULL_ID, partitions, row_hash, skew_join, small_batches, stored, tidy
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+#: What keep_one takes: words in a shingle, the least similarity, and the fingerprints of words.
+WORDS, SIMILARITY = 5, 0.8
+PARTS, BITS = 3, 42
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -125,9 +140,129 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return joined.select(F.col("_lt_doc").alias("doc_id"), F.lower(F.lpad(F.hex("_lt_fp"), 16, "0")).alias("fingerprint"), F.col("_lt_head")["doc"].alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The first document of each component by doc_id (ids before null), with its own columns; repeated rows leave one."""
-    _, found = classes(docs, radius, shingle)
-    heads = found.select(F.coalesce(F.col("_lt_head")["doc"], F.lit(NULL_ID)).alias("_lt_doc"), F.col("_lt_head")["text"].alias("_lt_text")).distinct()
+def sketch(text: str | None, parts: int = PARTS, bits: int = BITS) -> list[int]:
+    """Majority bits of hashes over the different words of a text, cut into parts, as signed integers."""
+    import numpy as np
+    from xxhash import xxh3_128_digest
+
+    found = list(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    ones = np.zeros((-(-parts * bits // 128), 128), np.int64)
+    for seed, row in enumerate(ones):
+        for at in range(0, len(found), 65536):
+            raw = b"".join(xxh3_128_digest(w, seed) for w in found[at : at + 65536])
+            row += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int64)
+    high = (2 * ones > len(found)).ravel()[: parts * bits].reshape(parts, bits)
+    padded = np.zeros((parts, 64), bool)
+    padded[:, :bits] = high
+    return np.packbits(padded, axis=1, bitorder="little").view(np.int64).ravel().tolist()
+
+
+def sketches(docs: DataFrame, parts: int = PARTS, bits: int = BITS) -> DataFrame:
+    """_lt_doc, _lt_text and _lt_parts (an array of fingerprints) for each row."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            found = pa.array([sketch(x, parts, bits) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["_lt_doc", "_lt_text", "_lt_parts"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("_lt_doc"), row_hash(F.col("text")).alias("_lt_text"), F.col("text").alias("_lt_t"))
+    return rows.mapInArrow(tidy(run), "_lt_doc long, _lt_text long, _lt_parts array<long>")
+
+
+def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
+    """Different pairs (l, n): each text n of texts (_lt_text, _lt_parts) with the leaders l of its balls of radius 1.
+
+    Equal fingerprints are one value, so a ball holds bits + 1 values at most;
+    values in many texts are joined by salted keys.
+    """
+    masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
+    nodes = stored(texts.select(F.col("_lt_text").alias("n"), F.posexplode("_lt_parts").alias("p", "v")), "values")
+    values = stored(nodes.groupBy("p", "v").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("_lt_n")), "distinct")
+    mask = F.array(*[F.lit(m).cast("long") for m in masks])
+    balls = values.select("p", "v", F.explode(mask).alias("m")).select("p", F.col("v").bitwiseXOR(F.col("m")).alias("ball"), "m")
+    over = W.partitionBy("p", "ball")
+    value = F.col("ball").bitwiseXOR(F.col("m"))
+    met = balls.withColumn("v", value).withColumn("low", F.min("v").over(over)).withColumn("high", F.max("v").over(over)).filter("low <> high")
+    ends = met.select("p", "v", F.explode(F.array("low", "high")).alias("end")).filter("v <> end").distinct()
+    ends = ends.union(values.filter("_lt_n > 1").select("p", "v", F.col("v").alias("end")))
+    heads = values.select("p", F.col("v").alias("end"), "least", "most")
+    leaders = ends.join(heads, ["p", "end"]).groupBy("p", "v").agg(F.collect_set("least").alias("a"), F.collect_set("most").alias("b"))
+    key = F.struct("p", "v").alias("k")
+    leaders = stored(leaders.join(values.select("p", "v", "_lt_n"), ["p", "v"]).select(key, F.array_union("a", "b").alias("leaders"), "_lt_n"), "leaders")
+    pairs = skew_join(nodes.select("n", key), leaders, "k", "_lt_n", F.xxhash64("n"), "inner")
+    return pairs.select(F.explode("leaders").alias("l"), "n").filter("l <> n").distinct()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
+    """Those of pairs (l, n; stored) whose texts (n, text; one row each) have the Jaccard similarity or more.
+
+    The rows of a leader follow its own text, in as many parts as its pairs need.
+    A text with fewer words than a shingle has one, all its words.
+    """
+    parts = partitions(pairs.sparkSession)
+    limit = max(1000, math.ceil(pairs.count() / (2 * parts)))  # so at most 2 x parts leaders are hot
+    hot = pairs.groupBy("l").count().filter(F.col("count") > limit).select("l", F.ceil(F.col("count") / limit).cast("long").alias("salts"))
+    dealt = pairs.join(F.broadcast(hot), "l", "left").select("l", "n", F.pmod(F.xxhash64("n"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
+    members = dealt.join(texts, "n").select("l", "salt", F.lit(True).alias("member"), "n", "text")
+    leaders = dealt.select("l", "salt").distinct().join(texts.select(F.col("n").alias("l"), "text"), "l")
+    rows = members.union(leaders.select("l", "salt", F.lit(False), "l", "text"))
+    rows = rows.repartition(parts, "l", "salt").sortWithinPartitions("l", "salt", "member")
+
+    def hashed(text):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(found) < shingle:
+            return np.array([xxh64_intdigest(b" ".join(found))], np.uint64)
+        grams = map(b" ".join, zip(*(found[k:] for k in range(shingle))))
+        return np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(found) - shingle + 1))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own = None
+        for b in batches:
+            out = []
+            for l, member, n, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                if not member:
+                    own = hashed(text)
+                    continue
+                other = hashed(text)
+                if min(len(own), len(other)) >= similarity * max(len(own), len(other)):
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if both >= similarity * (len(own) + len(other) - both):
+                        out.append((l, n))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["l", "n"])
+
+    small_batches(pairs.sparkSession)
+    return rows.mapInArrow(tidy(run), "l long, n long")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, parts: int = PARTS, bits: int = BITS) -> DataFrame:
+    """The first document by doc_id (ids before null) of each group of equal or similar texts, with its own columns; repeated rows leave one.
+
+    Texts are told apart by 64 bits. Null, empty and blank texts are similar to
+    each other and to nothing else; ties, one id under several texts, go by the
+    text's hash; an empty table stays empty.
+    """
+    rows = sketches(docs, parts, bits)
+    first = F.min(F.struct(F.col("_lt_doc").isNull().alias("no"), F.col("_lt_doc").alias("doc"), F.col("_lt_text").alias("text")))
+    texts = stored(rows.groupBy("_lt_text").agg(first.alias("_lt_first"), F.first("_lt_parts").alias("_lt_parts")), "texts")
     keyed = docs.withColumn("_lt_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_lt_text", row_hash(F.col("text")))
-    return keyed.join(heads, ["_lt_doc", "_lt_text"], "left_semi").dropDuplicates(["_lt_doc", "_lt_text"]).select(*docs.columns)
+
+    def only(of: DataFrame, heads: DataFrame) -> DataFrame:
+        heads = heads.select(F.coalesce(F.col("_lt_first")["doc"], F.lit(NULL_ID)).alias("_lt_doc"), F.col("_lt_first")["text"].alias("_lt_text"))
+        return of.join(heads, ["_lt_doc", "_lt_text"], "left_semi").dropDuplicates(["_lt_doc", "_lt_text"])
+
+    pairs = stored(candidates(texts, bits), "pairs")
+    named = pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct()
+    met = only(keyed.select("_lt_doc", "_lt_text", "text"), texts.join(named, "_lt_text", "left_semi"))
+    met = stored(met.select(F.col("_lt_text").alias("n"), "text"), "met")
+    found = components(similar(pairs, met, similarity, shingle).toDF("a", "b"))
+    classed = texts.join(found, texts._lt_text == found.n, "left").groupBy(F.coalesce("l", "_lt_text").alias("_lt_class"))
+    return only(keyed, classed.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)

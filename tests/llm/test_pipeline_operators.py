@@ -339,13 +339,114 @@ def test_simhash(spark, docs, rows, no_docs):
         if i is not None:
             least[of[f]] = min(least.get(of[f], i), i)
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in out) == Counter((i, f"{f:016x}", least.get(of[f])) for i, f in fps)
-    kept = simhash.keep_one(docs).collect()
-    assert len(kept) == len(set(of.values()))
-    assert {of[brute_fingerprint(r.text)] for r in kept} == set(of.values())
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def brute_similar(texts, shingle=5, similarity=0.8):
+    """Group of each different text: linked where shingle sets have the Jaccard similarity or more, all pairs compared."""
+    grams = {}
+    for t in set(texts):
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        grams[t] = {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)}
+    group = {t: t for t in grams}
+
+    def find(t):
+        while group[t] != t:
+            t = group[t]
+        return t
+
+    ordered = sorted(grams, key=lambda t: t or "")
+    for i, a in enumerate(ordered):
+        for b in ordered[:i]:
+            both = len(grams[a] & grams[b])
+            if both >= similarity * (len(grams[a]) + len(grams[b]) - both):
+                group[find(a)] = find(b)
+    return {t: find(t) for t in grams}
+
+
+def brute_heads(rows):
+    """Ids (None where a group has none) of the first document of each group of similar texts; rows of (doc_id, text)."""
+    of = brute_similar([t for _, t in rows])
+    heads = {}
+    for i, t in rows:
+        heads.setdefault(of[t], []).append(i)
+    return Counter(min((i for i in ids if i is not None), default=None) for ids in heads.values())
+
+
+def test_keep_one(spark, docs, rows, no_docs):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert set(map(tuple, kept)) <= set(rows)
+    found, want = Counter(r.doc_id for r in kept), brute_heads([r[:2] for r in rows])
+    assert not want - found  # nothing goes that is not similar to what stays
+    removable = len(rows) - want.total()
+    assert found.total() - want.total() <= removable / 10  # fingerprints of words find nearly all that goes
     assert simhash.keep_one(no_docs).count() == 0
 
 
+def test_similar_is_exact(spark, docs, rows):
+    texts = docs.select(F.xxhash64("text").alias("n"), "text").dropDuplicates(["n"])
+    pairs = texts.select(F.col("n").alias("l")).crossJoin(texts.select("n")).filter("l < n")  # a small fixture: all pairs
+    found = {tuple(r) for r in simhash.similar(pairs, texts).collect()}
+    of = {r.n: r.text for r in texts.collect()}
+    grams = {}
+    for n, t in of.items():
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        grams[n] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+    assert found == {(a, b) for a in of for b in of if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+
+
+def test_keep_one_with_hot_groups(spark):
+    """Copies, light edits of one text, and texts of the same words in another order, which are not similar."""
+    import random
+
+    rnd = random.Random(11)
+    vocab = [f"w{k}" for k in range(4000)]
+    base = rnd.choices(vocab, k=300)
+    texts = [" ".join(base)] * 700
+    for _ in range(300):
+        edited = list(base)
+        for at in rnd.sample(range(300), rnd.randint(1, 2)):
+            edited[at] = rnd.choice(vocab)
+        texts.append(" ".join(edited))
+    texts += [" ".join(rnd.sample(base, 300)) for _ in range(20)]
+    texts += [" ".join(rnd.choices(vocab, k=120)) for _ in range(100)]
+    found = list(enumerate(texts))
+    rnd.shuffle(found)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in found], "doc_id long, text string, n string, _lt_n long").repartition(5)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == brute_heads(found)
+
+
+def test_leaders_are_those_of_all_balls(spark):
+    """Candidates against the definition: the least and the greatest text of the least and the greatest value in each ball."""
+    import random
+
+    rnd = random.Random(7)
+    texts = []
+    for k in range(60):
+        v = [rnd.getrandbits(6), rnd.getrandbits(40)]
+        texts += [(10 * k + j, [x ^ (1 << rnd.randrange(42) if rnd.random() < 0.6 else 0) for x in v]) for j in range(rnd.randint(1, 5))]
+    want = set()
+    for p in (0, 1):
+        nodes = defaultdict(list)
+        for n, v in texts:
+            nodes[v[p]].append(n)
+        balls = defaultdict(set)
+        for v in nodes:
+            for m in [0] + [1 << b for b in range(42)]:
+                balls[v ^ m].add(v)
+        for ball in balls.values():
+            for v in ball:
+                for end in (min(ball), max(ball)):
+                    want |= {(f(nodes[end]), n) for f in (min, max) for n in nodes[v]}
+    want = {(l, n) for l, n in want if l != n}
+    found = simhash.candidates(spark.createDataFrame(texts, "_lt_text long, _lt_parts array<long>"), 42)
+    assert Counter(map(tuple, found.collect())) == Counter(want)
+
+
 def test_links_and_components_on_random_balls(spark):
     import random
 

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from lectern.llm import queries as Q
-from tests.llm.test_pipeline_operators import brute_components, brute_fingerprint, brute_quality, brute_substrings, brute_targets
+from tests.llm.test_pipeline_operators import brute_quality, brute_similar, brute_substrings, brute_targets
 from tests.oracle import check, duck
 
 
@@ -30,10 +30,10 @@ def test_pipeline(spark, sf):
         stages.append(df.collect())
     good = [d for d in docs if (q := brute_quality(d.text))[0] >= 20 and 100 * q[4] <= 30 * q[0]]
     assert Counter(stages[0]) == Counter(good)  # no source of these tables fails as a whole
-    of = brute_components({brute_fingerprint(d.text) for d in good})
+    of = brute_similar([d.text for d in good])
     first = {}
     for d in sorted(good, key=lambda d: d.doc_id):
-        first.setdefault(of[brute_fingerprint(d.text)], d)
+        first.setdefault(of[d.text], d)
     assert Counter(stages[1]) == Counter(first.values())
     cut = brute_substrings([tuple(d) for d in first.values()], 20)
     left = {d.doc_id: (cut[d.doc_id, d.text][2] if cut[d.doc_id, d.text][1] else d.text) for d in first.values()}
