@@ -10,9 +10,10 @@ components follow by label propagation.
 differ in few words but in many shingles, so it hashes the set of words into
 three fingerprints of 42 bits, calls texts that meet in the ball of any of them
 candidates, and verifies these by the exact Jaccard similarity of their
-shingles. A text is compared with the least and the greatest of each of its
-balls, never with all of a ball; links between two others are found only
-through these or not at all. 126 bits suffice for some 10^8 different texts;
+shingles. A text is compared with the least and the greatest of its fingerprint,
+and these with the least of the least and the greatest fingerprint of each of
+their balls, never all with all; links between others are found only through
+these or not at all. 126 bits suffice for some 10^8 different texts;
 beyond that, chance meetings grow, and ``bits`` should grow by two for each
 doubling (64 at most).
 
@@ -173,10 +174,10 @@ def sketches(docs: DataFrame, parts: int = PARTS, bits: int = BITS) -> DataFrame
 
 
 def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
-    """Different pairs (l, n): each text n of texts (_lt_text, _lt_parts) with the leaders l of its balls of radius 1.
+    """Different pairs (l, n) of texts (_lt_text, _lt_parts): each n with the ends l of its value, ends of a value with those of its balls.
 
-    Equal fingerprints are one value, so a ball holds bits + 1 values at most;
-    values in many texts are joined by salted keys.
+    Equal fingerprints are one value, so a ball (radius 1) holds bits + 1 values
+    at most; values in many texts are joined by salted keys.
     """
     masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
     nodes = stored(texts.select(F.col("_lt_text").alias("n"), F.posexplode("_lt_parts").alias("p", "v")), "values")
@@ -187,13 +188,12 @@ def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
     value = F.col("ball").bitwiseXOR(F.col("m"))
     met = balls.withColumn("v", value).withColumn("low", F.min("v").over(over)).withColumn("high", F.max("v").over(over)).filter("low <> high")
     ends = met.select("p", "v", F.explode(F.array("low", "high")).alias("end")).filter("v <> end").distinct()
-    ends = ends.union(values.filter("_lt_n > 1").select("p", "v", F.col("v").alias("end")))
-    heads = values.select("p", F.col("v").alias("end"), "least", "most")
-    leaders = ends.join(heads, ["p", "end"]).groupBy("p", "v").agg(F.collect_set("least").alias("a"), F.collect_set("most").alias("b"))
+    first = values.select("p", F.col("v").alias("end"), F.col("least").alias("l"))
+    between = ends.join(first, ["p", "end"]).join(values, ["p", "v"]).select("l", F.explode(F.array_distinct(F.array("least", "most"))).alias("n"))
     key = F.struct("p", "v").alias("k")
-    leaders = stored(leaders.join(values.select("p", "v", "_lt_n"), ["p", "v"]).select(key, F.array_union("a", "b").alias("leaders"), "_lt_n"), "leaders")
-    pairs = skew_join(nodes.select("n", key), leaders, "k", "_lt_n", F.xxhash64("n"), "inner")
-    return pairs.select(F.explode("leaders").alias("l"), "n").filter("l <> n").distinct()
+    shared = values.filter("_lt_n > 1").select(key, F.array("least", "most").alias("leaders"), "_lt_n")
+    within = skew_join(nodes.select("n", key), shared, "k", "_lt_n", F.xxhash64("n"), "inner")
+    return between.union(within.select(F.explode("leaders").alias("l"), "n")).filter("l <> n").distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:

@@ -421,7 +421,7 @@ def test_keep_one_with_hot_groups(spark):
 
 
 def test_leaders_are_those_of_all_balls(spark):
-    """Candidates against the definition: the least and the greatest text of the least and the greatest value in each ball."""
+    """Candidates against the definition: ends of a value with its texts, and with the least text of the ends of each of its balls."""
     import random
 
     rnd = random.Random(7)
@@ -441,7 +441,8 @@ def test_leaders_are_those_of_all_balls(spark):
         for ball in balls.values():
             for v in ball:
                 for end in (min(ball), max(ball)):
-                    want |= {(f(nodes[end]), n) for f in (min, max) for n in nodes[v]}
+                    want |= {(min(nodes[end]), f(nodes[v])) for f in (min, max) if end != v}
+        want |= {(f(same), n) for same in nodes.values() for f in (min, max) for n in same}
     want = {(l, n) for l, n in want if l != n}
     found = simhash.candidates(spark.createDataFrame(texts, "_lt_text long, _lt_parts array<long>"), 42)
     assert Counter(map(tuple, found.collect())) == Counter(want)
