@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language, lm, merkle, mixing, quality, sharding, simhash, substrings, warc
+from lectern.llm import bpe, language, lm, manifest, merkle, mixing, quality, sharding, simhash, spelling, substrings, warc
 from lectern.llm.common import read
 from lectern.llm.sql import oracle_sql  # noqa: F401  part of this module's interface
 
@@ -67,5 +67,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides the id's crc32, the text's A to Z are in lower case when the row is held against its proof."""
+    docs = read(spark, sf_dir, "documents").select(*manifest.COLUMNS)
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    text = F.translate("text", spelling.UPPER, spelling.LOWER)
+    return manifest.verified(docs, changed, [text if c == "text" else F.col(c) for c in manifest.COLUMNS])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash, op12_spelling, op13_manifest)}

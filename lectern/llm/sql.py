@@ -88,5 +88,70 @@ OP9 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM h"""
 
 
+#: CRC-32 by a table made from its polynomial, as SQL doesn't have it: crc.t, and of a text.
+CRC = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS t)"""
+
+
+def _crc(text: str) -> str:
+    raw = f"hex(encode({text}))"
+    data = f"list_transform(range(length({raw}) // 2), lambda k: CAST('0x' || substr({raw}, 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, crc.t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# Near words by patterns: of one length with one letter left open, or the longer one without a letter.
+OP12 = f"""WITH {CRC},
+r0 AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents),
+r1 AS (SELECT doc_id, {_LOWER.format("r")} AS r, count(*) AS n FROM r0 WHERE length(r) >= 6 GROUP BY ALL),
+r2 AS (SELECT r, n, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r")} AS h FROM r1, crc),
+r3 AS (SELECT CASE WHEN h % 199 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM r2),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r3 WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+p AS (SELECT word, n, i, left(word, i) || '?' || substr(word, i + 2) AS open, left(word, i) || substr(word, i + 2) AS less FROM cut),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM p a JOIN p b ON a.open = b.open AND a.word <> b.word
+UNION SELECT p.word, w.word, w.n FROM p JOIN w ON p.less = w.word UNION SELECT w.word, p.word, p.n FROM p JOIN w ON p.less = w.word),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS k, min(other) FILTER (other_n = m) AS best FROM (SELECT *, max(other_n) OVER (PARTITION BY word) AS m FROM near) GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN k >= 5 * w.n THEN best END AS form, CASE WHEN k >= 5 * w.n THEN k END AS form_n FROM w LEFT JOIN best USING (word)),
+up AS (WITH RECURSIVE u(word, top) AS (SELECT word, word FROM f UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.top WHERE f.form IS NOT NULL) SELECT * FROM u)
+SELECT f.word, f.form, up.top AS root, f.n, f.n_near, f.form_n FROM f JOIN up ON up.word = f.word JOIN f g ON g.word = up.top AND g.form IS NULL"""
+
+
+def _leaf(text: str = "text") -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels(name: str, leaves: str, tree: str, count: int) -> str:
+    """CTEs name0 ... with the nodes of each level, (tree, i, n, h); a level without a row less than 16 nodes wide ends in one."""
+    out = [f"{name}0 AS ({leaves})"]
+    for k in range(count):
+        out.append(f"{name}{k + 1} AS (SELECT {tree}, i // 16 AS i, (max(n) + 15) // 16 AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{k} GROUP BY {tree}, i // 16)")
+        out.append(f"{name}g{k} AS (SELECT {tree} AS g, i // 16 AS run, max(n) AS n, list(h ORDER BY i) AS m FROM {name}{k} GROUP BY ALL)")
+    return ", ".join(out)
+
+
+def _climb(out: str, of: str, name: str, tree: str, at: str, count: int) -> str:
+    """CTEs that take acc and sib of each row of a table up the levels of a tree, from place at."""
+    steps = [of] + [f"{out}{k}" for k in range(1, count + 1)]
+    body = []
+    for k in range(count):
+        place = f"({at} // {16**k}) % 16"
+        left, right = f"array_to_string(m[1 : {place}], '')", f"array_to_string(m[{place} + 2 :], '')"
+        body.append(f"{out}{k + 1} AS (SELECT s.* EXCLUDE (acc, sib), CASE WHEN n = 1 THEN acc ELSE sha256({left} || acc || {right}) END AS acc, CASE WHEN n = 1 THEN sib ELSE sib || {left} || {right} END AS sib FROM {steps[k]} s JOIN {name}g{k} ON g IS NOT DISTINCT FROM s.{tree} AND run = s.{at} // {16 ** (k + 1)})")
+    return ", ".join(body)
+
+
+# Four levels over 65536 rows of a source, three over 4096 sources.
+OP13 = f"""WITH {CRC}, d AS (SELECT doc_id, source AS src, {_leaf()} AS h, CASE WHEN {_crc("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 0 AND doc_id IS NOT NULL THEN {_leaf(_LOWER.format("text"))} END AS changed FROM documents, crc),
+l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS place FROM d),
+{_levels("a", "SELECT src, place AS i, count(*) OVER (PARTITION BY src) AS n, h FROM l", "src", 4)},
+subs AS (SELECT src, h, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS rank FROM a4),
+{_levels("b", "SELECT 0 AS t, rank AS i, count(*) OVER () AS n, h FROM subs", "t", 3)},
+s AS (SELECT doc_id, l.src, l.h AS leaf, place, subs.h AS subroot, rank, 0 AS t, coalesce(changed, l.h) AS acc, '' AS sib FROM l JOIN subs ON subs.src IS NOT DISTINCT FROM l.src),
+{_climb("x", "s", "a", "src", "place", 4)}, {_climb("y", "x4", "b", "t", "rank", 3)}
+SELECT doc_id, leaf, subroot, b3.h AS root, sha256(sib) AS proof_sha256, acc AS folded_root, acc = b3.h AS verified FROM y3, b3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substrings": OP3, "op7_merkle": OP7, "op8_quality": OP8, "op9_warc": OP9}
+    return {"op3_substrings": OP3, "op7_merkle": OP7, "op8_quality": OP8, "op9_warc": OP9, "op12_spelling": OP12, "op13_manifest": OP13}
