@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, language, lm, manifest, merkle, mixing, quality, sharding, simhash, spelling, substrings, warc
+from lectern.llm import bpe, language, lm, manifest, merkle, mixing, pii, quality, sharding, simhash, spelling, substrings, warc
 from lectern.llm.common import read
 from lectern.llm.sql import oracle_sql  # noqa: F401  part of this module's interface
 
@@ -67,6 +67,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the spans of the rules, as base_sha256 does; n_added those that the tagger adds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    all_ = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"]).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text(all_).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,4 +90,4 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash, op12_spelling, op13_manifest)}
+    return {f.__name__: f for f in (op1_language, op2_bpe, op3_substrings, op4_sharding, op5_lm, op6_mixing, op7_merkle, op8_quality, op9_warc, op10_simhash, op11_pii, op12_spelling, op13_manifest)}
