@@ -92,9 +92,9 @@ class Trees:
 
 
 def grown(nodes: DataFrame) -> Trees:
-    """All levels over the leaves nodes (_lt_tree, _lt_nth, _lt_n, _lt_hash; stored), each written."""
-    levels = [nodes.select(*NODE, "_lt_n", "_lt_hash")]
-    most = levels[0].agg(F.max("_lt_n")).first()[0] or 0
+    """All levels over the leaves nodes (_lt_tree, _lt_nth, _lt_n, _lt_hash, ...; stored), each written."""
+    levels = [nodes]
+    most = nodes.agg(F.max("_lt_n")).first()[0] or 0
     while most > 1:
         levels.append(stored(parents(levels[-1]), "nodes"))
         most = -(-most // FAN)
@@ -105,31 +105,32 @@ def siblings(nodes: DataFrame) -> DataFrame:
     """(_lt_tree, _lt_nth, _lt_step): for each node of a level its siblings' digests to the left and to the right, by their coordinates."""
     first = F.expr(f"{FAN} * (_lt_nth div {FAN})")
     coordinates = F.array_except(F.sequence(first, F.least(first + FAN, F.col("_lt_n")) - 1), F.array("_lt_nth"))
-    asked = nodes.where("_lt_n > 1").select("_lt_tree", F.col("_lt_nth").alias("_lt_own"), F.explode(coordinates).alias("_lt_nth"))
-    met = asked.join(nodes.select(*NODE, "_lt_hash").hint("merge"), NODE)
-    found = met.groupBy("_lt_tree", "_lt_own").agg(F.sort_array(F.collect_list(F.struct("_lt_nth", "_lt_hash"))).alias("_lt_s"))
+    asked = nodes.where("_lt_n > 1").select("_lt_tree", F.col("_lt_nth").alias("_lt_own"), F.explode_outer(coordinates).alias("_lt_nth"))
+    met = asked.join(nodes.select(*NODE, "_lt_hash").hint("merge"), NODE, "left")
+    found = met.groupBy("_lt_tree", "_lt_own").agg(F.sort_array(F.collect_list(F.when(F.col("_lt_nth").isNotNull(), F.struct("_lt_nth", "_lt_hash")))).alias("_lt_s"))
     side = lambda keep: F.aggregate(F.filter("_lt_s", keep), F.unhex(F.lit("")), lambda acc, s: F.concat(acc, s["_lt_hash"]))
     own = F.col("_lt_own")
     return found.select("_lt_tree", own.alias("_lt_nth"), F.struct(side(lambda s: s["_lt_nth"] < own).alias("left"), side(lambda s: s["_lt_nth"] > own).alias("right")).alias("_lt_step"))
 
 
 def paths(trees: Trees, tops: DataFrame) -> DataFrame:
-    """The leaves (_lt_tree, _lt_nth) with _lt_path, steps from leaf to root, and what else tops carry.
+    """The leaves with _lt_path, steps from leaf to root, and what else tops carry.
 
     tops: (_lt_tree, _lt_level, _lt_path, ...), where the paths of trees end, a
     row for each tree. Paths go down a level at a time.
     """
     rest = [c for c in tops.columns if c not in ("_lt_tree", "_lt_level")]
     above = None
-    alone = F.struct(F.unhex(F.lit("")).alias("left"), F.unhex(F.lit("")).alias("right"))
     for k in reversed(range(len(trees.levels))):
-        here = tops.where(F.col("_lt_level") == k).select("_lt_tree", F.lit(0).cast("long").alias("_lt_nth"), *rest)
+        nodes = trees.levels[k]
+        own = [c for c in nodes.columns if c != "_lt_n"] if k == 0 else NODE
+        here = nodes.where("_lt_n = 1").join(tops.where(F.col("_lt_level") == k), "_lt_tree").select(*own, *rest)
         if above is not None:
-            nodes = trees.levels[k]
-            own = nodes.where("_lt_n > 1").select(*NODE).join(siblings(nodes), NODE, "left").withColumn("_lt_run", F.expr(f"_lt_nth div {FAN}"))
-            down = own.join(above.withColumnRenamed("_lt_nth", "_lt_run").hint("merge"), ["_lt_tree", "_lt_run"])
-            longer = F.concat(F.array(F.coalesce("_lt_step", alone)), F.col("_lt_path"))
-            here = here.unionByName(down.select(*NODE, *[longer.alias(c) if c == "_lt_path" else c for c in rest]))
+            # The siblings lie where their node's row goes; all sizes take the same way.
+            steps = nodes.where("_lt_n > 1").select(*own).join(siblings(nodes).hint("merge"), NODE).withColumn("_lt_run", F.expr(f"_lt_nth div {FAN}"))
+            down = steps.join(above.withColumnRenamed("_lt_nth", "_lt_run").hint("merge"), ["_lt_tree", "_lt_run"])
+            longer = F.concat(F.array("_lt_step"), F.col("_lt_path"))
+            here = here.unionByName(down.select(*own, *[longer.alias(c) if c == "_lt_path" else c for c in rest]))
         above = stored(here, "paths") if k else here
     return above
 
@@ -152,12 +153,12 @@ def manifest(leaves: DataFrame, order: list[str]) -> DataFrame:
     rows = stored(numbered(leaves, "_lt_tree", [*order, "_lt_hash"]), "leaves")
     trees = grown(rows)
     subroots = stored(trees.tops(), "subroots")
-    named = subroots.select(F.lit("").alias("_lt_tree"), F.col("_lt_tree").alias("_lt_name"), "_lt_level", "_lt_hash")
+    named = subroots.select(F.lit("").alias("_lt_tree"), F.col("_lt_tree").alias("_lt_name"), F.col("_lt_level").alias("_lt_top"), "_lt_hash")
     upper = stored(numbered(named, "_lt_tree", ["_lt_name"]), "upper")
     over = grown(upper)
     top = over.tops().withColumn("root", F.col("_lt_hash")).withColumn("_lt_path", F.array().cast(PATH)).drop("_lt_hash")
-    ends = paths(over, top).join(upper, NODE).select(F.col("_lt_name").alias("_lt_tree"), "_lt_level", F.col("_lt_hash").alias("subroot"), "root", "_lt_path")
-    return rows.drop("_lt_n").join(paths(trees, stored(ends, "ends")).hint("merge"), NODE)
+    ends = paths(over, top).select(F.col("_lt_name").alias("_lt_tree"), F.col("_lt_top").alias("_lt_level"), F.col("_lt_hash").alias("subroot"), "root", "_lt_path")
+    return paths(trees, stored(ends, "ends"))
 
 
 def verified(docs: DataFrame, changed: Column, sides: list[Column], columns: tuple = COLUMNS) -> DataFrame:
