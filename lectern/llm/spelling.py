@@ -3,9 +3,12 @@
 Each word has a mask with a bit for each letter, set where the letter occurs an
 odd number of times. One inserted or deleted letter flips one bit, a replaced
 one two at most, so of three bands of the mask one at least stays as it is.
-Words meet where a band and a length are equal (a word also offers itself to
-words shorter by one); a pair is taken at the first of its equal bands, passes if
-the masks differ in two bits at most, and is verified letter by letter.
+Words meet where a band, the length (a word also offers itself to words shorter
+by one) and one half of the letters are equal, as an edit leaves one half as it
+is; a pair is taken at the first of its equal bands and halves, passes if the
+masks differ in two bits at most, and is verified by its edit distance. Without
+the halves the pairs that meet, and the time, grow with the square of the
+vocabulary.
 
 A word's form is its most frequent near word, if that is ``ratio`` times as
 frequent at least. Frequencies grow along forms, so these end in a root, found by
@@ -25,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import partitions, stored, tidy
+from lectern.llm.common import partitions, stored
 
 #: A word's letters; A to Z are lower-cased, no others are.
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -34,8 +37,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TYPOS = 199
 LEAST_CHARS, LEAST_COUNT, RATIO = 6, 5, 5
 BANDS = 3
-#: Pairs that a bucket may cost, whatever the cluster, before it is split; rows compared at a time.
-LEAST_CELL, ROWS = 1 << 24, 50_000
+#: Pairs that a bucket may cost, whatever the cluster, before it is dealt out.
+LEAST_COST = 1_000_000
 
 
 def lowered(run: Column) -> Column:
@@ -67,102 +70,44 @@ def masked(words: DataFrame) -> DataFrame:
     return rows.withColumns({f"m{b}": band(b) for b in range(BANDS)}).drop("_lt_at")
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether b, as long as a or longer by one, is one edit away."""
-    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a != b and a[k + (len(a) == len(b)) :] == b[k + 1 :]
-
-
-def met(rows, pairs: int = 1 << 21):
-    """Pairs of row numbers (a, b) that pass the filters: rows, whole buckets in order, have columns cell (number), side, band, length and mask (of the other bands)."""
-    import numpy as np
-
-    cell, side, band, length, mask = rows
-    first, ends = np.searchsorted(cell, cell, "left"), np.searchsorted(cell, cell, "right")
-    a = np.flatnonzero(side == 0)
-    # Within a bucket those that offer themselves (side 1) come after the others.
-    offers = np.concatenate([[0], np.cumsum(side == 0)])
-    start = first[a] + offers[ends[a]] - offers[first[a]]
-    count = ends[a] - start
-    total = np.cumsum(count)
-    at = 0
-    while at < len(a):
-        done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + pairs, "right")))
-        n = count[at:to]
-        left = np.repeat(a[at:to], n)
-        right = np.repeat(start[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        flips = mask[left] ^ mask[right]
-        good = np.bitwise_count(flips) <= 2
-        left, right, flips = left[good], right[good], flips[good]
-        # Of several equal bands the first one counts: band 1 if band 0 differs, band 2 if both do.
-        low, high = (flips & ((1 << 30) - 1)) != 0, (flips >> 30) != 0
-        good = (band[left] == 0) | (low & ((band[left] == 1) | high))
-        yield left[good], right[good]
-        at = to
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), once for each two of words (word, n; different words) that are one edit apart.
 
-    A bucket (band, its value, a length) is compared in one task, row by row of
-    numpy arrays; one that would cost more than a fair part becomes a square of
-    cells, each row in a row or a column of them.
+    A bucket that would cost more than a fair part is dealt over several tasks,
+    its shorter words copied to each.
     """
     rows = stored(masked(words), "masks")
-    rest = [(1, 2), (0, 2), (0, 1)]
-    other = lambda b: F.col(f"m{rest[b][0]}").bitwiseOR(F.shiftleft(f"m{rest[b][1]}", 30))
-    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value"), other(b).alias("mask")) for b in range(BANDS)]))
-    keyed = rows.withColumn("_lt_band", bands).select("word", "n", "length", "_lt_band.*")
-    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), at.alias("at")) for s, at in ((0, F.col("length")), (1, F.col("length")), (1, F.col("length") - 1))]))
-    keyed = keyed.withColumn("_lt_side", sides).select("word", "n", "length", "band", "value", "mask", "_lt_side.*")
-    key = ["band", "value", "at"]
-    cost = F.count_if(F.col("side") == 0) * F.count_if(F.col("side") == 1)
-    sizes = stored(keyed.groupBy(*key).agg(cost.alias("cost")), "buckets")
-    total = sizes.agg(F.sum("cost")).first()[0] or 0
-    parts = partitions(words.sparkSession)
-    limit = max(LEAST_CELL, math.ceil(total / (4 * parts)))  # so at most 4 x partitions buckets are split
-    hot = F.broadcast(sizes.where(F.col("cost") > limit).select(*key, F.ceil(F.sqrt(F.col("cost") / limit)).cast("int").alias("cells")))
-    cells = F.coalesce("cells", F.lit(1))
-    own = F.pmod(F.xxhash64("word"), cells.cast("long")).cast("int")
-    cell = F.when(F.col("side") == 0, own * cells + F.col("k")).otherwise(F.col("k") * cells + own)
-    dealt = keyed.join(hot, key, "left").withColumn("k", F.explode(F.sequence(F.lit(0), cells - 1))).withColumn("cell", cell)
-    order = [*key, "cell"]
-    dealt = dealt.select(*order, "side", "word", "n", "mask", "length").repartition(parts, *order).sortWithinPartitions(*order, "side")
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def found(table):
-            keys = [table.column(c).to_numpy() for c in order]
-            new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            number = np.concatenate([[0], np.cumsum(new)])
-            rows = (number, *(table.column(c).to_numpy() for c in ("side", "band", "length", "mask")))
-            word, n, lengths = table.column("word"), table.column("n").to_numpy(), rows[3]
-            for left, right in met(rows):
-                a, b = word.take(pa.array(left)).to_pylist(), word.take(pa.array(right)).to_pylist()
-                ordered = (lengths[right] > lengths[left]).tolist()
-                good = np.array([k for k, (x, y, o) in enumerate(zip(a, b, ordered)) if (o or x < y) and one_edit(x, y)], np.int64)
-                out = [pa.array([a[k] for k in good], pa.string()), pa.array(n[left[good]]), pa.array([b[k] for k in good], pa.string()), pa.array(n[right[good]])]
-                yield pa.RecordBatch.from_arrays(out, ["a", "a_n", "b", "b_n"])
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += len(batch)
-            if size >= ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                same = np.all([(k := table.column(c).to_numpy()) == k[-1] for c in order], axis=0)
-                cut = len(table) - int(same[::-1].argmin() if not same.all() else len(table))
-                if cut:
-                    yield from found(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-                size = 0
-        if held and (table := pa.Table.from_batches(held).combine_chunks()).num_rows:
-            yield from found(table)
-
-    return dealt.mapInArrow(tidy(run), "a string, a_n long, b string, b_n long")
+    masks = [f"m{b}" for b in range(BANDS)]
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(m).alias("value")) for b, m in enumerate(masks)]))
+    keyed = rows.withColumn("_lt_band", bands).select("word", "n", "length", *masks, "_lt_band.*")
+
+    def halves(at):
+        """The word as one of at letters or, if it is longer, as what one of at letters may have become: its first half, its second."""
+        half = (at / 2).cast("int")
+        both = F.array(F.struct(F.lit(0).alias("half"), F.left("word", half).alias("part")), F.struct(F.lit(1).alias("half"), F.right("word", at - half).alias("part")))
+        return F.transform(both, lambda x: F.struct(x["half"].alias("half"), F.xxhash64("value", at, x["part"]).alias("bucket")))
+
+    key = ["band", "half", "bucket"]
+    word = F.struct("word", "n", "length", *masks)
+    short = keyed.select("band", F.inline(halves(F.col("length"))), word.alias("a"))
+    long = keyed.select("band", F.inline(F.concat(halves(F.col("length")), halves(F.col("length") - 1))), word.alias("b"))
+    sizes = short.groupBy(*key).agg(F.count("*").alias("s")).join(long.groupBy(*key).agg(F.count("*").alias("l")), key)
+    sizes = stored(sizes.where("s * l > 100"), "buckets")
+    total = sizes.agg(F.sum(F.col("s") * F.col("l"))).first()[0] or 0
+    limit = max(LEAST_COST, math.ceil(total / (4 * partitions(words.sparkSession))))  # so at most 4 x partitions buckets are hot
+    hot = F.broadcast(sizes.where(F.col("s") * F.col("l") > limit).select(*key, F.least(F.col("l"), F.ceil(F.col("s") * F.col("l") / limit)).cast("long").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    b = long.join(hot, key, "left").select(*key, F.pmod(F.xxhash64("b.word"), salts).alias("salt"), "b")
+    a = short.join(hot, key, "left").select(*key, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "a")
+    same = lambda m: F.col(f"a.{m}") == F.col(f"b.{m}")
+    first = (F.col("band") == 0) | ((F.col("band") == 1) & ~same("m0")) | ((F.col("band") == 2) & ~same("m0") & ~same("m1"))
+    middle = (F.col("a.length") / 2).cast("int")
+    once = (F.col("half") == 0) | (F.left("a.word", middle) != F.left("b.word", middle))
+    flips = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in masks), F.lit(0))
+    ordered = (F.col("b.length") == F.col("a.length") + 1) | ((F.col("b.length") == F.col("a.length")) & (F.col("a.word") < F.col("b.word")))
+    met = a.join(b.hint("merge"), [*key, "salt"]).where(ordered & first & once & (flips <= 2))
+    pairs = met.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
+    return pairs.where(F.levenshtein("a", "b", 1) == 1)
 
 
 def rooted(links: DataFrame) -> DataFrame:
