@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.references import AMBIGUOUS, BOOKS, EXTERNAL_WORKS, GRAMMAR, TARGET, parsed, rendered, target_key, verses
 from lectern.functions.text import digest, stable_id
+from lectern.operators import digests
 
 
 def expected_references(structure: DataFrame, work: str = "bofm") -> DataFrame:
@@ -158,10 +159,9 @@ def canonical_projection(passages: DataFrame) -> DataFrame:
     return passages.select("canonical_order", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("line"))
 
 
-def rolled_digest(lines: DataFrame, order: str, line: str, group: int = 1000) -> DataFrame:
-    """One digest of ordered lines: of each thousand, then of those, so no task holds all lines."""
-    parts = lines.groupBy(F.floor(F.col(order) / group).alias("g")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n"), 256).alias("d"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("normalized_digest"))
+def rolled_digest(lines: DataFrame, order: str, line: str) -> DataFrame:
+    """(normalized_digest): the root of the lines' digest tree, by their order; a null line is an empty one."""
+    return digests.rolled(lines, F.col(order), F.coalesce(line, F.lit(""))).select(F.col("digest").alias("normalized_digest"))
 
 
 def review_lines(passages: DataFrame, location: Column) -> DataFrame:
@@ -170,11 +170,10 @@ def review_lines(passages: DataFrame, location: Column) -> DataFrame:
     return passages.select(location.alias("location"), "canonical_order", line.alias("line"))
 
 
-def review_groups(passages: DataFrame, location: Column, group: int = 1000) -> DataFrame:
-    """(location, n_passages, body): body is one digest of a location's lines, rolled over digests of blocks of a thousand orders."""
-    rows = review_lines(passages, location).select("location", F.floor(F.col("canonical_order") / group).alias("g"), F.struct("canonical_order", F.sha2("line", 256).alias("h")).alias("x"))
-    blocks = rows.groupBy("location", "g").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "\n"), 256).alias("d"))
-    return blocks.groupBy("location").agg(F.sum("n").alias("n_passages"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("body"))
+def review_groups(passages: DataFrame, location: Column) -> DataFrame:
+    """(location, n_passages, body): body is the root of a digest tree over a location's lines, by canonical order."""
+    rows = digests.rolled(review_lines(passages, location), F.col("canonical_order"), F.coalesce("line", F.lit("")), ["location"])
+    return rows.select("location", F.col("n").alias("n_passages"), F.col("digest").alias("body"))
 
 
 def overlays(passages: DataFrame) -> DataFrame:

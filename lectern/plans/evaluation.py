@@ -26,7 +26,7 @@ def rankings(snapshot: Snapshot, cases: DataFrame, depth: int = 1) -> DataFrame:
     ids = F.broadcast(spark.createDataFrame([(i, r.case_id) for i, r in enumerate(rows)], "query_id int, case_id string"))
     queries = {i: search.compiled(r["query"]) for i, r in enumerate(rows)}
     units = snapshot.table("units").select("reference", "canonical_order", "book")
-    found = search.search_all(snapshot.table("postings"), snapshot.table("stats"), queries).join(ids, "query_id").join(units, F.col("doc") == F.col("canonical_order"))
+    found = search.search_all(snapshot.table("blocks"), snapshot.table("stats"), queries).join(ids, "query_id").join(units, F.col("doc") == F.col("canonical_order"))
     if "filters" in cases.columns:
         found = found.join(cases.select("case_id", "filters"), "case_id").where("filters.books IS NULL OR array_contains(filters.books, book)")
     pool = evaluate.ranked(found, ["raw_score", "canonical_order"]).where(F.col("rank") <= int(snapshot.record["config"]["lexical"]["candidate_pool_size"]))

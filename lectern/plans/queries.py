@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import references as R
 from lectern.functions import text as X
+from lectern.operators import digests as D
 from lectern.operators import evaluate as E
 from lectern.operators import graph as G
 from lectern.operators import ingest as I
@@ -15,7 +16,9 @@ from lectern.operators import layout as L
 from lectern.operators import lookup as K
 from lectern.operators import search as S
 from lectern.operators import validate as V
+from lectern.operators.digests import FAN
 from lectern.plans import tables as T
+from lectern.shared import kept
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,13 +102,14 @@ def scalar_functions(spark, sf):
 
 @query(f"WITH {POSTINGS} SELECT DISTINCT term FROM post")
 def index_vocab(spark, sf):
-    return S.postings(S.tokenized(T.units(spark, sf))).select("term").distinct()
+    return T.index(spark, sf)["blocks"].select("term").distinct()
 
 
 @query(f"WITH {POSTINGS} SELECT term, count(DISTINCT doc) AS df, count(*) AS cf, max(n_docs) AS n_docs, round(max(avgdl), 9) AS avgdl FROM post, stats GROUP BY term")
 def bm25_stats(spark, sf):
-    toks = S.tokenized(T.units(spark, sf))
-    return S.postings(toks).groupBy("term").agg(F.count_distinct("doc").alias("df"), F.count("*").alias("cf")).crossJoin(F.broadcast(S.statistics(toks))).withColumn("avgdl", F.round("avgdl", 9))
+    index = T.index(spark, sf)
+    cf = F.aggregate("docs", F.lit(0).cast("long"), lambda acc, d: acc + F.size(d["pos"]))
+    return index["blocks"].groupBy("term").agg(F.sum("n").alias("df"), F.sum(cf).alias("cf")).crossJoin(F.broadcast(index["stats"])).withColumn("avgdl", F.round("avgdl", 9))
 
 
 def _sql_search(pieces: list[list[str]], prefix: bool = False, distance: int | None = None) -> str:
@@ -127,9 +131,15 @@ hits AS (SELECT doc, sum(part ORDER BY piece) AS raw_score FROM sc GROUP BY doc
 
 
 def _hits(spark, sf, text, mode="terms", distance=None):
-    units = T.units(spark, sf)
-    toks = S.tokenized(units)
-    return S.with_units(S.search(toks, S.statistics(toks), text, mode, distance), units.select("canonical_order", "reference", "book"))
+    index = T.index(spark, sf)
+    return S.with_units(S.search(index["blocks"], index["stats"], text, mode, distance), index["units"].select("canonical_order", "reference", "book"))
+
+
+def _best(spark, sf, text, limit, keep=lambda hits: hits):
+    """The best hits of a query, scores rounded as their order is; only blocks that can reach them are read."""
+    index = T.index(spark, sf)
+    at = lambda hits: keep(hits.select(F.col("doc").alias("canonical_order"), F.round("raw_score", 12).alias("raw_score")))
+    return S.top(at(S.best(index["blocks"], index["stats"], text, limit, at)[0]), limit)
 
 
 def _rounded(found):
@@ -184,17 +194,22 @@ _TOP = "SELECT reference, canonical_order, round(raw_score, 9) AS raw_score, row
 
 @query(f"WITH {_sql_search([['the'], ['thing']])} SELECT * FROM ({_TOP}) WHERE rank <= 21")
 def search_topk(spark, sf):
-    found = _hits(spark, sf, "the thing").withColumn("raw_score", F.round("raw_score", 12))
-    top = S.top(found, 20)
-    return _rounded(top).withColumn("rank", F.row_number().over(W.orderBy("raw_score", "canonical_order")).cast("long"))
+    return _placed(spark, sf, _best(spark, sf, "the thing", 20))
+
+
+def _placed(spark, sf, top, before=0):
+    """Top hits with their references and ranks."""
+    units = T.index(spark, sf)["units"].select("canonical_order", "reference")
+    rank = F.row_number().over(W.orderBy("raw_score", "canonical_order")).cast("long") + before
+    return _rounded(top.join(units, "canonical_order")).withColumn("rank", rank)
 
 
 @query(f"WITH {_sql_search([['the'], ['thing']])}, t AS ({_TOP}) SELECT * FROM t WHERE rank BETWEEN 11 AND 21")
 def search_keyset_page(spark, sf):
-    found = _hits(spark, sf, "the thing").withColumn("raw_score", F.round("raw_score", 12))
-    last = found.orderBy("raw_score", "canonical_order").limit(10).collect()
-    page = S.top(S.after(found, last[-1].raw_score, last[-1].canonical_order), 10) if last else found.limit(0)
-    return _rounded(page).withColumn("rank", F.row_number().over(W.orderBy("raw_score", "canonical_order")).cast("long") + 10)
+    last = _best(spark, sf, "the thing", 9).collect()
+    if not last:
+        return _placed(spark, sf, _best(spark, sf, "the thing", 10))
+    return _placed(spark, sf, _best(spark, sf, "the thing", 10, lambda hits: S.after(hits, last[-1].raw_score, last[-1].canonical_order)), 10)
 
 
 # References, lists of them, edges
@@ -358,10 +373,8 @@ def _cites(units):
 
 
 def _candidates(spark, sf, text="erin thing"):
-    units = T.units(spark, sf)
-    toks = S.tokenized(units)
-    found = S.search(toks, S.statistics(toks), text).select(F.col("doc").alias("canonical_order"), F.round("raw_score", 12).alias("raw_score"))
-    pool = found.orderBy("raw_score", "canonical_order").limit(100)
+    units = T.index(spark, sf)["units"].select("canonical_order", "reference")
+    pool = _best(spark, sf, text, 99)
     seeds = pool.withColumn("seed_rank", F.row_number().over(W.orderBy("raw_score", "canonical_order")))
     cited = seeds.join(_cites(units), F.col("canonical_order") == F.col("src")).where("dst <> src").select(F.col("dst").alias("canonical_order"), "seed_rank", F.array(F.col("src").cast("string")).alias("path"))
     return G.merged(pool, cited), units
@@ -418,9 +431,13 @@ def _expected(spark):
     return I.expected_references(_structure(spark))
 
 
-@query(f"WITH {EXPECTED} SELECT reference, canonical_order FROM expected")
+@query("""WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), k AS (SELECT *, dense_rank() OVER (ORDER BY lang) AS b, row_number() OVER (PARTITION BY lang ORDER BY source) AS chapter FROM c),
+e AS (SELECT *, unnest(range(1, n + 1)) AS verse FROM k) SELECT 'doc/' || coalesce(lang, 'none') || '/' || chapter || '/' || verse AS reference, row_number() OVER (ORDER BY b, chapter, verse) - 1 AS canonical_order FROM e""")
 def expected_references(spark, sf):
-    return _expected(spark)
+    """The structure that documents make: languages as books, sources as chapters, as many verses as documents."""
+    chapters = T.table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").cast("int").alias("n"))
+    structure = chapters.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "n"))), lambda x: x["n"]).alias("counts"))
+    return I.expected_references(structure.select(F.col("lang").alias("book_ord"), F.coalesce("lang", F.lit("none")).alias("book"), "counts"), "doc")
 
 
 @query(f"WITH {EXPECTED}, {PASSAGES} SELECT o_orderkey, p.reference, coalesce(e.canonical_order, (SELECT count(*) FROM expected)) AS canonical_order FROM passages p LEFT JOIN expected e USING (reference)")
@@ -528,8 +545,16 @@ def canonical_projection(spark, sf):
     return I.canonical_projection(T.hashed_units(spark, sf)).withColumn("line", F.sha2("line", 256))
 
 
-@query(f"""WITH {UNITS}, l AS (SELECT canonical_order, sha256(text) AS h FROM units), g AS (SELECT canonical_order // 1000 AS g, sha256(string_agg(h, chr(10) ORDER BY canonical_order)) AS d FROM l GROUP BY g)
-SELECT sha256(string_agg(d, '' ORDER BY g)) AS normalized_digest FROM g""")
+def _sql_rolled(rows: str, by: str = "") -> str:
+    """CTEs up to rolled(by, n, digest) over rows (by, pos, line)."""
+    keys, group = (f"{by}, ", f"{by}, ") if by else ("", "")
+    up = lambda out, of, i, d, n: f"{out} AS (SELECT {keys}{i} // {FAN} AS nth, {n} AS n, sha256(string_agg({i} || ':' || {d}, chr(10) ORDER BY {i}, {d})) AS digest FROM {of} GROUP BY {group}{i} // {FAN})"
+    tail = f" GROUP BY {by}" if by else ""
+    return f"""d0 AS ({rows}), d1 AS (SELECT {keys}pos, sha256(coalesce(line, '')) AS h FROM d0), {up("d2", "d1", "pos", "h", "count(*)")}, {up("d3", "d2", "nth", "digest", "sum(n)")},
+rolled AS (SELECT {keys}CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce(string_agg(nth || ':' || digest, chr(10) ORDER BY nth), '')) AS digest FROM d3{tail})"""
+
+
+@query(f"""WITH {UNITS}, {_sql_rolled("SELECT canonical_order AS pos, sha256(text) AS line FROM units")} SELECT digest AS normalized_digest FROM rolled""")
 def normalized_digest(spark, sf):
     return I.rolled_digest(T.hashed_units(spark, sf).select("canonical_order", "content_hash"), "canonical_order", "content_hash")
 
@@ -546,9 +571,10 @@ def serialize_jsonl(spark, sf):
     return lines.withColumn("line", F.sha2("line", 256))
 
 
-@query(f"""WITH {UNITS}, l AS (SELECT chapter, canonical_order, sha256('- `' || reference || '` — ' || text || chr(10) || '  - content SHA-256: `' || sha256(text) || '`') AS h FROM units),
-g AS (SELECT chapter, canonical_order // 1000 AS g, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY canonical_order)) AS d FROM l GROUP BY ALL)
-SELECT 'EPUB member `' || chapter || '.xhtml`' AS location, CAST(sum(n) AS BIGINT) AS n_passages, sha256(string_agg(d, '' ORDER BY g)) AS body FROM g GROUP BY chapter""")
+_LINES = """SELECT 'EPUB member `' || chapter || '.xhtml`' AS location, canonical_order AS pos, '- `' || reference || '` — ' || text || chr(10) || '  - content SHA-256: `' || sha256(text) || '`' AS line FROM units"""
+
+
+@query(f"""WITH {UNITS}, {_sql_rolled(_LINES, "location")} SELECT location, n AS n_passages, digest AS body FROM rolled""")
 def review_groups(spark, sf):
     return I.review_groups(T.hashed_units(spark, sf), F.concat(F.lit("EPUB member `"), F.col("chapter"), F.lit(".xhtml`")))
 
@@ -581,15 +607,19 @@ depths AS (SELECT unnest([1, 3, 5, 10, 20]) AS depth)"""
 
 
 def _evaluated(spark, sf):
-    """Cases, graded rankings of all of them in one job, and judgments."""
-    units = T.units(spark, sf)
-    toks = S.tokenized(units)
-    queries = {i: S.compiled(q) for i, (_, _, q) in enumerate(T.CASES)}
-    ids = F.broadcast(spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(T.CASES)], "query_id int, case_id string"))
-    found = S.with_units(S.search_all(toks, S.statistics(toks), queries), units.select("canonical_order", "reference")).join(ids, "query_id")
-    ranking = E.ranked(found.withColumn("raw_score", F.round("raw_score", 12)), ["raw_score", "canonical_order"]).select("case_id", "reference", "rank")
-    judged = T.judgments(spark, sf, units)
-    return T.cases(spark), E.grades(ranking, judged), judged
+    """Cases, graded rankings of all of them from one job, stored, and judgments."""
+    index = T.index(spark, sf)
+
+    def make(put):
+        queries = {i: S.compiled(q) for i, (_, _, q) in enumerate(T.CASES)}
+        ids = F.broadcast(spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(T.CASES)], "query_id int, case_id string"))
+        found = S.with_units(S.search_all(index["blocks"], index["stats"], queries), index["units"].select("canonical_order", "reference")).join(ids, "query_id")
+        ranking = E.ranked(found.withColumn("raw_score", F.round("raw_score", 12)), ["raw_score", "canonical_order"]).select("case_id", "reference", "rank")
+        judged = put("judged", T.judgments(spark, sf, index["units"]))
+        put("graded", E.grades(ranking, judged))
+
+    tables = kept(spark, "graded", [f"{sf}/documents.parquet", f"{sf}/labels.parquet"], make)
+    return T.cases(spark), tables["graded"], tables["judged"]
 
 
 @query(f"WITH {_RANKED} SELECT case_id, reference, rank, CAST(grade AS INT) AS grade, judged FROM graded")
@@ -644,12 +674,17 @@ def eval_report(spark, sf):
     return out.select("case_id", "split", r("mrr"), "n_returned", r("judgment_coverage"), r("ndcg", "ndcg_at_10"), r("precision", "precision_at_10"), r("recall", "recall_at_10"))
 
 
-@query(f"WITH {UNITS} SELECT case_id, split, query, (SELECT count(*) FROM labels) AS n_labels FROM (VALUES ('c1', 'locked', 'the of'), ('c2', 'development', 'erin thing'), ('c3', 'locked', 'que le'), ('c4', 'development', 'nowhere at all')) c(case_id, split, query)")
+@query("SELECT 'c' || doc_id AS case_id, CASE WHEN doc_id % 3 = 0 THEN 'locked' ELSE 'development' END AS split, 'doc ' || doc_id AS query, max(quality) AS grade FROM labels GROUP BY doc_id")
 def load_cases(spark, sf):
+    """A case for each labelled document, written as a line of JSON and read again, among lines that are blank."""
     from lectern.sources.cases import cases_from_lines
 
-    lines = spark.createDataFrame([(f'{{"case_id":"{c}","schema_version":1,"split":"{s}","query":"{q}","curator_rationale":"r","judgments":[]}}',) for c, s, q in T.CASES] + [("  ",)], "value string")
-    return cases_from_lines(lines).select("case_id", "split", "query").crossJoin(T.table(spark, sf, "labels").agg(F.count("*").alias("n_labels")))
+    labels = T.table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("grade"))
+    judgment = F.array(F.struct(F.concat(F.lit("bofm/1-ne/1/"), F.col("doc_id") % 20 + 1).alias("reference"), F.col("grade").alias("grade")))
+    split = F.when(F.col("doc_id") % 3 == 0, "locked").otherwise("development")
+    line = F.to_json(F.struct(F.concat(F.lit("c"), "doc_id").alias("case_id"), F.lit(1).alias("schema_version"), split.alias("split"), F.concat(F.lit("doc "), "doc_id").alias("query"), F.lit("r").alias("curator_rationale"), judgment.alias("judgments")))
+    lines = labels.select(line.alias("value")).unionByName(labels.where("doc_id % 5 = 0").select(F.lit("   ").alias("value")))
+    return cases_from_lines(lines).select("case_id", "split", "query", F.col("judgments")[0]["grade"].cast("long").alias("grade"))
 
 
 @query("""WITH ret AS (SELECT event_type AS path, event_id AS pos, 'r' || (user_id % 50) AS reference FROM events), pool AS (SELECT DISTINCT 'r' || (l_partkey % 70) AS reference FROM lineitem)
@@ -700,12 +735,22 @@ def registry_join(spark, sf):
     return configs.join(_registry(spark, sf).where("state = 'accepted'"), "corpus_version").select("corpus_version", "retrieval_config")
 
 
-@query("""WITH g AS (SELECT doc_id // 1000 AS g, sha256(string_agg(coalesce(sha256(text), ''), chr(10) ORDER BY doc_id, coalesce(sha256(text), ''))) AS d FROM documents GROUP BY ALL)
-SELECT (SELECT count(*) FROM documents) AS n_units, (SELECT sha256(string_agg(d, '' ORDER BY g)) FROM g) AS digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm""")
+@query(f"""WITH {_sql_rolled("SELECT doc_id AS pos, coalesce(sha256(text), '') AS line FROM documents")} SELECT n AS n_units, digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm FROM rolled""")
 def corpus_metadata(spark, sf):
-    docs = T.table(spark, sf, "documents")
-    hashed = docs.select("doc_id", F.coalesce(X.digest(F.col("text")), F.lit("")).alias("h"))
-    return docs.agg(F.count("*").alias("n_units")).crossJoin(I.rolled_digest(hashed, "doc_id", "h").withColumnRenamed("normalized_digest", "digest")).withColumns({"candidate_pool_size": F.lit(100), "algorithm": F.lit("fts5-bm25")})
+    line = F.coalesce(X.digest(F.col("text")), F.lit(""))
+    rolled = D.rolled(T.table(spark, sf, "documents"), F.col("doc_id"), line)
+    return rolled.withColumnRenamed("n", "n_units").withColumns({"candidate_pool_size": F.lit(100), "algorithm": F.lit("fts5-bm25")})
+
+
+#: Of each document, one in 97 changed, one in 211 gone.
+_CHANGED = "SELECT doc_id, sha256(coalesce(text, '')) AS old, CASE WHEN doc_id % 211 <> 0 THEN sha256(coalesce(text, '') || '!') END AS new FROM documents WHERE doc_id % 97 = 0 OR doc_id % 211 = 0"
+
+
+@query(_CHANGED)
+def digest_descent(spark, sf):
+    old = T.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    new = old.where("doc_id % 211 <> 0").withColumn("text", F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return D.changed_rows(old, new, "doc_id", F.col("doc_id"), F.col("text"))
 
 
 # Layout
@@ -829,32 +874,105 @@ def scan_markup_units(spark, sf):
     return markup_units(spark.createDataFrame([("sample.epub", bytearray(sample_archive()))], "path string, content binary")).drop("detail")
 
 
-@query()
+@query(f"""WITH {LI} SELECT 'd' || (l_orderkey // 100) AS doc, dense_rank() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) - 1 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ord,
+['Text', 'Text', 'SectionHeader', 'Footnote', 'Table'][l_partkey % 5 + 1] AS block_type, '<p>' || l_returnflag || '</p>' AS html, CAST(l_partkey % 60 AS DOUBLE) AS x0, CAST(l_suppkey % 13 AS DOUBLE) AS top, CAST(l_partkey % 60 + l_quantity AS DOUBLE) AS x1, CAST(l_suppkey % 13 + 5 AS DOUBLE) AS bottom,
+0.0 AS page_x0, 0.0 AS page_top, 100.0 AS page_x1, 200.0 AS page_bottom FROM li""")
 def scan_layout_blocks(spark, sf):
-    from lectern.sources.layout_json import blocks, sample
-
-    return blocks(spark.createDataFrame([("sample", sample())], "doc string, json string"))
-
-
-@query()
+    """Exports of a hundred orders each: an order is a page, its lines are blocks."""
+    from lectern.sources.layout_json import blocks
+
+    kind = F.element_at(F.array(*map(F.lit, ("Text", "Text", "SectionHeader", "Footnote", "Table"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    x0, top = (F.col("l_partkey") % 60).cast("double"), (F.col("l_suppkey") % 13).cast("double")
+    block = F.struct(kind.alias("block_type"), F.concat(F.lit("<p>"), "l_returnflag", F.lit("</p>")).alias("html"), F.array(x0, top, x0 + F.col("l_quantity"), top + 5).alias("bbox"))
+    body = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["b"])
+    pages = T.lines(spark, sf).groupBy("l_orderkey").agg(body(F.struct("l_linenumber", block.alias("b"))).alias("children"))
+    page = F.struct(F.lit("Page").alias("block_type"), F.array(*map(F.lit, (0.0, 0.0, 100.0, 200.0))).alias("bbox"), "children")
+    exports = pages.groupBy(F.concat(F.lit("d"), F.expr("l_orderkey div 100")).alias("doc")).agg(F.to_json(F.struct(body(F.struct("l_orderkey", page.alias("b"))).alias("children"))).alias("json"))
+    return blocks(exports)
+
+
+#: Fragments of chapters of eight orders: numbers that lead, are marked, follow each other or are only shown, at or near the one that is due.
+_FRAGMENTS = LI + """, fr AS (SELECT CAST(l_orderkey // 8 AS INT) AS chapter, l_orderkey % 8 * 8 + l_linenumber AS k, l_orderkey AS page, l_partkey AS w, l_quantity % 5 = 0 AS narrow, l_linenumber % 4 = 0 AS italic, (l_orderkey % 8 * 8 + l_linenumber) // 3 + l_partkey % 3 AS n, l_suppkey % 8 AS form FROM li),
+f AS (SELECT *, CASE WHEN w % 2 = 0 THEN n END AS shown, CASE form WHEN 0 THEN n || ' Word' || w WHEN 1 THEN 'Some [[verse:' || n || ']] more text' WHEN 2 THEN 'Plain words' WHEN 3 THEN n || ' First ' || (n + 1) || ' second ' || (n + 2) || ' third'
+WHEN 4 THEN 'A b ' || n || ' c' WHEN 5 THEN '[[verse:' || n || ']] Lead ' || (n + 1) || ' x' WHEN 6 THEN 'An account of W' || w ELSE 'lower words' END AS text FROM fr)"""
+
+# Words are read one after the other, with the verse and the last place where one began as state.
+_VERSES = _FRAGMENTS + r""", wd AS (SELECT chapter, k, narrow, italic, shown, string_split(text, ' ') AS ws, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS i FROM f),
+nu AS (SELECT *, len(ws) - 1 AS last, starts_with(word, '[[') AS marked, CAST(regexp_extract(word, '[0-9]+') AS INT) AS n FROM wd WHERE regexp_full_match(word, '\[\[verse:[0-9]{1,3}\]\]|[0-9]{1,3}')),
+fa AS (SELECT chapter, k, min(i) FILTER (marked) AS mark, bool_or(i = 0 AND last >= 1) AND bool_or(narrow) AS closed FROM nu GROUP BY ALL),
+x AS (SELECT nu.*, mark, closed, row_number() OVER (PARTITION BY chapter ORDER BY k, i) AS t FROM nu JOIN fa USING (chapter, k)),
+st AS (WITH RECURSIVE s(chapter, t, v, ek, ei, ok) AS (SELECT DISTINCT chapter, CAST(0 AS BIGINT), 1, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), false FROM x
+UNION ALL SELECT chapter, t, CASE WHEN ok THEN n ELSE v END, CASE WHEN ok THEN k ELSE ek END, CASE WHEN ok THEN i ELSE ei END, ok FROM (SELECT x.chapter, x.t, x.n, x.k, x.i, s.v, s.ek, s.ei,
+x.n = s.v + 1 AND CASE WHEN x.k = s.ek THEN i >= s.ei + 2 AND i < last ELSE (i = 0 AND last >= 1) OR (NOT closed AND marked AND i = mark) OR (NOT closed AND mark IS NULL AND i < last AND coalesce(shown = n, false)) END AS ok
+FROM s JOIN x ON x.chapter = s.chapter AND x.t = s.t + 1)) SELECT * FROM s),
+acc AS (SELECT x.chapter, x.k, x.i, x.n, NOT marked AND i > 0 AND mark IS NULL AND lag(x.k) OVER (PARTITION BY x.chapter ORDER BY x.k, x.i) IS DISTINCT FROM x.k AS recovered FROM x JOIN st USING (chapter, t) WHERE st.ok),
+now AS (SELECT f.chapter, f.k, (SELECT max(n) FROM acc WHERE acc.chapter = f.chapter AND acc.k < f.k) AS v, (SELECT count(*) FROM acc WHERE acc.chapter = f.chapter AND acc.k = f.k) AS cuts FROM f),
+own AS (SELECT wd.chapter, wd.k, wd.i, wd.word, wd.italic, cuts, v, wd.narrow, max(acc.i) AS c, max(acc.n) AS n, bool_or(acc.i = wd.i) AS is_cut FROM wd JOIN now ON now.chapter = wd.chapter AND now.k = wd.k LEFT JOIN acc ON acc.chapter = wd.chapter AND acc.k = wd.k AND acc.i <= wd.i GROUP BY ALL),
+pc AS (SELECT chapter, k, coalesce(c, -1) AS piece, coalesce(max(n), max(v)) AS verse, bool_or(italic) AS italic, string_agg(word, ' ' ORDER BY i) AS text FROM own WHERE coalesce(NOT is_cut, true) AND (cuts > 0 OR NOT narrow) GROUP BY chapter, k, coalesce(c, -1)),
+pe AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY k, piece) AS j, regexp_matches(text, '^(?:\p{Ll}|An account |WHO IS )|—|\b(?:B\.C\.|A\.D\.)') AS s FROM pc WHERE verse IS NULL),
+hd AS (SELECT *, min(j) FILTER (s OR (j = 1 AND italic)) OVER (PARTITION BY chapter) AS h, max(j) OVER (PARTITION BY chapter) AS z FROM pe),
+sa AS (SELECT *, coalesce(min(j) FILTER (NOT s AND j > h) OVER (PARTITION BY chapter), z) AS b FROM hd),
+am AS (SELECT chapter FROM sa GROUP BY chapter HAVING bool_or(j = b - 1 AND NOT s) AND bool_or(j < b AND NOT italic AND NOT s)),
+al AS (SELECT chapter, k, piece, verse, text FROM pc WHERE verse IS NOT NULL UNION ALL SELECT chapter, k, piece, 1, text FROM sa WHERE j >= b)
+SELECT chapter, verse, CAST(row_number() OVER (PARTITION BY chapter ORDER BY k, piece) - 1 AS INT) AS ord, k, text, NULL AS finding FROM al
+UNION ALL SELECT chapter, n, NULL, NULL, NULL, 'inline_verse_marker_recovered' FROM acc WHERE recovered UNION ALL SELECT chapter, 1, NULL, NULL, NULL, 'ambiguous_verse_one_boundary' FROM am"""
+
+
+@query(f"WITH {_VERSES}")
 def verse_fsm(spark, sf):
-    from lectern.sources.layout_json import blocks, fragments, sample
-
-    return L.verse_fsm(fragments(blocks(spark.createDataFrame([("sample", sample())], "doc string, json string")), spark.createDataFrame([("1NEPHI", "1-ne", 2)], "title_key string, book string, n_chapters int")))
-
-
-@query()
+    k = (F.col("l_orderkey") % 8 * 8 + F.col("l_linenumber")).cast("long")
+    n, w = (F.floor(k / 3) + F.col("l_partkey") % 3).cast("int"), F.col("l_partkey")
+    lines = T.lines(spark, sf).select(F.expr("l_orderkey div 8").cast("int").alias("chapter"), k.alias("k"), F.col("l_orderkey").cast("int").alias("page"), w.alias("w"), F.when(F.col("l_quantity") % 5 == 0, 0.2).otherwise(0.8).alias("width_ratio"), (F.col("l_linenumber") % 4 == 0).alias("italic"), n.alias("n"), (F.col("l_suppkey") % 8).alias("form"))
+    forms = ["{n} Word{w}", "Some [[verse:{n}]] more text", "Plain words", "{n} First {n1} second {n2} third", "A b {n} c", "[[verse:{n}]] Lead {n1} x", "An account of W{w}", "lower words"]
+    text = F.element_at(F.array(*map(F.lit, forms)), (F.col("form") + 1).cast("int"))
+    for name, value in (("{n}", F.col("n")), ("{n1}", F.col("n") + 1), ("{n2}", F.col("n") + 2), ("{w}", F.col("w"))):
+        text = F.replace(text, F.lit(name), value.cast("string"))
+    fragments = lines.withColumns({"doc": F.lit("d"), "book": F.lit("b"), "text": text, "shown": F.when(F.col("w") % 2 == 0, F.array("n"))})
+    return L.verse_fsm(fragments).select("chapter", "verse", "ord", "k", "text", "finding")
+
+
+@query(f"""WITH {LI}, e AS (SELECT l_orderkey AS page, l_linenumber AS l, l_partkey AS w, l_linenumber % 2 = 1 AS explicit, CASE WHEN l_linenumber % 2 = 1 THEN chr(CAST(97 + l_suppkey % 3 AS INT)) ELSE chr(CAST(98 + l_suppkey % 4 AS INT)) END AS anchor FROM li),
+v AS (SELECT *, last_value(CASE WHEN explicit THEN l END IGNORE NULLS) OVER (PARTITION BY page ORDER BY l ROWS UNBOUNDED PRECEDING) AS verse FROM e)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY l) - 1 AS INT) AS ord, verse, anchor, 'note p' || w AS text, explicit FROM v WHERE verse IS NOT NULL""")
 def parse_apparatus(spark, sf):
-    from lectern.sources.layout_json import blocks, sample
-
-    return L.parse_apparatus(L.apparatus_order(L.apparatus_blocks(blocks(spark.createDataFrame([("sample", sample())], "doc string, json string")))))
-
-
-@query()
+    """An order is a page, its lines are footnotes of one block: odd ones with a number, even ones that go on with a letter."""
+    odd = F.col("l_linenumber") % 2 == 1
+    label = F.when(odd, F.concat("l_linenumber", F.char(F.lit(97) + F.col("l_suppkey") % 3))).otherwise(F.char(F.lit(98) + F.col("l_suppkey") % 4))
+    item = F.struct("l_linenumber", F.concat(label, F.lit(" note p"), "l_partkey").alias("t"))
+    pages = T.lines(spark, sf).groupBy(F.col("l_orderkey").cast("int").alias("page")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["t"]), " ").alias("t"))
+    blocks = pages.select(F.lit("d").alias("doc"), "page", F.lit(0).alias("ord"), F.lit(1).alias("seq"), F.concat(F.lit("<p>"), "t", F.lit("</p>")).alias("html"))
+    return L.parse_apparatus(blocks).select("page", "ord", F.col("verse").cast("long").alias("verse"), "anchor", "text", "explicit")
+
+
+# Notes choose one after the other among what is left of their verse and anchor.
+_LINKS = LI + """, m AS (SELECT l_orderkey // 400 AS doc, l_orderkey || '-' || l_linenumber AS note_id, l_orderkey // 20 AS chapter, l_linenumber AS verse, chr(CAST(97 + l_suppkey % 4 AS INT)) AS anchor, l_orderkey // 4 AS page, CASE WHEN l_partkey % 3 = 0 THEN [l_orderkey // 4, l_orderkey // 4 + 1] ELSE [l_orderkey // 4] END AS pages, l_orderkey * 8 + l_linenumber AS nth FROM li),
+e AS (SELECT l_orderkey // 400 AS doc, l_orderkey // 4 + (l_partkey % 5 = 0)::INT AS page, l_orderkey % 4 * 16 + l_linenumber * 2 + (l_partkey % 5 = 0)::INT AS ord, l_linenumber + (l_suppkey % 7 = 0)::INT AS verse, chr(CAST(97 + (l_suppkey + (l_partkey % 11 = 0)::INT) % 4 AS INT)) AS anchor, 't' || l_orderkey || '-' || l_linenumber AS text FROM li),
+en AS (SELECT *, page * 1048576 + ord AS entry FROM e), g AS (SELECT doc, verse, anchor, list({'e': entry, 'p': page} ORDER BY entry) AS free FROM en GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc, verse, anchor ORDER BY nth) AS t FROM m),
+st AS (WITH RECURSIVE s(doc, verse, anchor, t, free, note_id, took, how) AS (SELECT DISTINCT r.doc, r.verse, r.anchor, CAST(0 AS BIGINT), g.free, '', CAST(NULL AS BIGINT), '' FROM r JOIN g ON g.doc = r.doc AND g.verse = r.verse AND g.anchor = r.anchor
+UNION ALL SELECT doc, verse, anchor, t, list_filter(free, lambda x: coalesce(x.e <> took, true)), note_id, took, how FROM (SELECT *, CASE WHEN len(same) > 0 THEN same[1].e WHEN len(near) = 1 THEN near[1].e END AS took, CASE WHEN len(same) > 0 THEN 'page' WHEN len(near) = 1 THEN 'pages' END AS how FROM (SELECT r.doc, r.verse, r.anchor, r.t, s.free, r.note_id,
+list_filter(s.free, lambda x: x.p = r.page) AS same, list_filter(s.free, lambda x: list_contains(r.pages, x.p)) AS near FROM s JOIN r ON r.doc = s.doc AND r.verse = s.verse AND r.anchor = s.anchor AND r.t = s.t + 1))) SELECT * FROM s WHERE took IS NOT NULL),
+ln AS (SELECT *, count(*) OVER w AS n, min(chapter) OVER w = max(chapter) OVER w AS one, row_number() OVER (PARTITION BY doc, page, verse ORDER BY anchor, nth) AS i FROM m WHERE note_id NOT IN (SELECT note_id FROM st) WINDOW w AS (PARTITION BY doc, page, verse)),
+le AS (SELECT *, count(*) OVER (PARTITION BY doc, page, verse) AS n, row_number() OVER (PARTITION BY doc, page, verse ORDER BY anchor, entry) AS i FROM en WHERE (doc, entry) NOT IN (SELECT (doc, took) FROM st)),
+found AS (SELECT note_id, took AS entry, how FROM st UNION ALL SELECT note_id, entry, 'order' FROM ln JOIN le USING (doc, page, verse, n, i) WHERE one)
+SELECT m.note_id, found.entry, text, how FROM m LEFT JOIN found USING (note_id) LEFT JOIN en ON en.doc = m.doc AND en.entry = found.entry"""
+
+
+@query(f"WITH {_LINKS}")
 def link_apparatus(spark, sf):
-    entries = parse_apparatus(spark, sf)
-    notes = spark.createDataFrame([("sample", "n1", "bofm/1-ne/1/1", "a", 0, [0], 0), ("sample", "n2", "bofm/1-ne/1/2", "a", 0, [0], 1), ("sample", "n3", "bofm/1-ne/1/2", "d", 0, [0], 2)], "doc string, note_id string, reference string, anchor string, page int, pages array<int>, ord int")
-    return L.link_apparatus(notes, entries)
+    """Lines of orders as markers, and again, moved in part, as footnotes; a source is 400 orders."""
+    line = T.lines(spark, sf)
+    own = lambda on: F.when(on, 1).otherwise(0)
+    page = F.expr("l_orderkey div 4").cast("int")
+    doc = F.expr("l_orderkey div 400").cast("string").alias("doc")
+    pages = F.when(F.col("l_partkey") % 3 == 0, F.array(page, page + 1)).otherwise(F.array(page))
+    notes = line.select(doc, F.concat_ws("-", "l_orderkey", "l_linenumber").alias("note_id"), F.concat_ws("/", F.lit("b"), F.expr("l_orderkey div 20"), "l_linenumber").alias("reference"), F.char(F.lit(97) + F.col("l_suppkey") % 4).alias("anchor"), page.alias("page"), pages.alias("pages"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ord"))
+    moved = own(F.col("l_partkey") % 5 == 0)
+    entries = line.select(
+        doc, (page + moved).alias("page"), (F.col("l_orderkey") % 4 * 16 + F.col("l_linenumber") * 2 + moved).cast("int").alias("ord"), (F.col("l_linenumber") + own(F.col("l_suppkey") % 7 == 0)).cast("int").alias("verse"),
+        F.char(F.lit(97) + (F.col("l_suppkey") + own(F.col("l_partkey") % 11 == 0)) % 4).alias("anchor"), F.concat(F.lit("t"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("text"),
+    )
+    return L.link_apparatus(notes, entries).select("note_id", "entry", "text", "how")
 
 
 @query(f"""WITH {LI}, e AS (SELECT l_orderkey AS r, chr(CAST(96 + l_linenumber AS INT)) AS anchor FROM li WHERE l_linenumber <= 2), p AS (SELECT l_orderkey AS r, chr(CAST(96 + l_linenumber AS INT)) AS anchor FROM li WHERE l_linenumber BETWEEN 3 AND 5 AND l_suppkey % 4 <> 0),

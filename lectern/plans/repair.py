@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -14,23 +13,13 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse, stable_id
 from lectern.operators import ingest
 from lectern.operators import layout as L
+from lectern.shared import cut
 from lectern.plans.snapshots import Store, canonical, rows_digest, sha256
 from lectern.sources.layout_json import fragments
 
 FOOTNOTE, ANCHOR = "official-footnote", "official-footnote-anchor"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, so that plans built on it stay small."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = sc.getConf().get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='lectern-')}")
-    return df.checkpoint()
-
-
 @dataclass(frozen=True)
 class Corrections:
     """What a reviewer has verified for one exact source: verses of misprinted footnotes, and markers that aren't there."""
@@ -123,7 +112,7 @@ def repair(blocks: DataFrame, titles: DataFrame, expected: DataFrame, sizes: Dat
     counts = cut(_superscripts(shape, glyphs))
     false = cut(L.false_positives(links, notes.select("note_id", "box_id"), counts)) if glyphs is not None else links.select("note_id", "reference").limit(0)
 
-    numbered = entries.withColumn("entry", F.row_number().over(W.partitionBy("doc").orderBy("page", "ord")) - 1)
+    numbered = entries.withColumn("entry", L.entry_id(F.col("page"), F.col("ord")))
     numbered = cut(numbered)
     left = numbered.join(links.where("entry IS NOT NULL").select("doc", "entry"), ["doc", "entry"], "left_anti")
     good = links.join(false, "note_id", "left_anti")

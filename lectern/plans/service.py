@@ -91,12 +91,10 @@ class Service:
         basis = [{"lane": "lexical", "match_kind": "context_lookup", "tie_break": row.canonical_order}]
         return self._answer(s, [self._record(s, row, basis, around)], {"operation": "get_context", "before": request.before, "after": request.after})
 
-    def _found(self, s: Snapshot, request: SearchRequest, mode: str, distance: int | None):
-        """All hits of a query, after its filters; statistics are the whole corpus's."""
+    def _filtered(self, s: Snapshot, request: SearchRequest):
+        """What a request's filters make of hits (doc, raw_score), joined with their units; statistics are the whole corpus's."""
         units = s.table("units")
-        hits = search.with_units(search.search(s.table("postings"), s.table("stats"), request.query, mode, distance), units)
-        if request.books is not None:
-            hits = search.in_books(hits, request.books)
+        bounds = None
         if request.reference_ranges is not None:
             ranges = []
             for r in request.reference_ranges:
@@ -106,17 +104,25 @@ class Service:
             bounds = search.range_bounds(units, ranges)
             if bounds.where("lo is null or hi is null").limit(1).count():
                 raise InvalidQueryError("a reference range is not in the corpus")
-            hits = search.in_ranges(hits, bounds)
-        return hits
+
+        def keep(hits):
+            found = search.with_units(hits, units)
+            if request.books is not None:
+                found = search.in_books(found, request.books)
+            return found if bounds is None else search.in_ranges(found, bounds)
+
+        return keep
 
     def search_lexical(self, request: LexicalRequest) -> dict:
         s = self._pin(request)
         mark = fingerprint("search_lexical", s, request)
-        hits = self._found(s, request, request.mode, request.near_distance)
-        if request.cursor is not None:
-            _, score, order = decode_cursor(request.cursor, mark)
-            hits = search.after(hits, score, order)
-        rows = search.top(hits, request.limit).collect()
+        filtered, key = self._filtered(s, request), decode_cursor(request.cursor, mark) if request.cursor is not None else None
+        keep = filtered if key is None else lambda hits: search.after(filtered(hits), key[1], key[2])
+        if request.mode == "terms":
+            hits = search.best(s.table("blocks"), s.table("stats"), request.query, request.limit, keep)[0]
+        else:
+            hits = search.search(s.table("blocks"), s.table("stats"), request.query, request.mode, request.near_distance)
+        rows = search.top(keep(hits), request.limit).collect()
         page, more = rows[: request.limit], len(rows) > request.limit
         records = [self._record(s, r, [{"lane": "lexical", "match_kind": request.mode, "raw_score": r.raw_score, "score_components": {"bm25": r.raw_score}, "tie_break": r.canonical_order}]) for r in page]
         cursor = encode_cursor(mark, 0, page[-1].raw_score, page[-1].canonical_order) if more else None
@@ -142,7 +148,8 @@ class Service:
         mark = fingerprint("search_evidence", s, request)
         key = decode_cursor(request.cursor, mark) if request.cursor is not None else None
         size = int(s.record["config"]["lexical"]["candidate_pool_size"])
-        found = search.top(self._found(s, request, "terms", None), size).select("reference", "canonical_order", "raw_score").collect()
+        keep = self._filtered(s, request)
+        found = search.top(keep(search.best(s.table("blocks"), s.table("stats"), request.query, size, keep)[0]), size).select("reference", "canonical_order", "raw_score").collect()
         overflow, pool_rows = len(found) > size, found[:size]  # at most the pool's size
         spark = s.spark
         pool = spark.createDataFrame([(r.canonical_order, r.raw_score) for r in pool_rows], "canonical_order long, raw_score double")

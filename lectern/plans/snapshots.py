@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.errors import ConfigUnavailableError, CorpusUnavailableError, EvidenceError, VersionUnavailableError
-from lectern.operators import graph, ingest, search, validate
+from lectern.operators import digests, graph, ingest, search, validate
+from lectern.shared import state
 
 SCHEMA_VERSION = 2
-TABLES = ("units", "notes", "edges", "adjacency", "tokens", "postings", "stats")
+TABLES = ("units", "notes", "edges", "adjacency", "tokens", "blocks", "stats")
 #: What a baseline configuration says; fixed values of the contract.
 BASELINE = {"lanes": ["lexical", "official"], "lexical": {"algorithm": "fts5-bm25", "candidate_pool_size": 100}, "context": {"before": 3, "after": 3}, "official": {"depth": 1}, "ranking": ["lane_priority", "raw_score", "canonical_order"]}
 FAULTS = ("after_commit", "after_checkpoint", "after_close", "after_reconcile", "after_file_fsync", "after_rename", "after_registration")
@@ -108,17 +109,31 @@ class Corpus:
     source_profile: str = "table-v1"
 
 
-def rows_digest(df: DataFrame, key: str) -> str:
-    """A digest of a table's rows in the order of a key, made of digests of groups of rows."""
+def row_nodes(df: DataFrame, key: str) -> DataFrame:
+    """The nodes of a table's digest tree, rows placed by their key's hash among about as many as there are."""
     line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    groups = df.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3).alias("g"), F.struct(F.col(key).cast("string").alias("k"), F.sha2(line, 256).alias("h")).alias("x"))
-    parts = groups.groupBy("g").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), ""), 256).alias("d")).collect()
-    return sha256("".join(r.d for r in sorted(parts)))  # at most 4096 groups
+    return digests.table(digests.tree(df, digests.place(F.col(key), df.count()), line))
+
+
+def top(nodes: DataFrame) -> str:
+    """The root's digest, from the nodes of a tree."""
+    row = digests.root(nodes.where(F.col("level") == digests.LEVELS - 1)).first()
+    return sha256(canonical([row.n, row.digest]))
+
+
+def rows_digest(df: DataFrame, key: str) -> str:
+    """A digest of a table's rows."""
+    return top(row_nodes(df, key))
+
+
+#: Tables whose rows a corpus's digest covers, and their keys.
+DIGESTED = {"units": "reference", "notes": "note_id", "edges": "edge_id"}
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store, self.root = spark, Store(spark, root), root.rstrip("/")
+        self._hashed: dict[tuple, dict[str, str]] = {}
 
     def accepted(self) -> list[dict]:
         return [json.loads(self.store.read(f"accepted/{n}")) for n in self.store.names("accepted") if n.endswith(".json")]
@@ -147,14 +162,30 @@ class Catalog:
             raise CorpusUnavailableError("the corpus is incomplete")
         manifest = json.loads(text)
         core = {k: v for k, v in manifest.items() if k not in ("artifact_digest", "corpus_version")}
-        rows = self._digests(f"{self.root}/corpora/{digest}")
-        if rows != manifest["rows"] or sha256(canonical(core) + config) != digest:
-            raise CorpusUnavailableError("the corpus differs from its digest")
+        if self._digests(f"corpora/{digest}") != manifest["rows"] or sha256(canonical(core) + config) != digest:
+            raise CorpusUnavailableError(f"the corpus differs from its digest{self._places(digest)}")
         return manifest
 
+    def _files(self, folder: str) -> tuple:
+        """Names, sizes and times of the files that a corpus's digest covers, without the folder's own name, which a rename changes."""
+        base = self.store._path(folder).toUri().getPath()
+        return tuple((name.partition(base)[2], size, time_) for t in DIGESTED for name, size, time_ in state(self.spark, f"{self.root}/{folder}/{t}"))
+
     def _digests(self, folder: str) -> dict[str, str]:
-        read = lambda t: self.spark.read.parquet(f"{folder}/{t}")
-        return {t: rows_digest(read(t), key) for t, key in (("units", "reference"), ("notes", "note_id"), ("edges", "edge_id"))}
+        """Digests of a written corpus's tables; files that this process has hashed, and that are as they were, aren't hashed again."""
+        files = self._files(folder)
+        if files not in self._hashed:
+            self._hashed[files] = {t: rows_digest(self.spark.read.parquet(f"{self.root}/{folder}/{t}"), key) for t, key in DIGESTED.items()}
+        return self._hashed[files]
+
+    def _places(self, digest: str) -> str:
+        """Where a corpus differs from the nodes that were written with it: tables and numbers of leaves."""
+        at = f"{self.root}/corpora/{digest}"
+        if not self.store.exists(f"corpora/{digest}/digests"):
+            return ""
+        nodes = self.spark.read.parquet(f"{at}/digests")
+        found = {t: [r.nth for r in digests.differing(nodes.where(F.col("table") == t), row_nodes(self.spark.read.parquet(f"{at}/{t}"), key)).orderBy("nth").limit(5).collect()] for t, key in DIGESTED.items()}
+        return "".join(f"; {t}: leaves {n}" for t, n in found.items() if n)
 
     def build(self, corpus: Corpus, approval: dict, recipe: str, expected: DataFrame, importer: str = "0.1.0", fault: str | None = None) -> dict:
         """Validates, writes and publishes a corpus; building the same again returns what is there."""
@@ -179,7 +210,7 @@ class Catalog:
             self._write(corpus, f"{self.root}/attempts/{attempt}/corpus")
             for stage in FAULTS[:3]:
                 reached(stage)
-            rows = self._reconciled(corpus, f"{self.root}/attempts/{attempt}/corpus")
+            rows = self._reconciled(corpus, f"attempts/{attempt}/corpus", normalized)
             reached("after_reconcile")
             config = canonical({**BASELINE, "normalized_digest": normalized})
             core = {"schema_version": SCHEMA_VERSION, "source_approval": approval, "source_profile": corpus.source_profile, "source_format": corpus.source_format, "recipe_fingerprint": recipe, "normalized_digest": normalized, "rows": rows, "retrieval_config": f"baseline-{sha256(config)[:24]}", "importer_version": importer}
@@ -216,17 +247,20 @@ class Catalog:
         put(graph.adjacency(graph.ordered_edges(self.spark.read.parquet(f"{folder}/edges"), units)), "adjacency", "src")
         put(search.tokenized(units), "tokens")
         tokens = self.spark.read.parquet(f"{folder}/tokens")
-        put(search.postings(tokens).repartitionByRange("term"), "postings", "term", "doc", "pos")
         put(search.statistics(tokens), "stats")
+        put(search.blocks(tokens, self.spark.read.parquet(f"{folder}/stats")).repartitionByRange("term", "block"), "blocks", "term", "block")
 
-    def _reconciled(self, corpus: Corpus, folder: str) -> dict[str, str]:
-        """Digests of what was written, which must be those of what was meant; the index must cover all units."""
+    def _reconciled(self, corpus: Corpus, folder: str, normalized: str) -> dict[str, str]:
+        """Digests of what was written, which must be those of what was meant; the index must cover all units. The trees are kept beside the tables."""
         rows = self._digests(folder)
-        wanted = {"units": rows_digest(corpus.units, "reference"), "notes": rows_digest(corpus.notes, "note_id"), "edges": rows_digest(corpus.edges, "edge_id")}
-        docs = self.spark.read.parquet(f"{folder}/tokens").select(F.col("doc").alias("canonical_order"))
-        units = self.spark.read.parquet(f"{folder}/units").select("canonical_order")
+        wanted = {"units": normalized, "notes": rows_digest(corpus.notes, "note_id"), "edges": rows_digest(corpus.edges, "edge_id")}
+        at = f"{self.root}/{folder}"
+        docs = self.spark.read.parquet(f"{at}/tokens").select(F.col("doc").alias("canonical_order"))
+        units = self.spark.read.parquet(f"{at}/units").select("canonical_order")
         if rows != wanted or not validate.reconcile(docs, units).isEmpty():
             raise ValueError("what was written differs from the corpus")
+        for t, key in DIGESTED.items():
+            row_nodes(self.spark.read.parquet(f"{at}/{t}"), key).withColumn("table", F.lit(t)).write.mode("append").parquet(f"{at}/digests")
         return rows
 
     def pin(self, corpus_version: str | None = None, retrieval_config: str | None = None) -> Snapshot:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import digest
+from lectern.operators import search
 from lectern.operators.lookup import numbered
+from lectern.shared import kept
 
 #: Evaluation cases over the corpus: id, split, query.
 CASES = [("c1", "locked", "the of"), ("c2", "development", "erin thing"), ("c3", "locked", "que le"), ("c4", "development", "nowhere at all")]
@@ -28,6 +30,18 @@ def units(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("text",)
     return rows.withColumn("reference", F.concat_ws("/", F.lit("doc"), "book", "chapter", "verse"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stored units, stats and blocks of postings of the documents, and nothing read twice to make them."""
+
+    def make(put):
+        stored = put("units", units(spark, sf_dir).select("canonical_order", "reference", "book", "doc_id", "text"))
+        toks = search.tokenized(stored)
+        stats = put("stats", search.statistics(toks))
+        put("blocks", search.blocks(toks, stats).repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
+
+    return kept(spark, "index", [f"{sf_dir}/documents.parquet"], make)
+
+
 def hashed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units(spark, sf_dir).withColumn("content_hash", digest(F.col("text")))
 

@@ -49,13 +49,67 @@ def test_random_queries(corpus):
         assert all(abs(got[d] - want[d]) < 1e-9 for d in got), c
 
 
-def test_index_and_units_give_the_same(corpus):
+@pytest.fixture(scope="module")
+def index(corpus, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "blocks")
+    S.blocks(*corpus[1:]).write.parquet(path)
+    return corpus[1].sparkSession.read.parquet(path)
+
+
+@pytest.mark.parametrize(("text", "mode"), [("faith under", "prefix"), ("faith the", "terms"), ("it's the", "terms"), ("of the", "phrase"), ("faith of thing", "near"), ("a-b the it's", "near")])
+def test_index_and_units_give_the_same(corpus, index, text, mode):
     _, toks, stats = corpus
-    a = S.search(toks, stats, "faith under", "prefix").collect()
-    b = S.search(S.postings(toks), stats, "faith under", "prefix").collect()
+    a, b = S.search(toks, stats, text, mode).collect(), S.search(index, stats, text, mode).collect()
     assert sorted(a) == sorted(b) and a
 
 
+def test_near_reads_each_list_once(corpus, index):
+    plan = S.search(index, corpus[2], "faith of thing", "near")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" parquet") == 1 and "NestedLoop" not in plan
+
+
+@pytest.fixture(scope="module")
+def long_corpus(spark, tmp_path_factory):
+    """20,000 units; a few ranges of orders have both rare words often."""
+    rnd = random.Random(4)
+    rows = []
+    for i in range(20_000):
+        rich = i // S.SPAN in (3, 40, 41, 77)
+        words = rnd.choices(["the", "of", "thing", "word"], k=rnd.randint(5, 40))
+        words += [w for w in ("alpha", "beta") for _ in range(rnd.randint(1, 5) if rich and rnd.random() < 0.2 else 0)]
+        words += ["alpha"] * (rnd.random() < 0.05) + ["beta"] * (rnd.random() < 0.05)
+        rows.append((i, " ".join(words)))
+    path = str(tmp_path_factory.mktemp("long"))
+    toks = S.tokenized(spark.createDataFrame(rows, "canonical_order long, text string"))
+    S.statistics(toks).write.parquet(f"{path}/stats")
+    stats = spark.read.parquet(f"{path}/stats")
+    S.blocks(toks, stats).write.parquet(f"{path}/blocks")
+    return spark.read.parquet(f"{path}/blocks"), stats
+
+
+@pytest.mark.parametrize("text", ["alpha beta", "alpha", "beta alpha beta", "the of", "alpha nowhere", "!", "alpha !"])
+def test_best_hits_without_all_blocks(long_corpus, text):
+    index, stats = long_corpus
+    order = lambda df: [tuple(r) for r in df.orderBy("raw_score", "doc").limit(11).collect()]
+    found, read = S.best(index, stats, text, 10)
+    assert order(found) == order(S.search(index, stats, text))
+    assert read.read <= read.blocks
+    if text in ("alpha beta", "beta alpha beta"):
+        assert 0 < read.read < read.blocks / 4, read
+
+
+def test_best_hits_behind_filters_and_keys(long_corpus):
+    from pyspark.sql import functions as F
+
+    index, stats = long_corpus
+    whole = S.search(index, stats, "alpha beta").orderBy("raw_score", "doc").collect()
+    odd = lambda hits: hits.where(F.col("doc") % 97 == 5)
+    behind = lambda hits: hits.where((F.col("raw_score") > whole[30].raw_score) | ((F.col("raw_score") == whole[30].raw_score) & (F.col("doc") > whole[30].doc)))
+    for keep, want in ((odd, [r for r in whole if r.doc % 97 == 5]), (behind, whole[31:])):
+        found, _ = S.best(index, stats, "alpha beta", 10, keep)
+        assert keep(found).orderBy("raw_score", "doc").limit(11).collect() == want[:11]
+
+
 def test_driver_and_column_tokens_agree(spark):
     from pyspark.sql import functions as F
 
