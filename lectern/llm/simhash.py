@@ -8,14 +8,13 @@ components follow by label propagation.
 ``near_duplicates`` links by the bits of one fingerprint over shingles.
 ``keep_one`` is for texts that share a stated part of their shingles: such texts
 differ in few words but in many shingles, so it hashes the set of words into
-three fingerprints of 42 bits, calls texts that meet in the ball of any of them
+six fingerprints of 30 bits, calls texts that meet in the ball of any of them
 candidates, and verifies these by the exact Jaccard similarity of their
-shingles. A text is compared with the least and the greatest of its fingerprint,
-and these with the least of the least and the greatest fingerprint of each of
-their balls, never all with all; links between others are found only through
-these or not at all. 126 bits suffice for some 10^8 different texts;
-beyond that, chance meetings grow, and ``bits`` should grow by two for each
-doubling (64 at most).
+shingles. First a text is compared with the least and the greatest of its
+fingerprint and its balls, which joins large groups of copies cheaply; then all
+candidates that are not yet joined are compared, so that no member of a ball
+goes unseen. Chance meetings grow with the texts: ``bits`` should grow by one
+for each doubling beyond some 10^7 different texts (64 at most).
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; a bit that exactly half of the hashes have is 0; a component without any
@@ -30,7 +29,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,7 +40,9 @@ SHINGLE = 3
 SEED = 42
 #: What keep_one takes: words in a shingle, the least similarity, and the fingerprints of words.
 WORDS, SIMILARITY = 5, 0.8
-PARTS, BITS = 3, 42
+PARTS, BITS = 6, 30
+#: Bits in which the fingerprints of similar texts differ, at most, as a share of all of them.
+FAR = 0.2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -158,6 +159,11 @@ def sketch(text: str | None, parts: int = PARTS, bits: int = BITS) -> list[int]:
     return np.packbits(padded, axis=1, bitorder="little").view(np.int64).ravel().tolist()
 
 
+def named(text: Column) -> Column:
+    """A text's name among all texts: a 64-bit hash of it and its length."""
+    return F.xxhash64(text, F.char_length(text))
+
+
 def sketches(docs: DataFrame, parts: int = PARTS, bits: int = BITS) -> DataFrame:
     """_lt_doc, _lt_text and _lt_parts (an array of fingerprints) for each row."""
     small_batches(docs.sparkSession)
@@ -169,7 +175,7 @@ def sketches(docs: DataFrame, parts: int = PARTS, bits: int = BITS) -> DataFrame
             found = pa.array([sketch(x, parts, bits) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["_lt_doc", "_lt_text", "_lt_parts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_lt_doc"), row_hash(F.col("text")).alias("_lt_text"), F.col("text").alias("_lt_t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_lt_doc"), named(F.col("text")).alias("_lt_text"), F.col("text").alias("_lt_t"))
     return rows.mapInArrow(tidy(run), "_lt_doc long, _lt_text long, _lt_parts array<long>")
 
 
@@ -196,6 +202,37 @@ def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
     return between.union(within.select(F.explode("leaders").alias("l"), "n")).filter("l <> n").distinct()
 
 
+def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR) -> DataFrame:
+    """All pairs (l, n) of texts (_lt_text, _lt_parts, _lt_class; stored) of different classes that meet in a ball, each once.
+
+    Only balls in which classes meet are opened. A pair is taken at the first part
+    in which it meets and there at the lesser of the balls that it shares; hot
+    balls are dealt over several tasks, one side of their pairs copied to each.
+    """
+    masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
+    around = lambda v: F.explode(F.array(*[v.bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
+    nodes = texts.select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c"), F.col("_lt_parts").alias("s"), F.posexplode("_lt_parts").alias("p", "v"))
+    values = stored(nodes.groupBy("p", "v").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")), "values")
+    balls = values.select("p", "low", "high", "k", around(F.col("v")).alias("ball")).groupBy("p", "ball").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k"))
+    balls = stored(balls.where("low <> high").select("p", "ball", "k"), "mixed")
+    total = balls.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
+    limit = max(1_000_000, math.ceil(total / (4 * partitions(texts.sparkSession))))  # so at most 4 x partitions balls are hot
+    balls = balls.withColumn("salts", F.least(F.col("k"), F.ceil(F.col("k") * F.col("k") / limit)).cast("long")).drop("k")
+    open_ = balls.select("p", around(F.col("ball")).alias("v")).distinct()
+    some = nodes.join(open_, ["p", "v"], "left_semi").select("n", "c", "s", "p", "v", around(F.col("v")).alias("ball")).join(balls, ["p", "ball"])
+    some = stored(some, "members")
+    a = some.select("p", "ball", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.struct("n", "c", "s", "v").alias("a"))
+    b = some.select("p", "ball", F.pmod(F.xxhash64("n"), F.col("salts")).alias("salt"), F.struct("n", "c", "s", "v").alias("b"))
+    apart = F.col("a.v").bitwiseXOR(F.col("b.v"))
+    here = F.when(apart == 0, F.col("ball") == F.col("a.v")).otherwise(F.col("ball") < F.col("ball").bitwiseXOR(apart))
+    flips = [F.bit_count(F.col("a.s")[q].bitwiseXOR(F.col("b.s")[q])) for q in range(parts)]
+    first = [F.when(F.col("p") > q, flips[q] > 2).otherwise(True) for q in range(parts - 1)]
+    good = (F.col("a.n") < F.col("b.n")) & (F.col("a.c") != F.col("b.c")) & here & (sum(flips, F.lit(0)) <= int(far * parts * bits))
+    for f in first:
+        good = good & f
+    return a.join(b.hint("merge"), ["p", "ball", "salt"]).where(good).select(F.col("a.n").alias("l"), F.col("b.n").alias("n"))
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
     """Those of pairs (l, n; stored) whose texts (n, text; one row each) have the Jaccard similarity or more.
 
@@ -246,23 +283,28 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, parts: int = PARTS, bits: int = BITS) -> DataFrame:
     """The first document by doc_id (ids before null) of each group of equal or similar texts, with its own columns; repeated rows leave one.
 
-    Texts are told apart by 64 bits. Null, empty and blank texts are similar to
-    each other and to nothing else; ties, one id under several texts, go by the
-    text's hash; an empty table stays empty.
+    Texts are told apart by 64 bits and their length. Null, empty and blank texts
+    are similar to each other and to nothing else; ties, one id under several
+    texts, go by the text's hash; an empty table stays empty.
     """
     rows = sketches(docs, parts, bits)
     first = F.min(F.struct(F.col("_lt_doc").isNull().alias("no"), F.col("_lt_doc").alias("doc"), F.col("_lt_text").alias("text")))
     texts = stored(rows.groupBy("_lt_text").agg(first.alias("_lt_first"), F.first("_lt_parts").alias("_lt_parts")), "texts")
-    keyed = docs.withColumn("_lt_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_lt_text", row_hash(F.col("text")))
+    keyed = docs.withColumn("_lt_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_lt_text", named(F.col("text")))
 
     def only(of: DataFrame, heads: DataFrame) -> DataFrame:
         heads = heads.select(F.coalesce(F.col("_lt_first")["doc"], F.lit(NULL_ID)).alias("_lt_doc"), F.col("_lt_first")["text"].alias("_lt_text"))
         return of.join(heads, ["_lt_doc", "_lt_text"], "left_semi").dropDuplicates(["_lt_doc", "_lt_text"])
 
-    pairs = stored(candidates(texts, bits), "pairs")
-    named = pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct()
-    met = only(keyed.select("_lt_doc", "_lt_text", "text"), texts.join(named, "_lt_text", "left_semi"))
-    met = stored(met.select(F.col("_lt_text").alias("n"), "text"), "met")
-    found = components(similar(pairs, met, similarity, shingle).toDF("a", "b"))
-    classed = texts.join(found, texts._lt_text == found.n, "left").groupBy(F.coalesce("l", "_lt_text").alias("_lt_class"))
-    return only(keyed, classed.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)
+    def alike(pairs: DataFrame) -> DataFrame:
+        met = only(keyed.select("_lt_doc", "_lt_text", "text"), texts.join(pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct(), "_lt_text", "left_semi"))
+        return similar(pairs, stored(met.select(F.col("_lt_text").alias("n"), "text"), "met"), similarity, shingle).toDF("a", "b")
+
+    def classed(links: DataFrame) -> DataFrame:
+        found = components(links)
+        return texts.join(found, texts._lt_text == found.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_text")).drop("n", "l")
+
+    near = stored(alike(stored(candidates(texts, bits), "pairs")), "near")
+    rest = stored(remaining(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, parts), "pairs")
+    whole = classed(near.unionByName(alike(rest))).groupBy("_lt_class")
+    return only(keyed, whole.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)

@@ -420,6 +420,43 @@ def test_keep_one_with_hot_groups(spark):
     assert Counter(r.doc_id for r in kept.collect()) == brute_heads(found)
 
 
+def test_keep_one_with_templates(spark):
+    """Texts made from one another by 3 to 5 new words: few pairs of a template are similar, most similar ones are of inner members."""
+    import random
+
+    rnd = random.Random(13)
+    vocab = [f"w{k}" for k in range(5000)]
+    texts = []
+    for _ in range(3):
+        base = rnd.choices(vocab, k=200)
+        for _ in range(150):
+            edited = list(base)
+            for at in rnd.sample(range(200), rnd.randint(3, 5)):
+                edited[at] = rnd.choice(vocab)
+            texts.append(" ".join(edited))
+    found = list(enumerate(texts))
+    kept, want = Counter(r.doc_id for r in simhash.keep_one(spark.createDataFrame(found, "doc_id long, text string").repartition(5)).collect()), brute_heads(found)
+    removable = len(texts) - want.total()
+    assert not want - kept and removable > 50
+    assert kept.total() - want.total() <= 0.05 * removable
+
+
+def test_remaining_pairs_against_all_pairs(spark):
+    """Once each: pairs of different classes with a part in which two bits differ at most, and few bits overall."""
+    import random
+
+    rnd = random.Random(3)
+    base = [[rnd.getrandbits(20) for _ in range(3)] for _ in range(12)]
+    rows = []
+    for k in range(150):
+        parts = [x ^ sum(1 << b for b in rnd.sample(range(20), rnd.choice([0, 0, 1, 2, 3]))) for x in rnd.choice(base)]
+        rows.append((k, parts, rnd.randrange(40)))
+    got = [tuple(r) for r in simhash.remaining(spark.createDataFrame(rows, "_lt_text long, _lt_parts array<long>, _lt_class long"), 20, 3, 0.1).collect()]
+    apart = lambda a, b: [bin(x ^ y).count("1") for x, y in zip(a, b)]
+    want = {(a, b) for a, p, c in rows for b, q, d in rows if a < b and c != d and min(apart(p, q)) <= 2 and sum(apart(p, q)) <= 6}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_leaders_are_those_of_all_balls(spark):
     """Candidates against the definition: ends of a value with its texts, and with the least text of the ends of each of its balls."""
     import random
