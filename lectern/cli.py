@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import hashlib
 import json
 import sys
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.errors import EvidenceError
 from lectern.operators import ingest, validate
 from lectern.plans import evaluation, requests
+from lectern.plans.approval import approved
 from lectern.plans.service import Service
 from lectern.plans.snapshots import Catalog, normalized
 from lectern.sources import cases, markup
@@ -48,6 +48,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         if name == "build":
             p.add_argument("--edition", required=True)
             p.add_argument("--language", required=True)
+            p.add_argument("--acquisition-url")
+            p.add_argument("--acquisition-date")
     commands.add_parser("verify")
     p = commands.add_parser("activate")
     p.add_argument("corpus_version")
@@ -85,8 +87,7 @@ def _run(args, spark: SparkSession, catalog: Catalog):
         corpus = normalized(passages, notes, edges, expected, passages)
         if args.command == "inspect":
             return validate.finding_report(validate.validate_corpus(corpus.units, corpus.notes, corpus.edges, expected)).first().asDict()
-        raw = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(args.source).select("content").collect())
-        approval = {"edition": args.edition, "language": args.language, "source_sha256": hashlib.sha256(raw).hexdigest()}
+        approval = approved(spark, args.source, args.edition, args.language, args.acquisition_url, args.acquisition_date)
         return catalog.build(corpus, approval, "markup-v1", expected)
     if args.command == "verify":
         return [catalog.verify(a["artifact_digest"])["corpus_version"] for a in catalog.accepted()]
@@ -103,7 +104,8 @@ def _run(args, spark: SparkSession, catalog: Catalog):
         return {"path": evaluation.publish(catalog.store, "evaluations", made), "report": made}
     if args.command == "probe":
         definition = json.loads("".join(r.value for r in spark.read.text(args.definition, wholetext=True).collect()))
-        return evaluation.probe(service, definition["questions"], definition["lanes"])
+        made = evaluation.probe(service, definition["questions"], definition["lanes"])
+        return {"path": evaluation.publish(catalog.store, "probes", made), "report": made}
     return evaluation.latencies(service, args.reference, args.query)
 
 

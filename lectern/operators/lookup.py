@@ -18,6 +18,16 @@ def get_passage_by_id(units: DataFrame, canonical_order: int) -> DataFrame:
     return units.where(F.col("canonical_order") == canonical_order)
 
 
+def with_origins(notes: DataFrame, units: DataFrame) -> DataFrame:
+    """Notes with the canonical order of the unit that each belongs to; notes of units that aren't there are left out."""
+    return notes.join(units.select(F.col("reference").alias("origin_reference"), "canonical_order"), "origin_reference")
+
+
+def compatible(configs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Configurations (corpus_version, retrieval_config) of corpora that are accepted: the pairs that can be active."""
+    return configs.join(accepted.select("corpus_version").distinct(), "corpus_version", "left_semi")
+
+
 def get_context(units: DataFrame, canonical_order: int, before: int, after: int) -> DataFrame:
     """Units around one, across chapters and books, without it."""
     o = F.col("canonical_order")

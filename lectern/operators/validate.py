@@ -102,3 +102,15 @@ def reconcile_spans(spans: DataFrame, sources: DataFrame, kind: str = "epub") ->
     cited = F.when(start.isNull(), F.col("content")).otherwise(F.substr("content", start + 1, end - start))
     readable = F.col("content").isNotNull() & (start.isNull() | ((start >= 0) & (end >= start) & (end <= F.length("content"))))
     return _span_findings(spans, sources, kind, readable, F.contains(collapse(cited), collapse(F.col("text"))))
+
+
+def reconcile_sources(spans: DataFrame, contents: dict[str, DataFrame]) -> DataFrame:
+    """Findings of spans (reference, source_format, kind, source_id, start, end, text), each against the contents (source_id, content) of its source's format.
+
+    A format without contents is unsupported: all references from it are findings.
+    """
+    known = F.col("source_format").isin(*contents)
+    found = spans.where(~F.coalesce(known, F.lit(False))).select(F.lit("unsupported_source").alias("code"), "reference").distinct()
+    for kind, sources in contents.items():
+        found = found.unionByName(reconcile_spans(spans.where(F.col("source_format") == kind), sources, kind))
+    return found

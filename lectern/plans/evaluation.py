@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import math
+import re
 import time
 
 from pyspark.sql import DataFrame
@@ -85,6 +86,26 @@ def publish(store: Store, folder: str, made: dict) -> str:
 PATHS = ("atomic", "combined")
 
 
+LANES = (["lexical"], ["lexical", "official"])
+
+
+def checked_probe(questions: list[dict], lanes: list[str]) -> None:
+    """Refuses a probe without questions, with an id twice, with a pool that is empty, repeats or names ranges, or with other lanes than those that exist."""
+    if lanes not in LANES:
+        raise ValueError("a probe's lanes are lexical, or lexical and official")
+    ids = [q.get("id") for q in questions]
+    if not ids or len(set(ids)) != len(ids) or any(not isinstance(i, str) or not re.fullmatch("[A-Za-z0-9._-]{1,128}", i) for i in ids):
+        raise ValueError("a probe has questions, each under an id of its own")
+    for q in questions:
+        pool = q.get("pool") or []
+        if not pool or len(set(pool)) != len(pool):
+            raise ValueError(f"the pool of {q['id']} is empty or repeats")
+        for reference in pool:
+            if Q.split_reference(reference)[3] is not None:
+                raise ValueError(f"{reference} is a range; a pool names single references")
+        Q.LexicalRequest(query=q.get("query", ""))
+
+
 def probe(service: Service, questions: list[dict], lanes: list[str]) -> dict:
     """Answers questions ({id, query, pool, hops}) by single operations and by evidence search, and audits both.
 
@@ -92,6 +113,7 @@ def probe(service: Service, questions: list[dict], lanes: list[str]) -> dict:
     makes one request. Coverage is of each question's pool; citations are looked
     up again and compared; lanes other than the locked ones are errors.
     """
+    checked_probe(questions, lanes)
     spark = service.catalog.spark
     out = []
     for q in questions:

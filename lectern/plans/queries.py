@@ -19,6 +19,7 @@ from lectern.operators import validate as V
 from lectern.operators.digests import FAN
 from lectern.plans import tables as T
 from lectern.shared import kept
+from lectern.sources.markup import PROFILE
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -291,7 +292,7 @@ def all_edges(spark, sf):
 
 @query(f"WITH {EDGES}, notes AS (SELECT o_orderkey AS note_id, 'bofm/1-ne/' || (o_custkey % 45 + 1) || '/' || (o_orderkey % 9 + 1) AS origin_reference FROM orders) SELECT note_id, origin_reference, canonical_order FROM notes JOIN nodes ON reference = origin_reference")
 def all_notes(spark, sf):
-    return _notes(spark, sf).join(T.nodes(spark).withColumnRenamed("reference", "origin_reference"), "origin_reference").select("note_id", "origin_reference", "canonical_order")
+    return K.with_origins(_notes(spark, sf), T.nodes(spark)).select("note_id", "origin_reference", "canonical_order")
 
 
 def _notes(spark, sf):
@@ -732,7 +733,7 @@ def registry_latest(spark, sf):
 @query("SELECT 'corpus-' || o_orderkey AS corpus_version, 'baseline-' || l_linenumber AS retrieval_config FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O'")
 def registry_join(spark, sf):
     configs = T.table(spark, sf, "lineitem").select(F.concat(F.lit("corpus-"), F.col("l_orderkey")).alias("corpus_version"), F.concat(F.lit("baseline-"), F.col("l_linenumber")).alias("retrieval_config"))
-    return configs.join(_registry(spark, sf).where("state = 'accepted'"), "corpus_version").select("corpus_version", "retrieval_config")
+    return K.compatible(configs, _registry(spark, sf).where("state = 'accepted'")).select("corpus_version", "retrieval_config")
 
 
 @query(f"""WITH {_sql_rolled("SELECT doc_id AS pos, coalesce(sha256(text), '') AS line FROM documents")} SELECT n AS n_units, digest, 100 AS candidate_pool_size, 'fts5-bm25' AS algorithm FROM rolled""")
@@ -811,6 +812,22 @@ def glyph_box_join(spark, sf):
     return L.glyph_box_join(T.glyphs(spark, sf), T.boxes(spark, sf)).select("box_id", "ord", "text")
 
 
+# Of each box a text that is there, one that isn't, a span of another kind, or a source of no known format.
+_PAGE_SPANS = GLYPHS + """, cr AS (SELECT box_id, string_agg(text, '' ORDER BY round_even(top / 2, 0), x0, ord) AS content FROM glyphs JOIN boxes ON page = box_id WHERE x0 < bx1 AND x1 > bx0 AND top < bbottom AND bottom > btop GROUP BY box_id),
+sp AS (SELECT 'r' || box_id AS reference, box_id, content, CASE box_id % 5 WHEN 1 THEN 'epub' ELSE 'pdf' END AS kind, CASE box_id % 5 WHEN 2 THEN 'djvu' ELSE 'pdf' END AS source_format, CASE WHEN box_id % 5 = 3 THEN 'xyz' ELSE substr(coalesce(content, 'abc'), 1, 2) END AS text FROM boxes LEFT JOIN cr USING (box_id))"""
+
+
+@query(f"""WITH {_PAGE_SPANS} SELECT reference, CASE WHEN source_format <> 'pdf' THEN 'unsupported_source' WHEN kind <> 'pdf' THEN 'source_span_kind_mismatch' WHEN content IS NULL THEN 'source_span_unreadable' ELSE 'source_span_mismatch' END AS code FROM sp
+WHERE source_format <> 'pdf' OR kind <> 'pdf' OR content IS NULL OR NOT contains(content, text)""")
+def reconcile_page_spans(spark, sf):
+    boxes = T.boxes(spark, sf)
+    content = L.cropped_text(T.glyphs(spark, sf), boxes)
+    case = F.col("box_id") % 5
+    text = F.when(case == 3, "xyz").otherwise(F.substring(F.coalesce("content", F.lit("abc")), 1, 2))
+    spans = boxes.select("box_id").join(content, "box_id", "left").select(F.concat(F.lit("r"), "box_id").alias("reference"), F.col("box_id").alias("source_id"), F.when(case == 1, "epub").otherwise("pdf").alias("kind"), F.when(case == 2, "djvu").otherwise("pdf").alias("source_format"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), text.alias("text"))
+    return V.reconcile_sources(spans, {"pdf": content.withColumnRenamed("box_id", "source_id")}).select("reference", "code")
+
+
 @query(f"WITH {GLYPHS} SELECT page, arg_max(size, (n, -f)) AS mode FROM (SELECT page, size, count(*) AS n, min(ord) AS f FROM glyphs GROUP BY ALL) GROUP BY page")
 def dominant_mode(spark, sf):
     return L.dominant_mode(T.glyphs(spark, sf), ["page"], F.bround("size", 1), "ord").select("page", F.col("mode").cast("double").alias("mode"))
@@ -864,14 +881,39 @@ def span_locate(spark, sf):
     return T.table(spark, sf, "pages").select("page_id", F.inline(F.array(located(F.col("html"), F.lit("<article>")))))
 
 
-# Grouped functions over fixtures; held against plain expectations in the tests
+# Sources and grouped functions over what Spark makes of the tables
 
 
-@query()
-def scan_markup_units(spark, sf):
-    from lectern.sources.markup import markup_units, sample_archive
+_BODY = ['<html><body><section data-scripture-profile="' + PROFILE + '">', "</section></body></html>"]
+
 
-    return markup_units(spark.createDataFrame([("sample.epub", bytearray(sample_archive()))], "path string, content binary")).drop("detail")
+# A chapter is fifty orders, each a unit, every seventh with a citation behind it.
+@query(f"""WITH o AS (SELECT o_orderkey // 1000 AS a, o_orderkey % 1000 // 50 + 1 AS c, o_orderkey % 50 + 1 AS v, o_orderkey % 7 = 0 AS cites, 'bofm/1-ne/' || (o_orderkey % 1000 // 50 + 1) || '/' || (o_orderkey % 50 + 1) AS r, 'Order ' || o_orderkey || ' ' || o_orderpriority AS t, o_custkey % 50 + 1 AS k FROM orders),
+h AS (SELECT *, '<a data-origin="' || r || '" data-anchor="a" data-target="bofm/1-ne/1/' || k || '" data-source="s">' AS tag FROM o),
+b AS (SELECT a, c, '{_BODY[0]}' || string_agg('<p data-reference="' || r || '">' || t || '</p>' || CASE WHEN cites THEN tag || 'x</a>' ELSE '' END, '' ORDER BY v) || '{_BODY[1]}' AS body FROM h GROUP BY a, c),
+u AS (SELECT a, c, v, 0 AS n, 'passage' AS kind, r AS id, t AS text, NULL AS target, t AS piece FROM h UNION ALL SELECT a, c, v, 1, 'edge', NULL, NULL, 'bofm/1-ne/1/' || k, tag FROM h WHERE cites)
+SELECT 'a' || a AS path, kind, CAST(row_number() OVER (PARTITION BY a ORDER BY c, v, n) - 1 AS INT) AS ord, 'OPS/c' || c || '.xhtml' AS member, id, target, text, position(piece IN body) - 1 AS start, position(piece IN body) - 1 + length(piece) AS "end" FROM u JOIN b USING (a, c)""")
+def scan_markup_units(spark, sf):
+    """Archives of a thousand order numbers each, made by Spark and read again."""
+    from lectern.sources.markup import archive_of, markup_units
+
+    key, r = F.col("o_orderkey"), F.col("r")
+    rows = T.table(spark, sf, "orders").select(F.expr("o_orderkey div 1000").alias("a"), F.expr("o_orderkey % 1000 div 50 + 1").alias("c"), (key % 50 + 1).alias("v"), (key % 7 == 0).alias("cites"), F.concat(F.lit("Order "), key, F.lit(" "), "o_orderpriority").alias("t"), (F.col("o_custkey") % 50 + 1).alias("k"))
+    rows = rows.withColumn("r", F.concat_ws("/", F.lit("bofm/1-ne"), "c", "v"))
+    cite = F.concat(F.lit('<a data-origin="'), r, F.lit('" data-anchor="a" data-target="bofm/1-ne/1/'), "k", F.lit('" data-source="s">x</a>'))
+    html = F.concat(F.lit('<p data-reference="'), r, F.lit('">'), "t", F.lit("</p>"), F.when(F.col("cites"), cite).otherwise(""))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["html"]), "")
+    chapters = rows.groupBy("a", "c").agg(F.concat(F.lit(_BODY[0]), joined(F.struct("v", html.alias("html"))), F.lit(_BODY[1])).alias("body"))
+    archives = chapters.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("c", "body"))).alias("chapters"))
+
+    def packed(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            yield pd.DataFrame({"path": [f"a{a}" for a in pdf["a"]], "content": [archive_of({f"c{x['c']}.xhtml": x["body"] for x in chapters}) for chapters in pdf["chapters"]]})
+
+    found = markup_units(archives.mapInPandas(packed, "path string, content binary"))
+    return found.select("path", "kind", F.col("ord").cast("int").alias("ord"), "member", "id", "target", "text", "start", "end")
 
 
 @query(f"""WITH {LI} SELECT 'd' || (l_orderkey // 100) AS doc, dense_rank() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey) - 1 AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ord,

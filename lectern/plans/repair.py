@@ -26,6 +26,12 @@ class Corrections:
 
     verse_overrides: dict | None = None
     false_anchors: frozenset = frozenset()
+    sources: dict | None = None  # digests of the files that they were verified against, by kind
+
+    def bound(self, sources: dict | None) -> None:
+        """Refuses corrections for other files than those given, and corrections without files."""
+        if (self.verse_overrides or self.false_anchors) and (not self.sources or self.sources != sources):
+            raise ValueError("corrections are for exactly the files that they were verified against")
 
 
 @dataclass(frozen=True)
@@ -84,12 +90,14 @@ def _proposals(left: DataFrame, on_pages: DataFrame, resolved: DataFrame) -> Dat
     return alone.unionByName(numbered.where("i = j AND a = b AND labels = 1").drop("i", "j", "a", "b", "labels", "n"))
 
 
-def repair(blocks: DataFrame, titles: DataFrame, expected: DataFrame, sizes: DataFrame, glyphs: DataFrame | None = None, shown: DataFrame | None = None, corrections: Corrections = Corrections()) -> Repair:
+def repair(blocks: DataFrame, titles: DataFrame, expected: DataFrame, sizes: DataFrame, glyphs: DataFrame | None = None, shown: DataFrame | None = None, corrections: Corrections = Corrections(), sources: dict | None = None) -> Repair:
     """Verses with their spans, notes with their texts, and everything that was mended or is in doubt.
 
     A verse that the structure lacks, or one that is missing, is a finding of
-    validation, as for any source. Tables are written between steps.
+    validation, as for any source. Tables are written between steps. sources:
+    digests of the files that all this comes from, which corrections must name.
     """
+    corrections.bound(sources)
     read = cut(fragments(blocks, titles, shown))
     parsed = cut(L.verse_fsm(read))
     boxes = _scaled(read.select("doc", "book", "chapter", "k", "page", *[c for c in read.columns if c in ("x0", "top", "x1", "bottom") or c.startswith("page_")]), sizes)

@@ -4,7 +4,7 @@ Everything is files of one root folder of any Hadoop file system:
 
     attempts/<id>/state.json          building, accepted or rejected
     corpora/<digest>/...              tables, manifest.json, retrieval.json
-    accepted/<build key>.json         written once: the commit
+    accepted/<number>.json            commits, numbered, each written once
     active.json                       the active pair, replaced by a rename
 
 A digest covers logical rows, sorted, not files, as Parquet files also hold
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -49,8 +51,9 @@ class Store:
     """Small files and folders of a Hadoop file system, from the driver."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.root, self._jvm = root.rstrip("/"), spark._jvm
-        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.root, self._jvm, self._gateway = root.rstrip("/"), spark._jvm, spark.sparkContext._gateway
+        self._configuration = spark._jsc.hadoopConfiguration()
+        self.fs = self._path("").getFileSystem(self._configuration)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -68,21 +71,35 @@ class Store:
             stream.close()
 
     def create(self, name: str, text: str, overwrite: bool = False) -> None:
-        """Writes a file under a temporary name and renames it; without overwrite an existing one is an error."""
-        temporary = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        """Writes a file, readable by its owner only, under a temporary name and gives it its own; without overwrite only one of several writers succeeds, the others get FileExistsError."""
+        target, temporary = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
         stream = self.fs.create(temporary, False)
         try:
+            self.fs.setPermission(temporary, self._jvm.org.apache.hadoop.fs.permission.FsPermission("600"))
             stream.write(bytearray(text.encode()))
             stream.hsync()
         finally:
             stream.close()
-        if self.exists(name):
-            if not overwrite:
-                self.fs.delete(temporary, False)
-                raise FileExistsError(name)
-            self.fs.delete(self._path(name), False)
-        if not self.fs.rename(temporary, self._path(name)):
-            raise OSError(f"{name} could not be renamed")
+        try:
+            self._named(temporary, target, overwrite)
+        finally:
+            self.fs.delete(temporary, False)
+
+    def _named(self, temporary, target, overwrite: bool) -> None:
+        """Gives a file its name in one step: a link on a local file system, whose rename replaces, elsewhere a rename that fails where the name is taken."""
+        local = self.fs.makeQualified(target).toUri()
+        if local.getScheme() == "file" and not overwrite:
+            os.link(self.fs.makeQualified(temporary).toUri().getPath(), local.getPath())
+            return
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self._configuration).rename(temporary, target, options)
+        except Exception as e:
+            if not overwrite and self.fs.exists(target):
+                raise FileExistsError(target.toString()) from e
+            raise
 
     def rename(self, a: str, b: str) -> None:
         if not self.fs.rename(self._path(a), self._path(b)):
@@ -136,10 +153,35 @@ class Catalog:
         self._hashed: dict[tuple, dict[str, str]] = {}
 
     def accepted(self) -> list[dict]:
-        return [json.loads(self.store.read(f"accepted/{n}")) for n in self.store.names("accepted") if n.endswith(".json")]
+        """What was accepted, in the order of commits."""
+        return [json.loads(self.store.read(f"accepted/{n}")) for n in self._commits()]
+
+    def _commits(self) -> list[str]:
+        return [n for n in self.store.names("accepted") if re.fullmatch("[0-9]{12}[.]json", n)]
+
+    def _built(self, key: str) -> dict | None:
+        return next((a for a in self.accepted() if a["build_key"] == key), None)
+
+    def register(self, record: dict, before_commit=lambda: None) -> dict:
+        """Commits a record under the next number, or returns the one that was there for its build key.
+
+        Commits are files that only one writer can create. Who finds its number
+        taken reads what others committed in the meantime and tries the next.
+        """
+        self.store.make("accepted")
+        while True:
+            if (there := self._built(record["build_key"])) is not None:
+                return there
+            number = int(([*self._commits()] or ["0"])[-1].partition(".")[0]) + 1
+            before_commit()
+            try:
+                self.store.create(f"accepted/{number:012d}.json", canonical(record))
+                return record
+            except FileExistsError:
+                continue
 
     def latest(self) -> dict | None:
-        return max(self.accepted(), key=lambda a: a["accepted_at"], default=None)
+        return (self.accepted() or [None])[-1]
 
     def attempts(self) -> list[dict]:
         return [json.loads(self.store.read(f"attempts/{n}/state.json")) for n in self.store.names("attempts")]
@@ -199,9 +241,9 @@ class Catalog:
             raise ValueError(f"the corpus has findings: {[tuple(f) for f in findings]}")
         normalized = rows_digest(corpus.units, "reference")
         key = sha256(canonical({"approval": approval, "recipe_fingerprint": recipe, "normalized_digest": normalized, "schema_version": SCHEMA_VERSION, "importer_version": importer}))
-        if (there := self.store.read(f"accepted/{key}.json")) is not None:
-            self.verify(json.loads(there)["artifact_digest"])
-            return json.loads(there)
+        if (there := self._built(key)) is not None:
+            self.verify(there["artifact_digest"])
+            return there
         attempt = uuid.uuid4().hex
         state = {"attempt_id": attempt, "build_key": key, "state": "building"}
         self.store.make(f"attempts/{attempt}")
@@ -228,8 +270,7 @@ class Catalog:
             self.verify(digest)
             record = {"corpus_version": manifest["corpus_version"], "retrieval_config": core["retrieval_config"], "artifact_digest": digest, "normalized_digest": normalized, "build_key": key, "manifest": manifest, "config": json.loads(config), "accepted_at": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())}
             reached("after_registration")
-            self.store.make("accepted")
-            self.store.create(f"accepted/{key}.json", canonical(record))
+            record = self.register(record)
             self.store.create(f"attempts/{attempt}/state.json", canonical({**state, "state": "accepted", "corpus_version": record["corpus_version"]}), overwrite=True)
             return record
         except BaseException as e:

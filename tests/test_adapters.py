@@ -16,17 +16,17 @@ def test_routes(service):  # noqa: F811
     same = lambda a, b: json.loads(json.dumps(a, default=str)) == json.loads(json.dumps(b, default=str))
     status, corpus = adapters.handle(service, "GET", "/v1/corpus")
     assert status == 200 and corpus == service.get_corpus()
-    status, answer = adapters.handle(service, "GET", "/v1/passages/bofm/1-ne/1/3/context?before=2&after=1")
-    assert status == 200 and same(answer, service.get_context(Q.ContextRequest(reference="bofm/1-ne/1/3", before=2, after=1)))
-    status, answer = adapters.handle(service, "POST", "/v1/search/lexical", b'{"query": "faith", "mode": "prefix"}')
-    assert status == 200 and same(answer, service.search_lexical(Q.LexicalRequest(query="faith", mode="prefix")))
+    status, answer = adapters.handle(service, "GET", "/v1/passages/bofm/enos/1/3/context?before=2&after=1")
+    assert status == 200 and same(answer, service.get_context(Q.ContextRequest(reference="bofm/enos/1/3", before=2, after=1)))
+    status, answer = adapters.handle(service, "POST", "/v1/search/lexical", b'{"query": "lan", "mode": "prefix"}')
+    assert status == 200 and same(answer, service.search_lexical(Q.LexicalRequest(query="lan", mode="prefix")))
 
 
 @pytest.mark.parametrize(("method", "path", "body", "status", "code"), [
-    ("GET", "/v1/passages/bofm/1-ne/9/9", b"", 404, "passage_not_found"),
-    ("GET", "/v1/passages/bofm/1-ne/01/1", b"", 400, "invalid_query"),
-    ("GET", "/v1/passages/bofm/1-ne/1/1/context?before=x", b"", 400, "invalid_query"),
-    ("GET", "/v1/passages/bofm/1-ne/1/1/context?before=30", b"", 400, "limit_exceeded"),
+    ("GET", "/v1/passages/bofm/enos/4/1", b"", 404, "passage_not_found"),
+    ("GET", "/v1/passages/bofm/enos/1/02", b"", 400, "invalid_query"),
+    ("GET", "/v1/passages/bofm/enos/1/1/context?before=x", b"", 400, "invalid_query"),
+    ("GET", "/v1/passages/bofm/enos/1/1/context?before=30", b"", 400, "limit_exceeded"),
     ("GET", "/v1/corpus?corpus_version=c&retrieval_config=d", b"", 404, "version_unavailable"),
     ("POST", "/v1/evidence/search", b"{", 400, "invalid_query"),
     ("POST", "/v1/evidence/search", b'{"query": "x", "extra": 1}', 400, "invalid_query"),
@@ -51,11 +51,11 @@ def test_server(service):  # noqa: F811
 
 
 def test_tools(service):  # noqa: F811
-    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_passage", "arguments": {"reference": "bofm/1-ne/1/1"}}}, {"id": 4, "method": "tools/call", "params": {"name": "get_passage", "arguments": {"reference": "x"}}}, {"id": 5, "method": "other"}]
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "get_passage", "arguments": {"reference": "bofm/enos/1/1"}}}, {"id": 4, "method": "tools/call", "params": {"name": "get_passage", "arguments": {"reference": "x"}}}, {"id": 5, "method": "other"}]
     said: list = []
     adapters.tools(service, [json.dumps(m) for m in asked], said.append)
     one, two, three, four, five = map(json.loads, said)
     assert one["result"]["capabilities"] == {"tools": {}} and len(two["result"]["tools"]) == 6
-    assert three["result"]["structuredContent"]["records"][0]["passage"]["text"] == "Faith hope and charity."
+    assert three["result"]["structuredContent"]["records"][0]["passage"]["text"] == "The lantern burns above the quiet harbor."
     assert four["result"]["isError"] and four["result"]["structuredContent"]["error"]["code"] == "invalid_query"
     assert five["error"]["code"] == -32601

@@ -63,7 +63,10 @@ def test_relabelled_recovered_and_unlinked(spark):
 
 def test_corrections_and_order(spark):
     pages = [[*head(), block("First <sup>a</sup>one.", 30), block("2 Second <sup>a</sup>two.", 40), foot("<p>7a overridden 2c by order</p>")]]
-    m = made(spark, pages, 2, corrections=R.Corrections({("bofm/1-ne/1/1", "a"): 7}))
+    m = made(spark, pages, 2, corrections=R.Corrections({("bofm/1-ne/1/1", "a"): 7}, sources={"json": "1"}), sources={"json": "1"})
+    for wrong in ({}, {"sources": {"json": "2"}}):
+        with pytest.raises(ValueError, match="exactly"):
+            made(spark, pages, 2, corrections=R.Corrections({("bofm/1-ne/1/1", "a"): 7}, sources={"json": "1"}), **wrong)
     assert notes(m) == [("1", "a", True, "overridden"), ("2", "a", True, "by order")]
     assert codes(m) == [("apparatus_anchor_reconciled", "2"), ("source_profile_correction", "1")]
 

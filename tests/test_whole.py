@@ -20,24 +20,31 @@ def test_every_order_line_is_an_edge(spark, sf, con):
     assert QUERIES["target_key"](spark, sf).count() == con.sql("SELECT count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem").fetchall()[0][0]
 
 
+def sha(s: str) -> str:
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def rooted(rows):
+    """(n, digest) of rows (place, line) by plain lists: leaves of 4096 places, nodes of 4096 leaves, the root."""
+    level = [(p, sha(line)) for p, line in rows]
+    for _ in range(2):
+        groups = {}
+        for p, d in sorted(level):
+            groups.setdefault(p // 4096, []).append(f"{p}:{d}")
+        level = [(p, sha("\n".join(g))) for p, g in groups.items()]
+    return len(rows), sha("\n".join(f"{p}:{d}" for p, d in sorted(level)))
+
+
 def test_metadata_digest_covers_all_documents(spark, sf, con):
-    rows = con.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    groups = {}
-    for i, t in rows:
-        groups.setdefault(i // 1000, []).append("" if t is None else sha(t))
+    rows = con.sql("SELECT doc_id, text FROM documents").fetchall()
     got = QUERIES["corpus_metadata"](spark, sf).collect()[0]
-    assert (got.n_units, got.digest) == (len(rows), sha("".join(sha("\n".join(g)) for _, g in sorted(groups.items()))))
+    assert (got.n_units, got.digest) == rooted([(i, "" if t is None else sha(t)) for i, t in rows])
 
 
 def canonical(row: dict) -> str:
     return json.dumps(row, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
 
 
-def sha(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()
-
-
 def test_lines_hold_texts_notes_and_edges(spark, sf):
     units = [r.asDict() for r in T.hashed_units(spark, sf).collect()]
     passage = lambda u: {k: u[k] for k in ("canonical_order", "content_hash", "reference", "text")}
@@ -62,11 +69,61 @@ def test_lines_escape_what_json_needs(spark):
 
 def test_review_groups_roll_digests(spark, sf):
     groups = {}
-    for u in sorted((r.asDict() for r in T.hashed_units(spark, sf).collect()), key=lambda u: u["canonical_order"]):
+    for u in (r.asDict() for r in T.hashed_units(spark, sf).collect()):
         line = f"- `{u['reference']}` — {u['text']}\n  - content SHA-256: `{u['content_hash']}`"
-        groups.setdefault(f"EPUB member `{u['chapter']}.xhtml`", {}).setdefault(u["canonical_order"] // 1000, []).append(sha(line))
-    want = {k: (sum(map(len, g.values())), sha("".join(sha("\n".join(h)) for _, h in sorted(g.items())))) for k, g in groups.items()}
-    assert {r.location: (r.n_passages, r.body) for r in QUERIES["review_groups"](spark, sf).collect()} == want
+        groups.setdefault(f"EPUB member `{u['chapter']}.xhtml`", []).append((u["canonical_order"], line))
+    assert {r.location: (r.n_passages, r.body) for r in QUERIES["review_groups"](spark, sf).collect()} == {k: rooted(g) for k, g in groups.items()}
+
+
+def test_a_digest_tree_of_one_large_group(spark, monkeypatch):
+    """Three levels over 2000 places with a fan-out of 8: no list is longer, the partitioning doesn't show, and what changed is found from the top."""
+    from pyspark.sql import functions as F
+
+    from lectern.operators import digests
+
+    monkeypatch.setattr(digests, "FAN", 8)
+    monkeypatch.setattr(digests, "LEVELS", 3)
+    rows = spark.range(2000).select("id", F.concat(F.lit("line "), "id").alias("line"))
+    tree = lambda df: digests.table(digests.tree(df, F.col("id"), F.col("line")))
+    whole = tree(rows)
+    assert {r.level: (r.n, r.most) for r in whole.groupBy("level").agg(F.count("*").alias("n"), F.max(F.when(F.col("level") == 0, F.col("n"))).alias("most")).collect()} == {0: (250, 8), 1: (32, None), 2: (4, None)}
+    root = lambda df: digests.rolled(df, F.col("id"), F.col("line")).first()
+    assert root(rows) == root(rows.repartition(7, F.rand(3))) and root(rows) != root(rows.where("id <> 1234"))
+    other = rows.where("id <> 1999").withColumn("line", F.when(F.col("id").isin(3, 1234), "x").otherwise(F.col("line"))).unionByName(spark.createDataFrame([(2100, "new")], "id long, line string"))
+    assert {r.nth for r in digests.differing(whole, tree(other)).collect()} == {0, 1234 // 8, 1999 // 8, 2100 // 8}
+    assert digests.differing(whole, tree(rows.repartition(3))).count() == 0
+    found = {r.id: (r.old is None, r.new is None) for r in digests.changed_rows(rows, other, "id", F.col("id"), F.col("line")).collect()}
+    assert found == {3: (False, False), 1234: (False, False), 1999: (False, True), 2100: (True, False)}
+    assert root(rows.limit(0)).n == 0
+
+
+def test_headings_carry_over_one_long_document(spark):
+    """All rows under one document, over many stretches of pages, against a plain loop."""
+    import random
+
+    from lectern.operators import layout
+
+    rnd = random.Random(5)
+    rows, want, book, chapter = [], {}, None, 0
+    for page in range(0, 1500):
+        if rnd.random() < 0.3:
+            continue
+        for seq in range(rnd.randint(1, 3)):
+            text = rnd.choice([*["words"] * 60, "JACOB", "Enos", "CHAPTER 4", "CHAPTER 11"]) if not 300 < page < 700 else "words"
+            head = text != "words"
+            if text == "JACOB":
+                book, chapter = "jacob", 0
+            elif text == "Enos":
+                book, chapter = "enos", 1
+            elif head:
+                chapter = int(text[8:])
+            rows.append(("d", page, seq, "SectionHeader" if head else "Text", text))
+            want[page, seq] = (book, (chapter or None) if book else None)
+    titles = spark.createDataFrame([("JACOB", "jacob", 7), ("ENOS", "enos", 1)], "title_key string, book string, n_chapters int")
+    blocks = spark.createDataFrame(rows, "doc string, page int, seq int, block_type string, text string")
+    found = layout.carry_forward(blocks, titles)
+    assert {(r.page, r.seq): (r.book, r.chapter) for r in found.collect()} == want
+    assert blocks.select((blocks.page / layout.STRETCH).cast("int").alias("s")).distinct().count() > 20
 
 
 def test_review_holds_no_location_in_one_value(spark, tmp_path):
