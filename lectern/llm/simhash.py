@@ -179,57 +179,78 @@ def sketches(docs: DataFrame, parts: int = PARTS, bits: int = BITS) -> DataFrame
     return rows.mapInArrow(tidy(run), "_lt_doc long, _lt_text long, _lt_parts array<long>")
 
 
-def candidates(texts: DataFrame, bits: int = BITS) -> DataFrame:
+def meeting(values: DataFrame, bits: int = BITS) -> DataFrame:
+    """(p, ball, v) for the balls (radius 1) of values (p, v; different) in which two values or more lie; all others are left where they are counted."""
+    masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
+    key = F.struct("p", "ball") if bits > 60 else (F.col("p").cast("long") * F.lit(1 << bits) + F.col("ball")).alias("key")
+    balls = values.select("p", "v", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m")).select("p", F.col("v").bitwiseXOR(F.col("m")).alias("ball"), "m")
+    if bits > 60:
+        met = balls.withColumn("k", F.count("*").over(W.partitionBy("p", "ball")))
+    else:  # one number for a ball and one for the mask is all that travels
+        met = balls.select(key, "m").withColumn("k", F.count("*").over(W.partitionBy("key"))).where("k > 1")
+        met = met.select(F.expr(f"key div {1 << bits}").cast("int").alias("p"), (F.col("key") % (1 << bits)).alias("ball"), "m", "k")
+    return met.where("k > 1").select("p", "ball", F.col("ball").bitwiseXOR(F.col("m")).alias("v"))
+
+
+def candidates(texts: DataFrame, bits: int = BITS, met: DataFrame | None = None) -> DataFrame:
     """Different pairs (l, n) of texts (_lt_text, _lt_parts): each n with the ends l of its value, ends of a value with those of its balls.
 
     Equal fingerprints are one value, so a ball (radius 1) holds bits + 1 values
-    at most; values in many texts are joined by salted keys.
+    at most; values in many texts are joined by salted keys. met: their meetings.
     """
-    masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
-    nodes = stored(texts.select(F.col("_lt_text").alias("n"), F.posexplode("_lt_parts").alias("p", "v")), "values")
+    nodes = texts.select(F.col("_lt_text").alias("n"), F.posexplode("_lt_parts").alias("p", "v"))
     values = stored(nodes.groupBy("p", "v").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("_lt_n")), "distinct")
-    mask = F.array(*[F.lit(m).cast("long") for m in masks])
-    balls = values.select("p", "v", F.explode(mask).alias("m")).select("p", F.col("v").bitwiseXOR(F.col("m")).alias("ball"), "m")
+    met = stored(meeting(values.select("p", "v"), bits), "meetings") if met is None else met
     over = W.partitionBy("p", "ball")
-    value = F.col("ball").bitwiseXOR(F.col("m"))
-    met = balls.withColumn("v", value).withColumn("low", F.min("v").over(over)).withColumn("high", F.max("v").over(over)).filter("low <> high")
-    ends = met.select("p", "v", F.explode(F.array("low", "high")).alias("end")).filter("v <> end").distinct()
+    ends = met.withColumn("low", F.min("v").over(over)).withColumn("high", F.max("v").over(over))
+    ends = ends.select("p", "v", F.explode(F.array("low", "high")).alias("end")).filter("v <> end").distinct()
     first = values.select("p", F.col("v").alias("end"), F.col("least").alias("l"))
     between = ends.join(first, ["p", "end"]).join(values, ["p", "v"]).select("l", F.explode(F.array_distinct(F.array("least", "most"))).alias("n"))
     key = F.struct("p", "v").alias("k")
-    shared = values.filter("_lt_n > 1").select(key, F.array("least", "most").alias("leaders"), "_lt_n")
+    shared = stored(values.filter("_lt_n > 1").select(key, F.array("least", "most").alias("leaders"), "_lt_n"), "shared")
     within = skew_join(nodes.select("n", key), shared, "k", "_lt_n", F.xxhash64("n"), "inner")
     return between.union(within.select(F.explode("leaders").alias("l"), "n")).filter("l <> n").distinct()
 
 
-def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR) -> DataFrame:
+def _flips(a: str, b: str, parts: int) -> list[Column]:
+    """Bits in which the parts of two texts' fingerprints differ."""
+    return [F.bit_count(F.col(a)[q].bitwiseXOR(F.col(b)[q])) for q in range(parts)]
+
+
+def close(pairs: DataFrame, texts: DataFrame, parts: int = PARTS, bits: int = BITS, far: float = FAR) -> DataFrame:
+    """Those of pairs (l, n) whose fingerprints differ in few bits overall, so that texts that met by chance in one part don't travel."""
+    of = lambda n, s: texts.select(F.col("_lt_text").alias(n), F.col("_lt_parts").alias(s))
+    return pairs.join(of("l", "s"), "l").join(of("n", "t"), "n").where(sum(_flips("s", "t", parts), F.lit(0)) <= int(far * parts * bits)).select("l", "n")
+
+
+def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR, met: DataFrame | None = None) -> DataFrame:
     """All pairs (l, n) of texts (_lt_text, _lt_parts, _lt_class; stored) of different classes that meet in a ball, each once.
 
     Only balls in which classes meet are opened. A pair is taken at the first part
     in which it meets and there at the lesser of the balls that it shares; hot
     balls are dealt over several tasks, one side of their pairs copied to each.
     """
-    masks = [0] + [1 << b if b < 63 else -(1 << 63) for b in range(bits)]
-    around = lambda v: F.explode(F.array(*[v.bitwiseXOR(F.lit(m).cast("long")) for m in masks]))
     nodes = texts.select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c"), F.col("_lt_parts").alias("s"), F.posexplode("_lt_parts").alias("p", "v"))
     values = stored(nodes.groupBy("p", "v").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")), "values")
-    balls = values.select("p", "low", "high", "k", around(F.col("v")).alias("ball")).groupBy("p", "ball").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k"))
+    met = stored(meeting(values.select("p", "v"), bits), "meetings") if met is None else met
+    # A value in several classes is a ball of its own where no other value meets it.
+    alone = values.where("low <> high").select("p", F.col("v").alias("ball"), "v").join(met.select("p", "ball").distinct(), ["p", "ball"], "left_anti")
+    within = stored(met.unionByName(alone).join(values, ["p", "v"]), "within")
+    balls = within.groupBy("p", "ball").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k"))
     balls = stored(balls.where("low <> high").select("p", "ball", "k"), "mixed")
     total = balls.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
     limit = max(1_000_000, math.ceil(total / (4 * partitions(texts.sparkSession))))  # so at most 4 x partitions balls are hot
     balls = balls.withColumn("salts", F.least(F.col("k"), F.ceil(F.col("k") * F.col("k") / limit)).cast("long")).drop("k")
-    open_ = balls.select("p", around(F.col("ball")).alias("v")).distinct()
-    some = nodes.join(open_, ["p", "v"], "left_semi").select("n", "c", "s", "p", "v", around(F.col("v")).alias("ball")).join(balls, ["p", "ball"])
-    some = stored(some, "members")
+    open_ = within.select("p", "ball", "v").join(balls, ["p", "ball"])
+    some = stored(nodes.join(open_, ["p", "v"]), "members")
     a = some.select("p", "ball", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.struct("n", "c", "s", "v").alias("a"))
     b = some.select("p", "ball", F.pmod(F.xxhash64("n"), F.col("salts")).alias("salt"), F.struct("n", "c", "s", "v").alias("b"))
     apart = F.col("a.v").bitwiseXOR(F.col("b.v"))
     here = F.when(apart == 0, F.col("ball") == F.col("a.v")).otherwise(F.col("ball") < F.col("ball").bitwiseXOR(apart))
-    flips = [F.bit_count(F.col("a.s")[q].bitwiseXOR(F.col("b.s")[q])) for q in range(parts)]
-    first = [F.when(F.col("p") > q, flips[q] > 2).otherwise(True) for q in range(parts - 1)]
+    flips = _flips("a.s", "b.s", parts)
     good = (F.col("a.n") < F.col("b.n")) & (F.col("a.c") != F.col("b.c")) & here & (sum(flips, F.lit(0)) <= int(far * parts * bits))
-    for f in first:
-        good = good & f
+    for q in range(parts - 1):
+        good = good & F.when(F.col("p") > q, flips[q] > 2).otherwise(True)
     return a.join(b.hint("merge"), ["p", "ball", "salt"]).where(good).select(F.col("a.n").alias("l"), F.col("b.n").alias("n"))
 
 
@@ -304,7 +325,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WOR
         found = components(links)
         return texts.join(found, texts._lt_text == found.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_text")).drop("n", "l")
 
-    near = stored(alike(stored(candidates(texts, bits), "pairs")), "near")
-    rest = stored(remaining(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, parts), "pairs")
+    met = stored(meeting(texts.select(F.posexplode("_lt_parts").alias("p", "v")).distinct(), bits), "meetings")
+    near = stored(alike(stored(close(candidates(texts, bits, met), texts, parts, bits), "pairs")), "near")
+    rest = stored(remaining(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, parts, met=met), "pairs")
     whole = classed(near.unionByName(alike(rest))).groupBy("_lt_class")
     return only(keyed, whole.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)
