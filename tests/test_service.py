@@ -197,7 +197,7 @@ def test_unchanged_files_are_not_hashed_again(spark, tmp_path, monkeypatch):
 
 
 def test_findings_stop_a_build(spark, tmp_path):
-    corpus, expected = golden(spark, TEXTS[:6])
+    corpus, expected = golden(spark, [t for t in TEXTS if t[0] != "jarom/1/1"])  # nothing cites it
     with pytest.raises(ValueError, match="missing_passage"):
         Catalog(spark, f"file://{tmp_path}").build(corpus, APPROVAL, "recipe", expected)
 
