@@ -4,7 +4,7 @@ Windows of 20 words are routed by their minimiser, the least hash of 3 words in
 a row. Consecutive windows that share one travel as one packed string to its
 bucket; there strings with one minimiser are sorted together and their windows
 counted exactly, by their words. Equal strings of one map task are combined
-before the shuffle, so a passage that very many documents share arrives once
+before the shuffle, so a stretch that very many documents share arrives once
 from each task; what is removed there already doesn't go to the bucket. Minimisers that would fill a good part of a bucket are found on
 a sample of the documents, which only plans the routing; their windows travel
 singly, by a hash of the whole window, and so spread over all buckets.
