@@ -293,15 +293,16 @@ class Catalog:
 
     def _reconciled(self, corpus: Corpus, folder: str, normalized: str) -> dict[str, str]:
         """Digests of what was written, which must be those of what was meant; the index must cover all units. The trees are kept beside the tables."""
-        rows = self._digests(folder)
-        wanted = {"units": normalized, "notes": rows_digest(corpus.notes, "note_id"), "edges": rows_digest(corpus.edges, "edge_id")}
         at = f"{self.root}/{folder}"
+        for t, key in DIGESTED.items():
+            row_nodes(self.spark.read.parquet(f"{at}/{t}"), key).withColumn("table", F.lit(t)).write.mode("append").parquet(f"{at}/digests")
+        nodes = self.spark.read.parquet(f"{at}/digests")
+        rows = self._hashed[self._files(folder)] = {t: top(nodes.where(F.col("table") == t)) for t in DIGESTED}
+        wanted = {"units": normalized, "notes": rows_digest(corpus.notes, "note_id"), "edges": rows_digest(corpus.edges, "edge_id")}
         docs = self.spark.read.parquet(f"{at}/tokens").select(F.col("doc").alias("canonical_order"))
         units = self.spark.read.parquet(f"{at}/units").select("canonical_order")
         if rows != wanted or not validate.reconcile(docs, units).isEmpty():
             raise ValueError("what was written differs from the corpus")
-        for t, key in DIGESTED.items():
-            row_nodes(self.spark.read.parquet(f"{at}/{t}"), key).withColumn("table", F.lit(t)).write.mode("append").parquet(f"{at}/digests")
         return rows
 
     def pin(self, corpus_version: str | None = None, retrieval_config: str | None = None) -> Snapshot:
