@@ -1,11 +1,14 @@
 """A deterministic sharded WARC writer, and a reader.
 
 Pages are range-sorted by page_id into shards whose bounds depend on the table
-alone, and whose number grows with its bytes: first ranges, with bounds in the
-plan, then each range's own bounds. A page_id that fills several shards is cut by
-the hashes of its payloads. Each shard is one stream of gzip members, rolled to a new file when its
-compressed size is reached; headers, record ids and digests are made anew from
-the payload. Tasks write under temporary names and report their files; the
+alone, and whose number grows with its bytes: a table below SPREAD x SHARD_BYTES
+is dealt into at most SPREAD shards of 8 MB or more, so that it is written in
+parallel, a larger one into shards of SHARD_BYTES. First come ranges, with bounds
+in the plan, then each range's own bounds. A page_id that fills several shards is
+cut by the hashes of its payloads. Each shard is one stream of gzip members,
+rolled to a new file whenever the file's compressed size is reached, so that the
+number of files follows the compressed bytes; headers, record ids and digests are
+made anew from the payload. Tasks write under temporary names and report their files; the
 report of the attempts that succeeded is the manifest, which then renames the
 files. Readers open what the manifest names, nothing else.
 
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import NULL_ID, place, shared_dir, skew_join, small_batches, stored
 
-#: Payload bytes of a shard, about; and ranges of shards, at most.
-SHARD_BYTES = 8 << 20
+#: Payload bytes of a shard, about, in large tables; in small ones, and how many shards those have at most; and ranges of shards, at most.
+SHARD_BYTES = 4 << 30
+SMALL_BYTES = 8 << 20
+SPREAD = 256
 MOST_RANGES = 4096
 #: Compressed size at which a file is closed.
-ROLL_BYTES = 64 << 20
+ROLL_BYTES = 128 << 20
 #: Pages looked at for each range or shard, about, to place its bounds.
 PLAN_PAGES = 20
 #: Payloads of at least so many bytes are written once.
@@ -227,13 +232,18 @@ def _bounded(rows: DataFrame, points: DataFrame, pages: int, shards: int) -> tup
     return rows.withColumn("shard", F.col("_lt_range") * within + inside).drop("_lt_range", "_lt_cuts"), (len(bounds) + 1) * within
 
 
+def n_shards(payload_bytes: int, rows: int, shard_bytes: int = SHARD_BYTES, small_bytes: int = SMALL_BYTES, spread: int = SPREAD) -> int:
+    """Shards of a table: one for each shard_bytes, and up to spread of small_bytes; never more than rows."""
+    return max(1, min(rows, max(-(-payload_bytes // shard_bytes), min(spread, -(-payload_bytes // small_bytes)))))
+
+
 def write(pages: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, least: int = REVISIT_BYTES) -> tuple[str, DataFrame]:
     """Writes pages (page_id, url, html) as WARC files to a new or empty folder; its name and the manifest."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     seen = pages.agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("b")).first()
-    shards = max(1, min(-(-(seen.b or 0) // shard_bytes), seen.n))
+    shards = n_shards(seen.b or 0, seen.n, shard_bytes)
     page = F.col("page_id").cast("long")
     point = lambda key: F.struct(F.coalesce(page, F.lit(NULL_ID)).alias("v"), F.xxhash64(key).alias("h"))
     whole = pages.select(page.alias("page_id"), F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"), point(_payload_key(F.col("html"))).alias("_lt_point"))

@@ -349,6 +349,21 @@ def pages(spark):
     return spark.createDataFrame(PAGES * 1 + [(100 + i, f"http://h/{i}", f"<p>{i % 40}</p>" * 50) for i in range(200)], "page_id long, url string, html string")
 
 
+def test_warc_rolls_within_shards(spark, tmp_path):
+    """With the default proportions, a large table's shards hold many times what closes a file, so files are closed by their compressed size."""
+    assert warc.n_shards(100 << 40, 10**10) == (100 << 40) // warc.SHARD_BYTES and warc.n_shards(512 << 20, 10**5) == 64 and warc.n_shards(30 << 30, 10**7) == warc.SPREAD
+    assert warc.n_shards(0, 0) == 1 and warc.n_shards(1 << 30, 3) == 3
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("http://r/").alias("url"), F.concat_ws(" ", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(k))), 256) for k in range(8)]).alias("html"))
+    scale = 1 << 12
+    folder, manifest = warc.write(many, f"file://{tmp_path}/r", shard_bytes=warc.SHARD_BYTES // scale, roll_bytes=warc.ROLL_BYTES // scale)
+    files = manifest.collect()
+    assert len({f.shard for f in files}) == 2 and len(files) >= 10
+    for f in files:
+        last = f.file == max(g.file for g in files if g.shard == f.shard)
+        assert last or warc.ROLL_BYTES // scale <= f.bytes < warc.ROLL_BYTES // scale + 2000
+    assert warc.read(manifest, folder).select("page_id").distinct().count() == 3000
+
+
 def test_warc_round_trip(spark, pages, tmp_path):
     folder, manifest = warc.write(pages, f"file://{tmp_path}/w", shard_bytes=5000, roll_bytes=1500)
     out = warc.read(manifest, folder, payloads=True).collect()
