@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from lectern.plans import evaluation, requests
 from lectern.plans.approval import approved
 from lectern.plans.service import Service
 from lectern.plans.snapshots import Catalog, normalized
-from lectern.sources import cases, markup
+from lectern.sources import cases, markup, pages
 
 
 def _structure(spark: SparkSession, path: str):
@@ -25,7 +26,7 @@ def _structure(spark: SparkSession, path: str):
     return spark.createDataFrame([(k, b, n) for k, (b, n) in enumerate(books.items())], "book_ord int, book string, counts array<int>")
 
 
-def extracted(spark: SparkSession, source: str):
+def _archive(spark: SparkSession, source: str):
     """Passages, notes and lists of targets of a markup archive."""
     rows = markup.read_archives(spark, source).cache()
     spans = F.array(F.struct("member", "start", "end", "ord"))
@@ -37,6 +38,32 @@ def extracted(spark: SparkSession, source: str):
     return passages, notes, edges
 
 
+def _pages(spark: SparkSession, source: str):
+    """Passages of a page file with a text layer, which has no notes and no targets."""
+    glyphs = pages.glyph_rows(pages.read_pages(spark, source)).cache()
+    lines = pages.lines(glyphs).cache()
+    if refused := pages.refusals(glyphs, lines).limit(10).collect():
+        raise ValueError("; ".join(sorted(f"{r.path}: {r.error}" for r in refused)))
+    passages = pages.units(lines).drop("path")
+    spans = passages.schema["source_spans"].dataType.simpleString()
+    notes = spark.createDataFrame([], f"note_id string, origin_reference string, anchor string, kind string, label string, text string, source_spans {spans}")
+    edges = spark.createDataFrame([], f"origin_reference string, origin_anchor string, target string, source_attribution string, spans_json string, source_spans {spans}")
+    return passages, notes, edges
+
+
+#: What reads a source, and the recipe's name, by the source's suffix.
+READERS = {"epub": (_archive, "markup-v1"), "pdf": (_pages, "page-text-v1")}
+
+
+def extracted(spark: SparkSession, source: str):
+    """Passages, notes and lists of targets of a source, its format and recipe, by its suffix."""
+    suffix = source.rpartition("/")[2].rpartition(".")[2].lower()
+    if suffix not in READERS:
+        raise ValueError(f"unsupported source format: {suffix or '<none>'}")
+    read, recipe = READERS[suffix]
+    return *read(spark, source), suffix, recipe
+
+
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lectern")
     parser.add_argument("--root", required=True, help="the catalog's folder, a URI")
@@ -83,12 +110,12 @@ def _run(args, spark: SparkSession, catalog: Catalog):
     service = Service(catalog)
     if args.command in ("inspect", "build"):
         expected = ingest.expected_references(_structure(spark, args.structure)).cache()
-        passages, notes, edges = extracted(spark, args.source)
-        corpus = normalized(passages, notes, edges, expected, passages)
+        passages, notes, edges, suffix, recipe = extracted(spark, args.source)
+        corpus = replace(normalized(passages, notes, edges, expected, passages), source_format=suffix, source_profile=markup.PROFILE)
         if args.command == "inspect":
             return validate.finding_report(validate.validate_corpus(corpus.units, corpus.notes, corpus.edges, expected)).first().asDict()
         approval = approved(spark, args.source, args.edition, args.language, args.acquisition_url, args.acquisition_date)
-        return catalog.build(corpus, approval, "markup-v1", expected)
+        return catalog.build(corpus, approval, recipe, expected)
     if args.command == "verify":
         return [catalog.verify(a["artifact_digest"])["corpus_version"] for a in catalog.accepted()]
     if args.command == "activate":

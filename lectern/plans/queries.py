@@ -887,6 +887,32 @@ def span_locate(spark, sf):
 _BODY = ['<html><body><section data-scripture-profile="' + PROFILE + '">', "</section></body></html>"]
 
 
+# Page files of a thousand order numbers, a page for each fifty, a line for each order, every ninth of which names no unit.
+@query("""WITH o AS (SELECT o_orderkey // 1000 AS a, o_orderkey % 1000 // 50 + 1 AS c, o_orderkey % 50 + 1 AS v, o_orderkey % 9 AS other, o_orderkey || ' ' || o_orderpriority AS t FROM orders),
+p AS (SELECT *, dense_rank() OVER (PARTITION BY a ORDER BY c) AS page FROM o)
+SELECT 'a' || a AS path, CAST(page AS INT) AS page, CAST(row_number() OVER (PARTITION BY a ORDER BY c, v) - 1 AS INT) AS ord, 'bofm/2-ne/' || c || '/' || v AS reference, t AS text, 72.0::DOUBLE AS x0, round(51.57 + 12.5 * v, 2)::DOUBLE AS top FROM p WHERE other > 0""")
+def scan_page_text(spark, sf):
+    """Page files made by Spark and read again: objects, glyphs, words, lines, units."""
+    from lectern.sources import pages
+
+    key = F.col("o_orderkey")
+    rows = T.table(spark, sf, "orders").select(F.expr("o_orderkey div 1000").alias("a"), F.expr("o_orderkey % 1000 div 50 + 1").alias("c"), (key % 50 + 1).alias("v"), F.when(key % 9 == 0, "Order ").otherwise("2 Nephi ").alias("title"), F.concat(key, F.lit(" "), "o_orderpriority").alias("t"))
+    line = F.struct("v", F.concat("title", "c", F.lit(":"), "v", F.lit(" "), "t").alias("line"))
+    leaves = rows.groupBy("a", "c").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    files = leaves.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("c", "lines"))).alias("leaves"))
+
+    def printed(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            made = [pages.document_of([[(72, 740, 10, pages.MARKER), *((72, 720 - 12.5 * x["v"] + 12.5, 10, x["line"]) for x in leaf["lines"])] for leaf in leaves]) for leaves in pdf["leaves"]]
+            yield pd.DataFrame({"path": [f"a{a}" for a in pdf["a"]], "content": made})
+
+    leaves = pages.page_rows(files.mapInPandas(printed, "path string, content binary")).repartition("path", "page")
+    span = F.col("source_spans")[0]
+    return pages.units(pages.lines(pages.glyph_rows(leaves))).select("path", span["page"].cast("int").alias("page"), span["order"].cast("int").alias("ord"), "reference", "text", span["bbox"]["x0"].alias("x0"), F.round(span["bbox"]["top"], 2).alias("top"))
+
+
 # A chapter is fifty orders, each a unit, every seventh with a citation behind it.
 @query(f"""WITH o AS (SELECT o_orderkey // 1000 AS a, o_orderkey % 1000 // 50 + 1 AS c, o_orderkey % 50 + 1 AS v, o_orderkey % 7 = 0 AS cites, 'bofm/1-ne/' || (o_orderkey % 1000 // 50 + 1) || '/' || (o_orderkey % 50 + 1) AS r, 'Order ' || o_orderkey || ' ' || o_orderpriority AS t, o_custkey % 50 + 1 AS k FROM orders),
 h AS (SELECT *, '<a data-origin="' || r || '" data-anchor="a" data-target="bofm/1-ne/1/' || k || '" data-source="s">' AS tag FROM o),
