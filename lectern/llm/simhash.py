@@ -12,9 +12,14 @@ six fingerprints of 30 bits, calls texts that meet in the ball of any of them
 candidates, and verifies these by the exact Jaccard similarity of their
 shingles. First a text is compared with the least and the greatest of its
 fingerprint and its balls, which joins large groups of copies cheaply; then all
-candidates that are not yet joined are compared, so that no member of a ball
-goes unseen. Chance meetings grow with the texts: ``bits`` should grow by one
-for each doubling beyond some 10^7 different texts (64 at most).
+candidates of small balls that are not yet joined are compared. In balls of more
+than ``LARGEST`` texts each text meets the one that has the fewest rare
+shingles, the middle of a group of edits, and after that only those that can
+still be similar by their counts of rare and common shingles, so that no member
+of a ball goes unseen and a large group isn't compared pair by pair. Chance
+meetings would grow with the square of the texts: fingerprints get a bit more
+for each doubling of the rows and one more of them for every three bits, which
+keeps what they find (``sizes``).
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; a bit that exactly half of the hashes have is 0; a component without any
@@ -43,6 +48,10 @@ WORDS, SIMILARITY = 5, 0.8
 PARTS, BITS = 6, 30
 #: Bits in which the fingerprints of similar texts differ, at most, as a share of all of them.
 FAR = 0.2
+#: Texts of a ball that are all compared, at most; a shingle in as many texts of larger balls is rare.
+LARGEST = 32
+#: Rows that BITS and PARTS are for.
+ROWS = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -142,6 +151,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return joined.select(F.col("_lt_doc").alias("doc_id"), F.lower(F.lpad(F.hex("_lt_fp"), 16, "0")).alias("fingerprint"), F.col("_lt_head")["doc"].alias("component_id"))
 
 
+def sizes(rows: int) -> tuple[int, int]:
+    """Fingerprints and their bits for so many rows: a bit more for each doubling, one fingerprint more for every three bits."""
+    more = max(0, math.ceil(math.log2(max(rows, 1) / ROWS)))
+    bits = min(64, BITS + more)
+    return PARTS + -(-more // 3), bits
+
+
 def sketch(text: str | None, parts: int = PARTS, bits: int = BITS) -> list[int]:
     """Majority bits of hashes over the different words of a text, cut into parts, as signed integers."""
     import numpy as np
@@ -223,13 +239,8 @@ def close(pairs: DataFrame, texts: DataFrame, parts: int = PARTS, bits: int = BI
     return pairs.join(of("l", "s"), "l").join(of("n", "t"), "n").where(sum(_flips("s", "t", parts), F.lit(0)) <= int(far * parts * bits)).select("l", "n")
 
 
-def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR, met: DataFrame | None = None) -> DataFrame:
-    """All pairs (l, n) of texts (_lt_text, _lt_parts, _lt_class; stored) of different classes that meet in a ball, each once.
-
-    Only balls in which classes meet are opened. A pair is taken at the first part
-    in which it meets and there at the lesser of the balls that it shares; hot
-    balls are dealt over several tasks, one side of their pairs copied to each.
-    """
+def opened(texts: DataFrame, bits: int = BITS, met: DataFrame | None = None) -> DataFrame:
+    """Balls (p, ball) in which classes meet: their texts as rows n, c, s, p, v, ball and their number k; of texts as remaining takes them."""
     nodes = texts.select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c"), F.col("_lt_parts").alias("s"), F.posexplode("_lt_parts").alias("p", "v"))
     values = stored(nodes.groupBy("p", "v").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("k")), "values")
     met = stored(meeting(values.select("p", "v"), bits), "meetings") if met is None else met
@@ -238,11 +249,24 @@ def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float
     within = stored(met.unionByName(alone).join(values, ["p", "v"]), "within")
     balls = within.groupBy("p", "ball").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("k").alias("k"))
     balls = stored(balls.where("low <> high").select("p", "ball", "k"), "mixed")
-    total = balls.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0
-    limit = max(1_000_000, math.ceil(total / (4 * partitions(texts.sparkSession))))  # so at most 4 x partitions balls are hot
-    balls = balls.withColumn("salts", F.least(F.col("k"), F.ceil(F.col("k") * F.col("k") / limit)).cast("long")).drop("k")
-    open_ = within.select("p", "ball", "v").join(balls, ["p", "ball"])
-    some = stored(nodes.join(open_, ["p", "v"]), "members")
+    return stored(nodes.join(within.select("p", "ball", "v").join(balls, ["p", "ball"]), ["p", "v"]), "members")
+
+
+def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR, met: DataFrame | None = None) -> DataFrame:
+    """All pairs (l, n) of texts (_lt_text, _lt_parts, _lt_class; stored) of different classes that meet in a ball, each once."""
+    return together(opened(texts, bits, met), bits, parts, far)
+
+
+def together(some: DataFrame, bits: int = BITS, parts: int = PARTS, far: float = FAR) -> DataFrame:
+    """Pairs (l, n) of different classes in the balls of some (as opened gives them), each once where all balls are there.
+
+    A pair is taken at the first part in which it meets and there at the lesser
+    of the balls that it shares; hot balls are dealt over several tasks, one side
+    of their pairs copied to each.
+    """
+    total = some.agg(F.sum("k")).first()[0] or 0  # k rows of k texts each
+    limit = max(1_000_000, math.ceil(total / (4 * partitions(some.sparkSession))))  # so at most 4 x partitions balls are hot
+    some = some.withColumn("salts", F.least(F.col("k"), F.ceil(F.col("k") * F.col("k") / limit)).cast("long"))
     a = some.select("p", "ball", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.struct("n", "c", "s", "v").alias("a"))
     b = some.select("p", "ball", F.pmod(F.xxhash64("n"), F.col("salts")).alias("salt"), F.struct("n", "c", "s", "v").alias("b"))
     apart = F.col("a.v").bitwiseXOR(F.col("b.v"))
@@ -254,6 +278,80 @@ def remaining(texts: DataFrame, bits: int = BITS, parts: int = PARTS, far: float
     return a.join(b.hint("merge"), ["p", "ball", "salt"]).where(good).select(F.col("a.n").alias("l"), F.col("b.n").alias("n"))
 
 
+def hashed(text: str | None, shingle: int = WORDS):
+    """Different hashes of a text's shingles, in order; a text with fewer words than a shingle has one, of all its words."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(found) < shingle:
+        return np.array([xxh64_intdigest(b" ".join(found))], np.uint64)
+    grams = map(b" ".join, zip(*(found[k:] for k in range(shingle))))
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(found) - shingle + 1))
+
+
+def profiles(texts: DataFrame, shingle: int = WORDS, largest: int = LARGEST) -> DataFrame:
+    """n, size, common and rare of texts (n, text; one row each): their shingles, how many of them are in more than largest texts, and the others as (k, h), those in the fewest texts first."""
+    small_batches(texts.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            found = [hashed(x, shingle).view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["n", "hs"])
+
+    all_ = stored(texts.select("n", "text").mapInArrow(tidy(run), "n long, hs array<long>"), "shingles")
+    rows = all_.select("n", F.explode("hs").alias("h"))
+    few = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") <= largest)
+    rare = rows.join(few, "h").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("rare"))
+    size = F.size("hs").cast("long")
+    return all_.join(rare, "n", "left").select("n", size.alias("size"), (size - F.coalesce(F.size("rare"), F.lit(0))).alias("common"), "rare")
+
+
+def middles(some: DataFrame, of: DataFrame, parts: int = PARTS, bits: int = BITS, far: float = FAR) -> DataFrame:
+    """Pairs (l, n): the text of each ball of some (as opened gives them) with the least share of rare shingles (of: profiles), and texts of other classes there."""
+    least = F.min(F.struct((1 - F.col("common") / F.col("size")).alias("share"), F.col("n"), F.col("c"), F.col("s"))).alias("a")
+    ends = some.join(of.select("n", "size", "common"), "n").groupBy("p", "ball").agg(least)
+    met = some.join(ends, ["p", "ball"]).where((F.col("c") != F.col("a.c")) & (sum(_flips("s", "a.s", parts), F.lit(0)) <= int(far * parts * bits)))
+    return met.select(F.col("a.n").alias("l"), "n").distinct()
+
+
+def bounded(some: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (l, n) of different classes in balls of some (n, c, p, ball) that can be similar, by their profiles of; loses none that is.
+
+    Shingles are ordered, rare ones first. The first that similar texts share is
+    near both their beginnings: a rare one brings them together itself. If it is
+    a common one then they share no rare one, so all that they need must be
+    common: the longer looks for shorter ones of a length that its common
+    shingles suffice for, a tenth of lengths at a time.
+    """
+    classes = some.select("n", "c").distinct()
+    known = of.join(classes, "n")
+    need = similarity / (1 + similarity)
+    least = lambda share: F.ceil(share * F.col("size") - 1e-6)
+    order = lambda a, b: (F.col(a + ".size") < F.col(b + ".size")) | ((F.col(a + ".size") == F.col(b + ".size")) & (F.col(a + ".n") < F.col(b + ".n")))
+    fits = order("a", "b") & (F.col("a.c") != F.col("b.c")) & (F.col("a.size") >= similarity * F.col("b.size") - 1e-6)
+
+    def first(share: float, side: str) -> DataFrame:
+        heads = known.where("rare is not null").select("n", "c", "size", F.explode(F.slice("rare", F.lit(1), (F.col("size") - least(share) + 1).cast("int"))).alias("x"))
+        return heads.where("x.k > 1").select(F.col("x.h").alias("h"), F.struct("n", "c", "size").alias(side))
+
+    rare = first(2 * need, "a").join(first(similarity, "b").hint("merge"), "h").where(fits)
+    tenth = lambda n: F.floor(F.log(n) / math.log(1.1))
+    placed = some.select("n", "p", "ball").join(known.drop("rare"), "n")
+    index = placed.where(F.col("common") >= least(2 * need)).select("p", "ball", tenth(F.col("size")).alias("tenth"), F.struct("n", "c", "size", "common").alias("a"))
+    top = F.least(F.col("size"), F.floor(F.col("common") / need + 1e-6) - F.col("size"))
+    probe = placed.withColumn("top", top).where(F.col("top") >= least(similarity))
+    probe = probe.select("p", "ball", F.explode(F.sequence(tenth(least(similarity)), tenth(F.col("top")))).alias("tenth"), F.struct("n", "c", "size", "common").alias("b"))
+    held = index.groupBy("p", "ball", "tenth").agg(F.min("a.c").alias("low"), F.max("a.c").alias("high"))
+    probe = probe.join(held, ["p", "ball", "tenth"]).where("low <> high or low <> b.c").drop("low", "high")
+    enough = F.least("a.common", "b.common") >= need * (F.col("a.size") + F.col("b.size")) - 1e-6
+    common = index.join(probe.hint("merge"), ["p", "ball", "tenth"]).where(fits & enough)
+    return rare.select(F.col("a.n").alias("l"), F.col("b.n").alias("n")).union(common.select("a.n", "b.n")).distinct()
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
     """Those of pairs (l, n; stored) whose texts (n, text; one row each) have the Jaccard similarity or more.
 
@@ -269,16 +367,6 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     rows = members.union(leaders.select("l", "salt", F.lit(False), "l", "text"))
     rows = rows.repartition(parts, "l", "salt").sortWithinPartitions("l", "salt", "member")
 
-    def hashed(text):
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(found) < shingle:
-            return np.array([xxh64_intdigest(b" ".join(found))], np.uint64)
-        grams = map(b" ".join, zip(*(found[k:] for k in range(shingle))))
-        return np.unique(np.fromiter(map(xxh64_intdigest, grams), np.uint64, len(found) - shingle + 1))
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -288,9 +376,9 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
             out = []
             for l, member, n, text in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 if not member:
-                    own = hashed(text)
+                    own = hashed(text, shingle)
                     continue
-                other = hashed(text)
+                other = hashed(text, shingle)
                 if min(len(own), len(other)) >= similarity * max(len(own), len(other)):
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     if both >= similarity * (len(own) + len(other) - both):
@@ -301,13 +389,15 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return rows.mapInArrow(tidy(run), "l long, n long")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, parts: int = PARTS, bits: int = BITS) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, parts: int | None = None, bits: int | None = None) -> DataFrame:
     """The first document by doc_id (ids before null) of each group of equal or similar texts, with its own columns; repeated rows leave one.
 
     Texts are told apart by 64 bits and their length. Null, empty and blank texts
     are similar to each other and to nothing else; ties, one id under several
     texts, go by the text's hash; an empty table stays empty.
     """
+    fair = sizes(docs.count())
+    parts, bits = parts or fair[0], bits or fair[1]
     rows = sketches(docs, parts, bits)
     first = F.min(F.struct(F.col("_lt_doc").isNull().alias("no"), F.col("_lt_doc").alias("doc"), F.col("_lt_text").alias("text")))
     texts = stored(rows.groupBy("_lt_text").agg(first.alias("_lt_first"), F.first("_lt_parts").alias("_lt_parts")), "texts")
@@ -317,16 +407,25 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WOR
         heads = heads.select(F.coalesce(F.col("_lt_first")["doc"], F.lit(NULL_ID)).alias("_lt_doc"), F.col("_lt_first")["text"].alias("_lt_text"))
         return of.join(heads, ["_lt_doc", "_lt_text"], "left_semi").dropDuplicates(["_lt_doc", "_lt_text"])
 
+    def found(of: DataFrame) -> DataFrame:
+        met = only(keyed.select("_lt_doc", "_lt_text", "text"), texts.join(of, "_lt_text", "left_semi"))
+        return stored(met.select(F.col("_lt_text").alias("n"), "text"), "met")
+
     def alike(pairs: DataFrame) -> DataFrame:
-        met = only(keyed.select("_lt_doc", "_lt_text", "text"), texts.join(pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct(), "_lt_text", "left_semi"))
-        return similar(pairs, stored(met.select(F.col("_lt_text").alias("n"), "text"), "met"), similarity, shingle).toDF("a", "b")
+        return similar(pairs, found(pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct()), similarity, shingle).toDF("a", "b")
 
     def classed(links: DataFrame) -> DataFrame:
-        found = components(links)
-        return texts.join(found, texts._lt_text == found.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_text")).drop("n", "l")
+        reached = components(links)
+        return texts.join(reached, texts._lt_text == reached.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_text")).drop("n", "l")
 
     met = stored(meeting(texts.select(F.posexplode("_lt_parts").alias("p", "v")).distinct(), bits), "meetings")
     near = stored(alike(stored(close(candidates(texts, bits, met), texts, parts, bits), "pairs")), "near")
-    rest = stored(remaining(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, parts, met=met), "pairs")
+    some = opened(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, met)
+    large = some.where(F.col("k") > LARGEST)
+    known = stored(profiles(found(large.select(F.col("n").alias("_lt_text")).distinct()), shingle), "profiles")
+    pairs = together(some.where(F.col("k") <= LARGEST), bits, parts).union(middles(large, known, parts, bits)).distinct()
+    near = stored(near.unionByName(alike(stored(pairs, "pairs"))), "near")
+    now = stored(classed(near).select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c")), "classed")
+    rest = stored(bounded(large.select("n", "p", "ball").join(now, "n"), known, similarity), "pairs")
     whole = classed(near.unionByName(alike(rest))).groupBy("_lt_class")
     return only(keyed, whole.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)

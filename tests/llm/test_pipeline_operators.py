@@ -502,3 +502,60 @@ def test_links_and_components_on_random_balls(spark):
     want = brute_components(fps)
     groups = lambda m: {frozenset(f for f in fps if m.get(f, f) == g) for g in {m.get(f, f) for f in fps}}
     assert groups(found) == groups(want)
+
+
+def test_keep_one_compares_a_large_group_in_proportion(spark, monkeypatch):
+    """A text's light edits, and as many heavier ones that are similar to few others: compared by their middle and by bounds, not pair by pair."""
+    import random
+
+    rnd = random.Random(17)
+    vocab = [f"w{k}" for k in range(20000)]
+    base = rnd.choices(vocab, k=200)
+    texts = [" ".join(base)]
+    for k in range(600):
+        edited = list(base)
+        for at in rnd.sample(range(200), rnd.randint(1, 4) if k % 2 else rnd.randint(5, 8)):
+            edited[at] = rnd.choice(vocab)
+        texts.append(" ".join(edited))
+    found, compared, similar = list(enumerate(texts)), [], simhash.similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    kept = Counter(r.doc_id for r in simhash.keep_one(spark.createDataFrame(found, "doc_id long, text string").repartition(5)).collect())
+    assert kept == brute_heads(found)
+    assert sum(compared[1:]) <= 20 * len(texts)  # after the first step, which compares with ends only
+
+
+def test_bounded_loses_no_similar_pair(spark):
+    """Groups of edited, cut and lengthened texts in one ball, each a class of its own, rare shingles in two texts at most."""
+    import random
+
+    rnd = random.Random(19)
+    vocab, texts = [f"w{k}" for k in range(3000)], []
+    for _ in range(4):
+        base = rnd.choices(vocab, k=120)
+        for _ in range(25):
+            edited = base[rnd.randrange(12) : 120 - rnd.randrange(12)] + rnd.choices(vocab, k=rnd.randrange(8))
+            for at in rnd.sample(range(len(edited)), rnd.randint(0, 4)):
+                edited[at] = rnd.choice(vocab)
+            texts.append(" ".join(edited))
+    texts += ["", "one", "two words"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    known = simhash.profiles(rows, largest=2)
+    some = rows.select("n", F.col("n").alias("c"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("ball"))
+    found = [frozenset(r) for r in simhash.bounded(some, known).collect()]
+    grams = [set(zip(*(t.split()[k:] for k in range(5)))) or {tuple(t.split())} for t in texts]
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])}
+    assert len(want) > 50 and want <= set(found)
+    assert len(set(found)) < len(texts) ** 2 / 4
+    assert not simhash.bounded(some.withColumn("c", F.lit(1)), known).count()  # one class: nothing to compare
+
+
+def test_fingerprints_grow_with_the_rows():
+    assert simhash.sizes(0) == simhash.sizes(1 << 16) == (6, 30)
+    assert simhash.sizes(230_000) == (7, 32) and simhash.sizes(10**8) == (10, 41)
+    per_row = [n * n * (1 + b + b * (b - 1) / 2) * parts / 2**b / n for n in (10**5, 10**6, 10**7, 10**8) for parts, b in [simhash.sizes(n)]]
+    assert max(per_row) < 8 * min(per_row)  # chance meetings a row, for a thousand times the rows
