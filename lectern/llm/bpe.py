@@ -9,7 +9,9 @@ before it (the pair-compatibility test) is the one to store. Following the
 stored tokens back from the end gives the ids.
 
 The automaton is built once, on the driver, from the vocabulary; its transitions
-never grow. What a task keeps of pieces and pairs is bounded.
+never grow. A worker makes it once and keeps what it has met of pieces (their
+ids as bytes, so that garbage collection has nothing to follow) and pairs, both
+bounded.
 
 Edge cases: a null text is empty and has no ids; a very long text is encoded
 whole, piece by piece; special tokens in a text get their own id, as the
@@ -22,7 +24,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import json
-from itertools import chain
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +33,10 @@ from lectern.llm.common import small_batches, tidy, with_fields
 
 #: Splits a text before merges; fixed by the vocabulary file's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids each task keeps, at most; beyond that it starts anew.
+#: Pieces whose ids each worker keeps, at most; beyond that it starts anew.
 KEPT_PIECES = 400_000
 KEPT_BYTES = 64
-#: Pairs of tokens whose compatibility each task keeps, at most.
+#: Pairs of tokens whose compatibility each worker keeps, at most.
 KEPT_PAIRS = 500_000
 
 
@@ -104,14 +106,14 @@ class Automaton:
 
 
 class _Kept(dict):
-    """Ids of pieces that were met before; others are encoded, and short ones kept."""
+    """Ids of pieces that were met before, as bytes of 32-bit numbers; others are encoded, and short ones kept."""
 
     def __init__(self, bpe):
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         raw = piece.encode("utf-8", "surrogatepass")
-        ids = self.bpe.piece(raw)
+        ids = array("I", self.bpe.piece(raw)).tobytes()
         if len(raw) <= KEPT_BYTES:
             if len(self) >= KEPT_PIECES:
                 self.clear()
@@ -164,7 +166,7 @@ class Bpe:
             states[k >> 8][0][k & 255] = states[t]
         for s in length.argsort(kind="stable").tolist()[1:]:
             shorter = states[link[s]]
-            states[s][1:3] = ((ends[s], lengths[s]), *shorter[1]) if s in ends else shorter[1], shorter[1]
+            states[s][1:3] = ((ends[s], lengths[s], ends[s] << 32), *shorter[1]) if s in ends else shorter[1], shorter[1]
             states[s][4] = shorter
         self.root = states[0]
         self.pieces = regex.compile(PATTERN).findall
@@ -198,7 +200,7 @@ class Bpe:
 
     def piece(self, text: bytes) -> list[int]:
         """Ids of one piece, by dynamic programming over its prefixes."""
-        last = [(-1, 0)]
+        last = [(-1, 0, 0)]
         near, whole, part, size, link = self.root
         long, end, pairs = 0, 0, self.pairs  # long: of the longest end of the prefix that occurs inside of a token
         for byte in text:
@@ -209,13 +211,13 @@ class Bpe:
             long += 1
             end += 1
             for token in whole if long == size else part:
-                at = end - token[1]
-                if at:
-                    key = last[at][0] << 32 | token[0]
+                if end > token[1]:
+                    before = last[end - token[1]]
+                    key = before[2] | token[0]
                     if (fits := pairs.get(key)) is None:
                         if len(pairs) >= KEPT_PAIRS:
                             pairs.clear()
-                        fits = pairs[key] = self.compatible(last[at][0], token[0])
+                        fits = pairs[key] = self.compatible(before[0], token[0])
                     if not fits:
                         continue
                 last.append(token)
@@ -224,23 +226,27 @@ class Bpe:
                 raise ValueError("no token fits a prefix")
         ids = []
         while end:
-            token, size = last[end]
+            token, size, _ = last[end]
             ids.append(self.outer[token])
             end -= size
         return ids[::-1]
 
-    def encode(self, text: str | None) -> list[int]:
+    def packed(self, text: str | None) -> bytes:
+        """The ids of a text as bytes of 32-bit numbers."""
         if not text:
-            return []
+            return b""
         if not any(s in text for s in self.special):
-            return list(chain.from_iterable(map(self.kept.__getitem__, self.pieces(text))))
-        out: list[int] = []
+            return b"".join(map(self.kept.__getitem__, self.pieces(text)))
+        out: list[bytes] = []
         for part in self.around.split(text):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(array("I", [self.special[part]]).tobytes())
             else:
-                out.extend(chain.from_iterable(map(self.kept.__getitem__, self.pieces(part))))
-        return out
+                out.extend(map(self.kept.__getitem__, self.pieces(part)))
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return memoryview(self.packed(text)).cast("I").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -256,7 +262,10 @@ def _over(df: DataFrame, spec: bytes, drop: list[str], of: str, fields: str, mak
     def run(batches):
         import pyarrow as pa
 
-        bpe = Bpe(shared.value)  # for each task, so that no worker keeps what it has met
+        made = shared.value  # a worker reads a broadcast once, so its tasks share the encoder
+        if "encoder" not in made:
+            made["encoder"] = Bpe(made)
+        bpe = made["encoder"]
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:width], *make(bpe, b.column(width).to_pylist())], schema=_names(b, width, fields))
 
@@ -290,13 +299,13 @@ def digests(df: DataFrame, spec: bytes, text: str = "text") -> DataFrame:
 
     def make(bpe, xs):
         import hashlib
-        from array import array
 
         n, a, b = [], [], []
         for x in xs:
-            ids = bpe.encode(x)
+            raw = bpe.packed(x)
+            ids = memoryview(raw).cast("I").tolist()
             n.append(len(ids))
-            a.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
+            a.append(hashlib.sha256(raw).hexdigest())
             b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
 

@@ -559,3 +559,14 @@ def test_fingerprints_grow_with_the_rows():
     assert simhash.sizes(230_000) == (7, 32) and simhash.sizes(10**8) == (10, 41)
     per_row = [n * n * (1 + b + b * (b - 1) / 2) * parts / 2**b / n for n in (10**5, 10**6, 10**7, 10**8) for parts, b in [simhash.sizes(n)]]
     assert max(per_row) < 8 * min(per_row)  # chance meetings a row, for a thousand times the rows
+
+
+def test_packed_ids_and_a_worker_s_encoder(spark, docs, rows):
+    """Ids as bytes; the tasks of a worker share one encoder, made from the broadcast tables."""
+    from array import array
+
+    spec = byte_bpe()
+    own = bpe.Bpe(bpe.tables(spec))
+    for _, text, *_ in rows[:40]:
+        assert own.packed(text) == array("I", own.encode(text)).tobytes()
+    assert all(isinstance(ids, bytes) for ids in own.kept.values())  # nothing for garbage collection to follow
