@@ -228,15 +228,34 @@ def lesson(rows: list, seed: int = 11):
     return ids, labels
 
 
+def suited(docs: DataFrame, most: int) -> DataFrame:
+    """text and _lt_h (its hash) of the texts to learn from, with hashes up to most; only these are searched for signs and digits."""
+    hashed = docs.select("text", F.xxhash64("text").alias("_lt_h"))
+    return hashed.where(F.when(F.col("_lt_h") <= most, F.col("text").rlike("@|[0-9]{3}")).otherwise(False))
+
+
+def bound(docs: DataFrame, n: int) -> int | None:
+    """The n-th least hash of different texts to learn from, or the greatest where there are fewer; None where there are none.
+
+    Searched among ever more of the hashes: first of as many rows as should hold eight times n.
+    """
+    rows, share = docs.count(), 8 * n
+    while True:
+        most = 2**63 - 1 if share >= rows else -(2**63) + 2**64 * share // rows
+        found = suited(docs, most).select("_lt_h").distinct().orderBy("_lt_h").limit(n).agg(F.max("_lt_h").alias("last"), F.count("*").alias("k")).first()
+        if found.k == n or share >= rows:
+            return found["last"]
+        share *= 8
+
+
 def fit(docs: DataFrame) -> dict | None:
     """The tagger's parameters, learned in one task from a bounded number of texts of docs; None where there are none."""
     from lectern.llm import tagger
 
-    texts = docs.where(F.col("text").rlike("@|[0-9]{3}")).select("text", F.xxhash64("text").alias("_lt_h"))
-    last = texts.select("_lt_h").distinct().orderBy("_lt_h").limit(FIT_TEXTS).agg(F.max("_lt_h")).first()[0]
+    last = bound(docs, FIT_TEXTS)
     if last is None:
         return None
-    some = texts.where(F.col("_lt_h") <= last).groupBy("_lt_h").agg(F.first("text").alias("text")).select("text")
+    some = suited(docs, last).groupBy("_lt_h").agg(F.first("text").alias("text")).select("text")
 
     def run(batches):
         import pyarrow as pa

@@ -319,3 +319,23 @@ def test_query_renders_spans(spark, sf):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in base) for kind in pii.KINDS)
         spans = [(k, int(a), int(e)) for k, a, e in (x.split(":") for x in r.spans.split(",") if x)]
         assert spans == sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1])) and set(base) <= set(spans) and len(spans) == len(base) + r.n_added
+
+
+def test_states_are_those_of_training():
+    """The layout in use gives what the layout of training does, to the last bit or nearly."""
+    p = tagger.new(4, 12, 5)
+    ids = np.random.default_rng(4).integers(40, 120, (50, 33)).astype(np.uint16)
+    ids[30:, 3] = tagger.PAD
+    for side, f in zip("fb", tagger.hidden(p, ids)):
+        at = slice(None, None, 1 if side == "f" else -1)
+        assert np.allclose(tagger._run(p[side + "x"], p[side + "h"], ids[at])[at], f, atol=1e-6)
+        assert f.transpose(0, 2, 1)[0].flags.c_contiguous  # a gate's rows are side by side
+
+
+def test_bound_is_the_nth_least_hash(spark, docs):
+    hashes = sorted({r.h for r in docs.where(F.col("text").rlike("@|[0-9]{3}")).select(F.xxhash64("text").alias("h")).collect()})
+    many = spark.range(3000).select(F.concat(F.lit("id "), F.col("id") + 100).alias("text"))
+    of = sorted(r.h for r in many.select(F.xxhash64("text").alias("h")).collect())
+    assert pii.bound(docs, 10**6) == (hashes[-1] if hashes else None)
+    assert [pii.bound(many, n) for n in (1, 20, 2000, 5000)] == [of[0], of[19], of[1999], of[-1]]
+    assert pii.bound(many.where("false"), 5) is None
