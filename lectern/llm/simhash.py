@@ -10,9 +10,10 @@ components follow by label propagation.
 differ in few words but in many shingles, so it hashes the set of words into
 six fingerprints of 30 bits, calls texts that meet in the ball of any of them
 candidates, and verifies these by the exact Jaccard similarity of their
-shingles. First a text is compared with the least and the greatest of its
-fingerprint and its balls, which joins large groups of copies cheaply; then all
-candidates of small balls that are not yet joined are compared. In balls of more
+shingles. First a text meets the least and the greatest of its
+fingerprint and its balls and is compared with the ``LEADERS`` of them that lead
+the most texts, which joins large groups of copies cheaply; then all candidates
+of small balls that are not yet joined are compared. In balls of more
 than ``LARGEST`` texts each text meets the one that has the fewest rare
 shingles, the middle of a group of edits, and after that only those that can
 still be similar by their counts of rare and common shingles, so that no member
@@ -52,6 +53,8 @@ FAR = 0.2
 LARGEST = 32
 #: Rows that BITS and PARTS are for.
 ROWS = 1 << 16
+#: Leaders that a text is compared with before it is known what they join; what they leave is compared later.
+LEADERS = 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -239,6 +242,22 @@ def close(pairs: DataFrame, texts: DataFrame, parts: int = PARTS, bits: int = BI
     return pairs.join(of("l", "s"), "l").join(of("n", "t"), "n").where(sum(_flips("s", "t", parts), F.lit(0)) <= int(far * parts * bits)).select("l", "n")
 
 
+def leading(pairs: DataFrame, most: int = LEADERS) -> DataFrame:
+    """Of pairs (l, n; stored) those of each n with the l that lead the most texts, so that texts of a group are compared with the same few.
+
+    For steps whose pairs only save others from being compared: a later one must
+    compare all that are not joined.
+    """
+    led = pairs.groupBy("l").agg(F.count("*").alias("led"))
+    order = W.partitionBy("n").orderBy(F.desc("led"), "l")
+    return pairs.join(led, "l").withColumn("at", F.row_number().over(order)).where(F.col("at") <= most).select("l", "n")
+
+
+def gathered(some: DataFrame, *more: str) -> DataFrame:
+    """A row for each text of some (n, p, ball; and more of it): its balls as an array, so that what is joined to a text is joined once."""
+    return some.groupBy("n").agg(*[F.first(c).alias(c) for c in more], F.collect_list(F.struct("p", "ball")).alias("balls"))
+
+
 def opened(texts: DataFrame, bits: int = BITS, met: DataFrame | None = None) -> DataFrame:
     """Balls (p, ball) in which classes meet: their texts as rows n, c, s, p, v, ball and their number k; of texts as remaining takes them."""
     nodes = texts.select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c"), F.col("_lt_parts").alias("s"), F.posexplode("_lt_parts").alias("p", "v"))
@@ -310,25 +329,32 @@ def profiles(texts: DataFrame, shingle: int = WORDS, largest: int = LARGEST) ->
     return all_.join(rare, "n", "left").select("n", size.alias("size"), (size - F.coalesce(F.size("rare"), F.lit(0))).alias("common"), "rare")
 
 
-def middles(some: DataFrame, of: DataFrame, parts: int = PARTS, bits: int = BITS, far: float = FAR) -> DataFrame:
-    """Pairs (l, n): the text of each ball of some (as opened gives them) with the least share of rare shingles (of: profiles), and texts of other classes there."""
-    least = F.min(F.struct((1 - F.col("common") / F.col("size")).alias("share"), F.col("n"), F.col("c"), F.col("s"))).alias("a")
-    ends = some.join(of.select("n", "size", "common"), "n").groupBy("p", "ball").agg(least)
+def middles(held: DataFrame, of: DataFrame, parts: int = PARTS, bits: int = BITS, far: float = FAR) -> DataFrame:
+    """Pairs (l, n): the text of each ball with the least share of rare shingles (of: profiles), and texts of other classes there; held: texts n, c, s and their balls."""
+    share = (1 - F.col("common") / F.col("size")).alias("share")
+    some = held.join(of.select("n", "size", "common"), "n").select("n", "c", "s", share, F.explode("balls").alias("at"))
+    some = stored(some.select("n", "c", "s", "share", "at.p", "at.ball"), "placed")
+    ends = some.groupBy("p", "ball").agg(F.min(F.struct("share", "n", "c", "s")).alias("a"))
     met = some.join(ends, ["p", "ball"]).where((F.col("c") != F.col("a.c")) & (sum(_flips("s", "a.s", parts), F.lit(0)) <= int(far * parts * bits)))
     return met.select(F.col("a.n").alias("l"), "n").distinct()
 
 
 def bounded(some: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (l, n) of different classes in balls of some (n, c, p, ball) that can be similar, by their profiles of; loses none that is.
+    """Pairs (l, n) of different classes in balls of some (n, c, p, ball) that can be similar, by their profiles of; loses none that is."""
+    return within_bounds(gathered(some, "c"), of, similarity)
+
+
+def within_bounds(held: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """As bounded, of texts n, c and their balls.
 
     Shingles are ordered, rare ones first. The first that similar texts share is
     near both their beginnings: a rare one brings them together itself. If it is
     a common one then they share no rare one, so all that they need must be
     common: the longer looks for shorter ones of a length that its common
-    shingles suffice for, a tenth of lengths at a time.
+    shingles suffice for, a tenth of lengths at a time. Only texts that have so
+    many common ones are dealt to their balls, once.
     """
-    classes = some.select("n", "c").distinct()
-    known = of.join(classes, "n")
+    known = stored(of.join(held, "n"), "known")
     need = similarity / (1 + similarity)
     least = lambda share: F.ceil(share * F.col("size") - 1e-6)
     order = lambda a, b: (F.col(a + ".size") < F.col(b + ".size")) | ((F.col(a + ".size") == F.col(b + ".size")) & (F.col(a + ".n") < F.col(b + ".n")))
@@ -340,13 +366,15 @@ def bounded(some: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> D
 
     rare = first(2 * need, "a").join(first(similarity, "b").hint("merge"), "h").where(fits)
     tenth = lambda n: F.floor(F.log(n) / math.log(1.1))
-    placed = some.select("n", "p", "ball").join(known.drop("rare"), "n")
-    index = placed.where(F.col("common") >= least(2 * need)).select("p", "ball", tenth(F.col("size")).alias("tenth"), F.struct("n", "c", "size", "common").alias("a"))
     top = F.least(F.col("size"), F.floor(F.col("common") / need + 1e-6) - F.col("size"))
-    probe = placed.withColumn("top", top).where(F.col("top") >= least(similarity))
-    probe = probe.select("p", "ball", F.explode(F.sequence(tenth(least(similarity)), tenth(F.col("top")))).alias("tenth"), F.struct("n", "c", "size", "common").alias("b"))
-    held = index.groupBy("p", "ball", "tenth").agg(F.min("a.c").alias("low"), F.max("a.c").alias("high"))
-    probe = probe.join(held, ["p", "ball", "tenth"]).where("low <> high or low <> b.c").drop("low", "high")
+    placed = known.withColumn("top", top).where((F.col("common") >= least(2 * need)) | (F.col("top") >= least(similarity)))
+    placed = stored(placed.select("n", "c", "size", "common", "top", F.explode("balls").alias("at")).select("n", "c", "size", "common", "top", "at.p", "at.ball"), "placed")
+    index = placed.where(F.col("common") >= least(2 * need)).select("p", "ball", tenth(F.col("size")).alias("tenth"), F.struct("n", "c", "size", "common").alias("a"))
+    there = index.groupBy("p", "ball").agg(F.min("a.c").alias("low"), F.max("a.c").alias("high"), F.min("a.size").alias("short"), F.max("a.size").alias("long"))
+    probe = placed.withColumn("bottom", least(similarity)).where("top >= bottom").join(there, ["p", "ball"])
+    probe = probe.where("(low <> high or low <> c) and top >= short and bottom <= long")  # texts of other classes, some of a length that suffices
+    lengths = F.sequence(tenth(F.greatest("bottom", "short")), tenth(F.least("top", "long")))
+    probe = probe.select("p", "ball", F.explode(lengths).alias("tenth"), F.struct("n", "c", "size", "common").alias("b"))
     enough = F.least("a.common", "b.common") >= need * (F.col("a.size") + F.col("b.size")) - 1e-6
     common = index.join(probe.hint("merge"), ["p", "ball", "tenth"]).where(fits & enough)
     return rare.select(F.col("a.n").alias("l"), F.col("b.n").alias("n")).union(common.select("a.n", "b.n")).distinct()
@@ -361,7 +389,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     parts = partitions(pairs.sparkSession)
     limit = max(1000, math.ceil(pairs.count() / (2 * parts)))  # so at most 2 x parts leaders are hot
     hot = pairs.groupBy("l").count().filter(F.col("count") > limit).select("l", F.ceil(F.col("count") / limit).cast("long").alias("salts"))
-    dealt = pairs.join(F.broadcast(hot), "l", "left").select("l", "n", F.pmod(F.xxhash64("n"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt"))
+    dealt = stored(pairs.join(F.broadcast(hot), "l", "left").select("l", "n", F.pmod(F.xxhash64("n"), F.coalesce("salts", F.lit(1).cast("long"))).alias("salt")), "dealt")
     members = dealt.join(texts, "n").select("l", "salt", F.lit(True).alias("member"), "n", "text")
     leaders = dealt.select("l", "salt").distinct().join(texts.select(F.col("n").alias("l"), "text"), "l")
     rows = members.union(leaders.select("l", "salt", F.lit(False), "l", "text"))
@@ -412,20 +440,22 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WOR
         return stored(met.select(F.col("_lt_text").alias("n"), "text"), "met")
 
     def alike(pairs: DataFrame) -> DataFrame:
-        return similar(pairs, found(pairs.select(F.explode(F.array("l", "n")).alias("_lt_text")).distinct()), similarity, shingle).toDF("a", "b")
+        return similar(pairs, found(pairs.select(F.col("l").alias("_lt_text")).union(pairs.select("n")).distinct()), similarity, shingle).toDF("a", "b")
 
     def classed(links: DataFrame) -> DataFrame:
         reached = components(links)
         return texts.join(reached, texts._lt_text == reached.n, "left").withColumn("_lt_class", F.coalesce("l", "_lt_text")).drop("n", "l")
 
     met = stored(meeting(texts.select(F.posexplode("_lt_parts").alias("p", "v")).distinct(), bits), "meetings")
-    near = stored(alike(stored(close(candidates(texts, bits, met), texts, parts, bits), "pairs")), "near")
+    ends = stored(close(candidates(texts, bits, met), texts, parts, bits), "ends")
+    near = stored(alike(stored(leading(ends), "pairs")), "near")
     some = opened(stored(classed(near).select("_lt_text", "_lt_parts", "_lt_class"), "classed"), bits, met)
-    large = some.where(F.col("k") > LARGEST)
-    known = stored(profiles(found(large.select(F.col("n").alias("_lt_text")).distinct()), shingle), "profiles")
-    pairs = together(some.where(F.col("k") <= LARGEST), bits, parts).union(middles(large, known, parts, bits)).distinct()
+    large = stored(gathered(some.where(F.col("k") > LARGEST), "c", "s"), "large")
+    known = stored(profiles(found(large.select(F.col("n").alias("_lt_text"))), shingle), "profiles")
+    central = leading(stored(middles(large, known, parts, bits), "middles"))
+    pairs = together(some.where(F.col("k") <= LARGEST), bits, parts).union(central).distinct()
     near = stored(near.unionByName(alike(stored(pairs, "pairs"))), "near")
     now = stored(classed(near).select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c")), "classed")
-    rest = stored(bounded(large.select("n", "p", "ball").join(now, "n"), known, similarity), "pairs")
+    rest = stored(within_bounds(large.select("n", "balls").join(now, "n"), known, similarity), "pairs")
     whole = classed(near.unionByName(alike(rest))).groupBy("_lt_class")
     return only(keyed, whole.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)

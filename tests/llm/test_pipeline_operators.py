@@ -529,6 +529,38 @@ def test_keep_one_compares_a_large_group_in_proportion(spark, monkeypatch):
     assert sum(compared[1:]) <= 20 * len(texts)  # after the first step, which compares with ends only
 
 
+def test_keep_one_meets_the_same_few_leaders_first(spark, monkeypatch):
+    """Each text of a large group lies in many balls, but meets three leaders at most before it is known what they join."""
+    import random
+
+    rnd = random.Random(23)
+    vocab = [f"w{k}" for k in range(20000)]
+    texts = []
+    for _ in range(2):
+        base = rnd.choices(vocab, k=150)
+        for k in range(200):
+            edited = list(base)
+            for at in rnd.sample(range(150), rnd.randint(1, 2) if k % 2 else rnd.randint(2, 6)):
+                edited[at] = rnd.choice(vocab)
+            texts.append(" ".join(edited))
+    found, compared, similar = list(enumerate(texts)), [], simhash.similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    kept = Counter(r.doc_id for r in simhash.keep_one(spark.createDataFrame(found, "doc_id long, text string").repartition(5)).collect())
+    assert kept == brute_heads(found)
+    assert len(compared) == 3 and compared[0] <= 3 * len(texts)
+
+
+def test_leading_takes_those_that_lead_most(spark):
+    pairs = [(1, 10), (2, 10), (3, 10), (2, 11), (3, 11), (3, 12), (4, 13)]
+    found = simhash.leading(spark.createDataFrame(pairs, "l long, n long"), 2)
+    assert Counter(map(tuple, found.collect())) == Counter([(3, 10), (2, 10), (3, 11), (2, 11), (3, 12), (4, 13)])
+
+
 def test_bounded_loses_no_similar_pair(spark):
     """Groups of edited, cut and lengthened texts in one ball, each a class of its own, rare shingles in two texts at most."""
     import random
