@@ -16,8 +16,9 @@ the most texts, which joins large groups of copies cheaply; then all candidates
 of small balls that are not yet joined are compared. In balls of more
 than ``LARGEST`` texts each text meets the one that has the fewest rare
 shingles, the middle of a group of edits, and after that only those that can
-still be similar by their counts of rare and common shingles, so that no member
-of a ball goes unseen and a large group isn't compared pair by pair. Chance
+still be similar by a rare shingle that both have or by what they differ in from
+the reference of their group, the shingles that most of its texts have, so that
+no member of a ball goes unseen and a large group isn't compared pair by pair. Chance
 meetings would grow with the square of the texts: fingerprints get a bit more
 for each doubling of the rows and one more of them for every three bits, which
 keeps what they find (``sizes``).
@@ -310,7 +311,7 @@ def hashed(text: str | None, shingle: int = WORDS):
 
 
 def profiles(texts: DataFrame, shingle: int = WORDS, largest: int = LARGEST) -> DataFrame:
-    """n, size, common and rare of texts (n, text; one row each): their shingles, how many of them are in more than largest texts, and the others as (k, h), those in the fewest texts first."""
+    """n, size, common, rare and hs of texts (n, text; one row each): how many shingles they have, how many of them are in more than largest texts, the others as (k, h), those in the fewest texts first, and all in order."""
     small_batches(texts.sparkSession)
 
     def run(batches):
@@ -326,7 +327,7 @@ def profiles(texts: DataFrame, shingle: int = WORDS, largest: int = LARGEST) ->
     few = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") <= largest)
     rare = rows.join(few, "h").groupBy("n").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("rare"))
     size = F.size("hs").cast("long")
-    return all_.join(rare, "n", "left").select("n", size.alias("size"), (size - F.coalesce(F.size("rare"), F.lit(0))).alias("common"), "rare")
+    return all_.join(rare, "n", "left").select("n", size.alias("size"), (size - F.coalesce(F.size("rare"), F.lit(0))).alias("common"), "rare", "hs")
 
 
 def middles(held: DataFrame, of: DataFrame, parts: int = PARTS, bits: int = BITS, far: float = FAR) -> DataFrame:
@@ -339,22 +340,93 @@ def middles(held: DataFrame, of: DataFrame, parts: int = PARTS, bits: int = BITS
     return met.select(F.col("a.n").alias("l"), "n").distinct()
 
 
+def grouped(placed: DataFrame) -> DataFrame:
+    """n, g and home of texts (n, share, at: a ball): texts that share a ball share a group g; home: a text's own group.
+
+    A ball goes by its text with the least share of rare shingles. Of these texts
+    that of the most texts is a text's home, and the greatest home of the texts
+    in balls that go by one text is the group of these balls, so that nearly all
+    balls around a text that was edited often are of one group.
+    """
+    balls = stored(placed.groupBy("at").agg(F.min(F.struct("share", "n"))["n"].alias("m"), F.count("*").alias("_lt_n")), "balls")
+    led = stored(skew_join(placed.select("n", "at"), balls, "at", "_lt_n", F.xxhash64("n"), "inner").select("n", "m").distinct(), "led")
+    most = stored(led.groupBy("m").agg(F.count("*").alias("k"), F.count("*").alias("_lt_n")), "most")
+    own = stored(skew_join(led, most, "m", "_lt_n", F.xxhash64("n"), "inner").groupBy("n").agg(F.max(F.struct("k", "m")).alias("home")), "homes")
+    of = stored(led.join(own, "n").groupBy("m").agg(F.max("home")["m"].alias("g"), F.count("*").alias("_lt_n")), "of")
+    home = own.select("n", F.col("home.m").alias("home"))
+    shared = skew_join(led, of, "m", "_lt_n", F.xxhash64("n"), "inner").select("n", "g")
+    return shared.union(home.select("n", F.col("home").alias("g"))).distinct().join(home, "n")
+
+
+def differences(held: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Texts n, c (of held: n, c and their balls) by their differences from what most texts of a group have, a row for each of a text's groups.
+
+    The shingles in more than half of the texts at home in a group are its
+    reference; a text differs by those it lacks and those it has besides.
+    balance: so many, less the share of its own size that two similar texts may
+    differ in for each shingle of both. others: differences without rare
+    shingles, in an order that all texts of the group have; mask: 256 bits, one
+    of which each of them sets; width: of the reference.
+    Texts of which too much is rare to be similar by common shingles are left out.
+    """
+    known = of.join(held, "n").where(F.col("common") >= F.ceil(similarity * F.col("size") - 1e-6))
+    known = stored(known.withColumn("share", 1 - F.col("common") / F.col("size")), "common")
+    groups = stored(grouped(known.select("n", "share", F.explode("balls").alias("at"))), "groups")
+    own = groups.where("g = home").select("n", "g")
+    have = stored(own.join(known.select("n", "hs"), "n").select("g", F.explode("hs").alias("h")).groupBy("g", "h").agg(F.count("*").alias("k")).where("k > 1"), "have")
+    all_ = stored(groups.groupBy("g").agg(F.count("*").alias("_lt_n"), F.count(F.when(F.col("g") == F.col("home"), 1)).alias("homes")), "all")
+    most = have.join(all_.select("g", "homes"), "g").where("2 * k > homes").groupBy("g").agg(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "h")))["h"].alias("ref"))
+    none = F.array().cast("array<long>")
+    refs = stored(all_.join(most, "g", "left").select("g", "_lt_n", F.coalesce("ref", none).alias("ref")), "references")
+    some = groups.join(known.select("n", "c", "size", "hs", F.coalesce(F.col("rare")["h"], none).alias("rare")), "n")
+    some = skew_join(some, refs, "g", "_lt_n", F.xxhash64("n"), "inner")
+    some = some.withColumn("lacks", F.array_except("ref", "hs")).withColumn("more", F.array_except("hs", "ref"))
+    balance = F.size("lacks") + F.size("more") - (1 - similarity) / (1 + similarity) * F.col("size")
+    others = F.concat("lacks", F.array_except("more", "rare"))  # array_except keeps the order of its first array
+    some = some.select("n", "c", "g", "home", "size", balance.alias("balance"), others.alias("others"), F.size("ref").alias("width"))
+    word = "aggregate(filter(others, h -> (shiftright(h, 6) & 3) = {}), 0L, (all, h) -> all | shiftleft(1L, cast(h & 63 as int)))"
+    return some.withColumn("mask", F.array(*[F.expr(word.format(q)) for q in range(4)]))
+
+
+def centred(apart: DataFrame) -> DataFrame:
+    """apart (differences) with the text of the least balance in each group, a (balance, n, c), and the class of most of its texts, top."""
+    by = apart.groupBy("g", "c").agg(F.count("*").alias("k"), F.min(F.struct("balance", "n", "c")).alias("a"))
+    of = stored(by.groupBy("g").agg(F.min("a").alias("a"), F.max(F.struct("k", "c"))["c"].alias("top"), F.sum("k").alias("_lt_n")), "centres")
+    return skew_join(apart, of, "g", "_lt_n", F.xxhash64("n"), "inner")
+
+
+def certain(apart: DataFrame) -> DataFrame:
+    """Pairs (l, n): the text of the least balance in each group, and texts of other classes that can't but be similar to it.
+
+    Texts with balances of 0 or less together are similar, as they differ from
+    each other in no more than both do from the reference. Then each of them is
+    also similar to the text of the least balance, so none of these pairs but
+    those with it has to be met.
+    """
+    met = centred(apart).where((F.col("c") != F.col("a.c")) & (F.col("a.balance") + F.col("balance") <= 1e-6))
+    return met.select(F.col("a.n").alias("l"), "n").distinct()
+
+
 def bounded(some: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (l, n) of different classes in balls of some (n, c, p, ball) that can be similar, by their profiles of; loses none that is."""
-    return within_bounds(gathered(some, "c"), of, similarity)
+    held = gathered(some, "c")
+    return within_bounds(held, of, stored(differences(held, of, similarity), "apart"), similarity)
 
 
-def within_bounds(held: DataFrame, of: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """As bounded, of texts n, c and their balls.
+def within_bounds(held: DataFrame, of: DataFrame, apart: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """As bounded, of texts n, c and their differences apart (stored).
 
     Shingles are ordered, rare ones first. The first that similar texts share is
     near both their beginnings: a rare one brings them together itself. If it is
-    a common one then they share no rare one, so all that they need must be
-    common: the longer looks for shorter ones of a length that its common
-    shingles suffice for, a tenth of lengths at a time. Only texts that have so
-    many common ones are dealt to their balls, once.
+    a common one then they share no rare one, and are compared by what they
+    differ in from the reference of their group. With balances of 0 or less
+    together they are similar; else they must have half the sum of their balances
+    of these differences in common, none of them rare, and the first of these is
+    near both their beginnings again. The lesser balance looks in steps of the
+    greater, as it needs the more in common the greater that is. Texts of the
+    class that most of a group are in don't look for each other.
     """
-    known = stored(of.join(held, "n"), "known")
+    known = stored(of.drop("hs").join(held.select("n", "c"), "n"), "known")
     need = similarity / (1 + similarity)
     least = lambda share: F.ceil(share * F.col("size") - 1e-6)
     order = lambda a, b: (F.col(a + ".size") < F.col(b + ".size")) | ((F.col(a + ".size") == F.col(b + ".size")) & (F.col(a + ".n") < F.col(b + ".n")))
@@ -365,19 +437,35 @@ def within_bounds(held: DataFrame, of: DataFrame, similarity: float = SIMILARITY
         return heads.where("x.k > 1").select(F.col("x.h").alias("h"), F.struct("n", "c", "size").alias(side))
 
     rare = first(2 * need, "a").join(first(similarity, "b").hint("merge"), "h").where(fits)
-    tenth = lambda n: F.floor(F.log(n) / math.log(1.1))
-    top = F.least(F.col("size"), F.floor(F.col("common") / need + 1e-6) - F.col("size"))
-    placed = known.withColumn("top", top).where((F.col("common") >= least(2 * need)) | (F.col("top") >= least(similarity)))
-    placed = stored(placed.select("n", "c", "size", "common", "top", F.explode("balls").alias("at")).select("n", "c", "size", "common", "top", "at.p", "at.ball"), "placed")
-    index = placed.where(F.col("common") >= least(2 * need)).select("p", "ball", tenth(F.col("size")).alias("tenth"), F.struct("n", "c", "size", "common").alias("a"))
-    there = index.groupBy("p", "ball").agg(F.min("a.c").alias("low"), F.max("a.c").alias("high"), F.min("a.size").alias("short"), F.max("a.size").alias("long"))
-    probe = placed.withColumn("bottom", least(similarity)).where("top >= bottom").join(there, ["p", "ball"])
-    probe = probe.where("(low <> high or low <> c) and top >= short and bottom <= long")  # texts of other classes, some of a length that suffices
-    lengths = F.sequence(tenth(F.greatest("bottom", "short")), tenth(F.least("top", "long")))
-    probe = probe.select("p", "ball", F.explode(lengths).alias("tenth"), F.struct("n", "c", "size", "common").alias("b"))
-    enough = F.least("a.common", "b.common") >= need * (F.col("a.size") + F.col("b.size")) - 1e-6
-    common = index.join(probe.hint("merge"), ["p", "ball", "tenth"]).where(fits & enough)
-    return rare.select(F.col("a.n").alias("l"), F.col("b.n").alias("n")).union(common.select("a.n", "b.n")).distinct()
+
+    now = stored(centred(apart.drop("c").join(held.select("n", "c"), "n")), "centred")
+    sure = now.where(F.col("a.balance") + F.col("balance") <= 1e-6).select("g", "n", "c", "balance", F.col("a.c").alias("own"))
+    odd = sure.where("c <> own").select("g", F.struct("n", "c", "balance").alias("x"))  # none where certain has been followed
+    sure = odd.join(sure.select("g", F.struct("n", "c", "balance").alias("y")), "g").where((F.col("x.c") != F.col("y.c")) & (F.col("x.balance") + F.col("y.balance") <= 1e-6))
+
+    step = lambda balance: F.floor(F.log1p(F.greatest(balance, F.lit(0.0)) / F.greatest(F.col("width") / 4, F.lit(1.0))) / math.log(1.15))
+    least = F.col("balance") - (1 - similarity) / (1 + similarity) / similarity * F.col("size") - 1e-6  # what a text has in common with one of less balance
+    now = now.withColumn("inner", F.col("c") == F.col("top")).withColumn("many", F.size("others"))
+    heads = F.slice("others", F.lit(1), F.greatest(F.lit(0), F.least(F.col("many"), F.col("many") - F.ceil(least) + 1)).cast("int"))
+    each = now.select("g", "n", "c", "home", "size", "balance", "width", "inner", "many", "mask", F.posexplode(heads).alias("at", "h"))
+    each = each.withColumn("left", F.col("many") - F.col("at"))  # so many can be in common from here on
+    text = F.struct("n", "c", "home", "size", "balance", "left", "many", "mask")
+    far = 2 * F.col("left") - F.col("balance") + 1e-6  # a greater balance would need more
+    to = F.when(F.col("inner"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    lesser = each.where(far >= F.col("balance")).select("g", "h", "balance", "width", to.alias("to"), far.alias("far"), text.alias("a"))
+    lesser = lesser.select("g", "h", "a", "to", F.explode(F.sequence(step(F.col("balance")), step(F.col("far")))).alias("step")).select("g", "h", "a", "step", F.explode("to").alias("inner"))
+    greater = each.select("g", "h", step(F.col("balance")).alias("step"), "inner", text.alias("b"))
+    both = F.col("a.balance") + F.col("b.balance")
+    lower = (F.col("a.balance") < F.col("b.balance")) | ((F.col("a.balance") == F.col("b.balance")) & (F.col("a.n") < F.col("b.n")))
+    sized = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-6
+    alone = lambda a, b: sum((F.bit_count(F.col(a + ".mask")[q].bitwiseAND(F.bitwise_not(F.col(b + ".mask")[q]))) for q in range(4)), F.lit(0))
+    shared = F.least(F.col("a.left"), F.col("b.left"), F.col("a.many") - alone("a", "b"), F.col("b.many") - alone("b", "a"))  # at most; a bit that one has alone is of a difference, or more, that it has alone
+    enough = (both > 1e-6) & (2 * shared >= both - 1e-6)
+    once = (F.col("a.home") != F.col("b.home")) | (F.col("g") == F.col("a.home"))  # texts of one home meet there
+    common = lesser.join(greater.hint("merge"), ["g", "h", "step", "inner"]).where(lower & (F.col("a.c") != F.col("b.c")) & sized & enough & once)
+
+    pairs = rare.select(F.col("a.n").alias("l"), F.col("b.n").alias("n")).union(common.select("a.n", "b.n")).union(sure.select("x.n", "y.n"))
+    return pairs.select(F.least("l", "n").alias("l"), F.greatest("l", "n").alias("n")).distinct()
 
 
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS) -> DataFrame:
@@ -453,9 +541,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WOR
     large = stored(gathered(some.where(F.col("k") > LARGEST), "c", "s"), "large")
     known = stored(profiles(found(large.select(F.col("n").alias("_lt_text"))), shingle), "profiles")
     central = leading(stored(middles(large, known, parts, bits), "middles"))
-    pairs = together(some.where(F.col("k") <= LARGEST), bits, parts).union(central).distinct()
+    apart = stored(differences(large, known, similarity), "apart")
+    pairs = together(some.where(F.col("k") <= LARGEST), bits, parts).union(central).union(certain(apart)).distinct()
     near = stored(near.unionByName(alike(stored(pairs, "pairs"))), "near")
     now = stored(classed(near).select(F.col("_lt_text").alias("n"), F.col("_lt_class").alias("c")), "classed")
-    rest = stored(within_bounds(large.select("n", "balls").join(now, "n"), known, similarity), "pairs")
+    rest = stored(within_bounds(large.select("n").join(now, "n"), known, apart, similarity), "pairs")
     whole = classed(near.unionByName(alike(rest))).groupBy("_lt_class")
     return only(keyed, whole.agg(F.min("_lt_first").alias("_lt_first"))).select(*docs.columns)

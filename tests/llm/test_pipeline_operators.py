@@ -586,6 +586,99 @@ def test_bounded_loses_no_similar_pair(spark):
     assert not simhash.bounded(some.withColumn("c", F.lit(1)), known).count()  # one class: nothing to compare
 
 
+def shingled(texts):
+    return [set(zip(*(t.split()[k:] for k in range(5)))) or {tuple(t.split())} for t in texts]
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_bounded_meets_few_of_a_group_without_similar_members(spark):
+    """Three new words each in one text, which itself isn't there: nearly all is common, yet few are similar."""
+    import random
+
+    rnd = random.Random(29)
+    vocab = [f"w{k}" for k in range(20000)]
+    base, texts = rnd.choices(vocab, k=150), []
+    for _ in range(300):
+        edited = list(base)
+        for at in rnd.sample(range(150), 3):
+            edited[at] = rnd.choice(vocab)
+        texts.append(" ".join(edited))
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    some = rows.select("n", F.col("n").alias("c"), F.explode(F.array(F.lit(0), F.lit(1))).alias("p"), F.lit(0).cast("long").alias("ball"))
+    found = Counter(frozenset(r) for r in simhash.bounded(some, simhash.profiles(rows)).collect())
+    grams = shingled(texts)
+    want = {frozenset((i, j)) for i in range(300) for j in range(i) if alike(grams[i], grams[j])}
+    assert want <= set(found) and max(found.values(), default=1) == 1
+    assert len(found) <= len(want) + 4 * len(texts)
+
+
+def odd_groups(rnd):
+    """Texts (n, text) and their balls: edits of several texts, alone and on top of frequent edits, cut, and dealt to balls that groups share."""
+    vocab, texts, balls = [f"w{k}" for k in range(3000)], [], []
+    for k, words in enumerate((60, 110, 110, 180)):
+        base = rnd.choices(vocab, k=words)
+        frequent = [(at, rnd.choice(vocab)) for at in rnd.sample(range(words), 3)]
+        for _ in range(40):
+            edited = list(base)
+            for at, w in frequent:
+                if rnd.random() < 0.4:
+                    edited[at] = w
+            for at in rnd.sample(range(words), rnd.randint(0, 3)):
+                edited[at] = rnd.choice(vocab)
+            texts.append(" ".join(edited[rnd.randrange(3) : words - rnd.randrange(3)]))
+            balls.append({rnd.randrange(3) + 2 * k for _ in range(rnd.randint(1, 3))} | ({50} if rnd.random() < 0.2 else set()))
+    return texts, balls
+
+
+@pytest.mark.parametrize("classes", [1000, 12])
+def test_bounded_loses_no_pair_of_groups_that_share_balls(spark, classes):
+    import random
+
+    rnd = random.Random(31)
+    texts, balls = odd_groups(rnd)
+    of = list(range(len(texts))) if classes > len(texts) else [rnd.randrange(classes) for _ in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    some = spark.createDataFrame([(n, of[n], 0, b) for n, there in enumerate(balls) for b in sorted(there)], "n long, c long, p int, ball long")
+    grams = shingled(texts)
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if of[i] != of[j] and balls[i] & balls[j] and alike(grams[i], grams[j])}
+    for largest in (2, 8):
+        found = {frozenset(r) for r in simhash.bounded(some, simhash.profiles(rows, largest=largest)).collect()}
+        assert len(want) > 50 and want <= found
+        assert all(of[i] != of[j] for i, j in found)
+
+
+def test_certain_pairs_stand_for_all_of_their_kind(spark):
+    """They are similar; with the classes that they give, what is left to meet links what all pairs do."""
+    import random
+
+    texts, balls = odd_groups(random.Random(37))
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    placed = spark.createDataFrame([(n, 0, b) for n, there in enumerate(balls) for b in sorted(there)], "n long, p int, ball long")
+    known, grams = simhash.profiles(rows, largest=4), shingled(texts)
+
+    def held(of):
+        own = spark.createDataFrame(list(enumerate(of)), "n long, c long")
+        return simhash.gathered(placed.join(own, "n"), "c")
+
+    def classes(pairs):
+        of = list(range(len(texts)))
+        for i, j in pairs:
+            a, b = sorted((of[i], of[j]))
+            of = [a if c == b else c for c in of]
+        return of
+
+    apart = simhash.stored(simhash.differences(held(range(len(texts))), known), "apart")
+    sure = [tuple(r) for r in simhash.certain(apart).collect()]
+    assert len(sure) > 10 and all(alike(grams[i], grams[j]) for i, j in sure)
+    rest = [tuple(r) for r in simhash.within_bounds(held(classes(sure)), known, apart).collect()]
+    got = classes(sure + [(i, j) for i, j in rest if alike(grams[i], grams[j])])
+    want = classes([(i, j) for i in range(len(texts)) for j in range(i) if balls[i] & balls[j] and alike(grams[i], grams[j])])
+    assert all(len({got[n] for n in range(len(texts)) if want[n] == c}) == 1 for c in set(want))
+
+
 def test_fingerprints_grow_with_the_rows():
     assert simhash.sizes(0) == simhash.sizes(1 << 16) == (6, 30)
     assert simhash.sizes(230_000) == (7, 32) and simhash.sizes(10**8) == (10, 41)
