@@ -48,67 +48,70 @@ def _stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def _members(text: Column) -> Column:
-    """The list without the full stop at its end, and its members; each step is a transform, so that nothing is parsed twice."""
-    whole = F.regexp_replace(F.regexp_replace(_stripped(text), r"\.\z", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
+def _whole(text: Column) -> Column:
+    """The list without the full stop at its end."""
+    return F.regexp_replace(F.regexp_replace(_stripped(text), r"\.\z", ""), r"(?U)[\s\x1c-\x1f]+\z", "")
 
-    def split(w: Column) -> Column:
-        named = F.transform(F.transform(F.split(w, ";"), _stripped), lambda m: F.struct(m.alias("member"), parsed(m).alias("t")))
-        return F.struct(w.alias("whole"), F.transform(named, lambda m: F.struct(m["member"].alias("member"), m["t"].alias("t"), target_key(m["t"]).alias("key"))).alias("members"))
 
-    return F.transform(F.array(whole), split)[0]
+def _members(whole: Column) -> Column:
+    return F.transform(F.split(whole, ";"), _stripped)
 
 
 def _inside(t: Column) -> Column:
     return F.coalesce((t["work"] == "bofm") & t["book"].isin(*BOOKS["bofm"]) & (F.coalesce(t["end_verse"], t["verse"]) >= t["verse"]), F.lit(False))
 
 
+#: What a list can fail by, by number.
+PROBLEMS = ("official_reference_unsupported_syntax", "official_reference_invalid_canonical_target", "official_reference_duplicate_target", "official_reference_ambiguous_syntax")
+UNSUPPORTED, INVALID, DUPLICATE, AMBIGUITY = range(4)
+
+
+def _decided(named: DataFrame, valid: DataFrame) -> DataFrame:
+    """(_list, normalized_text, state, code, n_targets) of different lists: a row for each member, then for each verse of a member, added up over the list.
+
+    What a member fails by is 4 times its place plus the problem's number; what
+    the list as a whole fails by is less than any of these, so the least decides.
+    """
+    m, k, t = F.col("_members"), F.col("_k"), F.col("_t")
+    early = F.when(F.col("_whole").rlike(AMBIGUOUS), AMBIGUITY - 4).when(F.array_contains(m, ""), UNSUPPORTED - 4)
+    again = F.filter(F.transform(m, lambda x, i: F.when(F.array_position(m, x) <= i, i)), lambda i: i.isNotNull())
+    twice = F.when(F.size(F.array_distinct(m)) < F.size(m), F.get(again, F.lit(0)) * 4 + DUPLICATE)
+    lists = named.withColumn("_whole", _whole(F.col("_list"))).withColumn("_members", _members(F.col("_whole")))
+    # Every list has a member; an explode that isn't outer would be preceded by a filter on their number, which Spark moves to all rows before they are told apart.
+    members = lists.select("_list", F.least(early, twice).alias("_early"), F.posexplode_outer("_members").alias("_k", "_member")).withColumn("_t", parsed(F.col("_member")))
+
+    backwards = F.coalesce(t["end_verse"], t["verse"]) < t["verse"]
+    outside = (t["work"] == "bofm") & (~_inside(t) | (target_key(t) != F.col("_member")))  # a number beyond 64 bits is lost in the key
+    problem = F.when(t.isNull() | ~t["work"].isin("bofm", *EXTERNAL_WORKS), UNSUPPORTED).when(outside | backwards, INVALID)
+    external = F.coalesce(t["work"].isin(*EXTERNAL_WORKS), F.lit(False))
+    each = members.select("_list", "_early", "_k", external.alias("_external"), problem.alias("_problem"), F.explode_outer(F.when(_inside(t), verses(t))).alias("_verse"))
+    # Members without verses to look up keep their lists as keys: as nulls they would all meet in one task.
+    each = each.withColumns({"_inside": F.col("_verse").isNotNull(), "_verse": F.coalesce("_verse", "_list")})
+    each = each.join(valid.select(F.col("reference").alias("_verse")).distinct().withColumn("_known", F.lit(True)), "_verse", "left")
+
+    problem = F.coalesce("_problem", F.when(F.col("_inside") & F.col("_known").isNull(), INVALID))
+    found = each.groupBy("_list").agg(F.min(F.least("_early", k * 4 + problem)).alias("_first"), F.max("_external").alias("_external"), F.max(k + 1).cast("long").alias("_n"))
+    first = F.col("_first")
+    fine = F.when(F.col("_external"), "official_reference_unresolved_external_target").otherwise("official_reference_parsed")
+    code = F.when(first.isNull(), fine).otherwise(F.element_at(F.array(*map(F.lit, PROBLEMS)), F.pmod(first, F.lit(4)) + 1))
+    state = F.coalesce(*(F.when(F.col("code") == c, F.lit(v)) for c, v in STATES.items()), F.lit("invalid"))
+    normalized = F.when(first.isNull(), F.array_join(_members(_whole(F.col("_list"))), "; "))
+    return found.withColumn("code", code).select("_list", normalized.alias("normalized_text"), state.alias("state"), "code", F.when(first.isNull(), F.col("_n")).otherwise(0).alias("n_targets"))
+
+
 def grammar_parse(lists: DataFrame, text: str, valid: DataFrame) -> DataFrame:
     """Adds normalized_text, state, code and n_targets to rows with lists of references; all or nothing.
 
     The checks go in the grammar's order: emptiness, ambiguity, empty members,
     then member by member syntax, work, range, membership and repetition; the
     first member that fails decides. ``valid`` has the references that exist,
-    and may be as large as the corpus: the verses that different lists name are
-    joined with it, and those that it lacks go back to the lists by their text.
-    All else is decided within the row. A null list is an empty one.
+    and may be as large as the corpus. Each different list is decided once, and
+    its verdict goes back to the rows by its text. A null list is an empty one.
     """
-    named = lists.select(F.col(text).alias("_list")).where("_list is not null").distinct()
-    named = named.select("_list", F.explode(F.array_distinct(F.flatten(F.transform(F.filter(_members(F.col("_list"))["members"], lambda m: _inside(m["t"])), lambda m: verses(m["t"]))))).alias("reference"))
-    absent = named.join(valid.select("reference").distinct(), "reference", "left_anti").groupBy("_list").agg(F.collect_set("reference").alias("_absent"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    decided = _decided(lists.select(whole.alias("_list")).distinct(), valid)
     rows = lists.drop("normalized_text", "state", "code", "n_targets")
-    kept = rows.columns
-    rows = rows.join(absent, F.col(text) == F.col("_list"), "left").withColumn("_list", _members(F.coalesce(F.col(text), F.lit("")))).withColumns({"_m": F.col("_list")["members"], "_keys": F.transform(F.col("_list")["members"], lambda m: m["key"])})
-
-    invalid, unsupported = F.lit("official_reference_invalid_canonical_target"), F.lit("official_reference_unsupported_syntax")
-    keys = F.col("_keys")
-    none = F.array().cast("array<string>")
-
-    def problem(m: Column, k: Column) -> Column:
-        t = m["t"]
-        known = _inside(t) & ~F.arrays_overlap(verses(t), F.coalesce("_absent", none))
-        return (
-            F.when(t.isNull() | ~t["work"].isin("bofm", *EXTERNAL_WORKS), unsupported)
-            .when((t["work"] == "bofm") & ~known, invalid)
-            .when(F.coalesce(t["end_verse"], t["verse"]) < t["verse"], invalid)
-            .when(F.array_position(keys, m["key"]) <= k, F.lit("official_reference_duplicate_target"))
-        )
-
-    rows = rows.withColumn("_first", F.get(F.filter(F.transform("_m", problem), lambda p: p.isNotNull()), F.lit(0)))
-    first = F.col("_first")
-    whole = F.col("_list")["whole"]
-    code = (
-        F.when(whole == "", unsupported)
-        .when(whole.rlike(AMBIGUOUS), F.lit("official_reference_ambiguous_syntax"))
-        .when(F.exists("_m", lambda m: m["member"] == ""), unsupported)
-        .when(first.isNotNull(), first)
-        .when(F.exists("_m", lambda m: m["t"]["work"].isin(*EXTERNAL_WORKS)), F.lit("official_reference_unresolved_external_target"))
-        .otherwise(F.lit("official_reference_parsed"))
-    )
-    state = F.coalesce(*(F.when(F.col("_code") == k, F.lit(v)) for k, v in STATES.items()), F.lit("invalid"))
-    good = F.col("state").isin("parsed", "unresolved_external")
-    rows = rows.withColumn("_code", code).withColumn("state", state)
-    return rows.select(*kept, F.when(good, F.array_join(keys, "; ")).alias("normalized_text"), "state", F.col("_code").alias("code"), F.when(good, F.size("_m")).otherwise(0).cast("long").alias("n_targets"))
+    return rows.join(decided, whole == F.col("_list"), "left").drop("_list")
 
 
 def grammar_strict(lists: DataFrame, text: str, valid: DataFrame) -> DataFrame:

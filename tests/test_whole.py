@@ -154,6 +154,28 @@ def test_lists_keep_their_own_verdicts_after_a_shuffle(spark):
     assert len(got) == 3000 and all((r.state, r.n_targets) == forms[r.list] for r in got)
 
 
+def test_strict_lists_are_parsed_where_they_differ(spark):
+    """A filter on verdicts, as before a strict parse, isn't moved to where it would parse every row."""
+    from pyspark.sql import functions as F
+
+    forms = ["bofm/1-ne/1/2", "bofm/1-ne/1/1-3; bible/john/3/16.", "bofm/1-ne/1/9", "bofm/1-ne/1/1, bofm/1-ne/1/2", "bofm/1-ne/1/1;;bofm/1-ne/1/2"]
+    lists = spark.range(1000).select("id", F.element_at(F.array(*map(F.lit, forms)), (F.col("id") % 5 + 1).cast("int")).alias("list"))
+    valid = spark.createDataFrame([(f"bofm/1-ne/1/{v}",) for v in range(1, 5)], "reference string")
+    good = ingest.grammar_parse(lists, "list", valid).where("n_targets > 0").select("id", "list")
+    found = ingest.grammar_strict(good, "list", valid)
+    assert {(r.id % 5, r.normalized_text) for r in found.collect()} == {(0, forms[0]), (1, forms[1][:-1])} and found.count() == 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") > 0 and not [line for line in plan.split("\n") if "Filter" in line and ("regexp" in line or "RLIKE" in line)]
+
+
+def test_numbers_beyond_64_bits_stay_in_lists(spark):
+    big = "9" * 20
+    want = {f"bible/john/{big}/1": 1, f"bible/john/{big}/1; bible/john/{big}8/1": 2, f"bofm/1-ne/1/1-{big}": 0, f"bofm/1-ne/{big}/1": 0}
+    valid = spark.createDataFrame([("bofm/1-ne/1/1",)], "reference string")
+    got = ingest.grammar_parse(spark.createDataFrame([(t,) for t in want], "list string"), "list", valid).collect()
+    assert {r.list: r.n_targets for r in got} == want and all(r.normalized_text == (r.list if r.n_targets else None) for r in got)
+
+
 def test_numbered_keeps_null_groups(spark):
     from lectern.operators.lookup import numbered
 
